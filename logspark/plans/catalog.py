@@ -156,8 +156,8 @@ NOW_MS = 1704326400000  # 2024-01-04T00:00:00Z, the fixed "now" of relative pred
 
 @register("time_window", EV + """
 SELECT event_id FROM ev
-WHERE epoch_ms("timestamp") >= 1704326400000 - 2 * 86400000
-  AND epoch_ms("timestamp") < 1704283200000
+WHERE (epoch_us("timestamp") // 1000) >= 1704326400000 - 2 * 86400000
+  AND (epoch_us("timestamp") // 1000) < 1704283200000
 """)
 def q_time_window(spark, sf_dir):
     """``last-2d`` against a fixed now, and an RFC 3339 upper bound."""
@@ -243,3 +243,241 @@ SELECT event_id FROM docs WHERE event_id > 50 AND {_term_sql('einkeit')}
 def q_search_since(spark, sf_dir):
     """search restricted to rows ingested after a position."""
     return FI.search_since(T.load_documents(spark, sf_dir), "einkeit", 50).select("event_id")
+
+
+# ---------------------------------------------------------------- sessions A5-A7 J1 J2 O4 O5 A9
+from logspark.operators import navigation as NV  # noqa: E402
+from logspark.operators import repeats as RP  # noqa: E402
+from logspark.operators import sessions as SE  # noqa: E402
+
+RUN_A, RUN_B = "1-2024-01-01", "2-2024-01-01"
+_SESS_BASE = f""",
+b AS (SELECT *, {O.CORR_SQL} AS corr, {O.STATUS_TEXT_SQL} AS st FROM ev)"""
+_LAST_STATUS_SQL = "arg_max(st, CAST(epoch_us(\"timestamp\") AS HUGEINT) * 10000000000000 + event_id) FILTER (WHERE st <> '-')"
+
+
+def _ms(col: str):
+    return F.unix_millis(col)
+
+
+@register("session_summaries", EV + _SESS_BASE + f"""
+SELECT app_session_id, (epoch_us(min("timestamp")) // 1000) AS first_ms, (epoch_us(max("timestamp")) // 1000) AS last_ms,
+  greatest((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) // 1000, 0) AS elapsed_ms,
+  count(*) AS event_count, count(*) FILTER (WHERE level = 'warn') AS warning_count,
+  count(*) FILTER (WHERE level IN ('error', 'fatal')) AS error_count,
+  coalesce(string_agg(DISTINCT nullif(provider, ''), ',' ORDER BY nullif(provider, '')), '') AS providers,
+  count(DISTINCT CASE WHEN corr <> app_session_id AND corr <> '' THEN corr END) AS correlation_count,
+  {_LAST_STATUS_SQL} AS status
+FROM b GROUP BY app_session_id
+""")
+def q_session_summaries(spark, sf_dir):
+    """A5 + A7 + O4: run summaries, newest run first."""
+    s = SE.order_sessions(SE.session_summaries(T.load_events(spark, sf_dir)))
+    return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"),
+                    _ms("last_timestamp").alias("last_ms"), "elapsed_ms", "event_count", "warning_count",
+                    "error_count", F.array_join("providers", ",").alias("providers"), "correlation_count",
+                    "status")
+
+
+_EVENT_SUMMARY_SQL = f"""
+SELECT app_session_id, event, count(*) AS count,
+  count(*) FILTER (WHERE level = 'warn') AS warning_count,
+  count(*) FILTER (WHERE level IN ('error', 'fatal')) AS error_count,
+  coalesce(sum(duration_ms), 0.0) AS duration_total_ms, count(duration_ms) AS duration_count,
+  max(duration_ms) AS max_duration_ms,
+  CASE WHEN count(duration_ms) > 0 THEN sum(duration_ms) / count(duration_ms) END AS average_duration_ms,
+  {_LAST_STATUS_SQL} AS status
+FROM b"""
+
+
+@register("session_event_summaries", EV + _SESS_BASE + _EVENT_SUMMARY_SQL + " GROUP BY app_session_id, event")
+def q_session_event_summaries(spark, sf_dir):
+    """Per (run, event) counts, durations and last status."""
+    return SE.session_event_summaries(T.load_events(spark, sf_dir)).select(
+        "app_session_id", "event", "count", "warning_count", "error_count", "duration_total_ms",
+        "duration_count", "max_duration_ms", "average_duration_ms", "status")
+
+
+def _compare_sql(base: str, run_a: str, run_b: str) -> str:
+    RUN_A, RUN_B = run_a, run_b
+    return base + _SESS_BASE + f""",
+s AS ({_EVENT_SUMMARY_SQL} WHERE app_session_id IN ('{RUN_A}', '{RUN_B}') GROUP BY app_session_id, event),
+a AS (SELECT * FROM s WHERE app_session_id = '{RUN_A}'),
+bb AS (SELECT * FROM s WHERE app_session_id = '{RUN_B}'),
+j AS (
+  SELECT coalesce(a.event, bb.event) AS event,
+    coalesce(a.count, 0) AS count_a, coalesce(bb.count, 0) AS count_b,
+    coalesce(a.warning_count, 0) AS warnings_a, coalesce(bb.warning_count, 0) AS warnings_b,
+    coalesce(a.error_count, 0) AS errors_a, coalesce(bb.error_count, 0) AS errors_b,
+    a.average_duration_ms AS average_duration_a, bb.average_duration_ms AS average_duration_b,
+    a.max_duration_ms AS max_duration_a, bb.max_duration_ms AS max_duration_b,
+    a.status AS status_a, bb.status AS status_b
+  FROM a FULL OUTER JOIN bb ON a.event = bb.event)
+SELECT *, (count_a <> count_b OR warnings_a <> warnings_b OR errors_a <> errors_b
+   OR status_a IS DISTINCT FROM status_b
+   OR CASE WHEN average_duration_a IS NOT NULL AND average_duration_b IS NOT NULL
+           THEN abs(average_duration_a - average_duration_b) >= 1.0
+           ELSE (average_duration_a IS NULL) <> (average_duration_b IS NULL) END
+   OR CASE WHEN max_duration_a IS NOT NULL AND max_duration_b IS NOT NULL
+           THEN abs(max_duration_a - max_duration_b) >= 1.0
+           ELSE (max_duration_a IS NULL) <> (max_duration_b IS NULL) END) AS differs
+FROM j
+"""
+
+
+@register("compare_sessions", _compare_sql(EV, RUN_A, RUN_B))
+def q_compare_sessions(spark, sf_dir):
+    """J2 + O5: two runs matched on event name, differing rows first."""
+    return SE.compare_sessions(T.load_events(spark, sf_dir), RUN_A, RUN_B).drop(
+        "missing_side", "error_delta", "count_delta")
+
+
+@register("compare_conversations", _compare_sql(CONV, "conv-0", "conv-1"))
+def q_compare_conversations(spark, sf_dir):
+    """J2 over two conversation runs (turn roles as event names)."""
+    return SE.compare_sessions(T.load_conversations(spark, sf_dir), "conv-0", "conv-1").drop(
+        "missing_side", "error_delta", "count_delta")
+
+
+@register("run_comparison_totals", EV + _SESS_BASE + f""",
+s AS (SELECT app_session_id, count(*) AS n, count(*) FILTER (WHERE level IN ('error','fatal')) AS e,
+        greatest((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) // 1000, 0) AS el
+      FROM b WHERE app_session_id IN ('{RUN_A}', '{RUN_B}') GROUP BY app_session_id),
+es AS (SELECT app_session_id, event, count(*) AS c, count(*) FILTER (WHERE level = 'warn') AS w,
+        count(*) FILTER (WHERE level IN ('error','fatal')) AS e,
+        CASE WHEN count(duration_ms) > 0 THEN sum(duration_ms) / count(duration_ms) END AS av,
+        max(duration_ms) AS mx, {_LAST_STATUS_SQL} AS status
+       FROM b WHERE app_session_id IN ('{RUN_A}', '{RUN_B}') GROUP BY app_session_id, event),
+a AS (SELECT * FROM es WHERE app_session_id = '{RUN_A}'),
+bb AS (SELECT * FROM es WHERE app_session_id = '{RUN_B}'),
+d AS (SELECT count(*) FILTER (WHERE coalesce(a.c,0) <> coalesce(bb.c,0) OR coalesce(a.w,0) <> coalesce(bb.w,0)
+        OR coalesce(a.e,0) <> coalesce(bb.e,0) OR a.status IS DISTINCT FROM bb.status
+        OR CASE WHEN a.av IS NOT NULL AND bb.av IS NOT NULL THEN abs(a.av - bb.av) >= 1.0 ELSE (a.av IS NULL) <> (bb.av IS NULL) END
+        OR CASE WHEN a.mx IS NOT NULL AND bb.mx IS NOT NULL THEN abs(a.mx - bb.mx) >= 1.0 ELSE (a.mx IS NULL) <> (bb.mx IS NULL) END)
+        AS differing_events
+      FROM a FULL OUTER JOIN bb ON a.event = bb.event)
+SELECT max(CASE WHEN app_session_id = '{RUN_A}' THEN n END) AS events_a,
+       max(CASE WHEN app_session_id = '{RUN_B}' THEN n END) AS events_b,
+       max(CASE WHEN app_session_id = '{RUN_A}' THEN e END) AS errors_a,
+       max(CASE WHEN app_session_id = '{RUN_B}' THEN e END) AS errors_b,
+       max(CASE WHEN app_session_id = '{RUN_A}' THEN el END) AS elapsed_ms_a,
+       max(CASE WHEN app_session_id = '{RUN_B}' THEN el END) AS elapsed_ms_b,
+       (SELECT differing_events FROM d) AS differing_events
+FROM s
+""")
+def q_run_comparison_totals(spark, sf_dir):
+    """Totals of two runs and the number of differing event types."""
+    return SE.run_comparison_totals(T.load_events(spark, sf_dir), RUN_A, RUN_B)
+
+
+_REL_TEXT_SQL = """CASE WHEN abs(r) < 60000 THEN (CASE WHEN r < 0 THEN '-' ELSE '+' END) || printf('%.3fs', abs(r) / 1000.0)
+  WHEN abs(r) < 3600000 THEN (CASE WHEN r < 0 THEN '-' ELSE '+' END) || CAST(abs(r) // 60000 AS VARCHAR) || 'm '
+       || printf('%.3fs', (abs(r) % 60000) / 1000.0)
+  ELSE (CASE WHEN r < 0 THEN '-' ELSE '+' END) || CAST(abs(r) // 3600000 AS VARCHAR) || 'h '
+       || lpad(CAST((abs(r) % 3600000) // 60000 AS VARCHAR), 2, '0') || 'm' END"""
+
+
+@register("relative_time", EV + f""",
+st AS (SELECT *, (epoch_us("timestamp") - epoch_us(min("timestamp") OVER (PARTITION BY app_session_id))) // 1000 AS r
+       FROM ev)
+SELECT event_id, r AS relative_ms, {_REL_TEXT_SQL} AS relative_text FROM st WHERE level IN ('warn', 'error')
+""")
+def q_relative_time(spark, sf_dir):
+    """Offsets from the run start (start taken from all rows, view filtered)."""
+    ev = T.load_events(spark, sf_dir)
+    view = FI.apply_filter(ev, FI.FilterState(minimum_level="warn"))
+    return SE.with_relative_time(view, ev).select("event_id", "relative_ms", "relative_text")
+
+
+# ---------------------------------------------------------------- repeats P9 P10 A8 W1
+_RK_SQL = f"""source, subsystem, event, coalesce(error_kind, '') AS rk_error_kind, {O.shape_sql('message')} AS rk_message,
+  {O.shape_sql("coalesce(CASE WHEN json_type(fields, '$.stack') = 'VARCHAR' THEN json_extract_string(fields, '$.stack') END, "
+               "CASE WHEN json_type(fields, '$.stack_trace') = 'VARCHAR' THEN json_extract_string(fields, '$.stack_trace') END, "
+               "CASE WHEN json_type(fields, '$.error_stack') = 'VARCHAR' THEN json_extract_string(fields, '$.error_stack') END, '')")} AS rk_stack"""
+_RK_COLS = "source, subsystem, event, rk_error_kind, rk_message, rk_stack"
+
+
+def _repeat_groups_sql(base: str) -> str:
+    return base + f""",
+k AS (SELECT event_id, "timestamp", {_RK_SQL} FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY {_RK_COLS} ORDER BY event_id DESC) AS rn FROM k)
+SELECT {_RK_COLS}, count(*) AS repeat_count, min(event_id) AS first_event_id,
+  max(event_id) AS latest_event_id, max(CASE WHEN rn = 2 THEN event_id END) AS previous_event_id
+FROM r GROUP BY {_RK_COLS}
+"""
+
+
+@register("repeat_groups", _repeat_groups_sql(EV.rstrip()))
+def q_repeat_groups(spark, sf_dir):
+    """A8 (P9 shapes, P10 keys): global repeat groups with first / previous / latest ids."""
+    return RP.repeat_groups(T.load_events(spark, sf_dir)).select(
+        *C.REPEAT_KEY_COLUMNS, "repeat_count", "first_event_id", "latest_event_id", "previous_event_id")
+
+
+@register("repeat_groups_documents", _repeat_groups_sql(DOC.rstrip()))
+def q_repeat_groups_documents(spark, sf_dir):
+    """A8 over whole document texts: exact and near copies collapse by shape."""
+    return RP.repeat_groups(T.load_documents(spark, sf_dir)).select(
+        *C.REPEAT_KEY_COLUMNS, "repeat_count", "first_event_id", "latest_event_id", "previous_event_id")
+
+
+_TS_TEXT_SQL = "strftime({c}, '%Y-%m-%d %H:%M:%S.%g') || ' +00:00'"
+
+
+@register("repeat_representatives", EV + f""",
+k AS (SELECT event_id, "timestamp", {_RK_SQL} FROM ev WHERE level IN ('warn', 'error', 'fatal')),
+r AS (SELECT *, row_number() OVER (PARTITION BY {_RK_COLS} ORDER BY event_id DESC) AS rn,
+        count(*) OVER (PARTITION BY {_RK_COLS}) AS n,
+        first_value("timestamp") OVER (PARTITION BY {_RK_COLS} ORDER BY event_id) AS first_ts,
+        lead("timestamp") OVER (PARTITION BY {_RK_COLS} ORDER BY event_id DESC) AS prev_ts FROM k)
+SELECT event_id, n AS repeat_count,
+  CASE WHEN n > 1 THEN 'Repeated ' || CAST(n AS VARCHAR) || ' times · first ' || {_TS_TEXT_SQL.format(c='first_ts')}
+       || ' · last ' || coalesce({_TS_TEXT_SQL.format(c='prev_ts')}, 'unknown') END AS repeat_summary
+FROM r WHERE rn = 1
+""")
+def q_repeat_representatives(spark, sf_dir):
+    """Newest row per repeat key of a filtered view, with its summary text."""
+    view = FI.apply_filter(T.load_events(spark, sf_dir), FI.FilterState(minimum_level="warn"))
+    return RP.repeat_representatives(view).select("event_id", "repeat_count", "repeat_summary")
+
+
+# ---------------------------------------------------------------- navigation W2 O1 O3 O6
+@register("next_error", EV + """,
+x AS (SELECT *, CASE WHEN level IN ('error', 'fatal') THEN event_id END AS e FROM ev)
+SELECT event_id,
+  coalesce(min(e) OVER (PARTITION BY app_session_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+           min(e) OVER (PARTITION BY app_session_id)) AS next_error_id,
+  coalesce(max(e) OVER (PARTITION BY app_session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           max(e) OVER (PARTITION BY app_session_id)) AS previous_error_id
+FROM x
+""")
+def q_next_error(spark, sf_dir):
+    """Nearest next / previous error per row within its run, wrapping round the ends."""
+    # block size only sets how rows are cut for the window; results do not depend on it
+    return NV.error_neighbours(T.load_events(spark, sf_dir), block_size=256).select(
+        "event_id", "next_error_id", "previous_error_id")
+
+
+@register("keep_latest", EV + """
+SELECT event_id, level FROM ev ORDER BY event_id DESC LIMIT 500
+""")
+def q_keep_latest(spark, sf_dir):
+    """O1 + O3: the newest 500 rows by ingestion (a bounded latest-N view)."""
+    return NV.keep_latest(T.load_events(spark, sf_dir), 500).select("event_id", "level")
+
+
+@register("retention_report", EV + """
+SELECT least(count(*), 500) AS retained, greatest(count(*) - 500, 0) AS discarded FROM ev
+""")
+def q_retention_report(spark, sf_dir):
+    """O1: rows kept and discarded by a latest-500 window."""
+    return NV.retention_report(T.load_events(spark, sf_dir), 500)
+
+
+@register("latest_visible", EV + """
+SELECT max(event_id) AS latest_event_id FROM ev WHERE level = 'error' AND source = 'src2'
+""")
+def q_latest_visible(spark, sf_dir):
+    """Newest row passing a filter."""
+    state = FI.FilterState(facets={"level": {"include": ["error"]}, "source": {"include": ["src2"]}})
+    return NV.latest_visible(T.load_events(spark, sf_dir), FI.filter_column(state))
