@@ -481,3 +481,82 @@ def q_latest_visible(spark, sf_dir):
     """Newest row passing a filter."""
     state = FI.FilterState(facets={"level": {"include": ["error"]}, "source": {"include": ["src2"]}})
     return NV.latest_visible(T.load_events(spark, sf_dir), FI.filter_column(state))
+
+
+# ---------------------------------------------------------------- export / pins K1 P19 J3 W3 K2
+from logspark.operators import pins as PN  # noqa: E402
+from logspark.sources import export as EX  # noqa: E402
+
+
+@register("export_events", EV + f"""
+SELECT event_id, {O.export_line_sql()} AS line FROM ev WHERE level IN ('warn', 'error')
+""")
+def q_export_events(spark, sf_dir):
+    """K1: normalised JSONL lines of a filtered view (declared key order, epoch-ms time)."""
+    view = FI.apply_filter(T.load_events(spark, sf_dir), FI.FilterState(minimum_level="warn"))
+    return EX.with_export_line(view).select("event_id", "line")
+
+
+@register("export_documents", DOC + f"""
+SELECT event_id, {O.export_line_sql()} AS line FROM ev
+""")
+def q_export_documents(spark, sf_dir):
+    """K1 over whole document texts (escaping of quotes, new lines and non-ASCII text)."""
+    return EX.with_export_line(T.load_documents(spark, sf_dir)).select("event_id", "line")
+
+
+@register("event_fingerprint", EV + f"""
+SELECT event_id, {O.fingerprint_sql()} AS fingerprint FROM ev
+""")
+def q_event_fingerprint(spark, sf_dir):
+    """Content key of every event."""
+    return T.load_events(spark, sf_dir).select("event_id", EX.event_fingerprint().alias("fingerprint"))
+
+
+_PINS_SQL = DOC.rstrip() + f""",
+snap AS (SELECT ev.* REPLACE (CASE WHEN l.toxic = 1 THEN 'warn' ELSE ev.level END AS level), l.quality, l.toxic
+         FROM ev JOIN labels l ON l.doc_id = ev.event_id),
+pins AS (SELECT {O.fingerprint_sql('snap')} AS pin_key,
+           'quality=' || CAST(quality AS VARCHAR) || ' toxic=' || CAST(toxic AS VARCHAR) AS note FROM snap),
+keyed AS (SELECT {O.fingerprint_sql('ev')} AS pin_key, event_id, "timestamp" FROM ev),
+located AS (SELECT p.pin_key, p.note, min(k.event_id) AS matched_event_id,
+              arg_min(k."timestamp", k.event_id) AS pin_ts
+            FROM pins p LEFT JOIN keyed k ON k.pin_key = p.pin_key GROUP BY p.pin_key, p.note)
+"""
+
+
+@register("locate_pins", _PINS_SQL + """
+SELECT pin_key, note, matched_event_id, matched_event_id IS NOT NULL AS retained FROM located
+""")
+def q_locate_pins(spark, sf_dir):
+    """Pinned snapshots found again among all events; lost pins flagged."""
+    pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
+    return PN.locate_pins(pins, T.load_documents(spark, sf_dir)).select(
+        "pin_key", "note", "matched_event_id", "retained")
+
+
+@register("pin_strip", _PINS_SQL + f""",
+r AS (SELECT * FROM located WHERE matched_event_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER w AS position,
+        (epoch_us(pin_ts) - epoch_us(lag(pin_ts) OVER w)) // 1000 AS delta_ms,
+        (epoch_us(max(pin_ts) OVER ()) - epoch_us(min(pin_ts) OVER ())) // 1000 AS span_ms,
+        coalesce(lead(pin_key) OVER w, first_value(pin_key) OVER w2) AS next_pin,
+        coalesce(lag(pin_key) OVER w, last_value(pin_key) OVER w2) AS previous_pin
+      FROM r WINDOW w AS (ORDER BY pin_ts, matched_event_id),
+                    w2 AS (ORDER BY pin_ts, matched_event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT pin_key, position, delta_ms, span_ms, next_pin, previous_pin FROM o
+""")
+def q_pin_strip(spark, sf_dir):
+    """Retained pins by time with deltas, span and wrapped neighbours."""
+    pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
+    located = PN.locate_pins(pins, T.load_documents(spark, sf_dir))
+    return PN.pin_strip(located).select("pin_key", "position", "delta_ms", "span_ms", "next_pin", "previous_pin")
+
+
+@register("lost_pins", _PINS_SQL + """
+SELECT pin_key, note FROM located WHERE matched_event_id IS NULL
+""")
+def q_lost_pins(spark, sf_dir):
+    """Pins whose event is no longer retained (anti join)."""
+    pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
+    return PN.lost_pins(pins, T.load_documents(spark, sf_dir))

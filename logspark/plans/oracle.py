@@ -32,12 +32,11 @@ ev AS (
     CASE WHEN event_type <> 'signup' THEN value END AS duration_ms,
     CASE event_type WHEN 'purchase' THEN '"completed"' WHEN 'error' THEN '"failed"' WHEN 'view' THEN '200'
                     WHEN 'click' THEN '{"code": 1}' END AS status,
-    '{"k": ' || CAST(k AS VARCHAR) || ', "user": "u' || CAST(user_id AS VARCHAR) || '", "paid": '
+    '{' || CASE WHEN event_type = 'signup' AND k < 5 THEN '"count": ' || CAST(k + 1 AS VARCHAR) || ', ' ELSE '' END
+        || '"k": ' || CAST(k AS VARCHAR) || ', "paid": '
         || CASE WHEN event_type = 'purchase' THEN 'true' ELSE 'false' END
-        || CASE WHEN event_type = 'error' THEN ', "stack": "at handler line ' || CAST(k AS VARCHAR) || '"'
-                WHEN event_type = 'signup' AND k < 5 THEN ', "count": ' || CAST(k + 1 AS VARCHAR)
-                ELSE '' END
-        || '}' AS fields,
+        || CASE WHEN event_type = 'error' THEN ', "stack": "at handler line ' || CAST(k AS VARCHAR) || '"' ELSE '' END
+        || ', "user": "u' || CAST(user_id AS VARCHAR) || '"}' AS fields,
     k AS _k
   FROM ev_k
 )"""
@@ -104,3 +103,25 @@ def shape_sql(col: str) -> str:
 def with_ctes(base: str, *more: str) -> str:
     parts = [base.strip()] + [m.strip() for m in more]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def export_line_sql(t: str = "") -> str:
+    """The normalised export line of an event row (columns of alias ``t``)."""
+    p = f"{t}." if t else ""
+    def js(c):
+        return f"to_json({p}{c})"
+    def opt(c):
+        return f"coalesce(',\"{c}\":' || {js(c)}, '')"
+    return ("'{\"schema_version\":' || CAST(" + p + "schema_version AS VARCHAR) || ',\"timestamp\":' || "
+            f"CAST(epoch_us({p}\"timestamp\") // 1000 AS VARCHAR) || ',\"level\":' || {js('level')} || "
+            f"',\"source\":' || {js('source')} || ',\"subsystem\":' || {js('subsystem')} || {opt('target')} || "
+            f"',\"event\":' || {js('event')} || ',\"message\":' || {js('message')} || "
+            f"',\"app_session_id\":' || {js('app_session_id')} || {opt('playback_session_id')} || "
+            f"{opt('request_id')} || {opt('session_id')} || {opt('provider')} || "
+            f"coalesce(',\"duration_ms\":' || CAST({p}duration_ms AS VARCHAR), '') || {opt('error_kind')} || "
+            f"coalesce(',\"status\":' || CAST(json({p}status) AS VARCHAR), '') || "
+            f"CASE WHEN CAST(json({p}fields) AS VARCHAR) <> '{{}}' THEN ',\"fields\":' || CAST(json({p}fields) AS VARCHAR) ELSE '' END || '}}'")
+
+
+def fingerprint_sql(t: str = "") -> str:
+    return f"substr(sha256({export_line_sql(t)}), 1, 16)"

@@ -31,13 +31,16 @@ def events_frame(events: DataFrame, keep=()) -> DataFrame:
     event = F.when((et == "signup") & (k < 5), "logger.events_dropped").otherwise(F.concat(F.lit("user."), et))
     message = F.concat(F.lit("["), F.initcap(et), F.lit("][Local] value "),
                        F.format_string("%.2f", F.col("value")), F.lit(" for user "), uid)
+    # keys written in sorted order (count, k, paid, stack, user)
     fields = F.concat(
-        F.lit('{"k": '), k.cast("string"), F.lit(', "user": "u'), uid, F.lit('", "paid": '),
+        F.lit("{"),
+        F.when((et == "signup") & (k < 5), F.concat(F.lit('"count": '), (k + 1).cast("string"), F.lit(", ")))
+         .otherwise(F.lit("")),
+        F.lit('"k": '), k.cast("string"), F.lit(', "paid": '),
         F.when(et == "purchase", "true").otherwise("false"),
         F.when(et == "error", F.concat(F.lit(', "stack": "at handler line '), k.cast("string"), F.lit('"')))
-         .when((et == "signup") & (k < 5), F.concat(F.lit(', "count": '), (k + 1).cast("string")))
          .otherwise(F.lit("")),
-        F.lit("}"))
+        F.lit(', "user": "u'), uid, F.lit('"}'))
     return events.select(
         F.col("event_id").cast("bigint").alias("event_id"),
         F.lit(1).alias("schema_version"),
@@ -178,3 +181,19 @@ def event_lines(events: DataFrame) -> DataFrame:
             .otherwise(body))
     return fr.select(F.concat(F.col("source"), F.lit(".jsonl")).alias("file_name"),
                      F.col("event_id"), line.alias("value"))
+
+
+def pins_from_labels(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stand-in pin table: one pin per labelled document, the note from its labels.
+
+    A pin stores the snapshot of the event it was taken from; for documents labelled toxic
+    the snapshot was taken at level ``warn``, so no loaded event carries that content.
+    """
+    from logspark.sources.export import event_fingerprint
+
+    docs = documents_frame(documents)
+    snap = docs.join(labels.withColumnRenamed("doc_id", "event_id"), "event_id")
+    snap = snap.withColumn("level", F.when(F.col("toxic") == 1, F.lit("warn")).otherwise(F.col("level")))
+    return snap.select(event_fingerprint().alias("pin_key"),
+                       F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="),
+                                F.col("toxic").cast("string")).alias("note"))
