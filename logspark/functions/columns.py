@@ -150,12 +150,19 @@ def field_kind(name: str, fields="fields") -> Column:
 
 # ---------------------------------------------------------------- P8 search document
 def search_document() -> Column:
-    """ASCII-lower-cased text searched by F7/F8 (message first, then the envelope)."""
-    entries = F.transform(field_entries("fields"), lambda e: F.concat_ws(" ", e["key"], e["json"]))
+    """ASCII-lower-cased text searched by F7/F8: message, event, subsystem, source,
+    correlation, the optional target / provider / error kind, then the status and fields
+    JSON.
+
+    Search terms are alphanumeric runs and a term can only match inside one alphanumeric
+    run of the document, so the document is defined by its runs, not by separators or
+    key order: the raw JSON text of ``status`` and ``fields`` carries exactly the runs of
+    their ``key value`` rendering and needs no JSON parse.
+    """
     doc = F.concat_ws(
         " ", F.lit(""), F.col("message"), F.col("event"), F.col("subsystem"), F.col("source"),
         correlation(), F.col("target"), F.col("provider"), F.col("error_kind"), F.col("status"),
-        F.when(F.size(entries) > 0, F.array_join(entries, " ")))
+        F.when(F.col("fields") != "{}", F.col("fields")))
     return ascii_lower(doc)
 
 

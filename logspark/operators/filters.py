@@ -268,30 +268,43 @@ def _latin1(col: Column) -> Column:
     return F.decode(F.encode(col, "UTF-8"), "ISO-8859-1")
 
 
-def term_column(document: Column, term: str, fuzzy: bool = True) -> Column:
-    """Term hits if a substring of the document, else (fuzzy) a word within 1 or 2 edits."""
-    exact = F.contains(document, F.lit(term))
+def _term_check(doc: Column, words: Column, term: str, fuzzy: bool) -> Column:
+    exact = F.contains(doc, F.lit(term))
     n = len(term.encode("utf-8"))
     if not fuzzy or n < 4 or n > 64:
         return exact
     k = 2 if n >= 8 else 1
-    t = _latin1(F.lit(term))
-    words = F.split(document, C.NON_WORD_RUN)
-    near = F.exists(words, lambda w: (F.octet_length(w) > 0) & (F.octet_length(w) <= 64)
-                    & (F.abs(F.octet_length(w) - n) <= k)
+    t = F.lit(term.encode("utf-8").decode("latin-1"))
+    near = F.exists(words, lambda w: (F.abs(F.octet_length(w) - n) <= k) & (F.octet_length(w) <= 64)
                     & (F.levenshtein(_latin1(w), t, k) >= 0))
     return exact | near
 
 
+def term_column(document: Column, term: str, fuzzy: bool = True) -> Column:
+    """Term hits if a substring of the document, else (fuzzy) a word within 1 or 2 edits."""
+    return search_terms_column(document, [term], fuzzy)
+
+
+def search_terms_column(document: Column, terms: list[str], fuzzy: bool = True) -> Column:
+    """AND over terms: each is an exact substring test, else (fuzzy) an edit-distance test
+    over the document's words. Plain column expressions, so the exact tests stay in
+    generated code and the word scan runs only for rows the substring test missed."""
+    if not terms:
+        return F.lit(True)
+    words = F.split(document, C.NON_WORD_RUN)
+    cond = None
+    for term in terms:
+        c = _term_check(document, words, term, fuzzy)
+        cond = c if cond is None else cond & c
+    return cond
+
+
 def search_column(text: str, fuzzy: bool = True, document: Column | None = None) -> Column:
     terms = search_terms(text)
     if not terms:
         return F.lit(True)
     doc = C.search_document() if document is None else document
-    cond = F.lit(True)
-    for term in terms:
-        cond = cond & term_column(doc, term, fuzzy)
-    return cond
+    return search_terms_column(doc, terms, fuzzy)
 
 
 def search(df: DataFrame, text: str, fuzzy: bool = True) -> DataFrame:

@@ -226,7 +226,7 @@ def q_search_events(spark, sf_dir):
     return FI.search(T.load_events(spark, sf_dir), "Purchase REQ-, u1").select("event_id")
 
 
-_FUZZY_TEXT = "Thorough thionen, quality!"
+_FUZZY_TEXT = "Orantoin, thanedbel nichts!"
 
 
 @register("fuzzy_search_documents", _doc_sql("WITH " + O.DOC_BASE.strip()) + f"""

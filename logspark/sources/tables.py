@@ -11,12 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.schema import EVENT_COLUMNS
+from logspark.session import shared_dir
 
 BASE_EPOCH_SECONDS = 1704067200  # 2024-01-01T00:00:00Z, anchor for tables without time
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work every core when a scan is coarser than the cluster.
+
+    Large inputs already scan as many more splits than cores and are returned as they are
+    (no shuffle); a scan of fewer splits than the default parallelism (a small file read
+    as one split) is dealt round-robin across it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        # A plain repartition would not help: Catalyst pushes filters below it, back onto
+        # the single scan split. A reliable checkpoint (in the shared checkpoint folder)
+        # is a plan boundary, so the per-row work above it runs on every core.
+        shared_dir(df.sparkSession)
+        return df.repartition(cores).checkpoint(eager=True)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def events_frame(events: DataFrame, keep=()) -> DataFrame:
