@@ -560,3 +560,70 @@ def q_lost_pins(spark, sf_dir):
     """Pins whose event is no longer retained (anti join)."""
     pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
     return PN.lost_pins(pins, T.load_documents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ingest S2 S3 S4 S5 O2
+from logspark.sources import jsonl as JL  # noqa: E402
+
+LINES = EV.rstrip() + "," + O.LINES_CTE
+
+
+def _lines(spark, sf_dir):
+    return T.numbered_event_lines(T.table(spark, sf_dir, "events"))
+
+
+@register("validate_events", LINES + """
+SELECT file_name, line_number, row_number() OVER (ORDER BY file_name, line_number) - 1 AS event_id,
+  CASE WHEN json_type(jv, '$.timestamp') = 'VARCHAR'
+       THEN epoch_us(CAST(json_extract_string(jv, '$.timestamp') AS TIMESTAMPTZ)) // 1000
+       ELSE CAST(json_extract(jv, '$.timestamp') AS BIGINT) END AS timestamp_ms,
+  json_extract_string(jv, '$.level') AS level, json_extract_string(jv, '$.source') AS source,
+  json_extract_string(jv, '$.app_session_id') AS app_session_id,
+  json_extract_string(jv, '$.request_id') AS request_id,
+  CAST(json_extract(jv, '$.duration_ms') AS DOUBLE) AS duration_ms
+FROM parsed WHERE reason IS NULL
+""")
+def q_validate_events(spark, sf_dir):
+    """S2 + O2: strict decode of JSONL lines into events numbered in (file, line) order."""
+    ev = JL.validate_events(_lines(spark, sf_dir))
+    return ev.select("file_name", "line_number", "event_id", F.unix_millis("timestamp").alias("timestamp_ms"),
+                     "level", "source", "app_session_id", "request_id", "duration_ms")
+
+
+@register("rejected_records", LINES + """
+SELECT file_name, line_number, reason FROM parsed WHERE reason IS NOT NULL
+""")
+def q_rejected_records(spark, sf_dir):
+    """S3: every invalid line with its file, line number and reason."""
+    return JL.rejected_records(_lines(spark, sf_dir))
+
+
+@register("ingest_report", LINES + """
+SELECT file_name, sum(strlen(value) + 1) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS invalid,
+  arg_max(reason, line_number) FILTER (WHERE reason IS NOT NULL) AS last_error
+FROM parsed GROUP BY file_name
+""")
+def q_ingest_report(spark, sf_dir):
+    """Bytes, valid / invalid counts and last error per source file."""
+    return JL.ingest_report(_lines(spark, sf_dir))
+
+
+EXPECTED_SOURCES = ["src0.jsonl", "src1.jsonl", "src2.jsonl", "src3.jsonl"]
+
+
+@register("source_health", LINES + f""",
+rep AS (SELECT file_name, count(*) FILTER (WHERE reason IS NULL) AS valid,
+          count(*) FILTER (WHERE reason IS NOT NULL) AS invalid,
+          arg_max(reason, line_number) FILTER (WHERE reason IS NOT NULL) AS last_error
+        FROM parsed GROUP BY file_name),
+exp AS (SELECT unnest({EXPECTED_SOURCES!r}) AS file_name)
+SELECT coalesce(exp.file_name, rep.file_name) AS file_name,
+  CASE WHEN rep.file_name IS NULL THEN 'missing' WHEN rep.invalid > 0 THEN 'parse errors' ELSE 'healthy' END AS state,
+  CASE WHEN rep.file_name IS NULL THEN true WHEN rep.invalid > 0 THEN true ELSE false END AS problem,
+  coalesce(rep.valid, 0) AS valid, coalesce(rep.invalid, 0) AS invalid, rep.last_error
+FROM exp FULL OUTER JOIN rep ON exp.file_name = rep.file_name
+""")
+def q_source_health(spark, sf_dir):
+    """Expected sources with state (healthy / parse errors / missing)."""
+    return JL.source_health(JL.ingest_report(_lines(spark, sf_dir)), EXPECTED_SOURCES)

@@ -125,3 +125,87 @@ def export_line_sql(t: str = "") -> str:
 
 def fingerprint_sql(t: str = "") -> str:
     return f"substr(sha256({export_line_sql(t)}), 1, 16)"
+
+
+# Stand-in JSONL lines (same text as tables.event_lines) with per-file line numbers.
+LINES_CTE = """
+lines0 AS (
+  SELECT source || '.jsonl' AS file_name, event_id,
+    '{"schema_version": ' || CASE WHEN _k = 2 THEN '2' ELSE '1' END
+    || ', "timestamp": ' || CASE WHEN _k >= 10 AND _k < 30 THEN '"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || 'Z"'
+                               ELSE CAST(epoch_us("timestamp") // 1000 AS VARCHAR) END
+    || CASE WHEN _k = 1 THEN '' ELSE ', "level": ' || to_json(level) END
+    || ', "source": ' || CASE WHEN _k = 4 THEN '""' ELSE to_json(source) END
+    || ', "subsystem": ' || to_json(subsystem)
+    || coalesce(', "target": ' || to_json(target), '')
+    || ', "event": ' || to_json(event) || ', "message": ' || to_json(message)
+    || ', "app_session_id": ' || to_json(app_session_id)
+    || coalesce(', "playback_session_id": ' || to_json(playback_session_id), '')
+    || coalesce(', "request_id": ' || CASE WHEN _k = 3 THEN 'true' ELSE to_json(request_id) END, '')
+    || coalesce(', "session_id": ' || to_json(session_id), '')
+    || coalesce(', "provider": ' || to_json(provider), '')
+    || coalesce(', "duration_ms": ' || CASE WHEN _k = 5 THEN '-1.5' ELSE CAST(duration_ms AS VARCHAR) END, '')
+    || coalesce(', "error_kind": ' || to_json(error_kind), '')
+    || coalesce(', "status": ' || status, '')
+    || ', "fields": ' || fields || ', "correlation_id": "x"}' AS body, _k
+  FROM ev),
+lines AS (
+  SELECT file_name, event_id,
+    row_number() OVER (PARTITION BY file_name ORDER BY event_id) AS line_number,
+    CASE WHEN _k = 0 THEN substr(body, 1, 40) WHEN _k = 6 THEN body || ' trailing' ELSE body END AS value
+  FROM lines0),
+jt AS (
+  SELECT *, json_valid(value) AS ok,
+    json_type(jv) AS t_obj,
+    json_type(jv, '$.schema_version') AS t_ver,
+    json_type(jv, '$.timestamp') AS t_ts,
+    json_type(jv, '$.level') AS t_level,
+    json_type(jv, '$.source') AS t_source,
+    json_type(jv, '$.subsystem') AS t_sub,
+    json_type(jv, '$.target') AS t_target,
+    json_type(jv, '$.event') AS t_event,
+    json_type(jv, '$.message') AS t_msg,
+    json_type(jv, '$.app_session_id') AS t_app,
+    json_type(jv, '$.playback_session_id') AS t_pb,
+    json_type(jv, '$.request_id') AS t_req,
+    json_type(jv, '$.session_id') AS t_sess,
+    json_type(jv, '$.provider') AS t_prov,
+    json_type(jv, '$.duration_ms') AS t_dur,
+    json_type(jv, '$.error_kind') AS t_ek,
+    json_type(jv, '$.fields') AS t_fields
+  FROM (SELECT *, CASE WHEN json_valid(value) THEN value END AS jv FROM lines) l),
+parsed AS (
+  SELECT *,
+    CASE
+      WHEN NOT ok THEN 'invalid JSON'
+      WHEN t_obj <> 'OBJECT' THEN 'not a JSON object'
+      WHEN t_ver IS NULL THEN 'missing field schema_version'
+      WHEN t_ver NOT IN ('BIGINT', 'UBIGINT') OR CAST(json_extract(jv, '$.schema_version') AS VARCHAR) <> '1' THEN 'unsupported schema_version'
+      WHEN t_ts IS NULL THEN 'missing field timestamp'
+      WHEN NOT ((t_ts IN ('BIGINT', 'UBIGINT')) OR (t_ts = 'VARCHAR' AND regexp_matches(json_extract_string(jv, '$.timestamp'),
+            '^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$')))
+        THEN 'timestamp: expected Unix milliseconds or an RFC 3339 timestamp'
+      WHEN t_level IS NULL THEN 'missing field level'
+      WHEN t_level <> 'VARCHAR' OR json_extract_string(jv, '$.level') NOT IN ('trace','debug','info','warn','error','fatal') THEN 'level: unknown level'
+      WHEN t_source IS NULL THEN 'missing field source'
+      WHEN t_source <> 'VARCHAR' OR json_extract_string(jv, '$.source') = '' THEN 'source: expected a non-empty string'
+      WHEN t_sub IS NULL THEN 'missing field subsystem'
+      WHEN t_sub <> 'VARCHAR' OR json_extract_string(jv, '$.subsystem') = '' THEN 'subsystem: expected a non-empty string'
+      WHEN t_target IS NOT NULL AND t_target NOT IN ('NULL', 'VARCHAR') THEN 'target: expected a string'
+      WHEN t_event IS NULL THEN 'missing field event'
+      WHEN t_event <> 'VARCHAR' OR json_extract_string(jv, '$.event') = '' THEN 'event: expected a non-empty string'
+      WHEN t_msg IS NULL THEN 'missing field message'
+      WHEN t_msg <> 'VARCHAR' THEN 'message: expected a string'
+      WHEN t_app IS NULL THEN 'missing field app_session_id'
+      WHEN t_app NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') OR json_extract_string(jv, '$.app_session_id') = ''
+        THEN 'app_session_id: expected a non-empty string or number identifier'
+      WHEN t_pb IS NOT NULL AND t_pb NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'playback_session_id: expected a string, number, or null identifier'
+      WHEN t_req IS NOT NULL AND t_req NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'request_id: expected a string, number, or null identifier'
+      WHEN t_sess IS NOT NULL AND t_sess NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'session_id: expected a string, number, or null identifier'
+      WHEN t_prov IS NOT NULL AND t_prov NOT IN ('NULL', 'VARCHAR') THEN 'provider: expected a string'
+      WHEN t_dur IS NOT NULL AND t_dur <> 'NULL' AND (t_dur NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+           OR CAST(json_extract(jv, '$.duration_ms') AS DOUBLE) < 0) THEN 'duration_ms: expected a non-negative finite number'
+      WHEN t_ek IS NOT NULL AND t_ek NOT IN ('NULL', 'VARCHAR') THEN 'error_kind: expected a string'
+      WHEN t_fields IS NOT NULL AND t_fields <> 'OBJECT' THEN 'fields: expected an object'
+    END AS reason
+  FROM jt)"""

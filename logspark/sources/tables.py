@@ -161,7 +161,8 @@ DEFECTS = {
 
 def _jstr(col) -> F.Column:
     """JSON string literal of a column (quoted and escaped)."""
-    return F.to_json(F.array(col)).substr(F.lit(2), F.length(F.to_json(F.array(col))) - 2)
+    quoted = F.to_json(F.array(col))
+    return F.when(col.isNotNull(), quoted.substr(F.lit(2), F.length(quoted) - 2))
 
 
 def event_lines(events: DataFrame) -> DataFrame:
@@ -215,3 +216,10 @@ def pins_from_labels(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return snap.select(event_fingerprint().alias("pin_key"),
                        F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="),
                                 F.col("toxic").cast("string")).alias("note"))
+
+
+def numbered_event_lines(events: DataFrame) -> DataFrame:
+    """Stand-in JSONL lines with their per-file physical line numbers (file order = event order)."""
+    from logspark.sources.jsonl import with_row_numbers
+
+    return with_row_numbers(event_lines(events), ["event_id"], name="line_number", within=["file_name"], start=1)
