@@ -17,6 +17,10 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Generated code for wide event rows can exceed HotSpot's 8 KB "huge method" cut-off,
+    # which would leave it un-JIT-compiled; let the JIT compile it.
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.ui.showConsoleProgress": "false",
 }
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
 from logspark.schema import EVENT_COLUMNS, LEVELS
+from logspark.session import shared_dir
 
 _JSONL_NAME = re.compile(r"\.jsonl$|\.jsonl\.", re.IGNORECASE)
 
@@ -75,13 +76,16 @@ def with_row_numbers(df: DataFrame, order_cols: list[str], name: str = "event_id
 
     Range partitioning spreads even one huge group over many tasks; each task numbers its
     rows locally and a small per-(task, group) count table supplies the offsets. The order
-    keys must be unique so the numbering is the same if a task is recomputed.
+    keys must be unique (ties would be numbered in an arbitrary order).
     """
     within = list(within or [])
     keys = [*within, *order_cols]
+    shared_dir(df.sparkSession)
+    # one reliable checkpoint: the input is evaluated once, and the per-task positions
+    # stay the same however often the two branches below (or a lost task) re-read them
     ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+                .checkpoint(eager=True))
     counts = ranged.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -128,21 +132,52 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
               "app_session_id", "playback_session_id", "request_id", "session_id", "provider",
               "duration_ms", "error_kind"]
     df = df.withColumns({f"_v_{name}": field(name) for name in scalar + ["status", "fields"]})
-    df = df.withColumns({f"_k_{name}": _vtype(F.col(f"_v_{name}")) for name in scalar})
+    df = df.withColumns({f"_t_{name}": F.schema_of_variant(F.col(f"_v_{name}")) for name in scalar})
+    texts = ["timestamp", "level", "source", "subsystem", "target", "event", "message", "app_session_id",
+             "playback_session_id", "request_id", "session_id", "provider", "error_kind"]
+    df = df.withColumns({f"_s_{name}": F.variant_get(F.col(f"_v_{name}"), "$", "string") for name in texts})
     v = {name: F.col(f"_v_{name}") for name in scalar + ["status", "fields"]}
-    k = {name: F.col(f"_k_{name}") for name in scalar}
+    t = {name: F.col(f"_t_{name}") for name in scalar}
+
+    class _Kind:
+        def __init__(self, name):
+            self.v, self.t = v[name], t[name]
+
+        def isin(self, *kinds):
+            cond = F.lit(False)
+            for kind in kinds:
+                cond = cond | (self == kind)
+            return cond
+
+        def __eq__(self, kind):
+            if kind == "missing":
+                return self.v.isNull()
+            if kind == "null":
+                return self.t == "VOID"
+            if kind == "string":
+                return self.t == "STRING"
+            if kind == "number":
+                return self.t.isin(*_NUMBER_TYPES) | self.t.startswith("DECIMAL")
+            raise ValueError(kind)
+
+        def __ne__(self, kind):
+            return ~(self == kind)
+
+    k = {name: _Kind(name) for name in scalar}
 
     def text(name):
-        return F.variant_get(v[name], "$", "string")
+        return F.col(f"_s_{name}")
 
-    integer = F.schema_of_variant(v["timestamp"]).isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+    integer = t["timestamp"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
     ts_from_ms = F.timestamp_millis(F.when(integer, F.variant_get(v["timestamp"], "$", "long")))
     ts_text = text("timestamp")
     ts_from_text = F.when(ts_text.rlike(_RFC3339), F.try_to_timestamp(
         F.regexp_replace(F.regexp_replace(ts_text, "[Tt ]", "T"), "[zZ]$", "+00:00")))
-    timestamp = F.when(k["timestamp"] == "number", ts_from_ms).when(k["timestamp"] == "string", ts_from_text)
+    df = df.withColumn("_ts", F.when(k["timestamp"] == "number", ts_from_ms)
+                       .when(k["timestamp"] == "string", ts_from_text))
+    timestamp = F.col("_ts")
     dur = F.variant_get(v["duration_ms"], "$", "double")
-    version_ok = (F.schema_of_variant(v["schema_version"]).isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+    version_ok = (t["schema_version"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
                   & (F.variant_get(v["schema_version"], "$", "long") == 1))
     fields_json = F.to_json(v["fields"])
     status_json = F.when(v["status"].isNotNull() & ~F.is_variant_null(v["status"]), F.to_json(v["status"]))
@@ -188,9 +223,10 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
         (~optional("error_kind", ["string"]), "error_kind: expected a string"),
         (~(v["fields"].isNull() | fields_json.startswith("{")), "fields: expected an object"),
     ]
-    reason = F.lit(None).cast("string")
-    for cond, why in reversed(rules):
-        reason = F.when(cond, F.lit(why)).otherwise(reason)
+    # one flat CASE (first broken rule wins); nesting would defeat code generation
+    reason = None
+    for cond, why in rules:
+        reason = F.when(cond, F.lit(why)) if reason is None else reason.when(cond, F.lit(why))
     typed = [
         F.lit(1).alias("schema_version"),
         timestamp.alias("timestamp"),
