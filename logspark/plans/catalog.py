@@ -627,3 +627,357 @@ FROM exp FULL OUTER JOIN rep ON exp.file_name = rep.file_name
 def q_source_health(spark, sf_dir):
     """Expected sources with state (healthy / parse errors / missing)."""
     return JL.source_health(JL.ingest_report(_lines(spark, sf_dir)), EXPECTED_SOURCES)
+
+
+# ---------------------------------------------------------------- text P11 P12 P13 P15 P17 P20
+from logspark.functions import redact as RD  # noqa: E402
+from logspark.functions import tones as TN  # noqa: E402
+from logspark.operators import quality as QL  # noqa: E402
+from logspark.operators import saved as SV  # noqa: E402
+
+
+def _tone_sql_pattern() -> str:
+    import re as _re
+    alts = "|".join("[ _\\-/.]+".join(_re.escape(w) for w in p.split(" ")) for p, _ in TN.PHRASES)
+    return f"(?:^|[^\\pL\\pN])((?i:{alts}))(?:[^\\pL\\pN]|$)"
+
+
+_TONE_TABLE_SQL = "tones(phrase, tone) AS (VALUES " + ", ".join(f"('{p}', '{t}')" for p, t in TN.PHRASES) + ")"
+
+
+def _tone_hits_sql(base: str, keys: str) -> str:
+    return base.rstrip() + f""",
+{_TONE_TABLE_SQL},
+h0 AS (SELECT {keys}, regexp_extract_all(regexp_replace(message, '([^\\pL\\pN])', '\\1\\1', 'g'),
+          '{_tone_sql_pattern()}', 1) AS l FROM ev),
+h AS (SELECT {keys}, generate_subscripts(l, 1) - 1 AS position, unnest(l) AS hit FROM h0),
+hp AS (SELECT h.*, regexp_replace(translate(hit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[ _\\-/.]+', ' ', 'g') AS phrase FROM h)
+"""
+
+
+@register("message_tones", _tone_hits_sql(EV, "event_id") + """
+SELECT event_id, position, phrase, tone FROM hp JOIN tones USING (phrase)
+""")
+def q_message_tones(spark, sf_dir):
+    """Every outcome phrase hit with its class (leftmost, non-overlapping, by priority)."""
+    return TN.message_tones(T.load_events(spark, sf_dir)).select("event_id", "position", "phrase", "tone")
+
+
+@register("message_tone_counts", _tone_hits_sql(DOC, "source") + """
+SELECT source, tone, count(*) AS hits FROM hp JOIN tones USING (phrase) GROUP BY source, tone
+""")
+def q_message_tone_counts(spark, sf_dir):
+    """Tone totals per source over whole document texts."""
+    return TN.tone_counts(T.load_documents(spark, sf_dir), ["source"])
+
+
+@register("conversation_tone_counts", _tone_hits_sql(CONV, "app_session_id, event") + """
+SELECT app_session_id, event, tone, count(*) AS hits FROM hp JOIN tones USING (phrase)
+GROUP BY app_session_id, event, tone
+""")
+def q_conversation_tone_counts(spark, sf_dir):
+    """P13 per run and turn role over conversation texts."""
+    return TN.tone_counts(T.load_conversations(spark, sf_dir), ["app_session_id", "event"])
+
+
+_CONSOLE_SQL = EV.rstrip() + """,
+con AS (
+  SELECT event_id, 'click by user ' || split_part(app_session_id, '-', 1) AS message,
+    '{"arguments": [{"name": "TypeError", "message": " value ' || printf('%.2f', duration_ms) || ' "}, {"message": "'
+      || 'click by user ' || split_part(app_session_id, '-', 1) || '"}, {"name": "TypeError", "message": " value '
+      || printf('%.2f', duration_ms) || ' "}, "plain text"]}' AS fields
+  FROM ev WHERE event = 'user.click'),
+args AS (SELECT event_id, message, CAST(json_extract(fields, '$.arguments') AS JSON[]) AS a FROM con),
+d AS (SELECT event_id, list_transform(list_filter(a, lambda x: json_type(x) = 'OBJECT'
+          AND json_type(x, '$.message') = 'VARCHAR' AND trim(json_extract_string(x, '$.message')) <> ''
+          AND trim(json_extract_string(x, '$.message')) <> message),
+        lambda x: CASE WHEN json_type(x, '$.name') = 'VARCHAR' AND trim(json_extract_string(x, '$.name')) <> ''
+                       THEN trim(json_extract_string(x, '$.name')) || ': ' || trim(json_extract_string(x, '$.message'))
+                       ELSE trim(json_extract_string(x, '$.message')) END) AS l FROM args)
+"""
+
+
+@register("console_detail", _CONSOLE_SQL + """
+SELECT event_id, CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' · ') END AS detail
+FROM d
+""")
+def q_console_detail(spark, sf_dir):
+    """Distinct ``name: message`` details of console Error-like arguments, in order."""
+    return T.console_frame(T.table(spark, sf_dir, "events")).select("event_id", C.console_detail().alias("detail"))
+
+
+@register("infer_subsystem", EV + """
+SELECT event_id, coalesce(nullif(regexp_replace(lower(trim(regexp_extract(message, '^\\[([^\\]]+)\\]', 1))),
+  '[^a-z0-9]+', '_', 'g'), ''), 'renderer') AS inferred FROM ev
+""")
+def q_infer_subsystem(spark, sf_dir):
+    """Subsystem from a leading ``[Name]`` (else ``renderer``)."""
+    return T.load_events(spark, sf_dir).select("event_id", C.infer_subsystem().alias("inferred"))
+
+
+@register("timestamp_text", EV + """
+SELECT event_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%g') || ' +00:00' AS default_text,
+  strftime("timestamp", '%H:%M:%S.%g') AS time_text FROM ev
+""")
+def q_timestamp_text(spark, sf_dir):
+    """Default and time-only renderings in UTC."""
+    ev = T.load_events(spark, sf_dir)
+    return ev.select("event_id", C.timestamp_text("timestamp").alias("default_text"),
+                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["time"]).alias("time_text"))
+
+
+@register("field_paths", EV + """
+SELECT event_id, 'fields.' || j.key AS path,
+  CASE WHEN length(v) <= 80 THEN v ELSE substr(v, 1, 79) || '…' END AS value
+FROM (SELECT event_id, j.key, CASE WHEN j.type = 'VARCHAR' THEN json_extract_string(j.value, '$')
+        ELSE CAST(j.value AS VARCHAR) END AS v, j FROM ev, json_each(ev.fields) j) x
+""")
+def q_field_paths(spark, sf_dir):
+    """P20: one row per event and field path, value text cut to 80 characters."""
+    return QL.field_paths(T.load_events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- P4 P5 P6 P14 P16
+_CLIENT_SQL = """
+WITH ck AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+cr AS (SELECT event_id, ts AS "timestamp", event_type, k, user_id, value,
+  CASE event_type WHEN 'error' THEN ' Critical ' WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'Information'
+                  WHEN 'click' THEN 'log' ELSE 'Verbose' END AS raw_level,
+  'app::' || event_type AS target, 'record ' || event_type AS name,
+  'client-' || CAST(user_id % 2 AS VARCHAR) AS source, CAST(user_id AS VARCHAR) || '-run' AS app_session_id
+  FROM ck)
+"""
+_LEVEL_SQL = ("CASE lower(trim(raw_level)) WHEN 'trace' THEN 'trace' WHEN 'verbose' THEN 'trace' WHEN 'debug' THEN 'debug' "
+              "WHEN 'log' THEN 'info' WHEN 'info' THEN 'info' WHEN 'information' THEN 'info' WHEN 'warn' THEN 'warn' "
+              "WHEN 'warning' THEN 'warn' WHEN 'error' THEN 'error' WHEN 'fatal' THEN 'fatal' WHEN 'critical' THEN 'fatal' "
+              "ELSE 'info' END")
+
+
+@register("redact_client_records", _CLIENT_SQL + """
+SELECT event_id, '{"duration_ms":"' || printf('%.2f', value) || '",'
+  || CASE WHEN event_type = 'purchase' THEN '"request_id":"req-' || CAST(k AS VARCHAR) || '",' ELSE '' END
+  || CASE WHEN event_type = 'error' THEN '"event":"user.failure","error_kind":"io",' ELSE '' END
+  || '"apiToken":"[REDACTED]","nested":{"cookie":"[REDACTED]","depth":{"secret":"[REDACTED]","ok":true}},"k":'
+  || CAST(k AS VARCHAR) || ',"message":"value ' || printf('%.2f', value) || '"}' AS properties
+FROM cr
+""")
+def q_redact_client_records(spark, sf_dir):
+    """Sensitive keys redacted at every depth of producer property bags."""
+    recs = T.client_records(T.table(spark, sf_dir, "events"))
+    return recs.select("event_id", RD.redact_sensitive("properties").alias("properties"))
+
+
+@register("promote_fields", _CLIENT_SQL + f"""
+SELECT event_id, {_LEVEL_SQL} AS level, target AS subsystem,
+  CASE WHEN event_type = 'error' THEN 'user.failure' ELSE name END AS event,
+  'value ' || printf('%.2f', value) AS message,
+  CASE WHEN event_type = 'purchase' THEN 'req-' || CAST(k AS VARCHAR) END AS request_id,
+  CASE WHEN event_type = 'error' THEN 'io' END AS error_kind,
+  CAST(printf('%.2f', value) AS DOUBLE) AS duration_ms,
+  '{{"apiToken":"tok-' || CAST(k AS VARCHAR) || '","k":' || CAST(k AS VARCHAR) || ',"nested":{{"cookie":"c'
+    || CAST(user_id AS VARCHAR) || '","depth":{{"ok":true,"secret":1}}}}}}' AS fields
+FROM cr
+""")
+def q_promote_fields(spark, sf_dir):
+    """P16 + P4: producer records lifted into event v1 (levels normalised, unknown -> info)."""
+    recs = T.client_records(T.table(spark, sf_dir, "events"))
+    recs = recs.withColumn("level", JL.normalize_level("raw_level", unknown="info"))
+    return JL.promote_fields(recs).select("event_id", "level", "subsystem", "event", "message", "request_id",
+                                          "error_kind", "duration_ms", "fields")
+
+
+@register("normalize_values", EV + """
+SELECT event_id,
+  CASE WHEN _k < 50 THEN CAST(epoch_us("timestamp") // 1000 AS BIGINT)
+       ELSE epoch_us(date_trunc('millisecond', "timestamp")) // 1000 END AS ts_ms,
+  CASE WHEN _k % 2 = 0 THEN CAST(_k AS VARCHAR) ELSE app_session_id END AS identifier,
+  CASE event_type WHEN 'error' THEN 'fatal' WHEN 'purchase' THEN 'warn' WHEN 'view' THEN 'info'
+                  WHEN 'click' THEN 'info' END AS level
+FROM ev JOIN (SELECT event_id, event_type FROM events) USING (event_id)
+""")
+def q_normalize_values(spark, sf_dir):
+    """P4 + P5 + P6: producer level names, epoch-ms / RFC 3339 texts, string-or-number ids."""
+    raw = T.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    ms_text = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").cast("string")
+    rfc = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
+    ts_text = F.when(k < 50, ms_text).otherwise(rfc)
+    sid = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string"))
+    id_json = F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(F.lit('"'), sid, F.lit('"')))
+    et = F.col("event_type")
+    raw_level = (F.when(et == "error", " CRITICAL").when(et == "purchase", "Warning")
+                 .when(et == "view", "information").when(et == "click", "log").otherwise("nonsense"))
+    return raw.select("event_id", F.unix_millis(JL.normalize_timestamp(ts_text)).alias("ts_ms"),
+                      JL.normalize_identifier(id_json).alias("identifier"),
+                      JL.normalize_level(raw_level).alias("level"))
+
+
+# ---------------------------------------------------------------- A4 A10 A11 W5 F12 F13
+@register("discover_field_facets", EV + """
+SELECT DISTINCT 'fields.' || j.key AS facet FROM ev, json_each(ev.fields) j
+WHERE j.type IN ('VARCHAR','BIGINT','UBIGINT','DOUBLE','BOOLEAN') ORDER BY facet LIMIT 20
+""")
+def q_discover_field_facets(spark, sf_dir):
+    """A4: the first 20 ``fields.*`` facets in name order."""
+    return FA.discover_field_facets(T.load_events(spark, sf_dir), 20)
+
+
+@register("logging_loss_report", EV + """
+SELECT source, app_session_id, event, count(*) AS reports,
+  coalesce(sum(TRY_CAST(json_extract_string(fields, '$.count') AS BIGINT)), 0) AS lost
+FROM ev WHERE event IN ('logger.events_dropped', 'logger.events_rejected') GROUP BY source, app_session_id, event
+""")
+def q_logging_loss_report(spark, sf_dir):
+    """A10: producer-reported lost events per source and run."""
+    return QL.logging_loss_report(T.load_events(spark, sf_dir))
+
+
+@register("view_counts", EV + f""",
+k AS (SELECT level, {_RK_SQL} FROM ev)
+SELECT count(*) AS loaded, count(*) FILTER (WHERE level IN ('warn', 'error', 'fatal')) AS shown,
+  count(DISTINCT ({_RK_COLS})) FILTER (WHERE level IN ('warn', 'error', 'fatal')) AS repeat_groups FROM k
+""")
+def q_view_counts(spark, sf_dir):
+    """Loaded, shown and collapsed-group counts of a filtered view."""
+    return QL.view_counts(T.load_events(spark, sf_dir), C.level_at_least("warn"))
+
+
+_COUNTS_SQL = EV.rstrip() + f""",
+base AS (SELECT *, {O.tag_sql()} AS tag, {O.CORR_SQL} AS corr, {O.LEVELS_SQL} AS sev FROM ev),
+p AS ({_facet_union_sql("true", "true", "true")}),
+c AS (SELECT facet, value, count(*) AS count FROM p WHERE value IS NOT NULL GROUP BY facet, value)
+"""
+
+
+@register("top_facet_values", _COUNTS_SQL + """
+SELECT facet, value, count, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) AS rank FROM c) WHERE rank <= 3
+""")
+def q_top_facet_values(spark, sf_dir):
+    """The 3 most frequent values per facet (a top-n report)."""
+    return FA.top_facet_values(FA.facet_counts_all(T.load_events(spark, sf_dir), ordered=False), n=3)
+
+
+@register("facet_value_search", _COUNTS_SQL + """
+SELECT facet, value, count FROM c WHERE contains(lower(value), 'req-1')
+""")
+def q_facet_value_search(spark, sf_dir):
+    """facet values containing a text (case-insensitive)."""
+    return FA.facet_value_search(FA.facet_counts_all(T.load_events(spark, sf_dir), ordered=False), "REQ-1")
+
+
+SAVED = {
+    "errors": FI.FilterState(minimum_level="error"),
+    "src0 purchases": FI.FilterState(facets={"source": {"include": ["src0"]}, "event": {"include": ["user.purchase"]}}),
+    "slow views": FI.FilterState(facets={"tag": {"include": ["Ui Shell"]}}, predicates=[("duration_ms", ">", "300")]),
+    "broken": FI.FilterState(predicates=[("level", ">", "warn")]),
+}
+
+
+@register("saved_filters", EV + f""",
+b AS (SELECT *, {O.tag_sql()} AS tag FROM ev)
+SELECT 'errors' AS name, count(*) FILTER (WHERE level IN ('error','fatal')) AS hits,
+  min(event_id) FILTER (WHERE level IN ('error','fatal')) AS first_event_id,
+  max(event_id) FILTER (WHERE level IN ('error','fatal')) AS last_event_id, NULL AS errors FROM b
+UNION ALL
+SELECT 'src0 purchases', count(*) FILTER (WHERE source = 'src0' AND event = 'user.purchase'),
+  min(event_id) FILTER (WHERE source = 'src0' AND event = 'user.purchase'),
+  max(event_id) FILTER (WHERE source = 'src0' AND event = 'user.purchase'), NULL FROM b
+UNION ALL
+SELECT 'slow views', count(*) FILTER (WHERE tag = 'Ui Shell' AND duration_ms > 300),
+  min(event_id) FILTER (WHERE tag = 'Ui Shell' AND duration_ms > 300),
+  max(event_id) FILTER (WHERE tag = 'Ui Shell' AND duration_ms > 300), NULL FROM b
+UNION ALL
+SELECT 'broken', 0, NULL, NULL, 'level expects a numeric value'
+""")
+def q_saved_filters(spark, sf_dir):
+    """F13 + F5: a table of named filters evaluated in one scan; invalid ones match nothing."""
+    return SV.evaluate_saved_filters(T.load_events(spark, sf_dir), SAVED).select(
+        "name", "hits", "first_event_id", "last_event_id", "errors")
+
+
+# ---------------------------------------------------------------- J4 J5 U1 U2 F10 K2
+@register("correlation_trail", EV + f""",
+b AS (SELECT *, {O.CORR_SQL} AS corr FROM ev)
+SELECT event_id, corr AS correlation FROM b WHERE corr IN (SELECT corr FROM b WHERE event_id = 2)
+""")
+def q_correlation_trail(spark, sf_dir):
+    """Every event sharing the correlation of event 2, in ingestion order."""
+    return SV.correlation_trail(T.load_events(spark, sf_dir), 2).select("event_id", "correlation")
+
+
+@register("filter_by_values", EV + """
+SELECT event_id FROM ev
+WHERE nullif(request_id, '') IN (SELECT request_id FROM ev WHERE duration_ms > 300 AND request_id IS NOT NULL)
+""")
+def q_filter_by_values(spark, sf_dir):
+    """Include a facet's values given as a DataFrame (semi join) instead of a literal list."""
+    ev = T.load_events(spark, sf_dir)
+    values = ev.where((F.col("duration_ms") > 300) & F.col("request_id").isNotNull()).select(
+        F.col("request_id").alias("value"))
+    return FI.filter_by_values(ev, "request_id", values).select("event_id")
+
+
+@register("exclude_by_values", EV + """
+SELECT event_id FROM ev
+WHERE app_session_id NOT IN (SELECT app_session_id FROM ev WHERE level = 'error')
+""")
+def q_exclude_by_values(spark, sf_dir):
+    """Exclude every run that had an error (anti join on a value DataFrame)."""
+    ev = T.load_events(spark, sf_dir)
+    values = ev.where(F.col("level") == "error").select(F.col("app_session_id").alias("value"))
+    return FI.filter_by_values(ev, "app_session_id", values, exclude=True).select("event_id")
+
+
+@register("merge_sources", O.with_ctes(O.EV_BASE) + """,
+d AS (SELECT source FROM documents), c AS (SELECT 'chat' AS source FROM conversations)
+SELECT source, count(*) AS events FROM (SELECT source FROM ev UNION ALL SELECT source FROM d
+  UNION ALL SELECT source FROM c) GROUP BY source
+""")
+def q_merge_sources(spark, sf_dir):
+    """Three sources merged into one event set (no de-duplication), counted per source."""
+    merged = SV.merge_sources(T.load_events(spark, sf_dir), T.load_documents(spark, sf_dir),
+                              T.load_conversations(spark, sf_dir))
+    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("combine_row_sets", EV + """
+SELECT 'or' AS op, event_id FROM (SELECT event_id FROM ev WHERE level = 'error' UNION SELECT event_id FROM ev WHERE source = 'src0')
+UNION ALL
+SELECT 'and', event_id FROM (SELECT event_id FROM ev WHERE level = 'error' INTERSECT SELECT event_id FROM ev WHERE source = 'src0')
+UNION ALL
+SELECT 'and_not', event_id FROM (SELECT event_id FROM ev WHERE level = 'error' EXCEPT SELECT event_id FROM ev WHERE source = 'src0')
+""")
+def q_combine_row_sets(spark, sf_dir):
+    """OR / AND / AND-NOT of two filtered row sets."""
+    ev = T.load_events(spark, sf_dir)
+    a, b = ev.where(F.col("level") == "error"), ev.where(F.col("source") == "src0")
+    return SV.merge_sources(*[SV.combine_row_sets(a, b, op).select(F.lit(op).alias("op"), "event_id")
+                              for op in ["or", "and", "and_not"]])
+
+
+@register("view_session", EV + f"""
+SELECT event_id FROM ev WHERE app_session_id = '{RUN_A}'
+""")
+def q_view_session(spark, sf_dir):
+    """a fresh filter holding only one run."""
+    return FI.apply_filter(T.load_events(spark, sf_dir), FI.view_session(RUN_A)).select("event_id")
+
+
+_BUNDLE_FILTER = '{"facets":{},"minimum_level":null,"correlation":null,"text":""}'
+
+
+@register("investigation_bundle", _PINS_SQL + f""",
+lines AS (SELECT event_id, {O.export_line_sql()} AS line FROM ev)
+SELECT '{{"format":"logspark-investigation-v1","created_at":1704326400000,"sources":["documents"],"filter":'
+  || '{_BUNDLE_FILTER}' || ',"pins":[' || coalesce(string_agg('{{"note":' || to_json(note) || ',"event":'
+  || coalesce(l.line, to_json(pin_key)) || '}}', ',' ORDER BY pin_ts NULLS FIRST, pin_key), '') || ']}}' AS bundle
+FROM located LEFT JOIN lines l ON l.event_id = located.matched_event_id
+""")
+def q_investigation_bundle(spark, sf_dir):
+    """K2: pinned snapshots with notes, sources and filter as one JSON document."""
+    pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
+    docs = T.load_documents(spark, sf_dir)
+    located = PN.locate_pins(pins, docs)
+    return EX.investigation_bundle(located, docs, ["documents"], _BUNDLE_FILTER, 1704326400000)

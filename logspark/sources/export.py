@@ -16,6 +16,12 @@ EXPORT_KEYS = ["schema_version", "timestamp", "level", "source", "subsystem", "t
                "provider", "duration_ms", "error_kind"]
 
 
+def _json_string(col: Column) -> Column:
+    """A string as a JSON string literal (quoted, escaped); NULL stays NULL."""
+    quoted = F.to_json(F.array(col))
+    return F.when(col.isNotNull(), quoted.substr(F.lit(2), F.length(quoted) - 2))
+
+
 def export_line() -> Column:
     """K1: one normalised JSON text per event (no trailing newline)."""
     envelope = F.to_json(F.struct(*[
@@ -58,7 +64,7 @@ def investigation_bundle(pins_located: DataFrame, events: DataFrame, sources: li
     snap = pins_located.join(
         with_export_line(events).select(F.col("event_id").alias("matched_event_id"), "line"),
         "matched_event_id", "left")
-    item = F.struct(F.col("note"), F.coalesce(F.col("line"), F.to_json(F.col("pin_key"))).alias("event"))
+    item = F.struct(F.col("note"), F.coalesce(F.col("line"), _json_string(F.col("pin_key"))).alias("event"))
     ordered = F.sort_array(F.collect_list(F.struct(F.col("pin_timestamp"), F.col("pin_key"), item.alias("i"))))
     return snap.agg(ordered.alias("pins")).select(F.concat(
         F.lit('{"format":"logspark-investigation-v1","created_at":'), F.lit(str(created_at_ms)),
@@ -66,6 +72,6 @@ def investigation_bundle(pins_located: DataFrame, events: DataFrame, sources: li
         F.lit(',"filter":'), F.lit(filter_json),
         F.lit(',"pins":['),
         F.array_join(F.transform(F.col("pins"), lambda p: F.concat(
-            F.lit('{"note":'), F.to_json(F.array(p["i"]["note"])).substr(F.lit(2), F.length(F.to_json(F.array(p["i"]["note"]))) - 2),
+            F.lit('{"note":'), F.coalesce(_json_string(p["i"]["note"]), F.lit("null")),
             F.lit(',"event":'), p["i"]["event"], F.lit("}"))), ","),
         F.lit("]}")).alias("bundle"))

@@ -326,3 +326,42 @@ def normalize_identifier(json_text) -> Column:
     """JSON string or number -> text; null / bool / array / object -> NULL."""
     kind = C.json_kind(json_text)
     return F.when(kind.isin("string", "number"), C.json_scalar_text(json_text))
+
+
+PROMOTED = ["message", "subsystem", "event", "playback_session_id", "request_id", "session_id",
+            "provider", "error_kind", "duration_ms", "status"]
+
+
+def promote_fields(records: DataFrame, level_col: str = "level") -> DataFrame:
+    """Producer records -> event v1: promoted keys lifted out of the property bag.
+
+    ``records`` has (event_id, timestamp, <level_col>, source, target, name, app_session_id,
+    properties JSON object text). Message / event fall back to the record name, subsystem
+    to the logger target; ``duration_ms`` also parses numeric strings; the rest stays in
+    ``fields`` (keys sorted)."""
+    bag = F.from_json(F.col("properties"), "map<string,variant>")
+
+    def scalar(key):
+        return C.variant_scalar_text(F.element_at(bag, F.lit(key)))
+
+    dv = F.element_at(bag, F.lit("duration_ms"))
+    dur = F.when(C.variant_kind(dv) == "number", dv.cast("double")).when(
+        C.variant_kind(dv) == "string", F.variant_get(dv, "$", "string").try_cast("double"))
+    st = F.element_at(bag, F.lit("status"))
+    rest = F.map_filter(bag, lambda key, _: ~key.isin(*PROMOTED))
+    return records.select(
+        "event_id", F.lit(1).alias("schema_version"), "timestamp",
+        F.col(level_col).alias("level"), "source",
+        F.coalesce(scalar("subsystem"), F.col("target")).alias("subsystem"),
+        F.coalesce(scalar("event"), F.col("name")).alias("event"),
+        F.coalesce(scalar("message"), F.col("name")).alias("message"),
+        "app_session_id",
+        scalar("playback_session_id").alias("playback_session_id"),
+        scalar("request_id").alias("request_id"),
+        scalar("session_id").alias("session_id"),
+        F.col("target"),
+        scalar("provider").alias("provider"),
+        scalar("error_kind").alias("error_kind"),
+        dur.alias("duration_ms"),
+        F.when(st.isNotNull() & ~F.is_variant_null(st), F.to_json(st)).alias("status"),
+        F.to_json(F.parse_json(F.to_json(rest))).alias("fields"))

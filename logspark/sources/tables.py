@@ -223,3 +223,41 @@ def numbered_event_lines(events: DataFrame) -> DataFrame:
     from logspark.sources.jsonl import with_row_numbers
 
     return with_row_numbers(event_lines(events), ["event_id"], name="line_number", within=["file_name"], start=1)
+
+
+def console_frame(events: DataFrame) -> DataFrame:
+    """Stand-in console events: each click becomes a ``console.message`` whose arguments
+    hold two Error-like objects (one repeated) and the message itself."""
+    fr = events_frame(events)
+    msg = F.concat(F.lit("click by user "), F.split(F.col("app_session_id"), "-").getItem(0))
+    err = F.concat(F.lit('{"name": "TypeError", "message": " value '), F.format_string("%.2f", F.col("duration_ms")),
+                   F.lit(' "}'))
+    fields = F.concat(F.lit('{"arguments": ['), err, F.lit(', {"message": "'), msg, F.lit('"}, '), err,
+                      F.lit(', "plain text"]}'))
+    return (fr.where(F.col("event") == "user.click")
+              .withColumns({"event": F.lit("console.message"), "message": msg, "fields": fields})
+              .select(*EVENT_COLUMNS))
+
+
+def client_records(events: DataFrame) -> DataFrame:
+    """Stand-in producer records (logger target, record name, property bag as JSON text)."""
+    et = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    props = F.concat(
+        F.lit('{"duration_ms": "'), F.format_string("%.2f", F.col("value")), F.lit('", '),
+        F.when(et == "purchase", F.concat(F.lit('"request_id": "req-'), k.cast("string"), F.lit('", ')))
+         .otherwise(F.lit("")),
+        F.when(et == "error", F.lit('"event": "user.failure", "error_kind": "io", ')).otherwise(F.lit("")),
+        F.lit('"apiToken": "tok-'), k.cast("string"),
+        F.lit('", "nested": {"cookie": "c'), F.col("user_id").cast("string"),
+        F.lit('", "depth": {"secret": 1, "ok": true}}, "k": '), k.cast("string"),
+        F.lit(', "message": "value '), F.format_string("%.2f", F.col("value")), F.lit('"}'))
+    return events.select(
+        F.col("event_id"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.when(et == "error", " Critical ").when(et == "purchase", "WARNING").when(et == "view", "Information")
+         .when(et == "click", "log").otherwise("Verbose").alias("raw_level"),
+        F.concat(F.lit("app::"), et).alias("target"),
+        F.concat(F.lit("record "), et).alias("name"),
+        F.concat(F.lit("client-"), (F.col("user_id") % 2).cast("string")).alias("source"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-run")).alias("app_session_id"),
+        props.alias("properties"))
