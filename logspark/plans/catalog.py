@@ -981,3 +981,73 @@ def q_investigation_bundle(spark, sf_dir):
     docs = T.load_documents(spark, sf_dir)
     located = PN.locate_pins(pins, docs)
     return EX.investigation_bundle(located, docs, ["documents"], _BUNDLE_FILTER, 1704326400000)
+
+
+# ---------------------------------------------------------------- streaming S6 K3 T2-T6
+from logspark.session import scratch_path  # noqa: E402
+from logspark.streaming import streams as ST  # noqa: E402
+
+
+def _landing_events(spark, sf_dir, files: int = 4) -> str:
+    """Stand-in landing folder: the event rows as several closed Parquet files."""
+    path = scratch_path(spark, "landing-events")
+    T.load_events(spark, sf_dir).repartition(files).write.parquet(path)
+    return path
+
+
+def _await(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+@register("stream_session_summaries", ORACLE["session_summaries"])
+def q_stream_session_summaries(spark, sf_dir):
+    """T3 + S6: running run summaries over micro-batches equal the batch summaries."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    out = scratch_path(spark, "stream-sessions")
+    _await(ST.run_aggregate_to_table(ST.stream_session_summaries(events), out, scratch_path(spark, "ckpt")))
+    s = spark.read.parquet(out)
+    return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"), _ms("last_timestamp").alias("last_ms"),
+                    SE._elapsed_ms(F.col("first_timestamp"), F.col("last_timestamp")).alias("elapsed_ms"),
+                    "event_count", "warning_count", "error_count",
+                    F.array_join("providers", ",").alias("providers"), "correlation_count", "status")
+
+
+@register("stream_facet_counts", ORACLE["facet_counts_all"])
+def q_stream_facet_counts(spark, sf_dir):
+    """T4: facet counts kept current by a streaming aggregation."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    out = scratch_path(spark, "stream-facets")
+    _await(ST.run_aggregate_to_table(ST.stream_facet_counts(events, FLAGSHIP_STATE), out, scratch_path(spark, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("stream_filter", ORACLE["filter_events"])
+def q_stream_filter(spark, sf_dir):
+    """T2 + K3: the active filter on new rows, delivered to a checkpointed Parquet sink."""
+    state = FI.FilterState(facets={"tag": {"include": ["Purchase", "Error"]}, "source": {"exclude": ["src1"]}},
+                           minimum_level="warn", predicates=[("duration_ms", ">", "50")])
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    out = scratch_path(spark, "stream-filter")
+    _await(ST.stream_to_sink(ST.stream_filter(events, state), out, scratch_path(spark, "ckpt")))
+    return spark.read.parquet(out).select("event_id")
+
+
+@register("stream_repeat_groups", ORACLE["repeat_groups"])
+def q_stream_repeat_groups(spark, sf_dir):
+    """T5: repeat groups merged batch by batch (idempotent versioned table)."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    table = scratch_path(spark, "stream-repeats")
+    _await(ST.stream_repeat_groups(events, table, scratch_path(spark, "ckpt")))
+    return ST.latest_table(spark, table).select(*C.REPEAT_KEY_COLUMNS, "repeat_count", "first_event_id",
+                                                "latest_event_id", "previous_event_id")
+
+
+@register("stream_keep_latest", ORACLE["keep_latest"])
+def q_stream_keep_latest(spark, sf_dir):
+    """The bounded latest-500 window maintained across micro-batches."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    table = scratch_path(spark, "stream-latest")
+    _await(ST.stream_keep_latest(events, 500, table, scratch_path(spark, "ckpt")))
+    return ST.latest_table(spark, table).select("event_id", "level")

@@ -59,8 +59,14 @@ def read_event_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     raw = spark.read.text(files).select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_mid"))
+        F.col("_metadata.file_block_start").alias("_blk"))
+    return number_physical_lines(raw)
+
+
+def number_physical_lines(raw: DataFrame) -> DataFrame:
+    """Physical line numbers from (value, file_path, file_name, _blk = split start):
+    per-split counts, running sums per file, position inside the split."""
+    raw = raw.withColumn("_mid", F.monotonically_increasing_id())
     blocks = raw.groupBy("file_path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy("file_path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
