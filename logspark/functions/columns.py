@@ -267,7 +267,8 @@ def elapsed_text(ms) -> Column:
     """Unsigned elapsed text: ``n ms``, ``s.s s``, ``Mm SSs``."""
     ms = _c(ms)
     return (F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms")))
-            .when(ms < 60000, F.format_string("%.1f s", ms / 1000.0))
+            # round half to even first (as the reference's formatter does), then print
+            .when(ms < 60000, F.format_string("%.1f s", F.bround(ms / 1000.0, 1)))
             .otherwise(F.concat((ms / 60000).cast("long").cast("string"), F.lit("m "),
                                 F.lpad(((ms % 60000) / 1000).cast("long").cast("string"), 2, "0"),
                                 F.lit("s"))))

@@ -1051,3 +1051,74 @@ def q_stream_keep_latest(spark, sf_dir):
     table = scratch_path(spark, "stream-latest")
     _await(ST.stream_keep_latest(events, 500, table, scratch_path(spark, "ckpt")))
     return ST.latest_table(spark, table).select("event_id", "level")
+
+
+# ---------------------------------------------------------------- S1 T1 T8 over text files, P18
+def _landing_lines(spark, sf_dir) -> str:
+    """Stand-in landing folder: one closed text file of JSONL lines per source, in event
+    order, under ``source_file=<name>`` sub-folders."""
+    path = scratch_path(spark, "landing-lines")
+    lines = T.event_lines(T.table(spark, sf_dir, "events")).withColumnRenamed("file_name", "source_file")
+    (lines.repartition("source_file").sortWithinPartitions("source_file", "event_id")
+          .select("value", "source_file").write.partitionBy("source_file").text(path))
+    return path
+
+
+def _part_files(spark, path: str) -> list[str]:
+    jvm = spark._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(path + "/source_file=*/part-*")
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(st.getPath().toString() for st in fs.globStatus(glob))
+
+
+def _source_of(path_col):
+    return F.regexp_extract(path_col, "source_file=([^/]+)", 1)
+
+
+@register("scan_event_logs", LINES + """
+SELECT file_name, sum(strlen(value) + 1) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS invalid,
+  arg_max(reason, line_number) FILTER (WHERE reason IS NOT NULL) AS last_error
+FROM parsed GROUP BY file_name
+""")
+def q_scan_event_logs(spark, sf_dir):
+    """S1 + S4: text files scanned with physical line numbers, then the ingest report."""
+    lines = JL.read_event_logs(spark, _part_files(spark, _landing_lines(spark, sf_dir)))
+    lines = lines.withColumn("file_name", _source_of(F.col("file_path")))
+    return JL.ingest_report(lines)
+
+
+@register("stream_validate", ORACLE["rejected_records"])
+def q_stream_validate(spark, sf_dir):
+    """T1 + S6: micro-batch validation of landing files; the side-reported rejects."""
+    land = _landing_lines(spark, sf_dir)
+    ev, rej, health = (scratch_path(spark, n) for n in ("stream-valid", "stream-rejects", "stream-health"))
+    _await(ST.stream_validate(ST.stream_event_logs(spark, land), ev, rej, health, scratch_path(spark, "ckpt")))
+    return spark.read.parquet(rej).select(_source_of(F.col("file_path")).alias("file_name"), "line_number", "reason")
+
+
+@register("stream_health", LINES + """
+SELECT file_name, count(*) FILTER (WHERE reason IS NULL) AS valid, count(*) FILTER (WHERE reason IS NOT NULL) AS invalid
+FROM parsed GROUP BY file_name
+""")
+def q_stream_health(spark, sf_dir):
+    """Valid / invalid counters per source accumulated over micro-batches."""
+    land = _landing_lines(spark, sf_dir)
+    ev, rej, health = (scratch_path(spark, n) for n in ("stream-valid", "stream-rejects", "stream-health"))
+    _await(ST.stream_validate(ST.stream_event_logs(spark, land), ev, rej, health, scratch_path(spark, "ckpt")))
+    h = spark.read.parquet(health).withColumn("file_name", _source_of(F.col("file_path")))
+    return h.groupBy("file_name").agg(F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"))
+
+
+@register("elapsed_text", EV + """
+SELECT app_session_id, e AS elapsed_ms,
+  CASE WHEN e < 1000 THEN CAST(e AS VARCHAR) || ' ms' WHEN e < 60000 THEN printf('%.1f s', e / 1000.0)
+       ELSE CAST(e // 60000 AS VARCHAR) || 'm ' || lpad(CAST((e % 60000) // 1000 AS VARCHAR), 2, '0') || 's' END
+    AS elapsed_text
+FROM (SELECT app_session_id, greatest((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) // 1000, 0) AS e
+      FROM ev GROUP BY app_session_id)
+""")
+def q_elapsed_text(spark, sf_dir):
+    """Unsigned run durations as text (``n ms``, ``s.s s``, ``Mm SSs``)."""
+    s = SE.session_summaries(T.load_events(spark, sf_dir))
+    return s.select("app_session_id", "elapsed_ms", C.elapsed_text(F.col("elapsed_ms")).alias("elapsed_text"))

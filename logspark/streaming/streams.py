@@ -60,9 +60,9 @@ def stream_validate(lines: DataFrame, events_dir: str, rejects_dir: str, health_
             (parsed.where(F.col("reason").isNull())
                    .select(*[c for c in EVENT_SCHEMA.names if c != "event_id"], "file_name", "line_number")
                    .write.mode("overwrite").parquet(os.path.join(events_dir, part)))
-            (parsed.where(F.col("reason").isNotNull()).select("file_name", "line_number", "reason")
+            (parsed.where(F.col("reason").isNotNull()).select("file_path", "file_name", "line_number", "reason")
                    .write.mode("overwrite").parquet(os.path.join(rejects_dir, part)))
-            (parsed.groupBy("file_name").agg(
+            (parsed.groupBy("file_path", "file_name").agg(
                 F.count_if(F.col("reason").isNull()).alias("valid"),
                 F.count_if(F.col("reason").isNotNull()).alias("invalid"),
                 F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("line_number"))).alias("last_error"))
