@@ -50,9 +50,36 @@ def error_neighbours(view: DataFrame, partition_cols=("app_session_id",), block_
                .drop("_err", "_blk", "_next_in", "_prev_in", "_next_blk", "_prev_blk", "_run_first", "_run_last"))
 
 
-def keep_latest(df: DataFrame, n: int = 250_000) -> DataFrame:
-    """O1: the newest ``n`` rows by ingestion order (n clamped to >= 1); a top-n by design."""
-    return df.orderBy(F.col("event_id").desc()).limit(max(int(n), 1))
+TOP_N_DIRECT = 10_000
+
+
+def keep_latest(df: DataFrame, n: int = 250_000, bucket_size: int = 1 << 16) -> DataFrame:
+    """O1: the newest ``n`` rows by ingestion order (n clamped to >= 1); a top-n by design.
+
+    Small ``n`` is a plain ``TakeOrdered``. For a large window (default 250 000, up to
+    millions) a single merge task would receive ``n`` rows from every partition, so the
+    cut-off is found from a histogram instead: rows are counted per block of ingestion ids
+    (partial aggregate, one row per block), running counts from the newest block find the
+    blocks kept whole and the one boundary block, and only that block is ranked.
+    """
+    n = max(int(n), 1)
+    if n <= TOP_N_DIRECT:
+        return df.orderBy(F.col("event_id").desc()).limit(n)
+    blk = F.floor(F.col("event_id") / F.lit(bucket_size))
+    hist = df.groupBy(blk.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
+    # every block holds >= 1 row, so the newest n blocks cover the window: the running
+    # count below therefore spans at most n histogram rows, whatever the data size
+    hist = hist.orderBy(F.col("_b").desc()).limit(n)
+    newer = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_newer", F.coalesce(F.sum("_cnt").over(newer), F.lit(0)))
+    kept = hist.where(F.col("_newer") < n).select(
+        "_b", F.least(F.col("_cnt"), F.lit(n) - F.col("_newer")).alias("_quota"), "_cnt")
+    rows = df.withColumn("_b", blk).join(kept, "_b")
+    whole = rows.where(F.col("_quota") == F.col("_cnt"))
+    edge = rows.where(F.col("_quota") < F.col("_cnt"))
+    ranked = edge.withColumn("_r", F.row_number().over(
+        Window.partitionBy("_b").orderBy(F.col("event_id").desc()))).where(F.col("_r") <= F.col("_quota"))
+    return whole.unionByName(ranked.drop("_r")).drop("_b", "_quota", "_cnt")
 
 
 def retention_report(df: DataFrame, n: int = 250_000) -> DataFrame:

@@ -30,10 +30,12 @@ def _stats(keyed: DataFrame) -> DataFrame:
 def repeat_groups(view: DataFrame) -> DataFrame:
     """One row per repeat key: count, first, previous (2nd newest) and latest event ids."""
     keyed = C.with_repeat_key(view)
-    top = _top_two(keyed).select(*KEY, "_rank", "event_id")
-    latest = top.where(F.col("_rank") == 1).select(*KEY, F.col("event_id").alias("latest_event_id"))
-    previous = top.where(F.col("_rank") == 2).select(*KEY, F.col("event_id").alias("previous_event_id"))
-    return (_stats(keyed).drop("first_timestamp").join(latest, KEY).join(previous, KEY, "left"))
+    stats = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("repeat_count"),
+                                    F.min("event_id").alias("first_event_id"),
+                                    F.max("event_id").alias("latest_event_id"))
+    previous = (_top_two(keyed.select(*KEY, "event_id")).where(F.col("_rank") == 2)
+                .select(*KEY, F.col("event_id").alias("previous_event_id")))
+    return stats.join(previous, KEY, "left")
 
 
 def repeat_representatives(view: DataFrame, timestamp_format: str = C.DEFAULT_TIMESTAMP_FORMAT) -> DataFrame:

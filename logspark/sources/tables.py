@@ -162,7 +162,10 @@ DEFECTS = {
 def _jstr(col) -> F.Column:
     """JSON string literal of a column (quoted and escaped)."""
     quoted = F.to_json(F.array(col))
-    return F.when(col.isNotNull(), quoted.substr(F.lit(2), F.length(quoted) - 2))
+    escaped = quoted.substr(F.lit(2), F.length(quoted) - 2)
+    # text without quote, backslash or control characters needs no escaping
+    plain = F.concat(F.lit('"'), col, F.lit('"'))
+    return F.when(col.isNotNull(), F.when(col.rlike(r'["\\\p{Cntrl}]'), escaped).otherwise(plain))
 
 
 def event_lines(events: DataFrame) -> DataFrame:

@@ -79,3 +79,11 @@ def test_keep_latest_and_report(spark):
     assert [r.event_id for r in NV.keep_latest(df, 0).collect()] == [4]  # clamped to 1
     rep = NV.retention_report(df, 3).first()
     assert (rep.retained, rep.discarded) == (3, 2)
+
+
+def test_keep_latest_histogram_path_matches_direct(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 60000, 1, 6).select((F.col("id") * 7 % 100003).alias("event_id"))
+    want = sorted(r.event_id for r in df.orderBy(F.col("event_id").desc()).limit(25000).collect())
+    got = sorted(r.event_id for r in NV.keep_latest(df, 25000, bucket_size=1000).collect())
+    assert got == want
