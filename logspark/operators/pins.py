@@ -3,13 +3,12 @@
 ``locate_pins`` is an equi-join of the pin table to *all* retained events on the content
 fingerprint; the first match in ingestion order wins (``min`` per pin, partially
 aggregated). Pins that match nothing are kept and flagged. ``pin_strip`` orders the
-located pins by event time; a pin list is curated by hand, so the strip's window runs over
-that small table only, never over events.
+located pins by event time with a distributed dense numbering and neighbour joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
@@ -35,19 +34,31 @@ def lost_pins(pins: DataFrame, events: DataFrame) -> DataFrame:
 
 def pin_strip(located: DataFrame) -> DataFrame:
     """Retained pins by time with delta to the previous pin, total span and wrapped
-    next / previous pin keys."""
+    next / previous pin keys.
+
+    Positions come from the distributed dense numbering (O2); neighbours are equi-joins on
+    ``position +- 1`` and the wrap-around ends come from a one-row aggregate, so no step
+    needs the whole pin list in one task."""
+    from logspark.sources.jsonl import with_row_numbers
+
     r = located.where("retained")
-    order = Window.orderBy("pin_timestamp", "matched_event_id")
-    whole = Window.partitionBy()
-    delta = F.floor((F.unix_micros("pin_timestamp") - F.unix_micros(F.lag("pin_timestamp").over(order))) / 1000)
-    span = F.floor((F.unix_micros(F.max("pin_timestamp").over(whole))
-                    - F.unix_micros(F.min("pin_timestamp").over(whole))) / 1000)
-    first_key = F.first("pin_key").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last_key = F.last("pin_key").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return (r.withColumn("position", F.row_number().over(order))
-             .withColumn("delta_ms", delta.cast("long"))
-             .withColumn("delta_text", F.when(F.col("delta_ms").isNotNull(),
-                                              C.relative_elapsed_text(F.col("delta_ms"))))
-             .withColumn("span_ms", span.cast("long"))
-             .withColumn("next_pin", F.coalesce(F.lead("pin_key").over(order), first_key))
-             .withColumn("previous_pin", F.coalesce(F.lag("pin_key").over(order), last_key)))
+    numbered = with_row_numbers(r, ["pin_timestamp", "matched_event_id", "pin_key", "note"],
+                                name="position", start=1)
+    prev = numbered.select((F.col("position") + 1).alias("position"),
+                           F.col("pin_timestamp").alias("_prev_ts"), F.col("pin_key").alias("previous_pin"))
+    nxt = numbered.select((F.col("position") - 1).alias("position"), F.col("pin_key").alias("next_pin"))
+    ends = numbered.agg(F.min("pin_timestamp").alias("_t0"), F.max("pin_timestamp").alias("_t1"),
+                        F.min_by("pin_key", "position").alias("_first"),
+                        F.max_by("pin_key", "position").alias("_last")).withColumn("_one", F.lit(1))
+    out = (numbered.join(prev, "position", "left").join(nxt, "position", "left")
+                   .withColumn("_one", F.lit(1)).join(ends, "_one"))
+    delta = F.floor((F.unix_micros("pin_timestamp") - F.unix_micros("_prev_ts")) / 1000).cast("long")
+    span = F.floor((F.unix_micros("_t1") - F.unix_micros("_t0")) / 1000).cast("long")
+    return (out.withColumns({
+                "delta_ms": delta,
+                "span_ms": span,
+                "next_pin": F.coalesce(F.col("next_pin"), F.col("_first")),
+                "previous_pin": F.coalesce(F.col("previous_pin"), F.col("_last"))})
+               .withColumn("delta_text", F.when(F.col("delta_ms").isNotNull(),
+                                                C.relative_elapsed_text(F.col("delta_ms"))))
+               .drop("_prev_ts", "_t0", "_t1", "_first", "_last", "_one"))
