@@ -969,11 +969,14 @@ _BUNDLE_FILTER = '{"facets":{},"minimum_level":null,"correlation":null,"text":""
 
 
 @register("investigation_bundle", _PINS_SQL + f""",
-lines AS (SELECT event_id, {O.export_line_sql()} AS line FROM ev)
-SELECT '{{"format":"logspark-investigation-v1","created_at":1704326400000,"sources":["documents"],"filter":'
-  || '{_BUNDLE_FILTER}' || ',"pins":[' || coalesce(string_agg('{{"note":' || to_json(note) || ',"event":'
-  || coalesce(l.line, to_json(pin_key)) || '}}', ',' ORDER BY pin_ts NULLS FIRST, pin_key), '') || ']}}' AS bundle
-FROM located LEFT JOIN lines l ON l.event_id = located.matched_event_id
+lines AS (SELECT event_id, {O.export_line_sql()} AS line FROM ev),
+o AS (SELECT row_number() OVER (ORDER BY pin_ts NULLS FIRST, pin_key, note) AS line_no, count(*) OVER () AS n,
+        '{{"note":' || to_json(note) || ',"event":' || coalesce(l.line, to_json(pin_key)) || '}}' AS body
+      FROM located LEFT JOIN lines l ON l.event_id = located.matched_event_id)
+SELECT 0 AS line_no, '{{"format":"logspark-investigation-v1","created_at":1704326400000,"sources":["documents"],"filter":'
+  || '{_BUNDLE_FILTER}' || ',"pins":[' AS text
+UNION ALL SELECT line_no, body || CASE WHEN line_no < n THEN ',' ELSE '' END FROM o
+UNION ALL SELECT count(*) + 1, ']}}' FROM located
 """)
 def q_investigation_bundle(spark, sf_dir):
     """K2: pinned snapshots with notes, sources and filter as one JSON document."""

@@ -55,23 +55,29 @@ def with_event_fingerprint(df: DataFrame) -> DataFrame:
 
 def investigation_bundle(pins_located: DataFrame, events: DataFrame, sources: list[str],
                          filter_json: str, created_at_ms: int) -> DataFrame:
-    """K2: one JSON document: format id, creation time, sources, filter, pins with notes.
+    """K2: the investigation document as ordered text lines (``line_no``, ``text``).
 
-    ``pins_located`` comes from ``pins.locate_pins``; a pin's snapshot is the export line of
-    its event (or its key when the event is no longer retained). The pin list is a small
-    user-curated table, folded into one row by a global aggregate.
-    """
+    Line 0 opens the document (format id, creation time, sources, filter), then one line
+    per pin in (event time, key) order with its note and event snapshot (the export line,
+    or the key when the event is no longer retained), then the closing line. Joined in
+    ``line_no`` order (``write.text`` of the sorted lines) the text is one JSON document;
+    no step holds all pins in one task."""
+    from logspark.sources.jsonl import with_row_numbers
+
+    spark = events.sparkSession
     snap = pins_located.join(
         with_export_line(events).select(F.col("event_id").alias("matched_event_id"), "line"),
         "matched_event_id", "left")
-    item = F.struct(F.col("note"), F.coalesce(F.col("line"), _json_string(F.col("pin_key"))).alias("event"))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("pin_timestamp"), F.col("pin_key"), item.alias("i"))))
-    return snap.agg(ordered.alias("pins")).select(F.concat(
-        F.lit('{"format":"logspark-investigation-v1","created_at":'), F.lit(str(created_at_ms)),
-        F.lit(',"sources":'), F.to_json(F.array(*[F.lit(s) for s in sources]) if sources else F.array()),
-        F.lit(',"filter":'), F.lit(filter_json),
-        F.lit(',"pins":['),
-        F.array_join(F.transform(F.col("pins"), lambda p: F.concat(
-            F.lit('{"note":'), F.coalesce(_json_string(p["i"]["note"]), F.lit("null")),
-            F.lit(',"event":'), p["i"]["event"], F.lit("}"))), ","),
-        F.lit("]}")).alias("bundle"))
+    numbered = with_row_numbers(snap, ["pin_timestamp", "pin_key", "note"], name="line_no", start=1)
+    count = numbered.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    body = F.concat(F.lit('{"note":'), F.coalesce(_json_string(F.col("note")), F.lit("null")),
+                    F.lit(',"event":'), F.coalesce(F.col("line"), _json_string(F.col("pin_key"))), F.lit("}"))
+    pins = (numbered.withColumn("_one", F.lit(1)).join(count, "_one")
+                    .select("line_no", F.concat(body, F.when(F.col("line_no") < F.col("_n"), F.lit(","))
+                                                .otherwise(F.lit(""))).alias("text")))
+    sources_json = ",".join('"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"' for s in sources)
+    head = (f'{{"format":"logspark-investigation-v1","created_at":{int(created_at_ms)},'
+            f'"sources":[{sources_json}],"filter":{filter_json},"pins":[')
+    edges = spark.createDataFrame([(0, head)], "line_no long, text string").unionByName(
+        count.select((F.col("_n") + 1).alias("line_no"), F.lit("]}").alias("text")))
+    return edges.unionByName(pins)

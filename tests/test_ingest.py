@@ -133,3 +133,17 @@ def test_promote_fields(spark):
     assert json.loads(r.fields) == {"peers": 3}
     lv = spark.createDataFrame([(" Warning ",), ("Information",), ("log",), ("odd",)], "l string")
     assert [x[0] for x in lv.select(JL.normalize_level("l", unknown="info")).collect()] == ["warn", "info", "info", "info"]
+
+
+def test_investigation_bundle_lines_form_one_document(spark):
+    df = frame(spark, [event(0), event(1, message='quote " and \\n'), event(2)])
+    keys = df.where("event_id in (1, 2)").select(EX.event_fingerprint().alias("pin_key"))
+    pins = keys.withColumn("note", F.lit("see")).unionByName(
+        spark.createDataFrame([("ffffffffffffffff", "lost one")], "pin_key string, note string"))
+    located = PN.locate_pins(pins, df)
+    lines = EX.investigation_bundle(located, df, ["a.jsonl"], '{"text":""}', 5)
+    doc = json.loads("".join(r.text for r in lines.orderBy("line_no").collect()))
+    assert doc["format"] == "logspark-investigation-v1" and doc["sources"] == ["a.jsonl"]
+    assert [p["note"] for p in doc["pins"]] == ["lost one", "see", "see"]
+    assert doc["pins"][0]["event"] == "ffffffffffffffff"
+    assert doc["pins"][1]["event"]["message"] == 'quote " and \\n'
