@@ -1007,10 +1007,13 @@ def _await(query) -> None:
 @register("stream_session_summaries", ORACLE["session_summaries"])
 def q_stream_session_summaries(spark, sf_dir):
     """T3 + S6: running run summaries over micro-batches equal the batch summaries."""
-    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
-    out = scratch_path(spark, "stream-sessions")
-    _await(ST.run_aggregate_to_table(ST.stream_session_summaries(events), out, scratch_path(spark, "ckpt")))
-    s = spark.read.parquet(out)
+    land = _landing_events(spark, sf_dir)
+    out, pairs = scratch_path(spark, "stream-sessions"), scratch_path(spark, "stream-pairs")
+    _await(ST.run_aggregate_to_table(ST.stream_session_summaries(ST.stream_events(spark, land)), out,
+                                     scratch_path(spark, "ckpt")))
+    _await(ST.run_aggregate_to_table(ST.stream_session_correlations(ST.stream_events(spark, land)), pairs,
+                                     scratch_path(spark, "ckpt")))
+    s = ST.session_summary_table(spark.read.parquet(out), spark.read.parquet(pairs))
     return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"), _ms("last_timestamp").alias("last_ms"),
                     SE._elapsed_ms(F.col("first_timestamp"), F.col("last_timestamp")).alias("elapsed_ms"),
                     "event_count", "warning_count", "error_count",

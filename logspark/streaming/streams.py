@@ -99,9 +99,9 @@ def stream_to_sink(df: DataFrame, path: str, checkpoint_dir: str, fmt: str = "pa
 def stream_session_summaries(events: DataFrame) -> DataFrame:
     """Running A5 summaries (order-insensitive: min / max / counts / max_by ties by id).
 
-    Distinct correlations are kept as a set per run in state (a streaming aggregate cannot
-    count distinct otherwise); bound it with ``with_event_watermark`` if runs are endless."""
-    corr = C.correlation()
+    Distinct correlations are NOT kept as a set in the run's state row: they are a second
+    streaming aggregate keyed by (run, correlation) (``stream_session_correlations``), so
+    state is spread by key; ``session_summary_table`` joins the two when reading."""
     st = C.status_text()
     return (events.groupBy(SE.SESSION).agg(
                 F.min("timestamp").alias("first_timestamp"),
@@ -110,10 +110,22 @@ def stream_session_summaries(events: DataFrame) -> DataFrame:
                 F.count_if(F.col("level") == "warn").alias("warning_count"),
                 F.count_if(C.is_error()).alias("error_count"),
                 F.collect_set(F.when(F.col("provider") != "", F.col("provider"))).alias("_providers"),
-                F.collect_set(F.when((corr != F.col(SE.SESSION)) & (corr != ""), corr)).alias("_corr"),
                 F.max_by(st, F.when(st != "-", F.struct(F.col("timestamp"), F.col("event_id")))).alias("status"))
-              .withColumns({"providers": F.array_sort("_providers"), "correlation_count": F.size("_corr")})
-              .drop("_providers", "_corr"))
+              .withColumn("providers", F.array_sort("_providers")).drop("_providers"))
+
+
+def stream_session_correlations(events: DataFrame) -> DataFrame:
+    """Distinct (run, correlation) pairs other than the run id itself and ''."""
+    corr = C.correlation()
+    return (events.where((corr != F.col(SE.SESSION)) & (corr != ""))
+                  .groupBy(SE.SESSION, corr.alias("correlation")).agg(F.count(F.lit(1)).alias("events")))
+
+
+def session_summary_table(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Current run summaries with their distinct-correlation counts."""
+    counts = pairs.groupBy(SE.SESSION).agg(F.count(F.lit(1)).alias("correlation_count"))
+    return (summaries.join(counts, SE.SESSION, "left")
+                     .withColumn("correlation_count", F.coalesce(F.col("correlation_count"), F.lit(0))))
 
 
 def stream_facet_counts(events: DataFrame, state: FI.FilterState | None = None) -> DataFrame:

@@ -16,14 +16,20 @@ def _scratch():
 
 def test_stream_summaries_equal_batch(spark):
     rows = [event(i, app_session_id=f"r{i % 3}", level="error" if i % 4 == 0 else "info",
+                  request_id=f"q{i % 5}" if i % 3 else None,
                   status='"s%d"' % i, provider="p" if i % 2 else None) for i in range(40)]
     df = frame(spark, rows)
     land, out, ck = _scratch(), _scratch(), _scratch()
     df.repartition(4).write.mode("overwrite").parquet(os.path.join(land, "in"))
     stream = ST.stream_events(spark, os.path.join(land, "in"))
     ST.run_aggregate_to_table(ST.stream_session_summaries(stream), os.path.join(out, "t"), ck).awaitTermination()
+    stream2 = ST.stream_events(spark, os.path.join(land, "in"))
+    ST.run_aggregate_to_table(ST.stream_session_correlations(stream2), os.path.join(out, "p"),
+                              _scratch()).awaitTermination()
+    table = ST.session_summary_table(spark.read.parquet(os.path.join(out, "t")),
+                                     spark.read.parquet(os.path.join(out, "p")))
     got = {r.app_session_id: (r.event_count, r.error_count, r.status, r.correlation_count)
-           for r in spark.read.parquet(os.path.join(out, "t")).collect()}
+           for r in table.collect()}
     want = {r.app_session_id: (r.event_count, r.error_count, r.status, r.correlation_count)
             for r in SE.session_summaries(df).collect()}
     assert got == want
