@@ -34,6 +34,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # event times are UTC instants; the tables store naive UTC wall-clock times, so the
+    # session must read and render them in UTC
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
