@@ -228,10 +228,12 @@ def infer_subsystem(message="message") -> Column:
 
 # ---------------------------------------------------------------- P17 / P18 text
 DEFAULT_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS xxx"
-# Fixed presets of the display (date+time, time only, US 12-hour), in Spark pattern syntax.
+# Fixed presets of the display (full, date + time, time only, US 12-hour), in Spark
+# pattern syntax: %Y-%m-%d %H:%M:%S%.3f %:z, %d/%m/%Y %H:%M:%S, %H:%M:%S%.3f,
+# %m/%d/%Y %I:%M:%S %p.
 TIMESTAMP_PRESETS = {
     "default": "yyyy-MM-dd HH:mm:ss.SSS xxx",
-    "date_time": "yyyy-MM-dd HH:mm:ss",
+    "date_time": "dd/MM/yyyy HH:mm:ss",
     "time": "HH:mm:ss.SSS",
     "us_12h": "MM/dd/yyyy hh:mm:ss a",
 }

@@ -718,13 +718,16 @@ def q_infer_subsystem(spark, sf_dir):
 
 @register("timestamp_text", EV + """
 SELECT event_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%g') || ' +00:00' AS default_text,
-  strftime("timestamp", '%H:%M:%S.%g') AS time_text FROM ev
+  strftime("timestamp", '%H:%M:%S.%g') AS time_text, strftime("timestamp", '%d/%m/%Y %H:%M:%S') AS date_time_text,
+  strftime("timestamp", '%m/%d/%Y %I:%M:%S %p') AS us_text FROM ev
 """)
 def q_timestamp_text(spark, sf_dir):
-    """Default and time-only renderings in UTC."""
+    """The display presets (full, time only, date + time, US 12-hour) in UTC."""
     ev = T.load_events(spark, sf_dir)
     return ev.select("event_id", C.timestamp_text("timestamp").alias("default_text"),
-                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["time"]).alias("time_text"))
+                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["time"]).alias("time_text"),
+                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["date_time"]).alias("date_time_text"),
+                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["us_12h"]).alias("us_text"))
 
 
 @register("field_paths", EV + """

@@ -67,3 +67,11 @@ def test_console_detail(spark):
 def test_infer_subsystem(spark):
     df = spark.createDataFrame([("[Player Core] x",), ("no prefix",), ("[---] y",)], "message string")
     assert [r[0] for r in df.select(C.infer_subsystem()).collect()] == ["player_core", "renderer", "_"]
+
+
+def test_timestamp_text_in_another_zone(spark):
+    df = frame(spark, [event(0)])
+    row = df.select(C.timestamp_text("timestamp", tz="Asia/Kolkata").alias("t"),
+                    C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["us_12h"]).alias("u")).first()
+    assert row.t == "2024-01-01 05:30:00.000 +05:30"
+    assert row.u == "01/01/2024 12:00:00 AM"
