@@ -101,3 +101,18 @@ def test_top_values_and_value_search(spark):
     top = FA.top_facet_values(counts.where("facet = 'source'"), n=2)
     assert [r.value for r in top.orderBy("rank").collect()] == ["s0", "s1"]
     assert [r.value for r in FA.facet_value_search(counts.where("facet = 'source'"), "S2").collect()] == ["s2"]
+
+
+def test_incremental_search_and_saved_filters(spark):
+    from logspark.operators import saved as SV
+    df = frame(spark, [event(i, message="cache miss" if i % 2 else "cache hit", level="error" if i == 3 else "info")
+                       for i in range(6)])
+    assert ids(FI.search_since(df, "miss", 2)) == [3, 5]
+    res = {r.name: r for r in SV.evaluate_saved_filters(df, {
+        "errors": FI.FilterState(minimum_level="error"),
+        "hits": FI.FilterState(text="hit"),
+        "bad": FI.FilterState(predicates=[("nope", "=", "1")]),
+    }).collect()}
+    assert (res["errors"].hits, res["errors"].first_event_id) == (1, 3)
+    assert (res["hits"].hits, res["hits"].first_event_id, res["hits"].last_event_id) == (3, 0, 4)
+    assert res["bad"].hits == 0 and "Unknown field" in res["bad"].errors

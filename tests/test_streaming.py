@@ -66,3 +66,20 @@ def test_stream_validate_side_reports(spark):
     assert r.count() == 3 and {x.line_number for x in r.collect()} == {2}
     h = spark.read.parquet(health).agg(F.sum("valid"), F.sum("invalid")).first()
     assert tuple(h) == (6, 3)
+
+
+def test_keep_latest_paused_then_resumed(spark):
+    land = _scratch()
+    for part in range(3):
+        frame(spark, [event(part * 3 + i) for i in range(3)]).coalesce(1).write.parquet(os.path.join(land, "in", f"p{part}"))
+    table = os.path.join(_scratch(), "t")
+    ck = _scratch()
+    # paused: nothing is trimmed while batches arrive
+    ST.stream_keep_latest(ST.stream_events(spark, os.path.join(land, "in", "p0")), 2, table, ck,
+                          paused=True).awaitTermination()
+    assert ST.latest_table(spark, table).count() == 3
+    # resumed: the next merge catches up to the newest n
+    table2 = os.path.join(_scratch(), "t")
+    ST.stream_keep_latest(ST.stream_events(spark, os.path.join(land, "in", "*")), 2, table2,
+                          _scratch()).awaitTermination()
+    assert sorted(r.event_id for r in ST.latest_table(spark, table2).collect()) == [7, 8]
