@@ -283,9 +283,9 @@ _EVENT_SUMMARY_SQL = f"""
 SELECT app_session_id, event, count(*) AS count,
   count(*) FILTER (WHERE level = 'warn') AS warning_count,
   count(*) FILTER (WHERE level IN ('error', 'fatal')) AS error_count,
-  coalesce(sum(duration_ms), 0.0) AS duration_total_ms, count(duration_ms) AS duration_count,
+  round(coalesce(sum(duration_ms), 0.0), 6) AS duration_total_ms, count(duration_ms) AS duration_count,
   max(duration_ms) AS max_duration_ms,
-  CASE WHEN count(duration_ms) > 0 THEN sum(duration_ms) / count(duration_ms) END AS average_duration_ms,
+  round(CASE WHEN count(duration_ms) > 0 THEN sum(duration_ms) / count(duration_ms) END, 6) AS average_duration_ms,
   {_LAST_STATUS_SQL} AS status
 FROM b"""
 
@@ -293,9 +293,11 @@ FROM b"""
 @register("session_event_summaries", EV + _SESS_BASE + _EVENT_SUMMARY_SQL + " GROUP BY app_session_id, event")
 def q_session_event_summaries(spark, sf_dir):
     """Per (run, event) counts, durations and last status."""
+    # sums of doubles are rounded to 6 decimals so engines with other summation orders agree
     return SE.session_event_summaries(T.load_events(spark, sf_dir)).select(
-        "app_session_id", "event", "count", "warning_count", "error_count", "duration_total_ms",
-        "duration_count", "max_duration_ms", "average_duration_ms", "status")
+        "app_session_id", "event", "count", "warning_count", "error_count",
+        F.round("duration_total_ms", 6).alias("duration_total_ms"), "duration_count", "max_duration_ms",
+        F.round("average_duration_ms", 6).alias("average_duration_ms"), "status")
 
 
 def _compare_sql(base: str, run_a: str, run_b: str) -> str:
@@ -328,15 +330,20 @@ FROM j
 @register("compare_sessions", _compare_sql(EV, RUN_A, RUN_B))
 def q_compare_sessions(spark, sf_dir):
     """J2 + O5: two runs matched on event name, differing rows first."""
-    return SE.compare_sessions(T.load_events(spark, sf_dir), RUN_A, RUN_B).drop(
-        "missing_side", "error_delta", "count_delta")
+    return _rounded_compare(SE.compare_sessions(T.load_events(spark, sf_dir), RUN_A, RUN_B))
 
 
 @register("compare_conversations", _compare_sql(CONV, "conv-0", "conv-1"))
 def q_compare_conversations(spark, sf_dir):
     """J2 over two conversation runs (turn roles as event names)."""
-    return SE.compare_sessions(T.load_conversations(spark, sf_dir), "conv-0", "conv-1").drop(
-        "missing_side", "error_delta", "count_delta")
+    return _rounded_compare(SE.compare_sessions(T.load_conversations(spark, sf_dir), "conv-0", "conv-1"))
+
+
+def _rounded_compare(cmp):
+    """Comparison rows with averaged durations rounded to 6 decimals (engine-independent)."""
+    return (cmp.drop("missing_side", "error_delta", "count_delta")
+               .withColumns({"average_duration_a": F.round("average_duration_a", 6),
+                             "average_duration_b": F.round("average_duration_b", 6)}))
 
 
 @register("run_comparison_totals", EV + _SESS_BASE + f""",
