@@ -606,7 +606,7 @@ def q_rejected_records(spark, sf_dir):
 
 
 @register("ingest_report", LINES + """
-SELECT file_name, sum(strlen(value) + 1) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
+SELECT file_name, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
   count(*) FILTER (WHERE reason IS NOT NULL) AS invalid,
   arg_max(reason, line_number) FILTER (WHERE reason IS NOT NULL) AS last_error
 FROM parsed GROUP BY file_name
@@ -835,7 +835,7 @@ def q_discover_field_facets(spark, sf_dir):
 
 @register("logging_loss_report", EV + """
 SELECT source, app_session_id, event, count(*) AS reports,
-  coalesce(sum(TRY_CAST(json_extract_string(fields, '$.count') AS BIGINT)), 0) AS lost
+  CAST(coalesce(sum(TRY_CAST(json_extract_string(fields, '$.count') AS BIGINT)), 0) AS BIGINT) AS lost
 FROM ev WHERE event IN ('logger.events_dropped', 'logger.events_rejected') GROUP BY source, app_session_id, event
 """)
 def q_logging_loss_report(spark, sf_dir):
@@ -1092,7 +1092,7 @@ def _source_of(path_col):
 
 
 @register("scan_event_logs", LINES + """
-SELECT file_name, sum(strlen(value) + 1) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
+SELECT file_name, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes, count(*) FILTER (WHERE reason IS NULL) AS valid,
   count(*) FILTER (WHERE reason IS NOT NULL) AS invalid,
   arg_max(reason, line_number) FILTER (WHERE reason IS NOT NULL) AS last_error
 FROM parsed GROUP BY file_name
