@@ -47,7 +47,8 @@ def severity(level="level") -> Column:
 
 
 def level_at_least(minimum: str, level="level") -> Column:
-    return F.coalesce(severity(level) >= F.lit(LEVELS.index(minimum)), F.lit(False))
+    """severity >= minimum, written as ``level IN (...)`` so it reaches the Parquet scan."""
+    return _c(level).isin(*LEVELS[LEVELS.index(minimum):])
 
 
 def is_error(level="level") -> Column:

@@ -65,8 +65,25 @@ def facet_value(facet: str) -> Column:
 
 
 # ------------------------------------------------------------------ F1 facets
+PLAIN_FACETS = {"level", "source", "subsystem", "event", "app_session_id"}
+
+
 def facet_condition(facet: str, include: list, exclude: list, value: Column | None = None) -> Column:
-    """Included values OR-ed, excluded removed; a row lacking the facet passes excludes."""
+    """Included values OR-ed, excluded removed; a row lacking the facet passes excludes.
+
+    Facets stored as plain columns are written as ``col IN (...)`` / ``col IS NULL OR NOT
+    col IN (...)`` (an optional column contributes nothing when empty, so ``''`` is dropped
+    from the value lists), which Parquet filter pushdown can use."""
+    if value is None and (facet in PLAIN_FACETS or facet in OPTIONAL_FACETS):
+        col = F.col(facet)
+        inc = [x for x in include if facet in PLAIN_FACETS or x != ""]
+        exc = [x for x in exclude if facet in PLAIN_FACETS or x != ""]
+        cond = F.lit(True)
+        if include:
+            cond = cond & (col.isin(inc) if inc else F.lit(False))
+        if exc:
+            cond = cond & (col.isNull() | ~col.isin(exc))
+        return cond
     v = facet_value(facet) if value is None else value
     cond = F.lit(True)
     if include:
