@@ -29,7 +29,7 @@ def _without_facets(state: FilterState) -> FilterState:
 def facet_pairs(df: DataFrame, facets: list[str] | None = None, include_fields: bool = True) -> Column:
     """ARRAY<STRUCT<facet, value>> of the values a row contributes (A3), NULL values dropped."""
     names = facets if facets is not None else INDEXED_FACETS
-    fixed = [F.struct(F.lit(f).alias("facet"), facet_value(f).alias("value")) for f in names
+    fixed = [F.struct(F.lit(f).alias("facet"), facet_value(f, tuple(df.columns)).alias("value")) for f in names
              if not f.startswith("fields.")]
     arr = F.array(*fixed) if fixed else F.array().cast("array<struct<facet:string,value:string>>")
     if include_fields:
@@ -55,11 +55,14 @@ def facet_counts_all(df: DataFrame, state: FilterState | None = None,
                      facets: list[str] | None = None, ordered: bool = True) -> DataFrame:
     """A2: (facet, value, count) under every filter except the facet's own selection."""
     state = state or FilterState()
-    base = df.where(filter_column(_without_facets(state)))
+    stored = tuple(df.columns)
+    base = df.where(filter_column(_without_facets(state), stored=stored))
     active = state.active_facets()
     if active:
-        fails = F.filter(F.array(*[F.when(~facet_condition(f, *state.selection(f)), F.lit(f))
-                                   for f in active]), lambda x: x.isNotNull())
+        def fails_facet(f):
+            value = F.col(f) if f in ("tag", "correlation") and f in stored else None
+            return ~facet_condition(f, *state.selection(f), value=value)
+        fails = F.filter(F.array(*[F.when(fails_facet(f), F.lit(f)) for f in active]), lambda x: x.isNotNull())
     else:
         fails = F.array().cast("array<string>")
     rows = base.select(fails.alias("_fails"), *[c for c in df.columns])

@@ -49,8 +49,11 @@ class FilterState:
 OPTIONAL_FACETS = {"target", "provider", "playback_session_id", "request_id", "session_id"}
 
 
-def facet_value(facet: str) -> Column:
-    """The value a row contributes to ``facet`` (NULL when it contributes none)."""
+def facet_value(facet: str, stored=()) -> Column:
+    """The value a row contributes to ``facet`` (NULL when it contributes none); derived
+    facets use the stored column when ``stored`` (the frame's columns) has it."""
+    if facet in ("tag", "correlation") and facet in stored:
+        return F.col(facet)
     if facet == "tag":
         return C.tag()
     if facet == "correlation":
@@ -93,12 +96,13 @@ def facet_condition(facet: str, include: list, exclude: list, value: Column | No
     return cond
 
 
-def facets_column(state: FilterState, ignored_facet: str | None = None) -> Column:
+def facets_column(state: FilterState, ignored_facet: str | None = None, stored=()) -> Column:
     cond = F.lit(True)
     for facet in state.active_facets():
         if facet == ignored_facet:
             continue
-        cond = cond & facet_condition(facet, *state.selection(facet))
+        value = F.col(facet) if facet in ("tag", "correlation") and facet in stored else None
+        cond = cond & facet_condition(facet, *state.selection(facet), value=value)
     return cond
 
 
@@ -324,20 +328,25 @@ def search_column(text: str, fuzzy: bool = True, document: Column | None = None)
     return search_terms_column(doc, terms, fuzzy)
 
 
+def _stored_document(df: DataFrame) -> Column | None:
+    return F.col("search_document") if "search_document" in df.columns else None
+
+
 def search(df: DataFrame, text: str, fuzzy: bool = True) -> DataFrame:
-    """AND over terms against the event's search document."""
-    return df.where(search_column(text, fuzzy))
+    """AND over terms against the event's search document (the stored column when
+    the events come from the event store)."""
+    return df.where(search_column(text, fuzzy, _stored_document(df)))
 
 
 def search_since(df: DataFrame, text: str, after_event_id: int, fuzzy: bool = True) -> DataFrame:
     """search only rows ingested after a position (cheap id predicate first)."""
-    return df.where((F.col("event_id") > F.lit(after_event_id)) & search_column(text, fuzzy))
+    return df.where((F.col("event_id") > F.lit(after_event_id)) & search_column(text, fuzzy, _stored_document(df)))
 
 
 # ------------------------------------------------------------------ F9 / F10
-def filter_column(state: FilterState, ignored_facet: str | None = None) -> Column:
+def filter_column(state: FilterState, ignored_facet: str | None = None, stored=()) -> Column:
     """F1 AND F2 AND F3 AND F4 AND F7/F8 as one predicate (search last: most expensive)."""
-    cond = facets_column(state, ignored_facet)
+    cond = facets_column(state, ignored_facet, stored)
     if state.minimum_level:
         cond = cond & C.level_at_least(state.minimum_level)
     if state.correlation is not None:
@@ -345,12 +354,13 @@ def filter_column(state: FilterState, ignored_facet: str | None = None) -> Colum
     if state.predicates:
         cond = cond & predicates_column(state.predicates, state.now_ms)
     if state.text.strip():
-        cond = cond & search_column(state.text)
+        cond = cond & search_column(state.text, document=F.col("search_document")
+                                    if "search_document" in stored else None)
     return cond
 
 
 def apply_filter(df: DataFrame, state: FilterState) -> DataFrame:
-    return df.where(filter_column(state))
+    return df.where(filter_column(state, stored=tuple(df.columns)))
 
 
 def view_session(session_id: str) -> FilterState:

@@ -1138,3 +1138,19 @@ def q_elapsed_text(spark, sf_dir):
     """Unsigned run durations as text (``n ms``, ``s.s s``, ``Mm SSs``)."""
     s = SE.session_summaries(T.load_events(spark, sf_dir))
     return s.select("app_session_id", "elapsed_ms", C.elapsed_text(F.col("elapsed_ms")).alias("elapsed_text"))
+
+
+# ---------------------------------------------------------------- event store (S2 output layout)
+from logspark.sources import store as SS  # noqa: E402
+
+
+@register("event_store_search", _doc_sql("WITH " + O.EV_BASE.strip()) + f"""
+SELECT event_id FROM docs WHERE source = 'src0' AND level IN ('warn', 'error', 'fatal') AND {_term_sql('refused')}
+""")
+def q_event_store_search(spark, sf_dir):
+    """Events written once to the partitioned store (derived columns materialised), then a
+    facet + level + search filter read back with partition pruning and pushed filters."""
+    path = scratch_path(spark, "event-store")
+    SS.write_event_store(T.load_events(spark, sf_dir), path)
+    state = FI.FilterState(facets={"source": {"include": ["src0"]}}, minimum_level="warn", text="refused")
+    return FI.apply_filter(SS.read_event_store(spark, path), state).select("event_id")
