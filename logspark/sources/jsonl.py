@@ -82,16 +82,15 @@ def with_row_numbers(df: DataFrame, order_cols: list[str], name: str = "event_id
 
     Range partitioning spreads even one huge group over many tasks; each task numbers its
     rows locally and a small per-(task, group) count table supplies the offsets. The order
-    keys must be unique (ties would be numbered in an arbitrary order).
+    keys must be unique: that makes every recomputation number the rows the same way.
     """
     within = list(within or [])
     keys = [*within, *order_cols]
-    shared_dir(df.sparkSession)
-    # one reliable checkpoint: the input is evaluated once, and the per-task positions
-    # stay the same however often the two branches below (or a lost task) re-read them
+    # Both branches below read the same range-partitioned shuffle (identical exchanges are
+    # reused) and sort each partition by the unique keys, so the per-task positions are
+    # the same in both, and again if a lost task is recomputed; no extra copy is written.
     ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-                .checkpoint(eager=True))
+                .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     counts = ranged.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
