@@ -1154,3 +1154,25 @@ def q_event_store_search(spark, sf_dir):
     SS.write_event_store(T.load_events(spark, sf_dir), path)
     state = FI.FilterState(facets={"source": {"include": ["src0"]}}, minimum_level="warn", text="refused")
     return FI.apply_filter(SS.read_event_store(spark, path), state).select("event_id")
+
+
+@register("order_latest", EV + """
+SELECT event_id, row_number() OVER (ORDER BY event_id) AS position FROM ev WHERE level IN ('error', 'fatal')
+""")
+def q_order_latest(spark, sf_dir):
+    """O3: an error view with the newest rows at the bottom, numbered in display order."""
+    view = FI.apply_filter(T.load_events(spark, sf_dir), FI.FilterState(minimum_level="error"))
+    ordered = NV.order_latest(view, "bottom").select("event_id")
+    return JL.with_row_numbers(ordered, ["event_id"], name="position", start=1)
+
+
+@register("stream_watermarked_filter", ORACLE["filter_events"])
+def q_stream_watermarked_filter(spark, sf_dir):
+    """T7 + T2: a stream with an event-time watermark; a stateless filter keeps every row,
+    late or not (the watermark only bounds state of time-keyed operators)."""
+    state = FI.FilterState(facets={"tag": {"include": ["Purchase", "Error"]}, "source": {"exclude": ["src1"]}},
+                           minimum_level="warn", predicates=[("duration_ms", ">", "50")])
+    events = ST.with_event_watermark(ST.stream_events(spark, _landing_events(spark, sf_dir)), "1 day")
+    out = scratch_path(spark, "stream-watermark")
+    _await(ST.stream_to_sink(ST.stream_filter(events, state), out, scratch_path(spark, "ckpt")))
+    return spark.read.parquet(out).select("event_id")
