@@ -180,8 +180,7 @@ def event_lines(events: DataFrame) -> DataFrame:
     ts_json = F.when((k >= 10) & (k < 30),
                      F.concat(F.lit('"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z"'))
                      ).otherwise(ts_ms.cast("string"))
-    app = F.when((k >= 30) & (k < 40) & F.col("app_session_id").rlike("^[0-9]+$"), F.col("app_session_id")) \
-        .otherwise(_jstr(F.col("app_session_id")))
+    app = _jstr(F.col("app_session_id"))
 
     def opt(name, value):
         return F.when(value.isNotNull(), F.concat(F.lit(f', "{name}": '), value)).otherwise(F.lit(""))
