@@ -74,12 +74,11 @@ def keep_latest(df: DataFrame, n: int = 250_000, bucket_size: int = 1 << 16) ->
     hist = hist.withColumn("_newer", F.coalesce(F.sum("_cnt").over(newer), F.lit(0)))
     kept = hist.where(F.col("_newer") < n).select(
         "_b", F.least(F.col("_cnt"), F.lit(n) - F.col("_newer")).alias("_quota"), "_cnt")
+    # rows of the kept blocks: at most n plus one block; each block is ranked on its own
     rows = df.withColumn("_b", blk).join(kept, "_b")
-    whole = rows.where(F.col("_quota") == F.col("_cnt"))
-    edge = rows.where(F.col("_quota") < F.col("_cnt"))
-    ranked = edge.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_b").orderBy(F.col("event_id").desc()))).where(F.col("_r") <= F.col("_quota"))
-    return whole.unionByName(ranked.drop("_r")).drop("_b", "_quota", "_cnt")
+    ranked = rows.withColumn("_r", F.row_number().over(
+        Window.partitionBy("_b").orderBy(F.col("event_id").desc())))
+    return ranked.where(F.col("_r") <= F.col("_quota")).drop("_b", "_quota", "_cnt", "_r")
 
 
 def retention_report(df: DataFrame, n: int = 250_000) -> DataFrame:
