@@ -1019,10 +1019,13 @@ def q_stream_session_summaries(spark, sf_dir):
     """T3 + S6: running run summaries over micro-batches equal the batch summaries."""
     land = _landing_events(spark, sf_dir)
     out, pairs = scratch_path(spark, "stream-sessions"), scratch_path(spark, "stream-pairs")
-    _await(ST.run_aggregate_to_table(ST.stream_session_summaries(ST.stream_events(spark, land)), out,
-                                     scratch_path(spark, "ckpt")))
-    _await(ST.run_aggregate_to_table(ST.stream_session_correlations(ST.stream_events(spark, land)), pairs,
-                                     scratch_path(spark, "ckpt")))
+    # the two streaming aggregates are independent: run them side by side
+    running = [ST.run_aggregate_to_table(ST.stream_session_summaries(ST.stream_events(spark, land)), out,
+                                         scratch_path(spark, "ckpt")),
+               ST.run_aggregate_to_table(ST.stream_session_correlations(ST.stream_events(spark, land)), pairs,
+                                         scratch_path(spark, "ckpt"))]
+    for q in running:
+        _await(q)
     s = ST.session_summary_table(spark.read.parquet(out), spark.read.parquet(pairs))
     return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"), _ms("last_timestamp").alias("last_ms"),
                     SE._elapsed_ms(F.col("first_timestamp"), F.col("last_timestamp")).alias("elapsed_ms"),
