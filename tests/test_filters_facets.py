@@ -116,3 +116,15 @@ def test_incremental_search_and_saved_filters(spark):
     assert (res["errors"].hits, res["errors"].first_event_id) == (1, 3)
     assert (res["hits"].hits, res["hits"].first_event_id, res["hits"].last_event_id) == (3, 0, 4)
     assert res["bad"].hits == 0 and "Unknown field" in res["bad"].errors
+
+
+def test_field_facet_selection_and_counts(spark):
+    df = frame(spark, [event(0, fields='{"region": "eu", "n": 1}'), event(1, fields='{"region": "us"}'),
+                       event(2, fields='{"nested": {"region": "eu"}}')])
+    st = FI.FilterState(facets={"fields.region": {"include": ["eu"]}})
+    assert ids(FI.apply_filter(df, st)) == [0]
+    counts = {(r.facet, r.value): r["count"] for r in FA.facet_counts_all(df, st).collect()}
+    assert counts[("fields.region", "eu")] == 1 and counts[("fields.region", "us")] == 1  # own selection ignored
+    assert counts[("fields.n", "1")] == 1 and ("fields.nested", None) not in counts
+    exc = FI.FilterState(facets={"fields.region": {"exclude": ["eu"]}})
+    assert ids(FI.apply_filter(df, exc)) == [1, 2]  # lacking the facet passes an exclude

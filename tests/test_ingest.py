@@ -147,3 +147,24 @@ def test_investigation_bundle_lines_form_one_document(spark):
     assert [p["note"] for p in doc["pins"]] == ["lost one", "see", "see"]
     assert doc["pins"][0]["event"] == "ffffffffffffffff"
     assert doc["pins"][1]["event"]["message"] == 'quote " and \\n'
+
+
+def test_line_numbers_when_files_split_across_tasks(spark):
+    d = tempfile.mkdtemp(prefix="logspark-split-")
+    with open(os.path.join(d, "big.jsonl"), "w") as f:
+        for i in range(1, 20001):
+            f.write(line(message=f"line {i}") + "\n")
+            if i % 997 == 0:
+                f.write("   \n")  # whitespace-only lines are skipped but still counted
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        lines = JL.read_event_logs(spark, [d])
+        assert lines.rdd.getNumPartitions() > 10
+        rows = lines.select("line_number", F.get_json_object("value", "$.message").alias("m")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {r.line_number: int(r.m.split()[1]) for r in rows}
+    assert len(got) == 20000
+    # physical line number = content number + blank lines written before it
+    assert all(n == i + (i - 1) // 997 for n, i in got.items())

@@ -87,3 +87,10 @@ def test_keep_latest_histogram_path_matches_direct(spark):
     want = sorted(r.event_id for r in df.orderBy(F.col("event_id").desc()).limit(25000).collect())
     got = sorted(r.event_id for r in NV.keep_latest(df, 25000, bucket_size=1000).collect())
     assert got == want
+
+
+def test_error_navigation_over_the_whole_view(spark):
+    rows = [event(i, app_session_id=f"r{i % 2}", level="error" if i in (3, 6) else "info") for i in range(8)]
+    got = {r.event_id: (r.next_error_id, r.previous_error_id)
+           for r in NV.error_neighbours(frame(spark, rows), partition_cols=(), block_size=2).collect()}
+    assert got[0] == (3, 6) and got[3] == (6, 6) and got[4] == (6, 3) and got[7] == (3, 6)
