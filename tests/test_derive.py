@@ -75,3 +75,22 @@ def test_timestamp_text_in_another_zone(spark):
                     C.timestamp_text("timestamp", C.TIMESTAMP_PRESETS["us_12h"]).alias("u")).first()
     assert row.t == "2024-01-01 05:30:00.000 +05:30"
     assert row.u == "01/01/2024 12:00:00 AM"
+
+
+def test_message_tone_rules(spark):
+    from logspark.functions import tones as TN
+    df = spark.createDataFrame([
+        (0, "Item NOT_found; retry later"),       # priority + separator run + case
+        (1, "errors happened, but found it"),     # 'errors' is not a word match; 'found' is
+        (2, "timed-out/then-completed"),          # separators inside and between phrases
+        (3, "connection refused"),                # longer phrase wins over 'connected'? no: exact words
+        (4, "ÉRROR is not ascii-folded"),         # non-ASCII letters are not case-folded
+    ], "event_id long, message string")
+    hits = {}
+    for r in TN.message_tones(df).orderBy("event_id", "position").collect():
+        hits.setdefault(r.event_id, []).append((r.phrase, r.tone))
+    assert hits[0] == [("not found", "negative"), ("retry", "warning")]
+    assert hits[1] == [("found", "positive")]
+    assert hits[2] == [("timed out", "negative"), ("completed", "positive")]
+    assert hits[3] == [("connection refused", "negative")]
+    assert 4 not in hits
