@@ -128,3 +128,19 @@ def test_field_facet_selection_and_counts(spark):
     assert counts[("fields.n", "1")] == 1 and ("fields.nested", None) not in counts
     exc = FI.FilterState(facets={"fields.region": {"exclude": ["eu"]}})
     assert ids(FI.apply_filter(df, exc)) == [1, 2]  # lacking the facet passes an exclude
+
+
+def test_predicates_on_derived_and_numeric_text(spark):
+    df = frame(spark, [event(0, message="[Cache] miss", request_id="r-1", fields='{"v": "12.50", "w": 0.1}'),
+                       event(1, message="plain", subsystem="net.remote", fields='{"v": "abc", "w": 0.3}')])
+    def q(*preds):
+        return ids(FI.where_predicates(df, list(preds)))
+    assert q(("tag", "=", "cache")) == [0]            # derived tag, ASCII case-insensitive
+    assert q(("tag", "=", "Net")) == [1]
+    assert q(("correlation", "=", "r-1")) == [0]
+    assert q(("schema_version", "=", "1")) == [0, 1]
+    assert q(("fields.v", ">", "12")) == [0]          # numeric text compared as a number
+    assert q(("fields.v", "!=", "5")) == [0, 1]       # '!=' on a text field: text comparison
+    assert q(("fields.v", "<", "100")) == [0]         # number literal: unparsable 'abc' -> false
+    assert q(("fields.w", "=", "0.1")) == [0]         # equality within f64 epsilon
+    assert q(("Level", "=", "INFO")) == [0, 1]        # field names are case-insensitive
