@@ -83,3 +83,17 @@ def test_keep_latest_paused_then_resumed(spark):
     ST.stream_keep_latest(ST.stream_events(spark, os.path.join(land, "in", "*")), 2, table2,
                           _scratch()).awaitTermination()
     assert sorted(r.event_id for r in ST.latest_table(spark, table2).collect()) == [7, 8]
+
+
+def test_repeat_group_merge_rule(spark):
+    from logspark.functions import columns as C
+    key = ["app", "core", "tick", "", "boom", ""]
+    cols = ", ".join([f"{c} string" for c in C.REPEAT_KEY_COLUMNS]
+                     + [f"{c} long" for c in ["repeat_count", "first_event_id", "latest_event_id", "previous_event_id"]])
+    old = spark.createDataFrame([tuple(key) + (3, 1, 9, 7)], cols)
+    new = spark.createDataFrame([tuple(key) + (2, 8, 12, 8)], cols)
+    single = spark.createDataFrame([tuple(key) + (1, 15, 15, None)], cols)
+    m = ST.merge_repeat_groups(old, new).first()
+    assert (m.repeat_count, m.first_event_id, m.latest_event_id, m.previous_event_id) == (5, 1, 12, 9)
+    m2 = ST.merge_repeat_groups(ST.merge_repeat_groups(old, new), single).first()
+    assert (m2.repeat_count, m2.latest_event_id, m2.previous_event_id) == (6, 15, 12)
