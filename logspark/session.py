@@ -43,17 +43,20 @@ def build_session(app: str = "logspark", cpus: str | int = "*", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) is a private folder created and
-    registered, so checkpoints and scratch tables always land where every executor sees them.
+    A private folder is made only for a local master that leaves the setting unset (tests);
+    on a cluster an unset folder is an error, since executors share no local disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = configured.get() if configured.isDefined() else None
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        configured = known.get() if known.isDefined() else None
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="logspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
