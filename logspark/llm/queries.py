@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import simhash_dedup
-from logspark.llm.common import table
+from logspark.llm import byte_bpe, line_dedup, mixing, quality, simhash_dedup
+from logspark.llm.common import table, text_of
+
+#: Folder of the vocabulary files; by default where the public package keeps them.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
+
+
+def byte_bpe_tokenizer(spark: SparkSession, folder: str = TOKENIZERS) -> byte_bpe.Tokenizer:
+    return byte_bpe.Tokenizer(spark, os.path.join(folder, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +27,66 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"))
 
 
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of whole ``documents`` texts and the bytes decoded from them, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    done = docs.select("doc_id", byte_bpe.round_trip_column(text_of(), byte_bpe_tokenizer(spark)).alias("r"))
+    return done.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression scores of all ``documents``, learnt from labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target-weighted mix of all ``documents`` in curriculum order."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy duplicate lines of all ``documents``: what each loses and which documents keep the lines."""
+    rows = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").alias("n_dropped"), "dropped", "kept_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op4_byte_bpe": byte_bpe_round_trip,
+    "op7_quality_classifier": quality_classifier,
+    "op8_source_mixing": source_mixing,
+    "op10_line_dedup": line_dedup_report,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_source_mixing": """
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                 md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+          FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        t AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS turn FROM s),
+        f AS (SELECT *, (turn + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM t),
+        r AS (SELECT *, cap / weight AS rim FROM f),
+        l AS (SELECT *, (sum(source_size) OVER ()
+                 - coalesce(sum(cap) OVER (ORDER BY rim, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY rim, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                 row_number() OVER (ORDER BY rim, source ASC NULLS LAST) AS nth FROM r),
+        g AS (SELECT *, least(cap, weight * (SELECT level FROM l WHERE level <= rim ORDER BY nth LIMIT 1)) AS target FROM l),
+        p AS (SELECT d.*, g.source_size, g.target, g.turn,
+                 coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                 CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS rounds
+              FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        c AS (SELECT *, rounds + CASE WHEN before + size / 2.0::DOUBLE < target - rounds * source_size THEN 1 ELSE 0 END AS copies,
+                 CASE WHEN target > 0 THEN before / target ELSE 0 END AS share FROM p)
+        SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+               CASE WHEN copies > 0 THEN round(CASE turn
+                 WHEN 0 THEN 2 * share / (1.5 + sqrt(2.25 - 2 * share))
+                 WHEN 1 THEN share
+                 ELSE CASE WHEN share * 3 < 1 THEN 2 * share * 3 / (1 + sqrt(1 + 8 * share * 3))
+                           ELSE 0.5 + 2 * (share * 3 - 1) / (3 + sqrt(9 + 8 * (share * 3 - 1))) END END, 6) END AS position
+        FROM c""",
+}

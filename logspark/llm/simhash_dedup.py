@@ -103,3 +103,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; all columns stay.
+
+    Rows that repeat the smallest id stay only once; a row without an id stays, as it can't be named.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(kept.where(F.col(id_col).isNull()))
