@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_TOKENS, MEMO_TOKENS = 1 << 16, 300_000
+BLOCK_TOKENS, MEMO_TOKENS = 1 << 16, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,34 +38,39 @@ class MinimalPerfectHash:
     sends its keys to free slots. A bucket of one key names its slot directly (negative).
     """
 
-    PER_BUCKET = 4
+    PER_BUCKET, TRIED_AT_ONCE = 2, 256
 
     def __init__(self, keys: list[bytes]):
         n = len(keys)
         self.buckets = max(1, n // self.PER_BUCKET)
         low, high, bucket = self._hash(keys)
-        members: dict[int, list[int]] = {}
-        for i, b in enumerate(bucket.tolist()):
-            members.setdefault(b, []).append(i)
-        free, self.displace = np.ones(n, bool), np.zeros(self.buckets, np.int64)
-        self.key_at = np.zeros(n, np.int64)
-        singles = []
-        for b, own in sorted(members.items(), key=lambda m: (-len(m[1]), m[0])):
+        by_bucket = np.argsort(bucket, kind="stable")
+        owners, first, counts = np.unique(bucket[by_bucket], return_index=True, return_counts=True)
+        free, self.displace, self.key_at = np.ones(n, bool), np.zeros(self.buckets, np.int64), np.zeros(n, np.int64)
+        for at in np.argsort(-counts, kind="stable").tolist():
+            b, own = int(owners[at]), by_bucket[first[at]:first[at] + counts[at]]
             if len(own) == 1:
-                singles.append((b, own[0]))
-                continue
-            d = 0
-            while True:
-                slots = (low[own] + np.uint64(d) * high[own]) % np.uint64(n)
-                if free[slots].all() and len(set(slots.tolist())) == len(own):
-                    break
-                d += 1
+                break
+            d, slots = self._place(low[own], high[own], free)
             free[slots], self.displace[b], self.key_at[slots] = False, d, own
-        for (b, i), slot in zip(singles, np.flatnonzero(free).tolist()):
-            self.displace[b], self.key_at[slot] = -slot - 1, i
+        alone = counts == 1
+        slots = np.flatnonzero(free)
+        self.displace[owners[alone].astype(np.int64)], self.key_at[slots] = -slots - 1, by_bucket[first[alone]]
         self.keys = np.empty(n, object)
         self.keys[:] = [keys[i] for i in self.key_at]
 
+    def _place(self, low: np.ndarray, high: np.ndarray, free: np.ndarray) -> tuple[int, np.ndarray]:
+        """The first displacement that puts these keys in different free slots, and the slots."""
+        start = 0
+        while True:
+            d = np.arange(start, start + self.TRIED_AT_ONCE, dtype=np.uint64)
+            slots = np.sort((low[:, None] + d * high[:, None]) % np.uint64(len(free)), axis=0)
+            fits = free[slots].all(axis=0) & (slots[1:] != slots[:-1]).all(axis=0)
+            if fits.any():
+                d = start + int(fits.argmax())
+                return d, ((low + np.uint64(d) * high) % np.uint64(len(free))).astype(np.int64)
+            start += self.TRIED_AT_ONCE
+
     def _hash(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
         mixed = h * np.uint64(0x9E3779B97F4A7C15)
@@ -84,48 +90,62 @@ class MinimalPerfectHash:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary; ids are ranks."""
+    """Encoder and decoder of one vocabulary; ids are ranks, below 65,536."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: MinimalPerfectHash | None = None):
         self.pattern, self.vocabulary = regex.compile(pattern), {r: t for t, r in ranks.items()}
-        tokens = list(ranks)
-        self.table, self.ids = MinimalPerfectHash(tokens), np.array([ranks[t] for t in tokens], np.int64)
+        self.table, self.ids = table or MinimalPerfectHash(list(ranks)), np.fromiter(ranks.values(), np.int64, len(ranks))
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.joined = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t))
-                       if t[:i] in ranks and t[i:] in ranks}
+        self.joined = {left << 16 | right: r for t, r in ranks.items() for i in range(1, len(t))
+                       if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None}
         self.memo: dict[str, bytes] = {}
 
     def merge(self, token: bytes) -> list[int]:
-        """Ids of a pre-token that is no entry: the pair of lowest rank, leftmost first, is joined next."""
-        ids, n = [self.single[b] for b in token], len(token)
+        """Ids of a pre-token that is no entry: the pair of lowest rank, leftmost first, is joined next.
+
+        The heap holds rank and place of a pair in one number; ``due`` has the rank that the
+        pair at a place has now, so that entries of pairs joined meanwhile are passed over.
+        """
+        joined, ids, n = self.joined.get, [self.single[b] for b in token], len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.joined.get((ids[i], ids[i + 1]))) is not None]
+        due = [joined(ids[i] << 16 | ids[i + 1], -1) for i in range(n - 1)]
+        due.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(due) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            rank, i, left, right = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            if due[i] != rank:
+                continue
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
-                continue  # one of the two has been joined meanwhile
-            ids[i], ids[j], k = rank, -1, after[j]
-            after[i] = k
+            k = after[i] = after[j]
+            ids[i], ids[j], due[j], due[i] = rank, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := self.joined.get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := self.joined.get((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
+                due[i] = r = joined(rank << 16 | ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0:
+                due[h] = r = joined(ids[h] << 16 | rank, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def _resolve(self, tokens: list[str]) -> None:
         data = [t.encode("utf-8", "surrogatepass") for t in tokens]
         for token, raw, at in zip(tokens, data, self.table.find(data).tolist()):
-            ids = self.ids[at:at + 1] if at >= 0 else self.merge(raw)
-            self.memo[token] = np.asarray(ids, "<u4").tobytes()
+            ids = [int(self.ids[at])] if at >= 0 else self.merge(raw)
+            self.memo[token] = struct.pack(f"<{len(ids)}I", *ids)
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids as little-endian unsigned 32-bit integers, in blocks of bounded length."""
-        matches = map(regex.Match.group, self.pattern.finditer(text))
-        while block := list(islice(matches, BLOCK_TOKENS)):
+        if len(text) <= BLOCK_TOKENS:
+            parts = iter([self.pattern.findall(text)] if text else [])
+        else:
+            matches = map(regex.Match.group, self.pattern.finditer(text))
+            parts = iter(lambda: list(islice(matches, BLOCK_TOKENS)), [])
+        for block in parts:
             if len(self.memo) > MEMO_TOKENS:
                 self.memo.clear()
             if new := list(set(block).difference(self.memo)):
@@ -140,22 +160,23 @@ class ByteBpe:
 
 
 class Tokenizer:
-    """A vocabulary file and pattern; its ranks are broadcast (they are fixed) and opened once in a worker."""
+    """A vocabulary file and pattern. The hash table is made once, on the driver, and broadcast with
+    the ranks: their size is the vocabulary's, whatever the input."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.ranks, self.pattern = spark.sparkContext.broadcast(tuple(read_ranks(path).items())), pattern
+        ranks = read_ranks(path)
+        self.ranks, self.pattern = spark.sparkContext.broadcast((ranks, MinimalPerfectHash(list(ranks)), path)), pattern
 
 
 _opened: dict[tuple, ByteBpe] = {}
 
 
 def _codec(ranks, pattern: str) -> ByteBpe:
-    value = ranks.value
-    key = (len(value), hash(value[-1]), hash(value[len(value) // 2]), pattern)
-    if key not in _opened:
+    """The worker's codec, kept from task to task for one vocabulary at a time."""
+    if (ranks.value[2], pattern) not in _opened:
         _opened.clear()
-        _opened[key] = ByteBpe(dict(value), pattern)
-    return _opened[key]
+        _opened[ranks.value[2], pattern] = ByteBpe(*ranks.value[:1], pattern, ranks.value[1])
+    return _opened[ranks.value[2], pattern]
 
 
 def encode_column(text: Column, tokenizer: Tokenizer) -> Column:
@@ -165,7 +186,7 @@ def encode_column(text: Column, tokenizer: Tokenizer) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern)
-        return pa.array([None if t is None else codec.encode(t).astype(np.int32) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array((None if t is None else codec.encode(t).view("<i4") for t in (x.as_py() for x in texts)), pa.list_(pa.int32()))
 
     return encode(text)
 
@@ -177,7 +198,7 @@ def decode_column(ids: Column, tokenizer: Tokenizer) -> Column:
     @F.arrow_udf("binary")
     def decode(rows: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern)
-        return pa.array([None if r is None else codec.decode(r) for r in rows.to_pylist()], pa.binary())
+        return pa.array((None if r is None else codec.decode(r) for r in (x.as_py() for x in rows)), pa.binary())
 
     return decode(ids)
 
@@ -192,7 +213,7 @@ def round_trip_column(text: Column, tokenizer: Tokenizer) -> Column:
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def round_trip(texts: pa.Array) -> pa.Array:
         codec, out = _codec(ranks, pattern), []
-        for text in texts.to_pylist():
+        for text in (t.as_py() for t in texts):
             count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
             for block in codec.blocks(text):
                 ids.update(block)

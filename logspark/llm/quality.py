@@ -8,6 +8,7 @@ labelled texts that built no dictionary.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     return made
 
 
-def _sizes(texts: list[bytes], good: zstandard.ZstdCompressionDict, bad: zstandard.ZstdCompressionDict) -> np.ndarray:
+def _sizes(texts: Iterable[bytes], good: zstandard.ZstdCompressionDict, bad: zstandard.ZstdCompressionDict) -> np.ndarray:
     plain = dict(level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
     with_good, with_bad = (zstandard.ZstdCompressor(dict_data=d, **plain) for d in (good, bad))
     return np.array([(len(with_good.compress(t)), len(with_bad.compress(t)), len(t)) for t in texts], float).reshape(-1, 3)
@@ -60,11 +61,9 @@ class CompressionModel:
     scale: np.ndarray
     weights: np.ndarray
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
         if not len(self.good[0]):
-            return np.full(len(texts), float(self.weights[0]))
+            return np.array([float(self.weights[0]) for _ in texts])
         good, bad = (zstandard.ZstdCompressionDict(d, dict_type=k) for d, k in (self.good, self.bad))
         for d in (good, bad):
             d.precompute_compress(level=LEVEL)
@@ -125,7 +124,7 @@ def score_column(model: CompressionModel, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts.cast(pa.binary()).to_pylist()), pa.float64())
+        return pa.array(model.score((t.as_py() for t in texts.cast(pa.binary()))), pa.float64())
 
     return score(text)
 

@@ -6,11 +6,13 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import byte_bpe, line_dedup, mixing, quality, simhash_dedup
+from logspark.llm import (byte_bpe, chat, embedding_dedup, fingerprints, line_dedup, mixing, quality, simhash_dedup,
+                           token_counts, warc)
 from logspark.llm.common import table, text_of
+from logspark.session import scratch_path
 
 #: Folder of the vocabulary files; by default where the public package keeps them.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
@@ -20,6 +22,26 @@ def byte_bpe_tokenizer(spark: SparkSession, folder: str = TOKENIZERS) -> byte_bp
     return byte_bpe.Tokenizer(spark, os.path.join(folder, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _hex128(hi: str, lo: str) -> Column:
+    return F.concat(*(F.lpad(F.lower(F.hex(F.col(c))), 16, "0") for c in (hi, lo)))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and their edited texts.
+
+    n_near: for ids divisible by 50, how many other documents are within the search radius.
+    """
+    rows = fingerprints.searched(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _hex128("hi", "lo").alias("fingerprint"),
+                       _hex128("edited_hi", "edited_lo").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
+def piece_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece lengths of whole ``documents`` texts."""
+    counts = token_counts.counts_column(spark, text_of(), os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
+    return table(spark, sf_dir, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.*")
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup of ``documents``: fingerprint and smallest document reachable over links."""
     rows = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,6 +56,25 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations``, and one whose texts hold control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    done = chat.format_turns(chat.canonical_turns(rows.unionByName(extra)))
+    read = done.select(F.col("id").alias("conv_id"), chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all ``embeddings`` of equal label at cosine 0.98 or more."""
+    rows = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression scores of all ``documents``, learnt from labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +88,12 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as monolithic archives, normalised, and read back record by record."""
+    folder = scratch_path(spark, "warc")
+    return warc.read_records(warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"), folder), folder), folder)
+
+
 def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy duplicate lines of all ``documents``: what each loses and which documents keep the lines."""
     rows = line_dedup.line_report(table(spark, sf_dir, "documents"))
@@ -54,14 +101,30 @@ def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": document_fingerprints,
+    "op2_token_counts": piece_token_counts,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op4_byte_bpe": byte_bpe_round_trip,
+    "op5_chat_formatting": chat_formatting,
+    "op6_embedding_near_dedup": embedding_near_dedup,
     "op7_quality_classifier": quality_classifier,
     "op8_source_mixing": source_mixing,
+    "op9_warc": warc_round_trip,
     "op10_line_dedup": line_dedup_report,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_chat_formatting": """
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+          UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) + 11)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op8_source_mixing": """
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
