@@ -181,8 +181,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = components(edges).withColumnsRenamed({"node": "pos", "component": "keep"})
     repeated = (classes.select("k1", "k2", "pos", "last").join(kept, "pos", "left")
                 .withColumn("keep", F.coalesce("keep", "pos")).where("pos <> last or pos <> keep").select("k1", "k2", "keep"))
-    return (lines.select("pos", "k1", "k2").join(repeated, ["k1", "k2"]).where("pos <> keep").distinct()
-            .select("pos.id", "pos.h", "pos.n", F.col("keep.id").alias("kept_id")))
+    # without the class keys the rows are dealt anew, so that a join skewed by a common line may be split
+    return (lines.select("pos", "k1", "k2").join(repeated, ["k1", "k2"]).where("pos <> keep")
+            .select("pos", F.col("keep.id").alias("kept_id")).distinct().select("pos.id", "pos.h", "pos.n", "kept_id"))
 
 
 def _by_document(dropped: DataFrame) -> DataFrame:
