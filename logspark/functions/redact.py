@@ -1,9 +1,9 @@
 """Redact values of sensitive keys at any depth of a JSON object text.
 
-Key matching uses the producers' fixed pattern. JSON of unbounded depth cannot be
-rewritten with built-in column functions, so the walk is a small Arrow-batched helper
-(pandas UDF); rows whose text names no sensitive key are passed through untouched, and
-the JVM-side pre-check keeps the common case off the Python path entirely.
+Key matching uses the producers' fixed pattern on decoded keys. JSON of unbounded depth cannot
+be rewritten with built-in column functions, so a small Arrow-batched helper goes through the
+tokens; texts that can't name a sensitive key reach it as null. What can't be read as JSON is
+replaced as a whole, since a secret in it couldn't be found.
 """
 
 from __future__ import annotations
@@ -22,22 +22,71 @@ REDACTED = "[REDACTED]"
 _KEY = re.compile(SENSITIVE_KEY, re.IGNORECASE)
 
 
-def _walk(value):
-    if isinstance(value, dict):
-        return {k: (REDACTED if _KEY.search(k) else _walk(v)) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_walk(v) for v in value]
-    return value
+_TOKEN = re.compile(r'[ \t\r\n]*(?:("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|([{}\[\],:]))')
+
+
+def _compact(text: str) -> str:
+    """The text without white space and with sensitive values replaced; numbers keep their text.
+
+    One pass over the tokens with an explicit stack, so any depth will do; ValueError if it is no JSON.
+    """
+    out, stack, at, end = [], [], 0, len(text.rstrip(" \t\r\n"))
+    expect, secret, hidden = "value", False, None  # hidden: depth of the value that is left out
+
+    def put(piece: str) -> None:
+        if hidden is None:
+            out.append(piece)
+
+    while at < end:
+        token = _TOKEN.match(text, at)
+        if not token or expect == "end":
+            raise ValueError("not JSON")
+        at, (string, scalar, mark) = token.end(), token.groups()
+        if string is not None and expect in ("key", "key or close"):
+            key = json.loads(string)
+            put(json.dumps(key, ensure_ascii=False))
+            expect, secret = "colon", bool(_KEY.search(key))
+            continue
+        if mark == ":" and expect == "colon":
+            put(":")
+            expect = "value"
+            if secret and hidden is None:
+                out.append(json.dumps(REDACTED))
+                hidden = len(stack)
+            continue
+        if mark == "," and expect == "comma or close":
+            put(",")
+            expect = "key" if stack[-1] == "{" else "value"
+            continue
+        if mark in ("{", "[") and expect in ("value", "value or close"):
+            put(mark)
+            stack.append(mark)
+            expect = "key or close" if mark == "{" else "value or close"
+            continue
+        if mark in ("}", "]") and expect.endswith("close") and stack[-1] + mark in ("{}", "[]"):
+            stack.pop()
+            put(mark)
+        elif mark is None and expect in ("value", "value or close"):
+            put(scalar if string is None else json.dumps(json.loads(string), ensure_ascii=False))
+        else:
+            raise ValueError("not JSON")
+        if hidden is not None and len(stack) == hidden:
+            hidden = None
+        expect = "comma or close" if stack else "end"
+    if expect != "end":
+        raise ValueError("not JSON")
+    return "".join(out)
 
 
 def redact_json_text(text: str | None) -> str | None:
-    if text is None or not _KEY.search(text):
+    """Redacted text; null and text that can't name a sensitive key stay as they are, other
+    text that is no JSON becomes the mark itself."""
+    if text is None or not (_KEY.search(text) or "\\u" in text):
         return text
     try:
-        parsed = json.loads(text)
+        return _compact(text)
     except ValueError:
-        return text
-    return json.dumps(_walk(parsed), separators=(",", ":"), ensure_ascii=False)
+        return REDACTED
 
 
 @F.pandas_udf(StringType())
@@ -48,6 +97,6 @@ def _redact_udf(texts: pd.Series) -> pd.Series:
 def redact_sensitive(col) -> Column:
     """JSON object text with every sensitive key's value replaced by ``[REDACTED]``."""
     c = F.col(col) if isinstance(col, str) else col
-    # JVM-side pre-check: only texts that contain a sensitive key name reach Python
-    names_key = c.rlike(r'(?i)"[^"]*(' + SENSITIVE_KEY + r')[^"]*"\s*:')
-    return F.when(names_key, _redact_udf(c)).otherwise(c)
+    # a key can name a secret in plain text or through a JSON escape; other texts go to Python as null
+    suspect = c.rlike(f"(?i)({SENSITIVE_KEY})") | c.contains("\\u")
+    return F.when(suspect, _redact_udf(F.when(suspect, c))).otherwise(c)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
 from logspark.operators.filters import FilterState, filter_column, validate_predicates
+from logspark.sources.jsonl import with_row_numbers
 
 CHUNK = 64
 
@@ -68,6 +69,18 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def merge_events(*frames: DataFrame) -> DataFrame:
+    """Many sources as one event set with ingestion ids of its own: source by source, then
+    by the ids that the rows had."""
+    marked = merge_sources(*(f.withColumn("_part", F.lit(i)) for i, f in enumerate(frames)))
+    numbered = with_row_numbers(marked.withColumnRenamed("event_id", "_own"), ["_own"], name="event_id", within=["_part"])
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (numbered.join(F.broadcast(starts), "_part").withColumn("event_id", F.col("event_id") + F.col("_start"))
+            .select(*frames[0].columns))
+
+
 def combine_row_sets(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """OR / AND / AND-NOT of two row-id sets (column ``event_id``)."""
     a, b = a.select("event_id").distinct(), b.select("event_id").distinct()

@@ -942,14 +942,14 @@ def q_exclude_by_values(spark, sf_dir):
 
 @register("merge_sources", O.with_ctes(O.EV_BASE) + """,
 d AS (SELECT source FROM documents), c AS (SELECT 'chat' AS source FROM conversations)
-SELECT source, count(*) AS events FROM (SELECT source FROM ev UNION ALL SELECT source FROM d
+SELECT source, count(*) AS events, count(*) AS ids FROM (SELECT source FROM ev UNION ALL SELECT source FROM d
   UNION ALL SELECT source FROM c) GROUP BY source
 """)
 def q_merge_sources(spark, sf_dir):
-    """Three sources merged into one event set (no de-duplication), counted per source."""
-    merged = SV.merge_sources(T.load_events(spark, sf_dir), T.load_documents(spark, sf_dir),
-                              T.load_conversations(spark, sf_dir))
-    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+    """Three sources merged into one event set (no de-duplication): events and distinct ids per source."""
+    merged = SV.merge_events(T.load_events(spark, sf_dir), T.load_documents(spark, sf_dir),
+                             T.load_conversations(spark, sf_dir))
+    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
 @register("combine_row_sets", EV + """

@@ -27,8 +27,8 @@ def export_line() -> Column:
     envelope = F.to_json(F.struct(*[
         (F.unix_millis("timestamp").alias("timestamp") if k == "timestamp" else F.col(k)) for k in EXPORT_KEYS]))
     status = F.when(F.col("status").isNotNull(),
-                    F.concat(F.lit(',"status":'), F.to_json(F.parse_json(F.col("status")))))
-    compact_fields = F.to_json(F.parse_json(F.col("fields")))
+                    F.concat(F.lit(',"status":'), F.to_json(F.try_parse_json(F.col("status")))))
+    compact_fields = F.to_json(F.try_parse_json(F.col("fields")))
     fields = F.when(F.col("fields").isNotNull() & (compact_fields != "{}"),
                     F.concat(F.lit(',"fields":'), compact_fields))
     return F.concat(F.substring(envelope, F.lit(1), F.length(envelope) - 1),

@@ -2,9 +2,9 @@
 source health (S5), ingestion ids (O2) and source merging (U1).
 
 Line numbers and ingestion ids are computed without sorting a whole file (or the whole
-input) in one task: rows keep the order the scan produced inside each split, per-split
-counts form a tiny table whose running sums give each split's offset, and a join adds
-the offset back. A file holding a third of all lines is therefore numbered by many tasks.
+input) in one task: rows are numbered inside splits of a file or buckets of their order
+keys, the counts of those form a small table whose running sums are the offsets, and a join
+adds the offset back. A file holding a third of all lines is therefore numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -72,31 +72,57 @@ def number_physical_lines(raw: DataFrame) -> DataFrame:
     offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     lines = raw.join(offsets, ["file_path", "_blk"])
     return (lines.withColumn("line_number", F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
-                 .where(F.trim(F.col("value")) != "")
+                 .where(F.col("value").rlike(r"\S"))
                  .select("file_path", "file_name", "line_number", "value"))
 
 
+ROWS_PER_BUCKET = 65_536
+
+
+def _order_bucket(df: DataFrame, order_cols: list[str]) -> list[Column]:
+    """Coarse values of the leading order columns, in the same order as the rows: text as it
+    is, then the first number by blocks or the first time by hours (null stays null)."""
+    kinds, out = dict(df.dtypes), []
+    for name in order_cols:
+        if kinds[name] in ("tinyint", "smallint", "int", "bigint"):
+            return [*out, F.floor(F.col(name).cast("long") / ROWS_PER_BUCKET)]
+        if kinds[name].startswith("timestamp"):
+            return [*out, F.date_trunc("hour", name)]
+        out.append(F.col(name))
+    return out
+
+
 def with_row_numbers(df: DataFrame, order_cols: list[str], name: str = "event_id",
                      within: list[str] | None = None, start: int = 0) -> DataFrame:
     """O2: dense numbers in ``order_cols`` order (restarting per ``within`` group).
 
-    Range partitioning spreads even one huge group over many tasks; each task numbers its
-    rows locally and a small per-(task, group) count table supplies the offsets. The order
-    keys must be unique: that makes every recomputation number the rows the same way.
+    Rows are dealt into buckets by the data alone (blocks of ids or lines, hours), so a
+    bucket means the same in every branch of the plan, at any partitioning and in any rerun.
+    The counts of the buckets form a small table whose running sums are the offsets; inside a
+    bucket a window numbers the rows. Rows that tie in the order keys are numbered in any order.
     """
     within = list(within or [])
-    keys = [*within, *order_cols]
-    # Both branches below read the same range-partitioned shuffle (identical exchanges are
-    # reused) and sort each partition by the unique keys, so the per-task positions are
-    # the same in both, and again if a lost task is recomputed; no extra copy is written.
-    ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-    counts = ranged.groupBy("_pid", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = ranged.join(offsets, ["_pid", *within])
-    return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start))
-               .drop("_pid", "_mid", "_n", "_m0", "_off"))
+    marks = [f"_b{i}" for i in range(len(_order_bucket(df, order_cols)))]
+    rows = df.withColumns(dict(zip(marks, _order_bucket(df, order_cols))))
+    keys = [*within, *marks]
+    before = Window.partitionBy(*within).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = inside.join(offsets, same).withColumn(name, F.col("_off") + F.col("_pos") - 1 + F.lit(start))
+    return out.drop("_off", "_pos", *marks, *(f"_k{i}" for i in range(len(keys))))
+
+
+#: Milliseconds of the first and last instant that the contract's time type holds (fixed values).
+FIRST_MILLIS, LAST_MILLIS = -8334601228800000, 8210266876799999
+
+
+def _instant(millis: Column) -> Column:
+    """UTC instant of epoch milliseconds; null outside the contract's range."""
+    return F.timestamp_millis(F.when(millis.between(FIRST_MILLIS, LAST_MILLIS), millis))
 
 
 # ------------------------------------------------------------------ S2 validation
@@ -127,7 +153,7 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
     df = lines.withColumn("_arr", arr)
     obj = F.variant_get(F.col("_arr"), "$[0]", "variant")
     single = F.col("_arr").isNotNull() & F.variant_get(F.col("_arr"), "$[1]", "variant").isNull() & obj.isNotNull()
-    is_object = F.ltrim(F.col("value")).startswith("{")
+    is_object = F.schema_of_variant(obj).startswith("OBJECT")
     df = df.withColumns({"_ok_json": single, "_obj": F.when(single & is_object, obj)})
 
     def field(name):
@@ -174,7 +200,7 @@ def parse_event_lines(lines: DataFrame) -> DataFrame:
         return F.col(f"_s_{name}")
 
     integer = t["timestamp"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-    ts_from_ms = F.timestamp_millis(F.when(integer, F.variant_get(v["timestamp"], "$", "long")))
+    ts_from_ms = _instant(F.when(integer, F.variant_get(v["timestamp"], "$", "long")))
     ts_text = text("timestamp")
     ts_from_text = F.when(ts_text.rlike(_RFC3339), F.try_to_timestamp(
         F.regexp_replace(F.regexp_replace(ts_text, "[Tt ]", "T"), "[zZ]$", "+00:00")))
@@ -322,7 +348,7 @@ def normalize_level(col, unknown: str | None = None) -> Column:
 def normalize_timestamp(col) -> Column:
     """P5: epoch-ms number text or RFC 3339 text (offset mandatory) -> UTC instant."""
     c = C._c(col)
-    return (F.when(c.rlike(_INTEGER), F.timestamp_millis(c.try_cast("long")))
+    return (F.when(c.rlike(_INTEGER), _instant(c.try_cast("long")))
             .when(c.rlike(_RFC3339), F.try_to_timestamp(
                 F.regexp_replace(F.regexp_replace(c, "[Tt ]", "T"), "[zZ]$", "+00:00"))))
 
@@ -369,4 +395,4 @@ def promote_fields(records: DataFrame, level_col: str = "level") -> DataFrame:
         scalar("error_kind").alias("error_kind"),
         dur.alias("duration_ms"),
         F.when(st.isNotNull() & ~F.is_variant_null(st), F.to_json(st)).alias("status"),
-        F.to_json(F.parse_json(F.to_json(rest))).alias("fields"))
+        F.to_json(F.try_parse_json(F.to_json(rest))).alias("fields"))

@@ -11,48 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.schema import EVENT_COLUMNS
-from logspark.session import shared_dir
 
 BASE_EPOCH_SECONDS = 1704067200  # 2024-01-01T00:00:00Z, anchor for tables without time
 
 
-SPREAD_MIN_BYTES = 1 << 20  # below this a single task is cheaper than a checkpoint
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind a scan (metadata only; called for few-split scans)."""
-    spark = df.sparkSession
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work every core when a scan is coarser than the cluster.
-
-    Large inputs already scan as many more splits than cores and are returned as they are
-    (no shuffle); a scan of fewer splits than the default parallelism (a small file read
-    as one split) is dealt round-robin across it, unless it is tiny (under 1 MiB).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores and _input_bytes(df) >= SPREAD_MIN_BYTES:
-        # A plain repartition would not help: Catalyst pushes filters below it, back onto
-        # the single scan split. A reliable checkpoint (in the shared checkpoint folder)
-        # is a plan boundary, so the per-row work above it runs on every core.
-        shared_dir(df.sparkSession)
-        return df.repartition(cores).checkpoint(eager=True)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # event times are UTC instants; the tables store naive UTC wall-clock times, so the
-    # session must read and render them in UTC
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table. Event times are stored as naive UTC wall-clock times, so the session
+    must read and render them in UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone", "UTC")
+    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC (it is {zone})")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events_frame(events: DataFrame, keep=()) -> DataFrame:

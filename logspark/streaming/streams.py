@@ -25,19 +25,22 @@ from logspark.sources import jsonl as JL
 
 
 # ------------------------------------------------------------------ S6 / T7 sources
-def stream_event_logs(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def _limited(reader, max_files_per_trigger: int | None):
+    """All files that have arrived go into a micro-batch unless the caller sets a limit."""
+    return reader.option("maxFilesPerTrigger", max_files_per_trigger) if max_files_per_trigger else reader
+
+
+def stream_event_logs(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """JSONL lines of closed files dropped into ``landing_dir`` (file name kept)."""
-    return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-                 .load(landing_dir)
+    return (_limited(spark.readStream.format("text"), max_files_per_trigger).load(landing_dir)
                  .select("value", F.col("_metadata.file_name").alias("file_name"),
                          F.col("_metadata.file_path").alias("file_path"),
                          F.col("_metadata.file_block_start").alias("_blk")))
 
 
-def stream_events(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def stream_events(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Validated events landing as Parquet files of the canonical event frame."""
-    return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-                 .parquet(landing_dir))
+    return _limited(spark.readStream.schema(EVENT_SCHEMA), max_files_per_trigger).parquet(landing_dir)
 
 
 def with_event_watermark(df: DataFrame, delay: str | None = None) -> DataFrame:
@@ -77,7 +80,7 @@ def stream_validate(lines: DataFrame, events_dir: str, rejects_dir: str, health_
 
 def _number_batch_lines(batch: DataFrame) -> DataFrame:
     """Physical line numbers inside each file of a micro-batch (files arrive whole)."""
-    return JL.number_physical_lines(batch).where(F.trim(F.col("value")) != "")
+    return JL.number_physical_lines(batch).where(F.col("value").rlike(r"\S"))
 
 
 # ------------------------------------------------------------------ T2 / K3 filter + sink

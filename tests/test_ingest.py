@@ -168,3 +168,55 @@ def test_line_numbers_when_files_split_across_tasks(spark):
     assert len(got) == 20000
     # physical line number = content number + blank lines written before it
     assert all(n == i + (i - 1) // 997 for n, i in got.items())
+
+
+def test_numbering_of_wide_rows_at_any_partitioning(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    wide = spark.range(200_000, numPartitions=7).select(
+        (F.col("id") * 7919 % 200_003).alias("k"), F.repeat(F.lit("x"), 200).alias("body"), (F.col("id") % 3).cast("string").alias("g"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            out = JL.with_row_numbers(wide, ["k"], name="n")
+            got = out.select("k", "n", F.length("body").alias("b")).orderBy("k").collect()
+            assert [r["n"] for r in got] == list(range(200_000)) and {r["b"] for r in got} == {200}
+            per = JL.with_row_numbers(wide, ["k"], name="n", within=["g"], start=1).groupBy("g").agg(
+                F.count_distinct("n").alias("d"), F.max("n").alias("m"), F.count("n").alias("c")).collect()
+            assert all(r["d"] == r["m"] == r["c"] for r in per) and sum(r["c"] for r in per) == 200_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_that_must_not_abort_the_ingest(spark):
+    base = '"schema_version":1,"level":"info","source":"s","subsystem":"c","event":"e","message":"m","app_session_id":"a"'
+    lines = [f'{{"timestamp":{t},{base}}}' for t in ("99999999999999999", "9223372036854775807", "8210266876799999", "0")]
+    lines += [f'\t{{"timestamp":0,{base}}}', "[1]", "7"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file_name string, line_number long, value string")
+    got = {r["line_number"]: r["reason"] for r in JL.parse_event_lines(df).select("line_number", "reason").collect()}
+    assert got[0] == got[1] and "timestamp" in got[0]
+    assert got[2] is None and got[3] is None and got[4] is None
+    assert got[5] == got[6] == "not a JSON object"
+
+
+def test_redaction_leaks_nothing(spark):
+    from logspark.functions.redact import redact_json_text as R
+    from logspark.functions.redact import redact_sensitive
+
+    deep = "[" * 5000 + '{"token":"s"}' + "]" * 5000
+    assert R(deep) == "[" * 5000 + '{"token":"[REDACTED]"}' + "]" * 5000
+    assert R('{"token":"s3",}') == R("{broken secret") == "[REDACTED]"
+    assert R('{"\\u0074oken": {"a": [1, "x"]}, "b" : 1e400, "c":1.0}') == '{"token":"[REDACTED]","b":1e400,"c":1.0}'
+    assert R('{"a":[{"Api_Key":[1,{"x":2}]},2],"z":{}}') == '{"a":[{"Api_Key":"[REDACTED]"},2],"z":{}}'
+    rows = [(1, '{"\\u0074oken":"s"}'), (2, '{"plain": 1}'), (3, None)]
+    got = dict(spark.createDataFrame(rows, "i int, t string").select("i", redact_sensitive("t")).collect())
+    assert got == {1: '{"token":"[REDACTED]"}', 2: '{"plain": 1}', 3: None}
+
+
+def test_merged_sources_get_ids_of_their_own(spark):
+    from logspark.operators import saved as SV
+
+    a, b = frame(spark, [event(i, source="a") for i in (5, 7)]), frame(spark, [event(i, source="b") for i in (5, 6, 7)])
+    got = [(r["event_id"], r["source"]) for r in SV.merge_events(a, b).orderBy("event_id").collect()]
+    assert got == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "b")]
