@@ -93,25 +93,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like any other. Rows with a null id get a fingerprint and the
     component of their fingerprint, which is null where no row of the component has an id.
     """
-    base = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_of(text_col), width, seed).alias("fp")))
+    rows = docs.select(F.col(id_col).alias("id"), fingerprint_column(text_of(text_col), width, seed).alias("fp"))
+    return _grouped(checkpointed(rows), max_bits).select("id", "fp", "component")
+
+
+def _grouped(base: DataFrame, max_bits: int) -> DataFrame:
+    """``base`` (id, fp, ...) with label (a fingerprint of the group, one for each) and component."""
     classes = checkpointed(base.groupBy("fp").agg(F.min("id").alias("first")))
     linked = components(close_fingerprints(classes, max_bits)).withColumnsRenamed({"node": "fp"})
     named = classes.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component"))
-    return base.join(named.join(smallest, "label").select("fp", "component"), "fp").select("id", "fp", "component")
+    return base.join(named.join(smallest, "label").select("fp", "label", "component"), "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; all columns stay.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+               seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` for each group of linked fingerprints, that with its smallest id; all columns stay.
 
-    Rows that repeat the smallest id stay only once; a row without an id stays, as it can't be named.
+    Rows are told apart by id and text: where several of a group share the smallest id one of
+    them stays, and rows of one id in different groups stand for their own groups. A row
+    without an id stays, as it can't be named.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    base = checkpointed(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"),
+                                    fingerprint_column(text_of(text_col), width, seed).alias("fp")))
+    firsts = _grouped(base, max_bits).where("id is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("row"))
+    firsts = firsts.select(F.col("row.id").alias("__first_id"), F.col("row.h").alias("__first_hash"))
+    rows = docs.withColumn("__near_dedup_hash", F.xxhash64(text_of(text_col)))
+    same = (F.col(id_col) == F.col("__first_id")) & (F.col("__near_dedup_hash") == F.col("__first_hash"))
+    named = rows.join(firsts, same, "left_semi").dropDuplicates([id_col, "__near_dedup_hash"]).drop("__near_dedup_hash")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

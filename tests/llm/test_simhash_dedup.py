@@ -81,6 +81,20 @@ def test_documents_with_nulls_ties_and_clashing_columns(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    far, other = "one two three four five", "quite some other words here at last"
+    rows = [(5, far, 1), (9, far, 2), (9, far, 2), (5, other, 3), (3, other, 4), (7, "", 5), (8, None, 6), (None, far, 7), (5, far, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __h int")
+    got = S.keep_first(docs)
+    assert got.columns == docs.columns
+    want = [(3, other, 4), (5, far, 1), (7, "", 5), (None, far, 7)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    again = spark.createDataFrame([(5, far, 1), (5, other, 2), (5, other, 3)], docs.schema)
+    assert S.keep_first(again).count() == 2
+    assert S.keep_first(spark.createDataFrame([(8, None, 1), (8, "", 2)], docs.schema)).count() == 1
+    assert S.keep_first(docs.limit(0)).count() == 0
+
+
 def test_query_equals_brute_force(spark):
     from logspark.llm.queries import QUERIES
 
