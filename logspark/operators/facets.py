@@ -61,7 +61,8 @@ def facet_counts_all(df: DataFrame, state: FilterState | None = None,
     if active:
         def fails_facet(f):
             value = F.col(f) if f in ("tag", "correlation") and f in stored else None
-            return ~facet_condition(f, *state.selection(f), value=value)
+            # a row lacking an included facet fails it: the condition is null there
+            return ~F.coalesce(facet_condition(f, *state.selection(f), value=value), F.lit(False))
         fails = F.filter(F.array(*[F.when(fails_facet(f), F.lit(f)) for f in active]), lambda x: x.isNotNull())
     else:
         fails = F.array().cast("array<string>")
@@ -82,8 +83,9 @@ def facet_counts(df: DataFrame, facet: str, state: FilterState | None = None) ->
     own = {f: s for f, s in state.facets.items() if f != facet}
     other = FilterState(facets=own, minimum_level=state.minimum_level, correlation=state.correlation,
                         text=state.text, predicates=state.predicates, now_ms=state.now_ms)
-    return (df.where(filter_column(other))
-              .select(facet_value(facet).alias("value")).where(F.col("value").isNotNull())
+    stored = tuple(df.columns)
+    return (df.where(filter_column(other, stored=stored))
+              .select(facet_value(facet, stored).alias("value")).where(F.col("value").isNotNull())
               .groupBy("value").agg(F.count(F.lit(1)).alias("count"))
               .orderBy(F.col("count").desc(), F.col("value")))
 

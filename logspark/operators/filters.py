@@ -115,8 +115,13 @@ def where_minimum_level(df: DataFrame, minimum: str) -> DataFrame:
     return df.where(C.level_at_least(minimum))
 
 
+def correlation_value(stored=()) -> Column:
+    """The stored correlation where the frame has it, else the coalesced ids."""
+    return F.col("correlation") if "correlation" in stored else C.correlation()
+
+
 def where_correlation(df: DataFrame, correlation_id: str) -> DataFrame:
-    return df.where(C.correlation() == F.lit(correlation_id))
+    return df.where(correlation_value(tuple(df.columns)) == F.lit(correlation_id))
 
 
 # ------------------------------------------------------------------ F4-F6 predicates
@@ -124,80 +129,93 @@ def where_correlation(df: DataFrame, correlation_id: str) -> DataFrame:
 class Predicate:
     field: str
     operator: str
-    literal: float | str | None  # float = number literal, str = text literal
+    literal: float | str  # float = number literal, str = text literal
     label: str
 
 
-def parse_relative(value: str) -> timedelta | None:
-    m = re.fullmatch(r"last-(\d+)([smhd])", value.lower())
-    if not m or int(m.group(1)) <= 0:
-        return None
-    n, unit = int(m.group(1)), m.group(2)
-    return {"s": timedelta(seconds=n), "m": timedelta(minutes=n), "h": timedelta(hours=n),
-            "d": timedelta(days=n)}[unit]
+_QUOTED = re.compile(r"""(["'])(.*)\1""", re.DOTALL)
+_RELATIVE = re.compile(r"last-(\d{1,18})([smhd])", re.IGNORECASE)
+_UNIT_MS = {"s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Instants beyond this many milliseconds from the epoch compare like this one (no event has such a time).
+_FAR_MS = 9_200_000_000_000_000
+
 
+def _relative_ms(value: str) -> int | None:
+    """Milliseconds that ``last-<n><unit>`` goes back; None for any other text."""
+    found = _RELATIVE.fullmatch(value)
+    return int(found[1]) * _UNIT_MS[found[2].lower()] or None if found else None
 
-def _unquote(value: str) -> str | None:
-    v = value.strip()
-    if len(v) >= 2 and ((v[0] == '"' and v[-1] == '"') or (v[0] == "'" and v[-1] == "'")):
-        return v[1:-1].replace('\\"', '"').replace("\\'", "'")
-    if v[:1] in ('"', "'") or v[-1:] in ('"', "'"):
+
+def _as_instant(value: str) -> float | None:
+    """Epoch milliseconds of a whole number or an RFC 3339 time."""
+    if re.fullmatch(r"[+-]?[0-9]+", value):
+        return max(-_FAR_MS, min(_FAR_MS, float(value)))
+    if not _RFC3339.match(value):
+        return None
+    try:
+        return float((datetime.fromisoformat(value.upper()) - _EPOCH) // timedelta(milliseconds=1))
+    except ValueError:  # such as a thirteenth month
         return None
-    return v
 
 
-def is_query_field(name: str) -> bool:
-    low = name.lower()
-    return low in QUERY_FIELDS or (name.startswith("fields.") and len(name) > len("fields."))
+def _as_number(value: str) -> float | None:
+    return float(value) if _RUST_FLOAT.match(value) else None
 
 
-def build_predicate(name: str, op: str, raw: str, now_ms: int | None) -> tuple[Predicate | None, str | None]:
-    """Validate one (field, operator, value); return (predicate, None) or (None, error)."""
-    if not is_query_field(name):
-        return None, f"Unknown field '{name}'"
-    if op not in OPERATORS:
-        return None, f"Unsupported operator '{op}'"
-    value = _unquote(raw)
-    if value is None:
-        return None, "Query value has an unmatched quote"
-    if value == "":
-        return None, f"{name} requires a value"
-    key = name if name.startswith("fields.") else name.lower()
+#: Kind of literal -> how its text is read (None: not of the kind) and what the kind is called.
+LITERAL_KINDS = {
+    "instant": (_as_instant, "a time: epoch milliseconds, RFC 3339 or last-<n><s|m|h|d>"),
+    "number": (_as_number, "a numeric value"),
+    "text": (str, "a text"),
+}
+
+
+def _literal_kind(key: str, op: str) -> str:
+    """An instant for the time, a number for numeric fields and for every ordering, else text."""
     if key == "timestamp":
-        rel = parse_relative(value)
-        if rel is not None:
-            base = now_ms if now_ms is not None else int(datetime.now(timezone.utc).timestamp() * 1000)
-            return Predicate(key, ">=", float(base - rel / timedelta(milliseconds=1)),
-                             f"{name} {op} {value}"), None
-        ms = None
-        if re.fullmatch(r"[+-]?\d+", value):
-            ms = int(value)
-        elif _RFC3339.match(value):
-            ms = int(datetime.fromisoformat(value.replace("z", "Z").replace("Z", "+00:00"))
-                     .timestamp() * 1000)
-        if ms is None:
-            return None, "timestamp expects Unix milliseconds, RFC 3339, or last-<number><s|m|h|d>"
-        return Predicate(key, op, float(ms), f"{name} {op} {value}"), None
-    if key in NUMERIC_QUERY_FIELDS or op in ORDERING:
-        if not _RUST_FLOAT.match(value):
-            return None, f"{name} expects a numeric value"
-        return Predicate(key, op, float(value), f"{name} {op} {value}"), None
-    return Predicate(key, op, value, f"{name} {op} {value}"), None
+        return "instant"
+    return "number" if key in NUMERIC_QUERY_FIELDS or op in ORDERING else "text"
+
+
+def _bare(value: str) -> str | None:
+    """The text inside a pair of quotes, or the text as it is; None if a quote stands alone."""
+    value = value.strip()
+    if found := _QUOTED.fullmatch(value):
+        return re.sub(r"""\\(["'])""", r"\1", found[2])
+    return None if value[:1] in ("'", '"') or value[-1:] in ("'", '"') else value
+
+
+def build_predicate(name: str, op: str, raw: str, now_ms: int | None) -> tuple[Predicate | None, str | None]:
+    """One checked (field, operator, value): the predicate, or what is wrong with it."""
+    nested = name.startswith("fields.") and name != "fields."
+    key = name if nested else name.lower()
+    value = _bare(raw)
+    problems = {
+        f"Unknown field {name!r}": not nested and key not in QUERY_FIELDS,
+        f"No such comparison: {op!r}": op not in OPERATORS,
+        f"The value of {name} has one quote only": value is None,
+        f"The value of {name} is empty": value == "",
+    }
+    for problem, present in problems.items():
+        if present:
+            return None, problem
+    label = f"{name} {op} {value}"
+    if key == "timestamp" and (back := _relative_ms(value)):  # whatever operator was written
+        now = now_ms if now_ms is not None else (datetime.now(timezone.utc) - _EPOCH) // timedelta(milliseconds=1)
+        return Predicate(key, ">=", max(-_FAR_MS, float(now - back)), label), None
+    read, wanted = LITERAL_KINDS[_literal_kind(key, op)]
+    literal = read(value)
+    return (None, f"{name} expects {wanted}") if literal is None else (Predicate(key, op, literal, label), None)
 
 
 def validate_predicates(predicates, now_ms: int | None = None) -> tuple[list[Predicate], list[str]]:
     """parse a list of (field, op, value); any error makes the filter match nothing."""
-    ok, errors = [], []
-    for name, op, raw in predicates:
-        p, err = build_predicate(name, op, str(raw), now_ms)
-        if err:
-            errors.append(err)
-        else:
-            ok.append(p)
-    return ok, errors
+    checked = [build_predicate(name, op, str(raw), now_ms) for name, op, raw in predicates]
+    return [p for p, _ in checked if p is not None], [e for _, e in checked if e is not None]
 
 
-def _query_value(name: str) -> tuple[Column, Column]:
+def _query_value(name: str, stored=()) -> tuple[Column, Column]:
     """(kind, value) of a queryable field: kind 'number' / 'text' / NULL (missing)."""
     if name == "schema_version":
         return F.lit("number"), F.col("schema_version").cast("double")
@@ -206,9 +224,9 @@ def _query_value(name: str) -> tuple[Column, Column]:
     if name == "duration_ms":
         return F.when(F.col("duration_ms").isNotNull(), "number"), F.col("duration_ms")
     if name == "tag":
-        return F.lit("text"), C.tag()
+        return F.lit("text"), F.col("tag") if "tag" in stored else C.tag()
     if name == "correlation":
-        return F.lit("text"), C.correlation()
+        return F.lit("text"), correlation_value(stored)
     if name == "status" or name.startswith("fields."):
         if name == "status":
             kind = C.json_kind(F.col("status"))
@@ -229,8 +247,56 @@ def _compare_number(op: str, left: Column, right: Column) -> Column:
     return ~nan & cmp
 
 
-def predicate_column(p: Predicate) -> Column:
-    kind, value = _query_value(p.field)
+def _time_column(op: str, millis: float, stored) -> Column:
+    """The event time's whole milliseconds against a literal, as bounds on the stored instant.
+
+    Where the events carry their partition day the bounds are also put on it, a day wider, so
+    that they hold whichever zone the day was taken in.
+    """
+    start, end = (F.timestamp_millis(F.lit(int(millis) + i)) for i in (0, 1))
+    at = F.col("timestamp")
+    lower, upper = {">=": (start, None), ">": (end, None), "<": (None, start), "<=": (None, end),
+                    "=": (start, end), "!=": (None, None)}[op]
+    if op == "!=":
+        return (at < start) | (at >= end)
+    cond = F.lit(True)
+    try:
+        day = (_EPOCH + timedelta(milliseconds=millis)).date()
+        first, last = day - timedelta(days=1), day + timedelta(days=1)
+    except OverflowError:  # beyond the calendar: no bound on the day
+        first = last = None
+    if lower is not None:
+        cond = cond & (at >= lower)
+        if first and "event_date" in stored:
+            cond = cond & (F.col("event_date") >= F.lit(first))
+    if upper is not None:
+        cond = cond & (at < upper)
+        if last and "event_date" in stored:
+            cond = cond & (F.col("event_date") <= F.lit(last))
+    return cond
+
+
+def _number_column(op: str, value: Column, literal: float) -> Column:
+    """A stored numeric column against a number; the plain bounds reach the scan."""
+    exact = _compare_number(op, value, F.lit(literal))
+    return exact & value.between(literal - 1e-15, literal + 1e-15) if op == "=" else exact
+
+
+def predicate_column(p: Predicate, stored=()) -> Column:
+    """F4 as a condition; true where the predicate holds, false or null elsewhere.
+
+    Comparisons of stored columns are plain, so that they reach the scan (time, duration,
+    level, texts without letters); ``stored`` names the frame's columns.
+    """
+    if p.field == "timestamp":
+        return _time_column(p.operator, p.literal, stored)
+    if p.field in NUMERIC_QUERY_FIELDS:
+        return _number_column(p.operator, F.col(p.field).cast("double"), p.literal)
+    if isinstance(p.literal, str) and p.operator in ("=", "!=") and p.field in PLAIN_TEXT_FIELDS:
+        text = p.literal.translate(_ASCII_LOWER)
+        if p.field == "level" or text == text.translate(_ASCII_UPPER):  # levels are in lower case
+            return F.col(p.field) == text if p.operator == "=" else F.col(p.field) != text
+    kind, value = _query_value(p.field, stored)
     if isinstance(p.literal, float):
         right = F.lit(p.literal)
         parsed = F.when(value.rlike(_NUMERIC_TEXT), value.try_cast("double"))
@@ -248,20 +314,23 @@ def predicate_column(p: Predicate) -> Column:
 
 
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_ASCII_UPPER = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Text fields that are columns of the event itself.
+PLAIN_TEXT_FIELDS = set(QUERY_FIELDS) - set(NUMERIC_QUERY_FIELDS) - {"timestamp", "tag", "correlation", "status"}
 
 
-def predicates_column(predicates, now_ms: int | None = None) -> Column:
+def predicates_column(predicates, now_ms: int | None = None, stored=()) -> Column:
     ok, errors = validate_predicates(predicates, now_ms)
     if errors:
         return F.lit(False)
     cond = F.lit(True)
     for p in ok:
-        cond = cond & predicate_column(p)
+        cond = cond & predicate_column(p, stored)
     return cond
 
 
 def where_predicates(df: DataFrame, predicates, now_ms: int | None = None) -> DataFrame:
-    return df.where(predicates_column(predicates, now_ms))
+    return df.where(predicates_column(predicates, now_ms, tuple(df.columns)))
 
 
 def where_time(df: DataFrame, op: str, value: str, now_ms: int | None = None) -> DataFrame:
@@ -350,9 +419,9 @@ def filter_column(state: FilterState, ignored_facet: str | None = None, stored=(
     if state.minimum_level:
         cond = cond & C.level_at_least(state.minimum_level)
     if state.correlation is not None:
-        cond = cond & (C.correlation() == F.lit(state.correlation))
+        cond = cond & (correlation_value(stored) == F.lit(state.correlation))
     if state.predicates:
-        cond = cond & predicates_column(state.predicates, state.now_ms)
+        cond = cond & predicates_column(state.predicates, state.now_ms, stored)
     if state.text.strip():
         cond = cond & search_column(state.text, document=F.col("search_document")
                                     if "search_document" in stored else None)
@@ -375,7 +444,7 @@ def filter_by_values(df: DataFrame, facet: str, values: DataFrame, exclude: bool
     A semi / anti join on the facet value; rows lacking the facet never match an include and
     always survive an exclude (the null key matches nothing). Join strategy is left to AQE.
     """
-    keyed = df.withColumn("__facet_value", facet_value(facet))
+    keyed = df.withColumn("__facet_value", facet_value(facet, tuple(df.columns)))
     vals = values.select(F.col("value").alias("__facet_value")).distinct()
     out = keyed.join(vals, "__facet_value", "left_anti" if exclude else "left_semi")
     return out.drop("__facet_value")

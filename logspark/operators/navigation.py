@@ -50,35 +50,44 @@ def error_neighbours(view: DataFrame, partition_cols=("app_session_id",), block_
                .drop("_err", "_blk", "_next_in", "_prev_in", "_next_blk", "_prev_blk", "_run_first", "_run_last"))
 
 
-TOP_N_DIRECT = 10_000
+#: Blocks of ids that one counting pass tells apart; bounds what reaches the driver.
+CUT_BLOCKS = 4096
+
+
+def cut_off(df: DataFrame, n: int, bucket_size: int = 1 << 16) -> int | None:
+    """Smallest ``event_id`` of the newest ``n`` rows; None where there are no more than ``n``.
+
+    Rows are counted per block of ids (at most ``CUT_BLOCKS``, and at first no narrower than
+    ``bucket_size``), then per smaller block inside the one where the newest n rows end, until
+    that is a single id. No pass sorts, and each after the first reads one block of ids.
+    """
+    ids = df.select("event_id")
+    low, high, rows = ids.agg(F.min("event_id"), F.max("event_id"), F.count("event_id")).first()
+    if rows <= n:
+        return None
+    narrowest = bucket_size
+    while low < high:
+        width = max(narrowest, (high - low) // CUT_BLOCKS + 1)
+        block = F.expr(f"(bigint({high}) - event_id) div bigint({width})").alias("block")
+        sizes = ids.where(F.col("event_id").between(low, high)).groupBy(block).agg(F.count(F.lit(1)).alias("rows")).collect()
+        for back, size in sorted(map(tuple, sizes)):
+            if size >= n:
+                break
+            n -= size
+        low, high = max(low, high - (back + 1) * width + 1), high - back * width
+        narrowest = 1
+    return low
 
 
 def keep_latest(df: DataFrame, n: int = 250_000, bucket_size: int = 1 << 16) -> DataFrame:
-    """O1: the newest ``n`` rows by ingestion order (n clamped to >= 1); a top-n by design.
+    """O1: the newest ``n`` rows by ingestion order (n clamped to >= 1), newest first.
 
-    Small ``n`` is a plain ``TakeOrdered``. For a large window (default 250 000, up to
-    millions) a single merge task would receive ``n`` rows from every partition, so the
-    cut-off is found from a histogram instead: rows are counted per block of ingestion ids
-    (partial aggregate, one row per block), running counts from the newest block find the
-    blocks kept whole and the one boundary block, and only that block is ranked.
+    The ids are an event set's dense numbering, so each occurs once. The cut-off is resolved
+    when this is called; the rows are then a plain ``event_id >= cut``, which reaches the scan.
     """
-    n = max(int(n), 1)
-    if n <= TOP_N_DIRECT:
-        return df.orderBy(F.col("event_id").desc()).limit(n)
-    blk = F.floor(F.col("event_id") / F.lit(bucket_size))
-    hist = df.groupBy(blk.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
-    # every block holds >= 1 row, so the newest n blocks cover the window: the running
-    # count below therefore spans at most n histogram rows, whatever the data size
-    hist = hist.orderBy(F.col("_b").desc()).limit(n)
-    newer = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_newer", F.coalesce(F.sum("_cnt").over(newer), F.lit(0)))
-    kept = hist.where(F.col("_newer") < n).select(
-        "_b", F.least(F.col("_cnt"), F.lit(n) - F.col("_newer")).alias("_quota"), "_cnt")
-    # rows of the kept blocks: at most n plus one block; each block is ranked on its own
-    rows = df.withColumn("_b", blk).join(kept, "_b")
-    ranked = rows.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_b").orderBy(F.col("event_id").desc())))
-    return ranked.where(F.col("_r") <= F.col("_quota")).drop("_b", "_quota", "_cnt", "_r")
+    cut = cut_off(df, max(int(n), 1), bucket_size)
+    kept = df if cut is None else df.where(F.col("event_id") >= F.lit(cut))
+    return order_latest(kept)
 
 
 def retention_report(df: DataFrame, n: int = 250_000) -> DataFrame:

@@ -14,8 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions import columns as C
-from logspark.operators.filters import FilterState, filter_column, validate_predicates
+from logspark.operators.filters import FilterState, correlation_value, filter_column, validate_predicates
 from logspark.sources.jsonl import with_row_numbers
 
 CHUNK = 64
@@ -30,7 +29,7 @@ def evaluate_saved_filters(df: DataFrame, filters: dict[str, FilterState]) -> Da
         chunk = names[start:start + CHUNK]
         aggs = []
         for i, name in enumerate(chunk):
-            cond = filter_column(filters[name])
+            cond = filter_column(filters[name], stored=tuple(df.columns))
             aggs += [F.count_if(cond).alias(f"h{i}"),
                      F.min(F.when(cond, F.col("event_id"))).alias(f"f{i}"),
                      F.max(F.when(cond, F.col("event_id"))).alias(f"l{i}")]
@@ -51,14 +50,14 @@ def correlation_trail(df: DataFrame, event_id: int) -> DataFrame:
     """All events sharing the correlation of one chosen event, in ingestion order.
 
     A semi join against the (one-row) correlation of the chosen event."""
-    withc = df.withColumn("correlation", C.correlation())
+    withc = df.withColumn("correlation", correlation_value(tuple(df.columns)))
     chosen = withc.where(F.col("event_id") == F.lit(event_id)).select("correlation").distinct()
     return withc.join(F.broadcast(chosen), "correlation", "left_semi").orderBy("event_id")
 
 
 def correlation_trails(df: DataFrame, chosen_ids: DataFrame) -> DataFrame:
     """J4 for many chosen events at once: (chosen_event_id, event_id) pairs of each trail."""
-    withc = df.withColumn("correlation", C.correlation())
+    withc = df.withColumn("correlation", correlation_value(tuple(df.columns)))
     picks = withc.join(chosen_ids.select(F.col("event_id").alias("chosen_event_id")),
                        F.col("event_id") == F.col("chosen_event_id")).select("chosen_event_id", "correlation")
     return picks.join(withc.select("correlation", "event_id"), "correlation").select("chosen_event_id", "event_id")

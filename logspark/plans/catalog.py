@@ -523,12 +523,11 @@ def q_event_fingerprint(spark, sf_dir):
 _PINS_SQL = DOC.rstrip() + f""",
 snap AS (SELECT ev.* REPLACE (CASE WHEN l.toxic = 1 THEN 'warn' ELSE ev.level END AS level), l.quality, l.toxic
          FROM ev JOIN labels l ON l.doc_id = ev.event_id),
-pins AS (SELECT {O.fingerprint_sql('snap')} AS pin_key,
+pins AS (SELECT {O.fingerprint_sql('snap')} AS pin_key, {O.export_line_sql('snap')} AS event_json, "timestamp" AS event_time,
            'quality=' || CAST(quality AS VARCHAR) || ' toxic=' || CAST(toxic AS VARCHAR) AS note FROM snap),
 keyed AS (SELECT {O.fingerprint_sql('ev')} AS pin_key, event_id, "timestamp" FROM ev),
-located AS (SELECT p.pin_key, p.note, min(k.event_id) AS matched_event_id,
-              arg_min(k."timestamp", k.event_id) AS pin_ts
-            FROM pins p LEFT JOIN keyed k ON k.pin_key = p.pin_key GROUP BY p.pin_key, p.note)
+hits AS (SELECT pin_key, min(event_id) AS matched_event_id FROM keyed GROUP BY pin_key),
+located AS (SELECT p.*, p.event_time AS pin_ts, h.matched_event_id FROM pins p LEFT JOIN hits h ON h.pin_key = p.pin_key)
 """
 
 
@@ -543,18 +542,17 @@ def q_locate_pins(spark, sf_dir):
 
 
 @register("pin_strip", _PINS_SQL + f""",
-r AS (SELECT * FROM located WHERE matched_event_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER w AS position,
         (epoch_us(pin_ts) - epoch_us(lag(pin_ts) OVER w)) // 1000 AS delta_ms,
         (epoch_us(max(pin_ts) OVER ()) - epoch_us(min(pin_ts) OVER ())) // 1000 AS span_ms,
         coalesce(lead(pin_key) OVER w, first_value(pin_key) OVER w2) AS next_pin,
         coalesce(lag(pin_key) OVER w, last_value(pin_key) OVER w2) AS previous_pin
-      FROM r WINDOW w AS (ORDER BY pin_ts, matched_event_id),
-                    w2 AS (ORDER BY pin_ts, matched_event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      FROM located WINDOW w AS (ORDER BY pin_ts, pin_key, note),
+                          w2 AS (ORDER BY pin_ts, pin_key, note ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT pin_key, position, delta_ms, span_ms, next_pin, previous_pin FROM o
 """)
 def q_pin_strip(spark, sf_dir):
-    """Retained pins by time with deltas, span and wrapped neighbours."""
+    """All pins, retained or not, by the time of their snapshot with deltas, span and wrapped neighbours."""
     pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
     located = PN.locate_pins(pins, T.load_documents(spark, sf_dir))
     return PN.pin_strip(located).select("pin_key", "position", "delta_ms", "span_ms", "next_pin", "previous_pin")
@@ -566,7 +564,7 @@ SELECT pin_key, note FROM located WHERE matched_event_id IS NULL
 def q_lost_pins(spark, sf_dir):
     """Pins whose event is no longer retained (anti join)."""
     pins = T.pins_from_labels(T.table(spark, sf_dir, "labels"), T.table(spark, sf_dir, "documents"))
-    return PN.lost_pins(pins, T.load_documents(spark, sf_dir))
+    return PN.lost_pins(pins, T.load_documents(spark, sf_dir)).select("pin_key", "note")
 
 
 # ---------------------------------------------------------------- ingest S2 S3 S4 S5 O2
@@ -979,10 +977,8 @@ _BUNDLE_FILTER = '{"facets":{},"minimum_level":null,"correlation":null,"text":""
 
 
 @register("investigation_bundle", _PINS_SQL + f""",
-lines AS (SELECT event_id, {O.export_line_sql()} AS line FROM ev),
 o AS (SELECT row_number() OVER (ORDER BY pin_ts NULLS FIRST, pin_key, note) AS line_no, count(*) OVER () AS n,
-        '{{"note":' || to_json(note) || ',"event":' || coalesce(l.line, to_json(pin_key)) || '}}' AS body
-      FROM located LEFT JOIN lines l ON l.event_id = located.matched_event_id)
+        '{{"note":' || to_json(note) || ',"event":' || event_json || '}}' AS body FROM located)
 SELECT 0 AS line_no, '{{"format":"logspark-investigation-v1","created_at":1704326400000,"sources":["documents"],"filter":'
   || '{_BUNDLE_FILTER}' || ',"pins":[' AS text
 UNION ALL SELECT line_no, body || CASE WHEN line_no < n THEN ',' ELSE '' END FROM o
@@ -1159,6 +1155,37 @@ def q_event_store_search(spark, sf_dir):
     return FI.apply_filter(SS.read_event_store(spark, path), state).select("event_id")
 
 
+def _stored_events(spark, sf_dir):
+    """All events written to a new event store and read back."""
+    path = scratch_path(spark, "event-store")
+    SS.write_event_store(T.load_events(spark, sf_dir), path)
+    return SS.read_event_store(spark, path)
+
+
+@register("event_store_correlation", EV + f"""
+SELECT event_id FROM ev WHERE {O.CORR_SQL} = 'req-1'
+""")
+def q_event_store_correlation(spark, sf_dir):
+    """F3 over the event store: the stored correlation, compared in the scan."""
+    return FI.where_correlation(_stored_events(spark, sf_dir), "req-1").select("event_id")
+
+
+@register("event_store_predicates", EV + """
+SELECT event_id FROM ev WHERE duration_ms > 100 AND level <> 'info' AND json_extract_string(fields, '$.paid') = 'false'
+""")
+def q_event_store_predicates(spark, sf_dir):
+    """F4 over the event store: duration and level compared in the scan, the JSON field after it."""
+    preds = [("duration_ms", ">", "100"), ("level", "!=", "INFO"), ("fields.paid", "=", "FALSE")]
+    return FI.where_predicates(_stored_events(spark, sf_dir), preds).select("event_id")
+
+
+@register("event_store_time_window", ORACLE["time_window"])
+def q_event_store_time_window(spark, sf_dir):
+    """F6 over the event store: bounds on the time and on the partition day."""
+    preds = [("timestamp", "=", "last-2d"), ("timestamp", "<", "2024-01-03T12:00:00Z")]
+    return FI.where_predicates(_stored_events(spark, sf_dir), preds, now_ms=NOW_MS).select("event_id")
+
+
 @register("order_latest", EV + """
 SELECT event_id, row_number() OVER (ORDER BY event_id) AS position FROM ev WHERE level IN ('error', 'fatal')
 """)

@@ -58,16 +58,19 @@ def investigation_bundle(pins_located: DataFrame, events: DataFrame, sources: li
     """K2: the investigation document as ordered text lines (``line_no``, ``text``).
 
     Line 0 opens the document (format id, creation time, sources, filter), then one line
-    per pin in (event time, key) order with its note and event snapshot (the export line,
-    or the key when the event is no longer retained), then the closing line. Joined in
+    per pin in (event time, key) order with its note and event snapshot (the pin's own; for a
+    bare pin the export line of the event found, else the key), then the closing line. Joined in
     ``line_no`` order (``write.text`` of the sorted lines) the text is one JSON document;
     no step holds all pins in one task."""
     from logspark.sources.jsonl import with_row_numbers
 
     spark = events.sparkSession
-    snap = pins_located.join(
-        with_export_line(events).select(F.col("event_id").alias("matched_event_id"), "line"),
-        "matched_event_id", "left")
+    if "event_json" in pins_located.columns:
+        snap = pins_located.withColumn("line", F.col("event_json"))
+    else:
+        snap = pins_located.join(
+            with_export_line(events).select(F.col("event_id").alias("matched_event_id"), "line"),
+            "matched_event_id", "left")
     numbered = with_row_numbers(snap, ["pin_timestamp", "pin_key", "note"], name="line_no", start=1)
     count = numbered.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     body = F.concat(F.lit('{"note":'), F.coalesce(_json_string(F.col("note")), F.lit("null")),

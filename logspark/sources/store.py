@@ -1,5 +1,5 @@
 """Event store: validated events written once as partitioned Parquet with the derived
-columns materialised (correlation, tag, severity, search document), read back with
+columns materialised (correlation, tag, severity, search document, fingerprint), read back with
 partition pruning and Parquet filter pushdown.
 
 Layout: ``event_date=<day>/source=<name>/part-*.parquet``. Rows are range-partitioned on
@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
 from logspark.schema import EVENT_COLUMNS
+from logspark.sources.export import event_fingerprint
 
-DERIVED = ["correlation", "tag", "severity", "search_document"]
+DERIVED = ["correlation", "tag", "severity", "search_document", "fingerprint"]
 
 
 def enrich(events: DataFrame) -> DataFrame:
-    """Add the derived columns once (P1, P2, P3, P8) and the partition day."""
+    """Add the derived columns once (P1, P2, P3, P8, P19) and the partition day."""
     return events.withColumns({
         "correlation": C.correlation(), "tag": C.tag(), "severity": C.severity(),
-        "search_document": C.search_document(), "event_date": F.to_date("timestamp")})
+        "search_document": C.search_document(), "fingerprint": event_fingerprint(), "event_date": F.to_date("timestamp")})
 
 
 def write_event_store(events: DataFrame, path: str, mode: str = "append") -> None:

@@ -197,14 +197,13 @@ def pins_from_labels(labels: DataFrame, documents: DataFrame) -> DataFrame:
     A pin stores the snapshot of the event it was taken from; for documents labelled toxic
     the snapshot was taken at level ``warn``, so no loaded event carries that content.
     """
-    from logspark.sources.export import event_fingerprint
+    from logspark.operators.pins import take_pins
 
     docs = documents_frame(documents)
     snap = docs.join(labels.withColumnRenamed("doc_id", "event_id"), "event_id")
     snap = snap.withColumn("level", F.when(F.col("toxic") == 1, F.lit("warn")).otherwise(F.col("level")))
-    return snap.select(event_fingerprint().alias("pin_key"),
-                       F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="),
-                                F.col("toxic").cast("string")).alias("note"))
+    return take_pins(snap, F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="),
+                                    F.col("toxic").cast("string")))
 
 
 def numbered_event_lines(events: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def _number_batch_lines(batch: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ T2 / K3 filter + sink
 def stream_filter(events: DataFrame, state: FI.FilterState) -> DataFrame:
     """The active filter applied to each new row (stateless, append mode)."""
-    return events.where(FI.filter_column(state))
+    return events.where(FI.filter_column(state, stored=tuple(events.columns)))
 
 
 def stream_to_sink(df: DataFrame, path: str, checkpoint_dir: str, fmt: str = "parquet",

@@ -144,3 +144,38 @@ def test_predicates_on_derived_and_numeric_text(spark):
     assert q(("fields.v", "<", "100")) == [0]         # number literal: unparsable 'abc' -> false
     assert q(("fields.w", "=", "0.1")) == [0]         # equality within f64 epsilon
     assert q(("Level", "=", "INFO")) == [0, 1]        # field names are case-insensitive
+
+
+def test_predicate_literals():
+    def built(name, op, raw, now=1_000_000):
+        p, error = FI.build_predicate(name, op, raw, now)
+        return (p.field, p.operator, p.literal) if p else error
+
+    assert built("Timestamp", "<", "last-10S") == ("timestamp", ">=", 990_000.0)
+    assert built("timestamp", "=", "1970-01-01T00:00:01.5Z") == ("timestamp", "=", 1500.0)
+    assert built("duration_ms", "=", "'12.5'") == ("duration_ms", "=", 12.5)
+    assert built("fields.Key", "=", '"a \\"b\\""') == ("fields.Key", "=", 'a "b"')
+    for bad in [("nope", "=", "1"), ("fields.", "=", "1"), ("level", "~", "x"), ("level", "=", '"x'), ("level", "=", "''"),
+                ("level", ">", "warn"), ("duration_ms", "=", "1.0d"), ("timestamp", "=", "2024-13-01T00:00:00Z"),
+                ("timestamp", "=", "last-0s"), ("timestamp", "=", "soon")]:
+        assert isinstance(built(*bad), str), bad
+    far = built("timestamp", "<", "9" * 400)
+    assert far[2] == float(FI._FAR_MS)
+
+
+def test_time_predicates_compare_whole_milliseconds(spark):
+    from datetime import timedelta
+    from conftest import BASE
+    df = frame(spark, [event(i, timestamp=BASE + timedelta(microseconds=500 * i)) for i in range(6)])
+    ms = 1704067200000
+    for op, wanted in {"=": [2, 3], "!=": [0, 1, 4, 5], "<": [0, 1], "<=": [0, 1, 2, 3], ">": [4, 5], ">=": [2, 3, 4, 5]}.items():
+        assert ids(FI.where_time(df, op, str(ms + 1))) == wanted, op
+    assert ids(FI.where_time(df, "<", "9" * 400)) == [0, 1, 2, 3, 4, 5]
+    assert ids(FI.where_time(df, "<", "-" + "9" * 400)) == []
+
+
+def test_included_facet_that_a_row_lacks(spark):
+    df = frame(spark, [event(0, provider="p"), event(1), event(2, provider="q")])
+    counts = {(r.facet, r.value): r["count"] for r in
+              FA.facet_counts_all(df, FI.FilterState(facets={"provider": {"include": ["p"]}})).collect()}
+    assert counts[("source", "app")] == 1 and counts[("provider", "q")] == 1

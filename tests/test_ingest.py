@@ -220,3 +220,15 @@ def test_merged_sources_get_ids_of_their_own(spark):
     a, b = frame(spark, [event(i, source="a") for i in (5, 7)]), frame(spark, [event(i, source="b") for i in (5, 6, 7)])
     got = [(r["event_id"], r["source"]) for r in SV.merge_events(a, b).orderBy("event_id").collect()]
     assert got == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "b")]
+
+
+def test_pins_keep_their_snapshot(spark):
+    old = frame(spark, [event(5, message="gone"), event(1, message="here")])
+    pins = PN.take_pins(old, F.concat(F.lit("n"), F.col("event_id")))
+    located = PN.locate_pins(pins, frame(spark, [event(1, message="here")]))
+    strip = {r.note: r for r in PN.pin_strip(located).collect()}
+    assert (strip["n1"].position, strip["n1"].retained, strip["n5"].position, strip["n5"].retained) == (1, True, 2, False)
+    assert strip["n5"].delta_ms == 4000 and strip["n1"].next_pin == strip["n5"].pin_key == strip["n1"].previous_pin
+    lines = EX.investigation_bundle(located, old, ["s"], "{}", 0).orderBy("line_no").collect()
+    doc = json.loads("".join(r.text for r in lines))
+    assert [p["event"]["message"] for p in doc["pins"]] == ["here", "gone"]

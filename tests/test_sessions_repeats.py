@@ -94,3 +94,11 @@ def test_error_navigation_over_the_whole_view(spark):
     got = {r.event_id: (r.next_error_id, r.previous_error_id)
            for r in NV.error_neighbours(frame(spark, rows), partition_cols=(), block_size=2).collect()}
     assert got[0] == (3, 6) and got[3] == (6, 6) and got[4] == (6, 3) and got[7] == (3, 6)
+
+
+def test_keep_latest_at_any_size(spark):
+    ids = [i * i * i for i in range(3000)]  # sparse: many passes narrow the cut-off down
+    df = spark.createDataFrame([(i,) for i in ids], "event_id long").repartition(7)
+    for n in (1, 2, 500, 2999, 3000, 10_000):
+        assert [r.event_id for r in NV.keep_latest(df, n).collect()] == ids[:-n - 1:-1], n
+    assert NV.keep_latest(df.limit(0), 5).collect() == []
