@@ -1022,7 +1022,8 @@ def q_stream_session_summaries(spark, sf_dir):
                                          scratch_path(spark, "ckpt"))]
     for q in running:
         _await(q)
-    s = ST.session_summary_table(spark.read.parquet(out), spark.read.parquet(pairs))
+    s = ST.session_summary_table(ST.current_rows(spark, out, ["app_session_id"]),
+                                 ST.current_rows(spark, pairs, ["app_session_id", "correlation"]))
     return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"), _ms("last_timestamp").alias("last_ms"),
                     SE._elapsed_ms(F.col("first_timestamp"), F.col("last_timestamp")).alias("elapsed_ms"),
                     "event_count", "warning_count", "error_count",
@@ -1035,7 +1036,7 @@ def q_stream_facet_counts(spark, sf_dir):
     events = ST.stream_events(spark, _landing_events(spark, sf_dir))
     out = scratch_path(spark, "stream-facets")
     _await(ST.run_aggregate_to_table(ST.stream_facet_counts(events, FLAGSHIP_STATE), out, scratch_path(spark, "ckpt")))
-    return spark.read.parquet(out)
+    return ST.current_rows(spark, out, ["facet", "value"])
 
 
 @register("stream_filter", ORACLE["filter_events"])
@@ -1125,6 +1126,75 @@ def q_stream_health(spark, sf_dir):
     return h.groupBy("file_name").agg(F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"))
 
 
+def _validated_stream(spark, sf_dir):
+    """The valid events of the landing lines as a stream of their own."""
+    ev, rej, health = (scratch_path(spark, n) for n in ("stream-valid", "stream-rejects", "stream-health"))
+    lines = ST.stream_event_logs(spark, _landing_lines(spark, sf_dir))
+    _await(ST.stream_validate(lines, ev, rej, health, scratch_path(spark, "ckpt")))
+    return ST.stream_events(spark, ev)
+
+
+@register("stream_chain_summaries", LINES + """
+SELECT json_extract_string(jv, '$.app_session_id') AS app_session_id, count(*) AS event_count,
+  count(*) FILTER (WHERE json_extract_string(jv, '$.level') = 'warn') AS warning_count,
+  count(*) FILTER (WHERE json_extract_string(jv, '$.level') IN ('error', 'fatal')) AS error_count
+FROM parsed WHERE reason IS NULL GROUP BY ALL
+""")
+def q_stream_chain_summaries(spark, sf_dir):
+    """S6 -> T1 -> T3: landing lines validated by one stream, whose events another one summarises."""
+    out = scratch_path(spark, "stream-sessions")
+    summaries = ST.stream_session_summaries(_validated_stream(spark, sf_dir))
+    _await(ST.run_aggregate_to_table(summaries, out, scratch_path(spark, "ckpt")))
+    return ST.current_rows(spark, out, ["app_session_id"]).select(
+        "app_session_id", "event_count", "warning_count", "error_count")
+
+
+@register("stream_chain_latest", LINES + """
+SELECT event_id FROM (SELECT row_number() OVER () - 1 AS event_id FROM parsed WHERE reason IS NULL)
+ORDER BY event_id DESC LIMIT 500
+""")
+def q_stream_chain_latest(spark, sf_dir):
+    """S6 -> T1 -> T6: the newest 500 of the validated stream by the ids that validation gave."""
+    table = scratch_path(spark, "stream-latest")
+    _await(ST.stream_keep_latest(_validated_stream(spark, sf_dir), 500, table, scratch_path(spark, "ckpt")))
+    return ST.latest_table(spark, table).select("event_id")
+
+
+def _late_counts(spark, sf_dir, delay):
+    """Hourly counts of a stream to which every seventh event comes late, after all others."""
+    events, land = T.load_events(spark, sf_dir), scratch_path(spark, "landing-late")
+    out, ckpt = scratch_path(spark, "stream-windows"), scratch_path(spark, "ckpt")
+    for late in (False, True):
+        events.where((F.col("event_id") % 7 == 0) == late).write.mode("append").parquet(land)
+        stream = ST.with_event_watermark(ST.stream_events(spark, land), delay)
+        _await(ST.run_aggregate_to_table(ST.stream_window_counts(stream), out, ckpt))
+    return ST.current_rows(spark, out, ["window_start", "source"]).select(
+        _ms("window_start").alias("start_ms"), "source", "events")
+
+
+_HOURLY = """
+h AS (SELECT epoch_us(date_trunc('hour', "timestamp")) // 1000 AS start_ms, source, event_id % 7 = 0 AS late, "timestamp" FROM ev)
+"""
+
+
+@register("stream_late_kept", EV + "," + _HOURLY + """
+SELECT start_ms, source, count(*) AS events FROM h GROUP BY ALL
+""")
+def q_stream_late_kept(spark, sf_dir):
+    """Without a delay every late event is counted."""
+    return _late_counts(spark, sf_dir, None)
+
+
+@register("stream_late_dropped", EV + "," + _HOURLY + """
+SELECT start_ms, source, count(*) AS events FROM h
+WHERE NOT late OR start_ms + 3600000 > (SELECT max(epoch_us("timestamp") // 1000) FROM h WHERE NOT late) - 86400000
+GROUP BY ALL
+""")
+def q_stream_late_dropped(spark, sf_dir):
+    """With a delay of a day, late events of hours that ended longer ago are dropped."""
+    return _late_counts(spark, sf_dir, "1 day")
+
+
 @register("elapsed_text", EV + """
 SELECT app_session_id, e AS elapsed_ms,
   CASE WHEN e < 1000 THEN CAST(e AS VARCHAR) || ' ms' WHEN e < 60000 THEN printf('%.1f s', e / 1000.0)

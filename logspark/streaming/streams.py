@@ -53,15 +53,19 @@ def with_event_watermark(df: DataFrame, delay: str | None = None) -> DataFrame:
 def stream_validate(lines: DataFrame, events_dir: str, rejects_dir: str, health_dir: str,
                     checkpoint_dir: str, trigger_available_now: bool = True):
     """T1 + T8: validate each micro-batch; valid events, rejects and a per-batch health
-    report go to three tables, each written under ``batch_id=<id>`` (replay-safe)."""
+    report go to three tables, each written under ``batch_id=<id>`` (replay-safe).
+
+    ``event_id`` goes on from batch to batch: a batch starts at the number of valid events that
+    the health reports of the batches before it hold, and numbers its own by file and line."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         numbered = _number_batch_lines(batch)
         parsed = JL.parse_event_lines(numbered).persist()
         try:
             part = f"batch_id={batch_id}"
-            (parsed.where(F.col("reason").isNull())
-                   .select(*[c for c in EVENT_SCHEMA.names if c != "event_id"], "file_name", "line_number")
+            start = _valid_before(batch.sparkSession, health_dir, batch_id)
+            (JL.with_row_numbers(parsed.where(F.col("reason").isNull()), ["file_path", "line_number"], start=start)
+                   .select(*EVENT_SCHEMA.names, "file_name", "line_number")
                    .write.mode("overwrite").parquet(os.path.join(events_dir, part)))
             (parsed.where(F.col("reason").isNotNull()).select("file_path", "file_name", "line_number", "reason")
                    .write.mode("overwrite").parquet(os.path.join(rejects_dir, part)))
@@ -78,6 +82,14 @@ def stream_validate(lines: DataFrame, events_dir: str, rejects_dir: str, health_
     return writer.start()
 
 
+def _valid_before(spark: SparkSession, health_dir: str, batch_id: int) -> int:
+    """Valid events of all batches before this one (each has written its health report)."""
+    if batch_id == 0 or not _exists(spark, health_dir):
+        return 0
+    earlier = spark.read.parquet(health_dir).where(F.col("batch_id") < batch_id)
+    return earlier.agg(F.coalesce(F.sum("valid"), F.lit(0))).first()[0]
+
+
 def _number_batch_lines(batch: DataFrame) -> DataFrame:
     """Physical line numbers inside each file of a micro-batch (files arrive whole)."""
     return JL.number_physical_lines(batch).where(F.col("value").rlike(r"\S"))
@@ -136,19 +148,37 @@ def stream_facet_counts(events: DataFrame, state: FI.FilterState | None = None)
     return FA.facet_counts_all(events, state, ordered=False)
 
 
+def stream_window_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Events per time window and source. With ``with_event_watermark(events, delay)`` the
+    state of windows that ended ``delay`` before the newest event goes, and rows that are later
+    than that are dropped; without it every late row counts."""
+    return (events.groupBy(F.window("timestamp", width).alias("w"), "source").agg(F.count(F.lit(1)).alias("events"))
+                  .select(F.col("w.start").alias("window_start"), "source", "events"))
+
+
 def run_aggregate_to_table(agg: DataFrame, path: str, checkpoint_dir: str):
-    """Materialise a streaming aggregate: each micro-batch rewrites the table with the
-    complete current result (``complete`` mode through ``foreachBatch``)."""
+    """Materialise a streaming aggregate: each micro-batch appends the keys it changed, with
+    their new values, under ``batch_id=<id>`` (update mode, replay-safe). ``current_rows``
+    reads the newest values."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
-    return (agg.writeStream.outputMode("complete").foreachBatch(per_batch)
+    return (agg.writeStream.outputMode("update").foreachBatch(per_batch)
                .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
 
 
+def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key of a table that ``run_aggregate_to_table`` keeps."""
+    changes = spark.read.parquet(path)
+    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_now"))
+    return newest.select(*keys, "_now.*")
+
+
 # ------------------------------------------------------------------ T5 / T6 merges
-def _latest_version(spark: SparkSession, table_dir: str, before: int):
-    for v in range(before - 1, -1, -1):
+def _latest_version(spark: SparkSession, table_dir: str, before: int) -> DataFrame | None:
+    """The newest completed version below ``before``."""
+    for v in reversed([v for v in _versions(spark, table_dir) if v < before]):
         p = os.path.join(table_dir, f"v={v}")
         if _exists(spark, os.path.join(p, "_SUCCESS")):
             return spark.read.parquet(p)
@@ -161,6 +191,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Versions of a merge table that stay: the newest, the one a replay of its batch reads, and one for slow readers.
+KEPT_VERSIONS = 3
+
+
+def _write_version(df: DataFrame, table_dir: str, batch_id: int) -> None:
+    """Write ``v=<batch_id>`` and remove versions older than the last ``KEPT_VERSIONS``."""
+    df.write.mode("overwrite").parquet(os.path.join(table_dir, f"v={batch_id}"))
+    spark = df.sparkSession
+    for version in _versions(spark, table_dir)[:-KEPT_VERSIONS]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(table_dir, f"v={version}"))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _versions(spark: SparkSession, table_dir: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(p))
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+
 GROUP_COLUMNS = C.REPEAT_KEY_COLUMNS + ["repeat_count", "first_event_id", "latest_event_id", "previous_event_id"]
 
 
@@ -189,7 +241,7 @@ def stream_repeat_groups(events: DataFrame, table_dir: str, checkpoint_dir: str)
         spark = batch.sparkSession
         old = _latest_version(spark, table_dir, batch_id)
         merged = merge_repeat_groups(old, RP.repeat_groups(batch))
-        merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"v={batch_id}"))
+        _write_version(merged, table_dir, batch_id)
 
     return (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
                   .trigger(availableNow=True).start())
@@ -203,7 +255,7 @@ def stream_keep_latest(events: DataFrame, n: int, table_dir: str, checkpoint_dir
         old = _latest_version(spark, table_dir, batch_id)
         rows = batch if old is None else old.unionByName(batch)
         kept = rows if paused else NV.keep_latest(rows, n)
-        kept.write.mode("overwrite").parquet(os.path.join(table_dir, f"v={batch_id}"))
+        _write_version(kept, table_dir, batch_id)
 
     return (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
                   .trigger(availableNow=True).start())
@@ -211,11 +263,5 @@ def stream_keep_latest(events: DataFrame, n: int, table_dir: str, checkpoint_dir
 
 def latest_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
     """Newest completed version of a versioned merge table."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p)
-                      if s.getPath().getName().startswith("v="))
+    versions = _versions(spark, table_dir)
     return _latest_version(spark, table_dir, versions[-1] + 1) if versions else None

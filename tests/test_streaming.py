@@ -97,3 +97,30 @@ def test_repeat_group_merge_rule(spark):
     assert (m.repeat_count, m.first_event_id, m.latest_event_id, m.previous_event_id) == (5, 1, 12, 9)
     m2 = ST.merge_repeat_groups(ST.merge_repeat_groups(old, new), single).first()
     assert (m2.repeat_count, m2.latest_event_id, m2.previous_event_id) == (6, 15, 12)
+
+
+def test_stream_ids_go_on_from_batch_to_batch(spark):
+    land, ckpt = _scratch(), _scratch()
+    ev, rej, health = (os.path.join(_scratch(), "t") for _ in range(3))
+    line = {"schema_version": 1, "timestamp": 1, "level": "info", "source": "a", "subsystem": "b", "event": "c",
+            "app_session_id": "r"}
+    for part in range(3):
+        with open(os.path.join(land, f"part{part}.jsonl"), "w") as f:
+            f.write("".join(json.dumps(line | {"message": f"{part}-{i}"}) + "\n" for i in range(3)) + "{bad\n")
+        ST.stream_validate(ST.stream_event_logs(spark, land), ev, rej, health, ckpt).awaitTermination()
+    rows = spark.read.parquet(ev).orderBy("event_id").collect()
+    assert [(r.event_id, r.message) for r in rows] == [(i, f"{i // 3}-{i % 3}") for i in range(9)]
+
+
+def test_update_table_keeps_the_newest_values_and_old_versions_go(spark):
+    land, out, ckpt, table, ckpt2 = (_scratch() for _ in range(5))
+    for part in range(5):
+        frame(spark, [event(part * 4 + i, app_session_id=f"r{i % 2 + part}") for i in range(4)]).write.parquet(
+            os.path.join(land, "in"), mode="append")
+        stream = ST.stream_events(spark, os.path.join(land, "in"))
+        ST.run_aggregate_to_table(ST.stream_session_summaries(stream), os.path.join(out, "t"), ckpt).awaitTermination()
+        ST.stream_keep_latest(stream, 6, os.path.join(table, "t"), ckpt2).awaitTermination()
+    now = ST.current_rows(spark, os.path.join(out, "t"), ["app_session_id"]).collect()
+    assert {r.app_session_id: r.event_count for r in now} == {"r0": 2, "r1": 4, "r2": 4, "r3": 4, "r4": 4, "r5": 2}
+    assert sorted(r.event_id for r in ST.latest_table(spark, os.path.join(table, "t")).collect()) == list(range(14, 20))
+    assert len(ST._versions(spark, os.path.join(table, "t"))) == ST.KEPT_VERSIONS
