@@ -3,7 +3,9 @@
 Two zstandard dictionaries are built from labelled text. A text that is like the good examples
 compresses better with the first, one like the bad examples with the second; the normalised
 difference of the two sizes is calibrated to a probability by a logistic regression over
-labelled texts that built no dictionary.
+labelled texts that built no dictionary. Texts are used whole, in training as in scoring, and
+compressed in blocks, so that a long one is measured by the dictionaries throughout and not by
+its own earlier lines.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import text_of
+from logspark.llm.common import checkpointed, text_of
 
-#: Training bounds: labelled documents a class, and bytes taken of each (from a hashed offset).
-PER_CLASS, EXCERPT, DICT_BYTES, LEVEL, THRESHOLD = 2000, 8192, 112_640, 3, 0.3
+#: Training bound: labelled documents a class, each taken whole.
+PER_CLASS, DICT_BYTES, LEVEL, THRESHOLD = 2000, 112_640, 3, 0.3
+#: Every block of a text is compressed by itself; the sizes add up over the whole text.
+BLOCK = 4096
 DICT_SHARE = 0.6  # of the examples build dictionaries, the others calibrate
 
 
@@ -29,26 +33,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary, or the plain texts where there are too few to train one."""
+def _blocks(text: bytes) -> list[bytes]:
+    return [text[i:i + BLOCK] for i in range(0, max(len(text), 1), BLOCK)]
+
+
+def _dictionary(texts: Iterable[bytes]) -> tuple[bytes, int]:
+    """A trained dictionary, or the plain texts where there are too few to train one; its bytes and kind."""
+    samples = [b for t in texts if t for b in _blocks(t)]
     try:
-        made = zstandard.train_dictionary(DICT_BYTES, samples)
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes(), zstandard.DICT_TYPE_FULLDICT
     except zstandard.ZstdError:
-        made = zstandard.ZstdCompressionDict(b"\n".join(samples)[-DICT_BYTES:] or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return made
+        return b"\n".join(samples)[-DICT_BYTES:] or b"\n" * 8, zstandard.DICT_TYPE_RAWCONTENT
 
 
-def _sizes(texts: Iterable[bytes], good: zstandard.ZstdCompressionDict, bad: zstandard.ZstdCompressionDict) -> np.ndarray:
-    plain = dict(level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
-    with_good, with_bad = (zstandard.ZstdCompressor(dict_data=d, **plain) for d in (good, bad))
-    return np.array([(len(with_good.compress(t)), len(with_bad.compress(t)), len(t)) for t in texts], float).reshape(-1, 3)
+def _sizes(texts: Iterable[bytes], *dictionaries: tuple[bytes, int]) -> np.ndarray:
+    """Rows of (size with the good, with the bad dictionary, plain size) of whole texts."""
+    made = [zstandard.ZstdCompressionDict(d, dict_type=k) for d, k in dictionaries]
+    for d in made:
+        d.precompute_compress(level=LEVEL)
+    with_good, with_bad = (zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False,
+                                                    write_checksum=False) for d in made)
+    rows = []
+    for text in texts:
+        blocks = _blocks(text)
+        rows.append([sum(len(c.compress(b)) for b in blocks) for c in (with_good, with_bad)] + [len(text)])
+    return np.array(rows, float).reshape(-1, 3)
 
 
 def _features(sizes: np.ndarray) -> np.ndarray:
-    """The normalised difference, with the two ratios and the length that set its scale."""
+    """The normalised difference, with the two ratios and the length (up to a block) that set its scale."""
     good, bad, n = sizes.T
     gap = (bad - good) / np.maximum(np.maximum(bad, good), 1)
-    return np.stack([gap, gap * np.abs(gap), good / (n + 16), bad / (n + 16), np.log1p(n)], axis=1)
+    return np.stack([gap, gap * np.abs(gap), good / (n + 16), bad / (n + 16), np.log1p(np.minimum(n, BLOCK))], axis=1)
 
 
 @dataclass(frozen=True)
@@ -64,10 +80,7 @@ class CompressionModel:
     def score(self, texts: Iterable[bytes]) -> np.ndarray:
         if not len(self.good[0]):
             return np.array([float(self.weights[0]) for _ in texts])
-        good, bad = (zstandard.ZstdCompressionDict(d, dict_type=k) for d, k in (self.good, self.bad))
-        for d in (good, bad):
-            d.precompute_compress(level=LEVEL)
-        x = (_features(_sizes(texts, good, bad)) - self.mean) / self.scale
+        x = (_features(_sizes(texts, self.good, self.bad)) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -40, 40)))
 
 
@@ -82,28 +95,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _constant(share: float) -> CompressionModel:
+    return CompressionModel((b"", 0), (b"", 0), np.zeros(0), np.ones(0), np.array([share]))
+
+
+def _cut(n: int) -> int:
+    """How many of a class's n examples build its dictionary."""
+    return max(1, int(n * DICT_SHARE))
+
+
+def _calibrated(dictionaries: list[tuple[bytes, int]], sizes: list[np.ndarray]) -> CompressionModel:
+    """Model of the dictionaries and of the sizes of calibrating texts, good and bad ones."""
+    x = _features(np.concatenate(sizes))
+    y = np.repeat([1.0, 0.0], [len(s) for s in sizes])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    return CompressionModel(*dictionaries, mean, scale, _logistic((x - mean) / scale, y))
+
+
 def fit(examples: list[tuple[bytes, int]]) -> CompressionModel:
     """Model of (text, label) pairs; where a class is missing the score is label 1's share (0.5 of nothing)."""
     parts = [[t for t, y in examples if y == label] for label in (1, 0)]
     if not all(parts):
-        share = float(np.mean([y for _, y in examples])) if examples else 0.5
-        return CompressionModel((b"", 0), (b"", 0), np.zeros(0), np.ones(0), np.array([share]))
-    cut = [max(1, int(len(p) * DICT_SHARE)) for p in parts]
-    dicts = [_dictionary([t for t in p[:c] if t]) for p, c in zip(parts, cut)]
-    rest = [(p[c:] or p) for p, c in zip(parts, cut)]
-    x = _features(_sizes(rest[0] + rest[1], *dicts))
-    y = np.r_[np.ones(len(rest[0])), np.zeros(len(rest[1]))]
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    kind = [zstandard.DICT_TYPE_FULLDICT if d.dict_id() else zstandard.DICT_TYPE_RAWCONTENT for d in dicts]
-    return CompressionModel(*((d.as_bytes(), k) for d, k in zip(dicts, kind)), mean, scale, _logistic((x - mean) / scale, y))
+        return _constant(float(np.mean([y for _, y in examples])) if examples else 0.5)
+    dictionaries = [_dictionary(p[:_cut(len(p))]) for p in parts]
+    return _calibrated(dictionaries, [_sizes(p[_cut(len(p)):] or p, *dictionaries) for p in parts])
+
+
+def _dictionary_of_class(rows: pa.Table) -> pa.Table:
+    texts = rows.sort_by([("__h", "ascending"), ("__id", "ascending")])["__text"]
+    data, kind = _dictionary(t.as_py() for t in texts)
+    return pa.table({"label": pa.array([rows["__label"][0].as_py()], pa.int32()), "data": pa.array([data], pa.binary()),
+                     "kind": pa.array([kind], pa.int32())})
+
+
+def _sizes_column(dictionaries: list[tuple[bytes, int]], text: Column) -> Column:
+
+    @F.arrow_udf("array<double>")
+    def sizes(texts: pa.Array) -> pa.Array:
+        return pa.array(_sizes((t.as_py() for t in texts), *dictionaries).tolist(), pa.list_(pa.float64()))
+
+    return sizes(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           per_class: int = PER_CLASS) -> CompressionModel:
     """Model of a bounded sample of labelled rows that aren't held out.
 
-    For each class the ``per_class`` ids lowest by hash, of each at most EXCERPT characters:
-    the sample, its broadcast ids and what reaches the driver are bounded at any size.
+    For each class the ``per_class`` ids lowest by hash, with their whole texts: tasks build the
+    dictionaries and take the sizes, the driver gets ids, dictionaries and sizes only.
     """
     ids = labels.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__label in (0, 1)").distinct()
@@ -111,12 +150,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (1, 0):
         part = ids.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    text = text_of(text_col)
-    start = F.pmod(F.xxhash64(id_col), F.greatest(F.char_length(text) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    rows = (docs.join(F.broadcast(picked), docs[id_col] == F.col("__id"))
-            .select("__id", "__label", text.substr(start, F.lit(EXCERPT)).alias("__text"))
-            .dropDuplicates(["__id", "__label"]).orderBy(F.xxhash64("__id"), "__id", "__label").collect())
-    return fit([(r["__text"].encode(), r["__label"]) for r in rows])
+    sample = checkpointed(docs.join(F.broadcast(picked), docs[id_col] == F.col("__id"))
+                          .select("__id", "__label", F.xxhash64("__id").alias("__h"), text_of(text_col).cast("binary").alias("__text"))
+                          .dropDuplicates(["__id", "__label"]))
+    keys = [[(r["__h"], r["__id"]) for r in rows] for rows in (
+        sample.where(F.col("__label") == label).select("__h", "__id").orderBy("__h", "__id").collect() for label in (1, 0))]
+    if not all(keys):
+        return _constant(len(keys[0]) / sum(map(len, keys)) if any(keys) else 0.5)
+    building = calibrating = F.lit(False)
+    for label, k in zip((1, 0), keys):
+        own, (h, last) = F.col("__label") == label, k[_cut(len(k)) - 1]
+        builds = (F.col("__h") < h) | ((F.col("__h") == h) & (F.col("__id") <= last))
+        building = building | (own & builds)
+        calibrating = calibrating | (own & ~builds if len(k) > _cut(len(k)) else own)
+    made = {r["label"]: (bytes(r["data"]), r["kind"]) for r in sample.where(building).groupBy("__label")
+            .applyInArrow(_dictionary_of_class, "label int, data binary, kind int").collect()}
+    dictionaries = [made[1], made[0]]
+    sizes = sample.where(calibrating).select("__label", "__h", "__id", _sizes_column(dictionaries, F.col("__text")).alias("sizes"))
+    rows = sizes.orderBy("__h", "__id").select("__label", "sizes").collect()
+    return _calibrated(dictionaries, [np.array([r["sizes"] for r in rows if r["__label"] == label], float) for label in (1, 0)])
 
 
 def score_column(model: CompressionModel, text: Column) -> Column:

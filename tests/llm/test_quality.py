@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from logspark.llm import quality as Q
 from logspark.llm.queries import QUERIES
@@ -42,3 +43,18 @@ def test_rows_with_nulls_repeats_and_clashing_names(spark):
     kept = Q.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == 4
     assert Q.classify(docs.limit(0), Q.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_long_texts_are_used_whole(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs, labels)
+    bad = [r["text"] for r in docs.join(labels, "doc_id").where(Q.held_out() & F.expr("quality = 0 and text <> ''")).orderBy("doc_id").collect()]
+    for size in (50_000, 100_000, 200_000, 500_000):
+        order, long = np.random.default_rng(size), []
+        for _ in range(25):
+            text = ""
+            while len(text) < size:
+                text += bad[order.integers(len(bad))] + "\n"
+            long.append(text[:size].encode())
+        assert (model.score(long) >= Q.THRESHOLD).sum() <= 1, size
