@@ -84,11 +84,17 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     a, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
-    for _ in range(60):  # Newton steps
+
+    def loss(w: np.ndarray) -> float:
+        return weight @ np.logaddexp(0, (1 - 2 * y) * (a @ w)) + ridge / 2 * (w @ w)
+
+    for _ in range(60):  # Newton steps, halved while they overshoot
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + ridge * np.eye(len(w)), a.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((a.T * (weight * (p * (1 - p) + 1e-9))) @ a + ridge * np.eye(len(w)), a.T @ (weight * (p - y)) + ridge * w)
+        while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-8:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -104,12 +110,16 @@ def _cut(n: int) -> int:
     return max(1, int(n * DICT_SHARE))
 
 
-def _calibrated(dictionaries: list[tuple[bytes, int]], sizes: list[np.ndarray]) -> CompressionModel:
-    """Model of the dictionaries and of the sizes of calibrating texts, good and bad ones."""
+def _calibrated(dictionaries: list[tuple[bytes, int]], sizes: list[np.ndarray], totals: list[float]) -> CompressionModel:
+    """Model of the dictionaries and of the sizes of calibrating texts, good and bad ones.
+
+    The texts of a class weigh together as many as the class has (totals), however few stand for it.
+    """
     x = _features(np.concatenate(sizes))
     y = np.repeat([1.0, 0.0], [len(s) for s in sizes])
+    weight = np.repeat([t / len(s) for t, s in zip(totals, sizes)], [len(s) for s in sizes])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return CompressionModel(*dictionaries, mean, scale, _logistic((x - mean) / scale, y))
+    return CompressionModel(*dictionaries, mean, scale, _logistic((x - mean) / scale, y, weight / weight.mean()))
 
 
 def fit(examples: list[tuple[bytes, int]]) -> CompressionModel:
@@ -118,7 +128,7 @@ def fit(examples: list[tuple[bytes, int]]) -> CompressionModel:
     if not all(parts):
         return _constant(float(np.mean([y for _, y in examples])) if examples else 0.5)
     dictionaries = [_dictionary(p[:_cut(len(p))]) for p in parts]
-    return _calibrated(dictionaries, [_sizes(p[_cut(len(p)):] or p, *dictionaries) for p in parts])
+    return _calibrated(dictionaries, [_sizes(p[_cut(len(p)):] or p, *dictionaries) for p in parts], [len(p) for p in parts])
 
 
 def _dictionary_of_class(rows: pa.Table) -> pa.Table:
@@ -142,10 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Model of a bounded sample of labelled rows that aren't held out.
 
     For each class the ``per_class`` ids lowest by hash, with their whole texts: tasks build the
-    dictionaries and take the sizes, the driver gets ids, dictionaries and sizes only.
+    dictionaries and take the sizes, the driver gets ids, dictionaries and sizes only. All labels
+    of a class are counted, so that the share of good texts isn't that of the sample.
     """
     ids = labels.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__label in (0, 1)").distinct()
+    counted = {r["__label"]: r["count"] for r in ids.groupBy("__label").count().collect()}
     picked = None
     for label in (1, 0):
         part = ids.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
@@ -168,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     dictionaries = [made[1], made[0]]
     sizes = sample.where(calibrating).select("__label", "__h", "__id", _sizes_column(dictionaries, F.col("__text")).alias("sizes"))
     rows = sizes.orderBy("__h", "__id").select("__label", "sizes").collect()
-    return _calibrated(dictionaries, [np.array([r["sizes"] for r in rows if r["__label"] == label], float) for label in (1, 0)])
+    # labels without a document don't count: the share of the picked ids that were found holds for all
+    totals = [counted[label] * len(k) / min(counted[label], per_class) for label, k in zip((1, 0), keys)]
+    return _calibrated(dictionaries, [np.array([r["sizes"] for r in rows if r["__label"] == label], float) for label in (1, 0)], totals)
 
 
 def score_column(model: CompressionModel, text: Column) -> Column:

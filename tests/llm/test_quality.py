@@ -58,3 +58,13 @@ def test_long_texts_are_used_whole(spark):
                 text += bad[order.integers(len(bad))] + "\n"
             long.append(text[:size].encode())
         assert (model.score(long) >= Q.THRESHOLD).sum() <= 1, size
+
+
+def test_sample_size_leaves_the_share_of_good_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [(r["text"] or "").encode() for r in docs.join(labels, "doc_id").where(Q.held_out() & F.expr("quality in (0, 1)")).collect()]
+    whole, small = (Q.train(docs, labels, per_class=n).score(texts).mean() for n in (2000, 400))
+    assert abs(whole - small) < 0.01
+    a, b = ([(b"some good words here %d" % i, 1) for i in range(40)], [(b"%% && !! ## %d" % i, 0) for i in range(40)])
+    assert np.isfinite(Q.fit(a + b[:3]).weights).all()
