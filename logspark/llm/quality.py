@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built from labelled text. A text that is like the good examples
 compresses better with the first, one like the bad examples with the second; the normalised
-difference of the two sizes is calibrated to a probability by a logistic regression over
-labelled texts that built no dictionary. Texts are used whole, in training as in scoring, and
+difference of the two sizes, its signed square, both compressed/length ratios and the bounded
+log length are calibrated to a probability by a logistic regression over labelled texts that
+built no dictionary (README has the figures with and without the difference). Texts are used whole, in training as in scoring, and
 compressed in blocks, so that a long one is measured by the dictionaries throughout and not by
 its own earlier lines.
 """
