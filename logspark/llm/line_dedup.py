@@ -216,7 +216,7 @@ def without_lines(text: Column, dropped: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the duplicate lines; a document of which no line is left goes.
+    """``docs`` without the duplicate lines; a document of which no line but blank ones is left goes.
 
     All columns and untouched texts stay as they are (a null text stays null).
     """
@@ -224,5 +224,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("dropped").alias("__dropped"))
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__h")), "left")
     hit = F.col("__dropped").isNotNull()
-    cleaned = joined.where(hit).withColumn(text_col, without_lines(F.col(text_col), F.col("__dropped"))).where(F.trim(text_col) != "")
+    cleaned = joined.where(hit).withColumn(text_col, without_lines(F.col(text_col), F.col("__dropped"))).where(F.col(text_col).rlike(r"[^ \t\r\n]"))
     return joined.where(~hit).select(*docs.columns).unionByName(cleaned.select(*docs.columns))

@@ -89,6 +89,13 @@ def test_cleaned_texts_nulls_repeats_and_columns(spark):
     assert L.dedup_lines(docs.limit(0)).count() == L.line_report(docs.limit(0)).count() == 0
 
 
+def test_documents_left_with_blank_lines_only_go(spark):
+    lines = [f"line {c * 9} that is long enough to be compared" for c in "abc"]
+    rows = [(1, "\n\n".join(lines)), (2, "\n\n".join(lines)), (3, "\n \t\n".join(lines) + "\r\n"), (4, f"{lines[0]}\n\nown words of four"), (5, "\n\n")]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 4: "\nown words of four", 5: "\n\n"}
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
