@@ -40,9 +40,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids and their number for each document of the mix."""
-    ids = byte_bpe.encode_column(text_of(), byte_bpe_tokenizer(spark))
-    return docs.select("doc_id", "source", ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, source, token ids and their number for each document of the mix, decoded again.
+
+    decoded_sha256 is of the bytes decoded from the ids, round_trip whether they are the text's.
+    """
+    encoded = byte_bpe.encode_checked_column(text_of(), byte_bpe_tokenizer(spark))
+    done = docs.select("doc_id", "source", F.sha2(text_of().cast("binary"), 256).alias("sha256"), encoded.alias("r"))
+    return done.select("doc_id", "source", "r.ids", F.size("r.ids").cast("long").alias("n_tokens"), "r.decoded_sha256",
+                       (F.col("r.decoded_sha256") == F.col("sha256")).alias("round_trip"))
 
 
 STAGES = [

@@ -203,6 +203,21 @@ def decode_column(ids: Column, tokenizer: Tokenizer) -> Column:
     return decode(ids)
 
 
+def encode_checked_column(text: Column, tokenizer: Tokenizer) -> Column:
+    """Ids of a whole text and, as decoded_sha256, the digest of the bytes decoded from them."""
+    ranks, pattern = tokenizer.ranks, tokenizer.pattern
+
+    @F.arrow_udf("ids array<int>, decoded_sha256 string")
+    def encode(texts: pa.Array) -> pa.Array:
+        codec, ids, digests = _codec(ranks, pattern), [], []
+        for text in (t.as_py() for t in texts):
+            ids.append(codec.encode(text).view("<i4"))
+            digests.append(hashlib.sha256(codec.decode(ids[-1].tolist())).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+
+    return encode(text)
+
+
 def round_trip_column(text: Column, tokenizer: Tokenizer) -> Column:
     """Encode a text and decode its ids in one pass: n_tokens, ids_sha256, decoded_sha256.
 

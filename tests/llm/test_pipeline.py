@@ -1,3 +1,5 @@
+import hashlib
+
 import public_tokenizers as P
 import tiktoken
 
@@ -45,3 +47,11 @@ def test_stages_equal_brute_force_on_their_own_inputs(spark):
     tok = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     got = sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in inputs[5].collect())
     assert got == sorted((i, len(ids), tuple(ids)) for i, t in texts[4] for ids in [tok.encode_ordinary(t)])
+
+
+def test_encoding_stage_decodes_its_ids(spark):
+    rows = [(1, "plain words", "a"), (2, "é𐍈\u2028 <|x|>\r\n\x00", "b"), (3, "", "a"), (4, None, "a"), (1, "plain words", "a")]
+    got = CP.encoding_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    want = [(i, hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t, _ in rows]
+    assert sorted((r["doc_id"], r["decoded_sha256"], r["round_trip"]) for r in got) == sorted(want)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
