@@ -111,20 +111,32 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, layout, turns) of JSON records whose layouts differ from row to row.
+    """(id, layout, turns, problem) of JSON records whose layouts differ from row to row.
 
-    A record's fingerprint is the hash of the known paths it has; a record that is no JSON
-    object or has no layout's fingerprint gets a null layout and no turns.
+    A record's paths are those of its fields and of all its list items, null values included. Of
+    the layouts whose fingerprint is that of the record's paths among theirs, the first of LAYOUTS
+    holds. A record without one gets a null layout, no turns, and problem says why (else null).
     """
-    variant, parsed = F.try_parse_json(F.col(json_col)), F.from_json(F.col(json_col), _RECORD)
-    probe = [F.when(F.try_variant_get(variant, "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in _KNOWN]
-    rows = df.select(F.col(id_col).alias("id"), parsed.alias("r"), F.sha2(F.concat_ws("\n", *probe), 256).alias("hash"))
+    line = F.when(F.try_parse_json(F.col(json_col)).isNotNull(), F.col(json_col))
+
+    def item_paths(name: str) -> Column:
+        items = F.from_json(F.get_json_object(line, f"$.{name}"), "array<string>")
+        keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
+
+    paths = F.concat(F.json_object_keys(line), *(item_paths(x.items[0]) for x in LAYOUTS if x.items))
+    rows = df.select(F.col(id_col).alias("id"), F.from_json(line, _RECORD).alias("r"), paths.alias("paths"))
     name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    for digest, layout in BY_HASH.items():
+    for digest, layout in reversed(BY_HASH.items()):
         if not layout.rows:
-            name = F.when(F.col("hash") == digest, F.lit(layout.name)).otherwise(name)
-            turns = F.when(F.col("hash") == digest, _row_turns(layout, lambda f: F.col("r")[f])).otherwise(turns)
-    return rows.select("id", name.alias("layout"), turns.alias("turns"))
+            own = F.array(*map(F.lit, sorted(layout.paths())))
+            fits = F.sha2(F.concat_ws("\n", F.array_intersect(own, F.col("paths"))), 256) == digest
+            if layout.items:
+                fits = fits & F.col("r")[layout.items[0]].isNotNull()
+            name = F.when(fits, F.lit(layout.name)).otherwise(name)
+            turns = F.when(fits, _row_turns(layout, lambda f: F.col("r")[f])).otherwise(turns)
+    problem = F.when(F.col("paths").isNull(), F.lit("no JSON object")).when(name.isNull(), F.lit("no known layout"))
+    return rows.select("id", name.alias("layout"), turns.alias("turns"), problem.alias("problem"))
 
 
 def escape(text: Column) -> Column:

@@ -57,6 +57,20 @@ def test_records_of_mixed_layouts(spark):
                    4: (None, []), 9: (None, []), 10: (None, [])}
 
 
+def test_records_with_nulls_late_fields_and_two_layouts(spark):
+    records = [{"messages": [{"role": "assistant", "content": None}, {"role": "user", "content": "q"}]},
+               {"messages": [{"role": "tool"}, {"role": "user", "content": "q"}], "prompt": "p"},
+               {"prompt": "q", "completion": "a", "chosen": "c"}, {"prompt": None, "completion": "a"},
+               {"instruction": "q", "input": None, "output": "a"}, {"messages": ["x"]}]
+    lines = [json.dumps(r) for r in records] + ["[1]", "{broken"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]], r["problem"]) for r in C.record_turns(df, "id", "line").collect()}
+    assert got == {0: ("messages", [("assistant", ""), ("user", "q")], None), 1: ("messages", [("tool", ""), ("user", "q")], None),
+                   2: ("prompt", [("user", "q"), ("assistant", "a")], None), 3: ("prompt", [("user", ""), ("assistant", "a")], None),
+                   4: ("instruction", [("user", "q"), ("assistant", "a")], None), 5: (None, [], "no known layout"),
+                   6: (None, [], "no JSON object"), 7: (None, [], "no JSON object")}
+
+
 def test_nulls_ties_and_empty_table(spark):
     rows = [(1, None, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
