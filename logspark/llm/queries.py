@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import (byte_bpe, chat, embedding_dedup, fingerprints, line_dedup, mixing, quality, simhash_dedup,
-                           token_counts, warc)
+from logspark.llm import (byte_bpe, chat, compression_rules, embedding_dedup, filter_audit, fingerprints, line_dedup, mixing, quality,
+                           simhash_dedup, spelling, token_counts, warc)
 from logspark.llm.common import table, text_of
 from logspark.session import scratch_path
 
@@ -100,6 +100,26 @@ def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").alias("n_dropped"), "dropped", "kept_ids")
 
 
+def compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and compression bands over whole ``documents`` texts."""
+    rows = compression_rules.judge(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       "verdict", "ratio", "repetitive_share", "incompressible_share")
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over whole ``documents`` texts in all their orders, per lang."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    filters = filter_audit.quality_filters(text_of())
+    counts = filter_audit.failure_counts(table(spark, sf_dir, "documents"), filters, "E", marks)
+    return filter_audit.audit(counts, "ABCDE")
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all ``documents`` one edit apart and the frequent form of each."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": document_fingerprints,
     "op2_token_counts": piece_token_counts,
@@ -111,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": source_mixing,
     "op9_warc": warc_round_trip,
     "op10_line_dedup": line_dedup_report,
+    "op11_compression_rules": compression_bands,
+    "op12_filter_audit": filter_interactions,
+    "op13_spelling_variants": spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -152,4 +175,43 @@ ORACLE: dict[str, str] = {
                  ELSE CASE WHEN share * 3 < 1 THEN 2 * share * 3 / (1 + sqrt(1 + 8 * share * 3))
                            ELSE 0.5 + 2 * (share * 3 - 1) / (3 + sqrt(9 + 8 * (share * 3 - 1))) END END, 6) END AS position
         FROM c""",
+    "op12_filter_audit": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                 regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS low FROM w GROUP BY text),
+        m AS (
+          SELECT doc_id, part,
+                 CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+                 || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+                 || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END
+                 || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                 || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+          FROM w JOIN firsts USING (text)),
+        marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        h AS (
+          SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+          FROM m LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+          SELECT '' AS o UNION ALL SELECT o || x FROM orders, letters WHERE length(o) < 5 AND NOT contains(o, x)),
+        steps AS (
+          SELECT o AS filter_order, s::INT AS step, o[s] AS f, o[1:s - 1] AS earlier
+          FROM orders, range(1, 6) AS r(s) WHERE length(o) = 5),
+        kinds AS (
+          SELECT filter_order, step, f, fails, contains(fails, f) AS hit,
+                 len(list_intersect(string_split(earlier, ''), string_split(fails, ''))) > 0 AND earlier <> '' AND fails <> '' AS gone
+          FROM steps, (SELECT DISTINCT fails FROM h)),
+        r AS (
+          SELECT part, filter_order, step, f,
+                 coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+          FROM h JOIN kinds USING (fails) GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM r""",
 }
