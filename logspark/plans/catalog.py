@@ -1276,3 +1276,94 @@ def q_stream_watermarked_filter(spark, sf_dir):
     out = scratch_path(spark, "stream-watermark")
     _await(ST.stream_to_sink(ST.stream_filter(events, state), out, scratch_path(spark, "ckpt")))
     return spark.read.parquet(out).select("event_id")
+
+
+# ---------------------------------------------------------------- S6 T8 growing files, S5 T8 source states
+from logspark.streaming import follow as FO  # noqa: E402
+
+
+def _followed(spark, sf_dir):
+    """Files that grow, are truncated and replaced between three batches: (events, rejects, reports) folders."""
+    events, land = T.table(spark, sf_dir, "events"), scratch_path(spark, "growing")
+    out = [scratch_path(spark, n) for n in ("follow-events", "follow-rejects", "follow-reports")]
+    ckpt = scratch_path(spark, "ckpt")
+    names = ("src0.jsonl", T.TRUNCATED, T.REPLACED, "src3.jsonl")  # no one writes the last
+    for phase in range(3):
+        T.grow_log_files(events, land, phase)
+        # small splits, so that several tasks read each file
+        lines = FO.follow_event_logs(spark, [f"{land}/{n}" for n in names], split_bytes=1 << 18)
+        _await(FO.stream_follow(lines, *out, ckpt))
+    return out
+
+
+_GENERATIONS = f"""
+ph AS (SELECT *, event_id % 10 AS d, CASE WHEN file_name = '{T.REPLACED}' THEN CASE WHEN d < 2 THEN 0 WHEN d < 3 THEN 1 ELSE 2 END
+         ELSE CASE WHEN d < 4 THEN 0 WHEN d < 8 THEN 1 ELSE 2 END END AS phase FROM parsed),
+g AS (SELECT *, CASE WHEN file_name IN ('{T.TRUNCATED}', '{T.REPLACED}') AND phase = 2 THEN 1 ELSE 0 END AS generation FROM ph),
+n AS (SELECT file_name, phase, generation, reason, row_number() OVER (PARTITION BY file_name, generation ORDER BY phase, event_id) AS line FROM g)
+"""
+
+
+@register("follow_growing_files", LINES + "," + _GENERATIONS + """
+SELECT file_name, generation, line AS line_number, reason FROM n
+""")
+def q_follow_growing_files(spark, sf_dir):
+    """S6 + T1: records of files that grow, are truncated and replaced, each under its generation and line."""
+    events, rejects, _ = _followed(spark, sf_dir)
+    cols = ["file_name", "generation", "line_number"]
+    valid = spark.read.parquet(events).select(*cols, F.lit(None).cast("string").alias("reason"))
+    return valid.unionByName(spark.read.parquet(rejects).select(*cols, "reason"))
+
+
+def _tracked(spark, reports):
+    """The states that a streaming state machine keeps of a stream of reports."""
+    out = scratch_path(spark, "source-states")
+    with FO.rocksdb_state(spark):
+        query = ST.run_aggregate_to_table(FO.stream_source_states(reports), out, scratch_path(spark, "ckpt"))
+    _await(query)
+    return ST.current_rows(spark, out, ["file_path"])
+
+
+@register("follow_source_states", LINES + "," + _GENERATIONS + f""",
+c AS (SELECT file_name, count(*) FILTER (reason IS NOT NULL) AS parse_errors, count(*) FILTER (reason IS NULL) AS records,
+        max(generation) AS rotations,
+        arg_max('line ' || line || ': ' || reason, line) FILTER (reason IS NOT NULL AND generation = last) AS said
+      FROM (SELECT *, max(generation) OVER (PARTITION BY file_name) AS last FROM n) GROUP BY file_name)
+SELECT file_name, CASE WHEN rotations > 0 THEN 'rotated' ELSE 'tailing' END AS state, parse_errors, rotations::BIGINT AS rotations, records,
+  coalesce(said, CASE WHEN rotations > 0 THEN '{FO.REPLACED}' END) AS detail FROM c
+UNION ALL SELECT 'src3.jsonl', 'missing', 0, 0, 0, 'missing'
+""")
+def q_follow_source_states(spark, sf_dir):
+    """States of followed files, kept by a state machine over the reports of the following query."""
+    _, _, path = _followed(spark, sf_dir)
+    reports = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return _tracked(spark, reports).select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), *FO.STATE_COLUMNS)
+
+
+@register("source_states", f"""
+WITH k AS (SELECT event_id, event_type AS t, 'src' || CAST(user_id % 3 AS VARCHAR) || '.jsonl' AS file_path,
+             CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+f AS (SELECT file_path, max(event_id) AS failed FROM k WHERE t = 'error' AND k < 30 GROUP BY file_path),
+s AS (SELECT k.*, t = 'error' AND k < 30 AS e, t = 'signup' AND k < 30 AS c, t = 'purchase' AND k < 30 AS p
+      FROM k LEFT JOIN f USING (file_path) WHERE failed IS NULL OR event_id >= failed)
+SELECT file_path,
+  coalesce(arg_max(CASE WHEN e THEN CASE WHEN k < 10 THEN 'missing' ELSE 'error' END WHEN p THEN 'rotated' ELSE 'tailing' END, event_id)
+           FILTER (e OR c OR p), 'tailing') AS state,
+  coalesce(sum(k % 3 + 1) FILTER (t = 'click'), 0)::BIGINT AS parse_errors, count(*) FILTER (p) AS rotations,
+  coalesce(sum(k) FILTER (t = 'view'), 0)::BIGINT AS records,
+  arg_max(CASE WHEN e THEN CASE WHEN k < 10 THEN 'missing' ELSE 'refused ' || k END WHEN c THEN '{FO.RECOVERED}' WHEN p THEN '{FO.REPLACED}'
+               ELSE 'line ' || event_id || ': reason ' || k % 7 END, event_id) FILTER (e OR c OR p OR t = 'click') AS detail
+FROM s GROUP BY file_path
+""")
+def q_source_states(spark, sf_dir):
+    """States of sources with errors, recoveries and rotations after all their reports."""
+    return FO.source_states(T.source_reports(T.table(spark, sf_dir, "events")), ["batch_id", "seq"])
+
+
+@register("stream_source_states", ORACLE["source_states"])
+def q_stream_source_states(spark, sf_dir):
+    """The same states kept across micro-batches in a streaming state store."""
+    reports, land = T.source_reports(T.table(spark, sf_dir, "events")), scratch_path(spark, "landing-reports")
+    for part in range(3):  # earlier reports come in earlier files
+        reports.where(F.least(F.floor(F.col("batch_id") / 4), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(land)
+    return _tracked(spark, spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(land))

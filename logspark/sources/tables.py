@@ -249,3 +249,62 @@ def client_records(events: DataFrame) -> DataFrame:
         F.concat(F.lit("client-"), (F.col("user_id") % 2).cast("string")).alias("source"),
         F.concat(F.col("user_id").cast("string"), F.lit("-run")).alias("app_session_id"),
         props.alias("properties"))
+
+
+# ------------------------------------------------------------------ growing files and their reports
+#: The file that is truncated, and the one that is replaced, before phase 2 of ``grow_log_files``.
+TRUNCATED, REPLACED = "src1.jsonl", "src2.jsonl"
+
+
+def _phase() -> F.Column:
+    """Phase (0 to 2) in which a line is written: the replaced file gets most of its lines in phase 2."""
+    digit = F.col("event_id") % 10
+    early, middle = (F.when(F.col("file_name") == REPLACED, F.lit(a)).otherwise(F.lit(b)) for a, b in ((2, 4), (3, 8)))
+    return F.when(digit < early, 0).when(digit < middle, 1).otherwise(2)
+
+
+def grow_log_files(events: DataFrame, folder: str, phase: int) -> None:
+    """Stand-in producers: a task a file writes the lines of one phase. Phase 0 ends with half of the
+    first record of phase 1, which brings the rest; before phase 2 one file is truncated in
+    place and another one is replaced."""
+    from logspark.streaming.follow import _open
+
+    def write(rows) -> None:
+        out, next_line = {}, {}
+        for r in rows:
+            data = (r["value"] + "\n").encode()
+            first = r["phase"] == 1 and not next_line.get(r["file_name"])
+            if first:
+                next_line[r["file_name"]] = True
+                half = len(data) // 2
+                data = data[:half] if phase == 0 else data[half:]
+            if r["phase"] == phase or (first and phase == 0):
+                out.setdefault(r["file_name"], bytearray()).extend(data)
+        store, base = _open(folder)
+        store.create_dir(base)
+        for name, data in out.items():
+            path = f"{base}/{name}"
+            if phase == 2 and name == REPLACED:
+                with store.open_output_stream(f"{base}/new-{name}.part") as f:
+                    f.write(bytes(data))
+                store.move(f"{base}/new-{name}.part", path)
+                continue
+            fresh = phase == 0 or (phase == 2 and name == TRUNCATED)
+            with (store.open_output_stream(path) if fresh else store.open_append_stream(path)) as f:
+                f.write(bytes(data))
+
+    lines = event_lines(events).withColumn("phase", _phase())
+    lines.repartition("file_name").sortWithinPartitions("file_name", "phase", "event_id").foreachPartition(write)
+
+
+def source_reports(events: DataFrame) -> DataFrame:
+    """Stand-in reports of a reader on three files, one for each event: errors, recoveries, replacements, counts."""
+    et, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
+    kind = (F.when((et == "error") & (k < 30), "error").when((et == "signup") & (k < 30), "recovered")
+            .when((et == "purchase") & (k < 30), "replaced").when(et == "click", "invalid").when(et == "view", "valid").otherwise("read"))
+    detail = F.when((et == "error") & (k < 10), "missing").when(et == "error", F.concat(F.lit("refused "), k.cast("string"))).when(
+        et == "click", F.concat(F.lit("reason "), (k % 7).cast("string"))).otherwise("")
+    records = F.when(et == "click", k % 3 + 1).when(et == "view", k).otherwise(F.lit(1)).cast("long")
+    return events.select(F.floor(F.col("event_id") / 100).cast("long").alias("batch_id"), (F.col("event_id") % 100).cast("int").alias("seq"),
+                         F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string"), F.lit(".jsonl")).alias("file_path"), kind.alias("kind"),
+                         records.alias("records"), F.when(et == "click", F.col("event_id")).cast("long").alias("line_number"), detail.alias("detail"))
