@@ -6,6 +6,8 @@ inside whole-stage codegen and are fused with the scan and the filters that use
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +107,52 @@ def json_scalar_text(json_text) -> Column:
             .when(kind.isin("number", "boolean"), F.trim(_c(json_text))))
 
 
+#: JSON text in which a number may be written otherwise than VARIANT prints it: zeros after the
+#: point, an exponent, minus zero, or more digits than a decimal holds.
+ODD_NUMBER = r"\.[0-9]*0(?![0-9])|[0-9][eE][+-]?[0-9]|-0(?![.0-9])|[0-9.]{38}"
+
+
+@contextmanager
+def repeated_keys_allowed(spark):
+    """VARIANT parsers built inside take the last of repeated keys instead of failing; the setting is put back."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def json_string(col) -> Column:
+    """A text as a JSON string literal (quoted, escaped); NULL stays NULL."""
+    quoted = F.to_json(F.array(_c(col)))
+    return F.when(_c(col).isNotNull(), quoted.substr(F.lit(2), F.length(quoted) - 2))
+
+
+def compact_json(json_text) -> Column:
+    """A JSON text without spaces, an object's keys sorted, its numbers kept.
+
+    A number with a point or an exponent is a double and prints as one (``1.0``, ``1e3`` as
+    ``1000.0``, ``2.50`` as ``2.5``); an integer keeps its digits, however many. VARIANT would
+    print ``1.0`` as ``1``, so texts with such numbers (``ODD_NUMBER``) are put together from
+    their keys' own texts; keys of containers inside those keep their order.
+    """
+    text = _c(json_text)
+    kind = json_kind(text)
+    raw, values = F.from_json(text, "map<string,string>"), fields_variant_map(text)
+
+    def entry(key):
+        value, own = F.element_at(values, key), F.element_at(raw, key)
+        return F.concat(json_string(key), F.lit(":"), F.when(variant_kind(value).isin("number", "object", "array"), own).otherwise(F.to_json(value)))
+
+    entries = F.array_join(F.transform(F.array_sort(F.map_keys(raw)), entry), ",")
+    odd = (F.when(kind == "object", F.concat(F.lit("{"), entries, F.lit("}"))).when(kind == "number", F.trim(text))
+           .when(kind == "array", F.element_at(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 1)))
+    plain = F.to_json(F.try_parse_json(text))
+    return F.when(text.rlike(ODD_NUMBER), F.coalesce(odd, plain)).otherwise(plain)
+
+
 def status_text(status="status") -> Column:
     """Status shown as text; absent or non-scalar -> '-'."""
     return F.coalesce(json_scalar_text(status), F.lit("-"))
@@ -128,20 +176,32 @@ def variant_scalar_text(v: Column) -> Column:
             .when(kind.isin("number", "boolean"), v.cast("string")))
 
 
+def _number_as_written(text: Column, fields, name: Column) -> Column:
+    """``text`` of a number, as it is written in the ``fields`` object where VARIANT prints it otherwise."""
+    return F.when(_c(fields).rlike(ODD_NUMBER), F.element_at(F.from_json(_c(fields), "map<string,string>"), name)).otherwise(text)
+
+
 def field_entries(fields="fields") -> Column:
     """ARRAY<STRUCT<key, kind, text>> of the ``fields`` object, keys sorted."""
     m = fields_variant_map(fields)
     keys = F.array_sort(F.coalesce(F.map_keys(m), F.array().cast("array<string>")))
-    return F.transform(keys, lambda k: F.struct(
-        k.alias("key"), variant_kind(F.element_at(m, k)).alias("kind"),
-        variant_scalar_text(F.element_at(m, k)).alias("text"),
-        F.to_json(F.element_at(m, k)).alias("json")))
+
+    def entry(k):
+        v = F.element_at(m, k)
+        kind, text = variant_kind(v), variant_scalar_text(v)
+        number = kind == "number"
+        return F.struct(k.alias("key"), kind.alias("kind"),
+                        F.when(number, _number_as_written(text, fields, k)).otherwise(text).alias("text"),
+                        F.when(number, _number_as_written(F.to_json(v), fields, k)).otherwise(F.to_json(v)).alias("json"))
+
+    return F.transform(keys, entry)
 
 
 def field_scalar(name: str, fields="fields") -> Column:
     """Scalar text of ``fields.<name>`` (NULL when missing, null or nested)."""
     v = F.element_at(fields_variant_map(fields), F.lit(name))
-    return variant_scalar_text(v)
+    text = variant_scalar_text(v)
+    return F.when(variant_kind(v) == "number", _number_as_written(text, fields, F.lit(name))).otherwise(text)
 
 
 def field_kind(name: str, fields="fields") -> Column:

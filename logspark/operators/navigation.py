@@ -3,8 +3,8 @@
 ``error_neighbours`` finds, for every row of a view, the nearest following and preceding
 error row inside its run, wrapping round the ends. It never sorts a whole run in one task:
 rows are cut into blocks of consecutive ingestion ids; a window inside each (run, block)
-finds in-block neighbours, a much smaller per-block table (one row per block) carries the
-nearest errors of later / earlier blocks and the run's first / last error, and a join on
+finds in-block neighbours, a per-block table (one row per block, scanned in ranges) carries
+the nearest errors of later / earlier blocks and the run's first / last error, and a join on
 (run, block) brings them back.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
+from logspark.operators import scans as SC
 
 DEFAULT_BLOCK = 1 << 16
 
@@ -22,8 +23,8 @@ def error_neighbours(view: DataFrame, partition_cols=("app_session_id",), block_
                      is_match=None) -> DataFrame:
     """``next_error_id`` / ``previous_error_id`` per row (wrapping; NULL if the run has none).
 
-    ``partition_cols=()`` navigates the whole view as one sequence (the per-block table is
-    then one window of ``rows / block_size`` rows).
+    ``partition_cols=()`` navigates the whole view as one sequence. The table of blocks is
+    scanned in ranges (``scans.nearest``), so no window grows with the view in either case.
     """
     parts = list(partition_cols)
     match = C.is_error() if is_match is None else is_match
@@ -34,20 +35,13 @@ def error_neighbours(view: DataFrame, partition_cols=("app_session_id",), block_
             wb.rowsBetween(1, Window.unboundedFollowing)))
           .withColumn("_prev_in", F.last("_err", ignorenulls=True).over(
             wb.rowsBetween(Window.unboundedPreceding, -1))))
-    blocks = v.groupBy(*parts, "_blk").agg(F.min("_err").alias("_bfirst"), F.max("_err").alias("_blast"))
-    wr = Window.partitionBy(*parts).orderBy("_blk")
-    blocks = (blocks
-              .withColumn("_next_blk", F.first("_bfirst", ignorenulls=True).over(
-                  wr.rowsBetween(1, Window.unboundedFollowing)))
-              .withColumn("_prev_blk", F.last("_blast", ignorenulls=True).over(
-                  wr.rowsBetween(Window.unboundedPreceding, -1)))
-              .withColumn("_run_first", F.min("_bfirst").over(Window.partitionBy(*parts)))
-              .withColumn("_run_last", F.max("_blast").over(Window.partitionBy(*parts)))
-              .drop("_bfirst", "_blast"))
+    ids = view.select(*parts, F.when(match, F.col("event_id")).alias("_err"), F.floor(F.col("event_id") / F.lit(block_size)).alias("_blk"))
+    blocks = ids.groupBy(*parts, "_blk").agg(F.min("_err").alias("_bfirst"), F.max("_err").alias("_blast"))
+    blocks = SC.nearest(blocks, parts, "_blk", "_bfirst", "_blast")
     out = v.join(blocks, [*parts, "_blk"], "left")
-    return (out.withColumn("next_error_id", F.coalesce("_next_in", "_next_blk", "_run_first"))
-               .withColumn("previous_error_id", F.coalesce("_prev_in", "_prev_blk", "_run_last"))
-               .drop("_err", "_blk", "_next_in", "_prev_in", "_next_blk", "_prev_blk", "_run_first", "_run_last"))
+    return (out.withColumn("next_error_id", F.coalesce("_next_in", "_next", "_low"))
+               .withColumn("previous_error_id", F.coalesce("_prev_in", "_prev", "_high"))
+               .drop("_err", "_blk", "_next_in", "_prev_in", "_next", "_prev", "_low", "_high"))
 
 
 #: Blocks of ids that one counting pass tells apart; bounds what reaches the driver.

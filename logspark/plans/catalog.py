@@ -1367,3 +1367,46 @@ def q_stream_source_states(spark, sf_dir):
     for part in range(3):  # earlier reports come in earlier files
         reports.where(F.least(F.floor(F.col("batch_id") / 4), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(land)
     return _tracked(spark, spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(land))
+
+
+# ---------------------------------------------------------------- K1 P6 P7 P19 number text
+_NUMBERS_SQL = """
+WITH k AS (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+n AS (SELECT *, CASE event_id % 4 WHEN 0 THEN k || '.0' WHEN 1 THEN k || 'e2' WHEN 2 THEN '1234567890123456789' || k ELSE k || '.50' END AS written,
+        CASE event_id % 4 WHEN 0 THEN k || '.0' WHEN 1 THEN (k * 100) || '.0' WHEN 2 THEN '1234567890123456789' || k ELSE k || '.5' END AS printed FROM k),
+l AS (SELECT event_id AS line_number, k, printed,
+        '{"schema_version":1,"timestamp":' || (epoch_us(ts) // 1000) || ',"level":"info","source":"numbers","subsystem":"s","event":"e","message":"m"'
+        || ',"app_session_id":"' || printed || '","request_id":"' || written || '","status":' || printed
+        || ',"fields":{"a":"' || written || '","n":[1,2],"z":' || printed || '}}' AS line FROM n)
+"""
+
+
+@register("number_texts", _NUMBERS_SQL + """
+SELECT line_number, line, substr(sha256(line), 1, 16) AS fingerprint, printed AS status_text, printed AS z FROM l WHERE k <> 7
+""")
+def q_number_texts(spark, sf_dir):
+    """K1 + P6 + P7 + P19: numbers in many spellings decoded, exported and fingerprinted without loss."""
+    rows = JL.parse_event_lines(T.number_lines(T.table(spark, sf_dir, "events"))).where("reason is null")
+    return rows.select("line_number", EX.export_line().alias("line"), EX.event_fingerprint().alias("fingerprint"),
+                       C.status_text().alias("status_text"), C.field_scalar("z").alias("z"))
+
+
+@register("repeated_keys", _NUMBERS_SQL + """
+SELECT line_number, CASE WHEN k = 7 THEN 'repeated field event' END AS reason FROM l
+""")
+def q_repeated_keys(spark, sf_dir):
+    """S2 + S3: an undeclared key may repeat, a declared one may not."""
+    return JL.parse_event_lines(T.number_lines(T.table(spark, sf_dir, "events"))).select("line_number", "reason")
+
+
+@register("next_error_whole_view", EV + """,
+x AS (SELECT *, CASE WHEN level IN ('error', 'fatal') THEN event_id END AS e FROM ev)
+SELECT event_id,
+  coalesce(min(e) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(e) OVER ()) AS next_error_id,
+  coalesce(max(e) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(e) OVER ()) AS previous_error_id
+FROM x
+""")
+def q_next_error_whole_view(spark, sf_dir):
+    """W2 over the whole view as one sequence, its blocks scanned in ranges."""
+    return NV.error_neighbours(T.load_events(spark, sf_dir), partition_cols=(), block_size=256).select(
+        "event_id", "next_error_id", "previous_error_id")

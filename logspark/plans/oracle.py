@@ -184,27 +184,27 @@ parsed AS (
       WHEN t_ts IS NULL THEN 'missing field timestamp'
       WHEN NOT ((t_ts IN ('BIGINT', 'UBIGINT')) OR (t_ts = 'VARCHAR' AND regexp_matches(json_extract_string(jv, '$.timestamp'),
             '^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$')))
-        THEN 'timestamp: expected Unix milliseconds or an RFC 3339 timestamp'
+        THEN 'timestamp: neither epoch milliseconds nor RFC 3339'
       WHEN t_level IS NULL THEN 'missing field level'
       WHEN t_level <> 'VARCHAR' OR json_extract_string(jv, '$.level') NOT IN ('trace','debug','info','warn','error','fatal') THEN 'level: unknown level'
       WHEN t_source IS NULL THEN 'missing field source'
-      WHEN t_source <> 'VARCHAR' OR json_extract_string(jv, '$.source') = '' THEN 'source: expected a non-empty string'
+      WHEN t_source <> 'VARCHAR' OR json_extract_string(jv, '$.source') = '' THEN 'source: must be text and not empty'
       WHEN t_sub IS NULL THEN 'missing field subsystem'
-      WHEN t_sub <> 'VARCHAR' OR json_extract_string(jv, '$.subsystem') = '' THEN 'subsystem: expected a non-empty string'
+      WHEN t_sub <> 'VARCHAR' OR json_extract_string(jv, '$.subsystem') = '' THEN 'subsystem: must be text and not empty'
       WHEN t_target IS NOT NULL AND t_target NOT IN ('NULL', 'VARCHAR') THEN 'target: expected a string'
       WHEN t_event IS NULL THEN 'missing field event'
-      WHEN t_event <> 'VARCHAR' OR json_extract_string(jv, '$.event') = '' THEN 'event: expected a non-empty string'
+      WHEN t_event <> 'VARCHAR' OR json_extract_string(jv, '$.event') = '' THEN 'event: must be text and not empty'
       WHEN t_msg IS NULL THEN 'missing field message'
       WHEN t_msg <> 'VARCHAR' THEN 'message: expected a string'
       WHEN t_app IS NULL THEN 'missing field app_session_id'
       WHEN t_app NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') OR json_extract_string(jv, '$.app_session_id') = ''
-        THEN 'app_session_id: expected a non-empty string or number identifier'
-      WHEN t_pb IS NOT NULL AND t_pb NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'playback_session_id: expected a string, number, or null identifier'
-      WHEN t_req IS NOT NULL AND t_req NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'request_id: expected a string, number, or null identifier'
-      WHEN t_sess IS NOT NULL AND t_sess NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'session_id: expected a string, number, or null identifier'
+        THEN 'app_session_id: must be a number or text and not empty'
+      WHEN t_pb IS NOT NULL AND t_pb NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'playback_session_id: must be text, a number or null'
+      WHEN t_req IS NOT NULL AND t_req NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'request_id: must be text, a number or null'
+      WHEN t_sess IS NOT NULL AND t_sess NOT IN ('NULL', 'VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'session_id: must be text, a number or null'
       WHEN t_prov IS NOT NULL AND t_prov NOT IN ('NULL', 'VARCHAR') THEN 'provider: expected a string'
       WHEN t_dur IS NOT NULL AND t_dur <> 'NULL' AND (t_dur NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE')
-           OR CAST(json_extract(jv, '$.duration_ms') AS DOUBLE) < 0) THEN 'duration_ms: expected a non-negative finite number'
+           OR CAST(json_extract(jv, '$.duration_ms') AS DOUBLE) < 0) THEN 'duration_ms: must be a number from zero up'
       WHEN t_ek IS NOT NULL AND t_ek NOT IN ('NULL', 'VARCHAR') THEN 'error_kind: expected a string'
       WHEN t_fields IS NOT NULL AND t_fields <> 'OBJECT' THEN 'fields: expected an object'
     END AS reason

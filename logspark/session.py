@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC semantics, adaptive execution (partition coalescing,
 # skew-join splitting, runtime join re-planning) and Arrow for the few Python steps.
@@ -64,3 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared folder (never reused between runs)."""
     base = shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder; its lineage is cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back, so that later steps read the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,25 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logspark.functions import columns as C
+
 # Declared order of the envelope keys (fixed by the event contract).
 EXPORT_KEYS = ["schema_version", "timestamp", "level", "source", "subsystem", "target", "event",
                "message", "app_session_id", "playback_session_id", "request_id", "session_id",
                "provider", "duration_ms", "error_kind"]
 
 
-def _json_string(col: Column) -> Column:
-    """A string as a JSON string literal (quoted, escaped); NULL stays NULL."""
-    quoted = F.to_json(F.array(col))
-    return F.when(col.isNotNull(), quoted.substr(F.lit(2), F.length(quoted) - 2))
-
-
 def export_line() -> Column:
     """K1: one normalised JSON text per event (no trailing newline)."""
     envelope = F.to_json(F.struct(*[
         (F.unix_millis("timestamp").alias("timestamp") if k == "timestamp" else F.col(k)) for k in EXPORT_KEYS]))
-    status = F.when(F.col("status").isNotNull(),
-                    F.concat(F.lit(',"status":'), F.to_json(F.try_parse_json(F.col("status")))))
-    compact_fields = F.to_json(F.try_parse_json(F.col("fields")))
+    status = F.when(F.col("status").isNotNull(), F.concat(F.lit(',"status":'), C.compact_json("status")))
+    compact_fields = C.compact_json("fields")
     fields = F.when(F.col("fields").isNotNull() & (compact_fields != "{}"),
                     F.concat(F.lit(',"fields":'), compact_fields))
     return F.concat(F.substring(envelope, F.lit(1), F.length(envelope) - 1),
@@ -73,8 +68,8 @@ def investigation_bundle(pins_located: DataFrame, events: DataFrame, sources: li
             "matched_event_id", "left")
     numbered = with_row_numbers(snap, ["pin_timestamp", "pin_key", "note"], name="line_no", start=1)
     count = numbered.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    body = F.concat(F.lit('{"note":'), F.coalesce(_json_string(F.col("note")), F.lit("null")),
-                    F.lit(',"event":'), F.coalesce(F.col("line"), _json_string(F.col("pin_key"))), F.lit("}"))
+    body = F.concat(F.lit('{"note":'), F.coalesce(C.json_string(F.col("note")), F.lit("null")),
+                    F.lit(',"event":'), F.coalesce(F.col("line"), C.json_string(F.col("pin_key"))), F.lit("}"))
     pins = (numbered.withColumn("_one", F.lit(1)).join(count, "_one")
                     .select("line_no", F.concat(body, F.when(F.col("line_no") < F.col("_n"), F.lit(","))
                                                 .otherwise(F.lit(""))).alias("text")))

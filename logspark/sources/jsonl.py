@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions import columns as C
+from logspark.operators import scans as SC
 from logspark.schema import EVENT_COLUMNS, LEVELS
-from logspark.session import shared_dir
+from logspark.session import stored
 
 _JSONL_NAME = re.compile(r"\.jsonl$|\.jsonl\.", re.IGNORECASE)
 
@@ -98,16 +99,18 @@ def with_row_numbers(df: DataFrame, order_cols: list[str], name: str = "event_id
 
     Rows are dealt into buckets by the data alone (blocks of ids or lines, hours), so a
     bucket means the same in every branch of the plan, at any partitioning and in any rerun.
-    The counts of the buckets form a small table whose running sums are the offsets; inside a
-    bucket a window numbers the rows. Rows that tie in the order keys are numbered in any order.
+    The counts of the buckets form a table whose running sums (``scans.running_sums``, in ranges)
+    are the offsets; inside a bucket a window numbers the rows. The input is planned twice: once
+    for the counts, from the order columns alone, and once for the rows. Rows that tie in the
+    order keys are numbered in any order.
     """
     within = list(within or [])
     marks = [f"_b{i}" for i in range(len(_order_bucket(df, order_cols)))]
     rows = df.withColumns(dict(zip(marks, _order_bucket(df, order_cols))))
     keys = [*within, *marks]
-    before = Window.partitionBy(*within).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = SC.running_sums(sizes, within, marks, "_n", "_off").select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_off")
     inside = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
     same = F.lit(True)
     for i, k in enumerate(keys):
@@ -129,161 +132,111 @@ def _instant(millis: Column) -> Column:
 _RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 _INTEGER = r"^-?[0-9]+$"
 _NUMBER_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+_TEXT_ONLY = ("target", "provider", "error_kind")
+_REQUIRED_TEXT = ("source", "subsystem", "event")
+_OPTIONAL_IDS = ("playback_session_id", "request_id", "session_id")
+#: Fields that a record may hold once only; any other may repeat, the last one counts.
+DECLARED = ("schema_version", "timestamp", "level", "source", "subsystem", "target", "event", "message", "app_session_id",
+            *_OPTIONAL_IDS, "provider", "duration_ms", "error_kind", "status", "fields")
 
 
-def _vtype(v: Column) -> Column:
-    """Coarse JSON kind of a variant value: string / number / boolean / null / nested."""
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit("missing")).when(t == "STRING", "string")
-            .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null")
-            .when(t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL"), "number")
-            .otherwise("nested"))
+_RAW = ", ".join(f"{name} string" for name in DECLARED)
 
 
 def parse_event_lines(lines: DataFrame) -> DataFrame:
     """Add ``reason`` (NULL when the line is a valid event v1) and typed columns.
 
-    One parse per line: ``[line]`` must parse (as VARIANT) to an array of exactly one
-    object, which rejects trailing garbage; every contract rule is then one boolean over
-    that parsed value and the first broken rule (declared field order) names the reason.
-    Number texts come from the parsed value (``1.0`` prints as ``1``) and ``status`` /
-    ``fields`` are re-serialised compactly with sorted keys.
+    A line is parsed once for the kinds of its values (``[line]`` as VARIANT must hold exactly
+    one object, which rejects trailing garbage), once for their texts (VARIANT would print
+    ``1.0`` as ``1``) and once for its keys (a declared field may not repeat). Every
+    contract rule is a comparison of those; the first broken rule (declared field order)
+    names the reason. The result is one struct behind a generator, which no predicate on
+    ``reason`` crosses, so that a filter never repeats the parsing.
+
+    ``status`` / ``fields`` are compact JSON; see ``columns.compact_json`` for their numbers.
     """
-    arr = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    df = lines.withColumn("_arr", arr)
-    obj = F.variant_get(F.col("_arr"), "$[0]", "variant")
-    single = F.col("_arr").isNotNull() & F.variant_get(F.col("_arr"), "$[1]", "variant").isNull() & obj.isNotNull()
-    is_object = F.schema_of_variant(obj).startswith("OBJECT")
-    df = df.withColumns({"_ok_json": single, "_obj": F.when(single & is_object, obj)})
-
-    def field(name):
-        return F.variant_get(F.col("_obj"), f"$.{name}", "variant")
-
-    scalar = ["schema_version", "timestamp", "level", "source", "subsystem", "target", "event", "message",
-              "app_session_id", "playback_session_id", "request_id", "session_id", "provider",
-              "duration_ms", "error_kind"]
-    df = df.withColumns({f"_v_{name}": field(name) for name in scalar + ["status", "fields"]})
-    df = df.withColumns({f"_t_{name}": F.schema_of_variant(F.col(f"_v_{name}")) for name in scalar})
-    texts = ["timestamp", "level", "source", "subsystem", "target", "event", "message", "app_session_id",
-             "playback_session_id", "request_id", "session_id", "provider", "error_kind"]
-    df = df.withColumns({f"_s_{name}": F.variant_get(F.col(f"_v_{name}"), "$", "string") for name in texts})
-    v = {name: F.col(f"_v_{name}") for name in scalar + ["status", "fields"]}
-    t = {name: F.col(f"_t_{name}") for name in scalar}
-
-    class _Kind:
-        def __init__(self, name):
-            self.v, self.t = v[name], t[name]
-
-        def isin(self, *kinds):
-            cond = F.lit(False)
-            for kind in kinds:
-                cond = cond | (self == kind)
-            return cond
-
-        def __eq__(self, kind):
-            if kind == "missing":
-                return self.v.isNull()
-            if kind == "null":
-                return self.t == "VOID"
-            if kind == "string":
-                return self.t == "STRING"
-            if kind == "number":
-                return self.t.isin(*_NUMBER_TYPES) | self.t.startswith("DECIMAL")
-            raise ValueError(kind)
-
-        def __ne__(self, kind):
-            return ~(self == kind)
-
-    k = {name: _Kind(name) for name in scalar}
+    keep = list(lines.columns)
+    with C.repeated_keys_allowed(lines.sparkSession):
+        df = lines.withColumn("_arr", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))))
+    df = df.withColumns({"_obj": F.expr("variant_get(_arr, '$[0]', 'variant')"), "_raw": F.from_json("value", _RAW), "_keys": F.json_object_keys("value"),
+                         "_one": F.expr("_arr is not null and variant_get(_arr, '$[1]', 'variant') is null")})
+    df = df.withColumns({f"_v_{name}": F.variant_get("_obj", f"$.{name}", "variant") for name in DECLARED})
+    df = df.withColumns({f"_t_{name}": F.schema_of_variant(f"_v_{name}") for name in DECLARED if name not in ("fields", "status")} | {
+        "_fields": F.to_json("_v_fields"), "_status": F.to_json("_v_status"),
+        "_again": F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), F.filter(
+            F.array(*map(F.lit, DECLARED)), lambda d: F.size(F.filter("_keys", lambda k: k == d)) > 1))})
 
     def text(name):
-        return F.col(f"_s_{name}")
-
-    integer = t["timestamp"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-    ts_from_ms = _instant(F.when(integer, F.variant_get(v["timestamp"], "$", "long")))
-    ts_text = text("timestamp")
-    ts_from_text = F.when(ts_text.rlike(_RFC3339), F.try_to_timestamp(
-        F.regexp_replace(F.regexp_replace(ts_text, "[Tt ]", "T"), "[zZ]$", "+00:00")))
-    df = df.withColumn("_ts", F.when(k["timestamp"] == "number", ts_from_ms)
-                       .when(k["timestamp"] == "string", ts_from_text))
-    timestamp = F.col("_ts")
-    dur = F.variant_get(v["duration_ms"], "$", "double")
-    version_ok = (t["schema_version"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-                  & (F.variant_get(v["schema_version"], "$", "long") == 1))
-    fields_json = F.to_json(v["fields"])
-    status_json = F.when(v["status"].isNotNull() & ~F.is_variant_null(v["status"]), F.to_json(v["status"]))
-
-    def stringish(name):
-        return F.when(k[name].isin("string", "number"), text(name))
-
-    def non_empty_string(name):
-        return (k[name] == "string") & (text(name) != "")
-
-    def optional(name, allowed):
-        return k[name].isin("missing", "null", *allowed)
-
+        return F.col("_raw")[name]
+
+    def is_a(name, *kinds):
+        """Whether the field is there and its value is a string, a number or null."""
+        t, hit = F.col(f"_t_{name}"), F.lit(False)
+        for k in kinds:
+            hit = hit | {"string": t == "STRING", "null": t == "VOID"}.get(k, t.isin(*_NUMBER_TYPES) | t.startswith("DECIMAL"))
+        return F.coalesce(hit, F.lit(False))
+
+    def gone(name):
+        return F.col(f"_v_{name}").isNull()
+
+    def optional(name, *kinds):
+        return gone(name) | is_a(name, "null", *kinds)
+
+    whole = is_a("timestamp", "number") & text("timestamp").rlike(_INTEGER)
+    instant = F.when(whole, _instant(text("timestamp").try_cast("long"))).when(
+        is_a("timestamp", "string") & text("timestamp").rlike(_RFC3339), F.try_to_timestamp(
+            F.regexp_replace(F.regexp_replace(text("timestamp"), "[Tt ]", "T"), "[zZ]$", "+00:00")))
+    df = df.withColumns({"_ts": instant, "_dur": F.when(is_a("duration_ms", "number"), text("duration_ms").try_cast("double"))})
+    missing = lambda name: (gone(name), f"missing field {name}")
     rules = [
-        (~F.col("_ok_json"), "invalid JSON"),
-        (F.col("_obj").isNull(), "not a JSON object"),
-        (k["schema_version"] == "missing", "missing field schema_version"),
-        (~version_ok, "unsupported schema_version"),
-        (k["timestamp"] == "missing", "missing field timestamp"),
-        (timestamp.isNull(), "timestamp: expected Unix milliseconds or an RFC 3339 timestamp"),
-        (k["level"] == "missing", "missing field level"),
-        (~((k["level"] == "string") & text("level").isin(*LEVELS)), "level: unknown level"),
-        (k["source"] == "missing", "missing field source"),
-        (~non_empty_string("source"), "source: expected a non-empty string"),
-        (k["subsystem"] == "missing", "missing field subsystem"),
-        (~non_empty_string("subsystem"), "subsystem: expected a non-empty string"),
-        (~optional("target", ["string"]), "target: expected a string"),
-        (k["event"] == "missing", "missing field event"),
-        (~non_empty_string("event"), "event: expected a non-empty string"),
-        (k["message"] == "missing", "missing field message"),
-        (k["message"] != "string", "message: expected a string"),
-        (k["app_session_id"] == "missing", "missing field app_session_id"),
-        (~(k["app_session_id"].isin("string", "number") & (F.coalesce(stringish("app_session_id"), F.lit("")) != "")),
-         "app_session_id: expected a non-empty string or number identifier"),
-        (~optional("playback_session_id", ["string", "number"]),
-         "playback_session_id: expected a string, number, or null identifier"),
-        (~optional("request_id", ["string", "number"]), "request_id: expected a string, number, or null identifier"),
-        (~optional("session_id", ["string", "number"]), "session_id: expected a string, number, or null identifier"),
-        (~optional("provider", ["string"]), "provider: expected a string"),
-        (~(optional("duration_ms", []) | ((k["duration_ms"] == "number") & (dur >= 0) & ~F.isnan(dur)
-                                           & (dur < F.lit(float("inf"))))),
-         "duration_ms: expected a non-negative finite number"),
-        (~optional("error_kind", ["string"]), "error_kind: expected a string"),
-        (~(v["fields"].isNull() | fields_json.startswith("{")), "fields: expected an object"),
+        (~(F.col("_one") & F.col("_obj").isNotNull()), "invalid JSON"),
+        (F.col("_keys").isNull(), "not a JSON object"),
+        (F.coalesce(F.size("_again") > 0, F.lit(False)), F.concat(F.lit("repeated field "), F.array_join("_again", ", "))),
+        missing("schema_version"),
+        (~(is_a("schema_version", "number") & (text("schema_version") == "1")), "unsupported schema_version"),
+        missing("timestamp"),
+        (F.col("_ts").isNull(), "timestamp: neither epoch milliseconds nor RFC 3339"),
+        missing("level"),
+        (~(is_a("level", "string") & text("level").isin(*LEVELS)), "level: unknown level"),
     ]
+    for name in ("source", "subsystem"):
+        rules += [missing(name), (~(is_a(name, "string") & (text(name) != "")), f"{name}: must be text and not empty")]
+    rules += [(~optional("target", "string"), "target: expected a string"), missing("event"),
+              (~(is_a("event", "string") & (text("event") != "")), "event: must be text and not empty"),
+              missing("message"), (~is_a("message", "string"), "message: expected a string"), missing("app_session_id"),
+              (~(is_a("app_session_id", "string", "number") & (text("app_session_id") != "")), "app_session_id: must be a number or text and not empty")]
+    rules += [(~optional(name, "string", "number"), f"{name}: must be text, a number or null") for name in _OPTIONAL_IDS]
+    rules += [(~optional("provider", "string"), "provider: expected a string"),
+              (~(optional("duration_ms") | F.coalesce((F.col("_dur") >= 0) & (F.col("_dur") < F.lit(float("inf"))), F.lit(False))),
+               "duration_ms: must be a number from zero up"),
+              (~optional("error_kind", "string"), "error_kind: expected a string"),
+              (~(gone("fields") | F.col("_fields").startswith("{")), "fields: expected an object")]
     # one flat CASE (first broken rule wins); nesting would defeat code generation
     reason = None
     for cond, why in rules:
-        reason = F.when(cond, F.lit(why)) if reason is None else reason.when(cond, F.lit(why))
-    typed = [
-        F.lit(1).alias("schema_version"),
-        timestamp.alias("timestamp"),
-        text("level").alias("level"),
-        text("source").alias("source"),
-        text("subsystem").alias("subsystem"),
-        text("event").alias("event"),
-        text("message").alias("message"),
-        stringish("app_session_id").alias("app_session_id"),
-        stringish("playback_session_id").alias("playback_session_id"),
-        stringish("request_id").alias("request_id"),
-        stringish("session_id").alias("session_id"),
-        text("target").alias("target"),
-        text("provider").alias("provider"),
-        text("error_kind").alias("error_kind"),
-        F.when(k["duration_ms"] == "number", dur).alias("duration_ms"),
-        status_json.alias("status"),
-        F.coalesce(fields_json, F.lit("{}")).alias("fields"),
-    ]
-    keep = [c for c in lines.columns]
-    return df.select(*keep, reason.alias("reason"), *typed)
+        why = F.lit(why) if isinstance(why, str) else why
+        reason = F.when(cond, why) if reason is None else reason.when(cond, why)
+
+    def json(name):
+        own = F.col(f"_{name}")  # a string that looks like a number would be one without quotes
+        return F.when(text(name).rlike(C.ODD_NUMBER) & ~own.startswith('"'), text(name)).otherwise(own)
+
+    identifier = lambda name: F.when(is_a(name, "string", "number"), text(name))
+    plain = lambda name: F.when(is_a(name, "string"), text(name))
+    typed = {"schema_version": F.lit(1), "timestamp": F.col("_ts"), "level": plain("level"),
+             **{n: plain(n) for n in ("source", "subsystem", "event", "message")},
+             **{n: identifier(n) for n in ("app_session_id", *_OPTIONAL_IDS)}, **{n: plain(n) for n in _TEXT_ONLY},
+             "duration_ms": F.col("_dur"), "status": F.when(F.col("_status") != "null", json("status")),
+             "fields": F.coalesce(json("fields"), F.lit("{}"))}
+    decoded = F.struct(reason.alias("reason"), *(c.alias(n) for n, c in typed.items()))
+    return df.select(*keep, F.explode(F.array(decoded)).alias("_event")).select(*keep, "_event.*")
 
 
 def validate_events(lines: DataFrame, order_cols=("file_name", "line_number")) -> DataFrame:
-    """Valid lines as the canonical event frame; ``event_id`` = order of (file, line)."""
-    parsed = parse_event_lines(lines).where(F.col("reason").isNull())
+    """Valid lines as the canonical event frame; ``event_id`` = order of (file, line).
+
+    Decoded rows are stored once and numbered from there, so that no line is parsed again."""
+    parsed = stored(parse_event_lines(lines).where(F.col("reason").isNull()), "decoded-events")
     numbered = with_row_numbers(parsed, list(order_cols), name="event_id")
     return numbered.select(*EVENT_COLUMNS, *order_cols)
 
@@ -363,21 +316,26 @@ PROMOTED = ["message", "subsystem", "event", "playback_session_id", "request_id"
             "provider", "error_kind", "duration_ms", "status"]
 
 
+#: Numeric text that P16 promotes: what S2 accepts as a duration, so neither a sign, NaN nor infinity.
+_DURATION_TEXT = r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def promote_fields(records: DataFrame, level_col: str = "level") -> DataFrame:
     """Producer records -> event v1: promoted keys lifted out of the property bag.
 
     ``records`` has (event_id, timestamp, <level_col>, source, target, name, app_session_id,
     properties JSON object text). Message / event fall back to the record name, subsystem
-    to the logger target; ``duration_ms`` also parses numeric strings; the rest stays in
-    ``fields`` (keys sorted)."""
+    to the logger target; ``duration_ms`` also parses decimal text from zero up (any other value
+    of it is dropped: S2 would reject it); the rest stays in ``fields`` (keys sorted)."""
     bag = F.from_json(F.col("properties"), "map<string,variant>")
 
     def scalar(key):
         return C.variant_scalar_text(F.element_at(bag, F.lit(key)))
 
     dv = F.element_at(bag, F.lit("duration_ms"))
-    dur = F.when(C.variant_kind(dv) == "number", dv.cast("double")).when(
-        C.variant_kind(dv) == "string", F.variant_get(dv, "$", "string").try_cast("double"))
+    said = F.when(C.variant_kind(dv) == "string", F.variant_get(dv, "$", "string"))
+    number = F.when(C.variant_kind(dv) == "number", dv.cast("double")).when(said.rlike(_DURATION_TEXT), said.try_cast("double"))
+    dur = F.when((number >= 0) & (number < F.lit(float("inf"))), number)
     st = F.element_at(bag, F.lit("status"))
     rest = F.map_filter(bag, lambda key, _: ~key.isin(*PROMOTED))
     return records.select(
@@ -395,4 +353,4 @@ def promote_fields(records: DataFrame, level_col: str = "level") -> DataFrame:
         scalar("error_kind").alias("error_kind"),
         dur.alias("duration_ms"),
         F.when(st.isNotNull() & ~F.is_variant_null(st), F.to_json(st)).alias("status"),
-        F.to_json(F.try_parse_json(F.to_json(rest))).alias("fields"))
+        C.compact_json(F.to_json(rest)).alias("fields"))

@@ -308,3 +308,18 @@ def source_reports(events: DataFrame) -> DataFrame:
     return events.select(F.floor(F.col("event_id") / 100).cast("long").alias("batch_id"), (F.col("event_id") % 100).cast("int").alias("seq"),
                          F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string"), F.lit(".jsonl")).alias("file_path"), kind.alias("kind"),
                          records.alias("records"), F.when(et == "click", F.col("event_id")).cast("long").alias("line_number"), detail.alias("detail"))
+
+
+def number_lines(events: DataFrame) -> DataFrame:
+    """Stand-in JSONL lines whose identifiers, status and fields are numbers in many spellings, and whose
+    undeclared keys repeat; where ``k`` is 7 a declared key repeats as well."""
+    k = F.get_json_object("props", "$.k").cast("bigint").cast("string")
+    turn = F.col("event_id") % 4
+    number = (F.when(turn == 0, F.concat(k, F.lit(".0"))).when(turn == 1, F.concat(k, F.lit("e2"))).when(
+        turn == 2, F.concat(F.lit("1234567890123456789"), k)).otherwise(F.concat(k, F.lit(".50"))))
+    again = F.when(k == "7", F.lit(', "event": "again"')).otherwise(F.lit(""))
+    line = F.concat(F.lit('{"extra": 1, "schema_version": 1, "timestamp": '), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
+                    F.lit(', "level": "info", "source": "numbers", "subsystem": "s", "event": "e", "message": "m", "app_session_id": '), number,
+                    F.lit(', "request_id": "'), number, F.lit('", "status": '), number, F.lit(', "fields": {"z": '), number,
+                    F.lit(', "n": [1, 2], "a": "'), number, F.lit('"}, "extra": 2'), again, F.lit("}"))
+    return events.select(F.lit("numbers.jsonl").alias("file_name"), F.col("event_id").alias("line_number"), line.alias("value"))

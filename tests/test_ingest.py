@@ -232,3 +232,40 @@ def test_pins_keep_their_snapshot(spark):
     lines = EX.investigation_bundle(located, old, ["s"], "{}", 0).orderBy("line_no").collect()
     doc = json.loads("".join(r.text for r in lines))
     assert [p["event"]["message"] for p in doc["pins"]] == ["here", "gone"]
+
+
+def test_numbers_keep_their_text(spark):
+    texts = [line(app_session_id=..., extra=1)[:-1] + ', "app_session_id": 1.0, "request_id": 1e3, "session_id": 12345678901234567890, '
+             '"status": -0.0, "fields": {"z": 1.0, "s": "1.0", "o": {"y": 1.0}, "n": null, "i": 12345678901234567890123}}',
+             line(status="1.0"), line()[:-1] + ', "status": [1.0, 2]}']
+    rows = JL.parse_event_lines(lines_df(spark, texts)).orderBy("line_number").collect()
+    assert [r.reason for r in rows] == [None] * 3
+    assert (rows[0].app_session_id, rows[0].request_id, rows[0].session_id, rows[0].status) == ("1.0", "1000.0", "12345678901234567890", "-0.0")
+    assert [rows[1].status, rows[2].status] == ['"1.0"', "[1.0,2]"]
+    out = [r.line for r in EX.with_export_line(JL.parse_event_lines(lines_df(spark, texts))).orderBy("line_number").collect()]
+    assert out[0].endswith('"status":-0.0,"fields":{"i":12345678901234567890123,"n":null,"o":{"y":1.0},"s":"1.0","z":1.0}}')
+    assert out[1].endswith('"status":"1.0"}') and out[2].endswith('"status":[1.0,2]}')
+
+
+def test_declared_keys_may_not_repeat(spark):
+    texts = [line()[:-1] + ', "x": 1, "x": {"y": 1, "y": 2}}', line()[:-1] + ', "source": "b", "level": "info"}', line()[:-1] + ', "fields": {"a": 1, "a": 2}}']
+    rows = JL.parse_event_lines(lines_df(spark, texts)).orderBy("line_number").collect()
+    assert [r.reason for r in rows] == [None, "repeated field level, source", None] and rows[2].fields == '{"a":2}'
+
+
+def test_one_parser_call_and_no_window_without_partitions(spark):
+    lines = lines_df(spark, [line()])
+    for df in (JL.parse_event_lines(lines), JL.rejected_records(lines), JL.ingest_report(lines), JL.parse_event_lines(lines).where("reason is null")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.lower().count("parse_json(") + plan.count("parseJson") == 1
+    for within in ([], ["file_name"]):
+        plan = JL.with_row_numbers(lines, ["line_number"], within=within)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+
+
+def test_promoted_durations(spark):
+    texts = {'"12.5"': 12.5, '"1e3"': 1000.0, '"+.5"': 0.5, '"1.0d"': None, '"NaN"': None, '"-5"': None, '"Infinity"': None, "-5": None, "7": 7.0, "true": None, '" 1"': None}
+    recs = spark.createDataFrame([(i, "info", "svc", "t", "r", "run", f'{{"duration_ms": {t}}}') for i, t in enumerate(texts)],
+                                 "event_id long, level string, source string, target string, name string, app_session_id string, "
+                                 "properties string").withColumn("timestamp", F.current_timestamp())
+    assert [r.duration_ms for r in JL.promote_fields(recs).orderBy("event_id").collect()] == list(texts.values())
