@@ -705,7 +705,7 @@ d AS (SELECT event_id, list_transform(list_filter(a, lambda x: json_type(x) = 'O
 
 @register("console_detail", _CONSOLE_SQL + """
 SELECT event_id, CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' · ') END AS detail
-FROM d
+FROM ev LEFT JOIN d USING (event_id)
 """)
 def q_console_detail(spark, sf_dir):
     """Distinct ``name: message`` details of console Error-like arguments, in order."""
@@ -994,6 +994,7 @@ def q_investigation_bundle(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming S6 K3 T2-T6
 from logspark.session import scratch_path  # noqa: E402
+from logspark.streaming import segments as SG  # noqa: E402
 from logspark.streaming import streams as ST  # noqa: E402
 
 
@@ -1016,14 +1017,12 @@ def q_stream_session_summaries(spark, sf_dir):
     land = _landing_events(spark, sf_dir)
     out, pairs = scratch_path(spark, "stream-sessions"), scratch_path(spark, "stream-pairs")
     # the two streaming aggregates are independent: run them side by side
-    running = [ST.run_aggregate_to_table(ST.stream_session_summaries(ST.stream_events(spark, land)), out,
-                                         scratch_path(spark, "ckpt")),
-               ST.run_aggregate_to_table(ST.stream_session_correlations(ST.stream_events(spark, land)), pairs,
-                                         scratch_path(spark, "ckpt"))]
+    keys, pair_keys = ["app_session_id"], ["app_session_id", "correlation"]
+    running = [SG.keep_current(ST.stream_session_summaries(ST.stream_events(spark, land)), out, scratch_path(spark, "ckpt"), keys),
+               SG.keep_current(ST.stream_session_correlations(ST.stream_events(spark, land)), pairs, scratch_path(spark, "ckpt"), pair_keys)]
     for q in running:
         _await(q)
-    s = ST.session_summary_table(ST.current_rows(spark, out, ["app_session_id"]),
-                                 ST.current_rows(spark, pairs, ["app_session_id", "correlation"]))
+    s = ST.session_summary_table(SG.current_values(spark, out, keys), SG.current_values(spark, pairs, pair_keys))
     return s.select("app_session_id", _ms("first_timestamp").alias("first_ms"), _ms("last_timestamp").alias("last_ms"),
                     SE._elapsed_ms(F.col("first_timestamp"), F.col("last_timestamp")).alias("elapsed_ms"),
                     "event_count", "warning_count", "error_count",
@@ -1035,8 +1034,8 @@ def q_stream_facet_counts(spark, sf_dir):
     """T4: facet counts kept current by a streaming aggregation."""
     events = ST.stream_events(spark, _landing_events(spark, sf_dir))
     out = scratch_path(spark, "stream-facets")
-    _await(ST.run_aggregate_to_table(ST.stream_facet_counts(events, FLAGSHIP_STATE), out, scratch_path(spark, "ckpt")))
-    return ST.current_rows(spark, out, ["facet", "value"])
+    _await(SG.keep_current(ST.stream_facet_counts(events, FLAGSHIP_STATE), out, scratch_path(spark, "ckpt"), ["facet", "value"]))
+    return SG.current_values(spark, out, ["facet", "value"])
 
 
 @register("stream_filter", ORACLE["filter_events"])
@@ -1052,21 +1051,21 @@ def q_stream_filter(spark, sf_dir):
 
 @register("stream_repeat_groups", ORACLE["repeat_groups"])
 def q_stream_repeat_groups(spark, sf_dir):
-    """T5: repeat groups merged batch by batch (idempotent versioned table)."""
-    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    """T5: repeat groups of a stream; each of four batches writes its own groups, merged on reading."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir), max_files_per_trigger=1)
     table = scratch_path(spark, "stream-repeats")
-    _await(ST.stream_repeat_groups(events, table, scratch_path(spark, "ckpt")))
-    return ST.latest_table(spark, table).select(*C.REPEAT_KEY_COLUMNS, "repeat_count", "first_event_id",
+    _await(SG.keep_repeat_groups(events, table, scratch_path(spark, "ckpt"), fanout=3))
+    return SG.repeat_groups_now(spark, table).select(*C.REPEAT_KEY_COLUMNS, "repeat_count", "first_event_id",
                                                 "latest_event_id", "previous_event_id")
 
 
 @register("stream_keep_latest", ORACLE["keep_latest"])
 def q_stream_keep_latest(spark, sf_dir):
-    """The bounded latest-500 window maintained across micro-batches."""
-    events = ST.stream_events(spark, _landing_events(spark, sf_dir))
+    """The bounded latest-500 window maintained across micro-batches as a log of segments."""
+    events = ST.stream_events(spark, _landing_events(spark, sf_dir), max_files_per_trigger=1)
     table = scratch_path(spark, "stream-latest")
-    _await(ST.stream_keep_latest(events, 500, table, scratch_path(spark, "ckpt")))
-    return ST.latest_table(spark, table).select("event_id", "level")
+    _await(SG.keep_newest(events, 500, table, scratch_path(spark, "ckpt")))
+    return SG.newest_rows(spark, table, 500).select("event_id", "level")
 
 
 # ---------------------------------------------------------------- S1 T1 T8 over text files, P18
@@ -1410,3 +1409,112 @@ def q_next_error_whole_view(spark, sf_dir):
     """W2 over the whole view as one sequence, its blocks scanned in ranges."""
     return NV.error_neighbours(T.load_events(spark, sf_dir), partition_cols=(), block_size=256).select(
         "event_id", "next_error_id", "previous_error_id")
+
+
+# ---------------------------------------------------------------- T6 pause, F8 by an index, F13 as a table
+_PARTS = 5  # batches; a row's batch is its place among as many equal ranges of ids
+
+
+@register("stream_pause_and_resume", EV + f""",
+p AS (SELECT *, least(event_id * {_PARTS} // (SELECT max(event_id) + 1 FROM ev), {_PARTS - 1}) AS part FROM ev),
+first AS (SELECT event_id FROM p WHERE part = 0 ORDER BY event_id DESC LIMIT 500)
+SELECT 'paused' AS view, count(*) AS rows, min(event_id) AS first_event_id, max(event_id) AS last_event_id
+FROM p WHERE part BETWEEN 1 AND 3 OR event_id IN (SELECT event_id FROM first)
+UNION ALL
+SELECT 'resumed', count(*), min(event_id), max(event_id) FROM (SELECT event_id FROM ev ORDER BY event_id DESC LIMIT 500)
+""")
+def q_stream_pause_and_resume(spark, sf_dir):
+    """O1 + T6: a latest-500 window that is paused for three batches, which keeps all that came, and then resumed."""
+    events, land, table, ckpt = T.load_events(spark, sf_dir), *(scratch_path(spark, n) for n in ("landing-parts", "stream-latest", "ckpt"))
+    last = events.agg(F.max("event_id")).first()[0]
+    views = []
+    for part in range(_PARTS):
+        place = F.least(F.floor(F.col("event_id") * _PARTS / F.lit(last + 1)), F.lit(_PARTS - 1))
+        rows = events.where(place == part)
+        if part == 0:  # what is older than the window when the pause begins is gone already
+            rows = NV.keep_latest(rows, 500)
+        rows.coalesce(1).write.mode("append").parquet(land)
+        _await(SG.keep_newest(ST.stream_events(spark, land), 500, table, ckpt, paused=0 < part < _PARTS - 1))
+        if part >= _PARTS - 2:
+            rows = SG.newest_rows(spark, table, 500 if part == _PARTS - 1 else None)
+            view = rows.agg(F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_event_id"), F.max("event_id").alias("last_event_id"))
+            views.append(view.select(F.lit("resumed" if part == _PARTS - 1 else "paused").alias("view"), "*"))
+    return views[0].unionByName(views[1])
+
+
+from logspark.operators import filter_table as FT  # noqa: E402
+from logspark.operators import terms as TM  # noqa: E402
+
+_INDEXED_TEXT = "Thanedbel, tion"  # the first with two letters in the wrong order
+
+
+@register("indexed_search_documents", _doc_sql("WITH " + O.DOC_BASE.strip()) + f"""
+SELECT event_id, source FROM docs WHERE {" AND ".join(_term_sql(t) for t in FI.search_terms(_INDEXED_TEXT))}
+""")
+def q_indexed_search_documents(spark, sf_dir):
+    """F7 + F8 over whole document texts by the term index; the store's texts aren't read."""
+    store, index = scratch_path(spark, "event-store"), scratch_path(spark, "term-index")
+    SS.write_event_store(T.load_documents(spark, sf_dir), store)
+    events = SS.read_event_store(spark, store)
+    TM.write_term_index(events, index)
+    return TM.search_indexed(events, index, _INDEXED_TEXT).select("event_id", "source")
+
+
+def _many_filters(spark):
+    """2000 saved filters: one a user and level, with a range, an exclusion or a correlation in turn."""
+    out = {}
+    for i in range(2000):
+        state = FI.FilterState(facets={"fields.user": {"include": [f"u{i % 1000}", f"u{i % 1000 + 1}"]}})
+        if i % 4 == 0:
+            state.predicates = [("duration_ms", ">=", str(i % 90)), ("duration_ms", "<", str(i % 90 + 60))]
+        elif i % 4 == 1:
+            state.facets["source"] = {"exclude": [f"src{i % 3}"]}
+        elif i % 4 == 2:
+            state.minimum_level = "warn"
+        else:
+            state.facets = {"event": {"exclude": ["user.click"]}}
+            state.correlation = f"req-{i % 100}"
+        out[f"f{i:04d}"] = state
+    out["broken"] = FI.FilterState(predicates=[("duration_ms", ">", "much")])
+    return FT.filter_table(spark, out)
+
+
+@register("saved_filter_table", EV + f""",
+b AS (SELECT *, CAST(substr(json_extract_string(fields, '$.user'), 2) AS BIGINT) AS u, {O.CORR_SQL} AS corr, {O.LEVELS_SQL} AS sev FROM ev),
+f AS (SELECT i, 'f' || lpad(CAST(i AS VARCHAR), 4, '0') AS name FROM range(2000) r(i)),
+h AS (
+  SELECT name, event_id FROM f JOIN b ON u IN (i % 1000, i % 1000 + 1) AND i % 4 < 3
+   AND CASE i % 4 WHEN 0 THEN duration_ms >= i % 90 AND duration_ms < i % 90 + 60 WHEN 1 THEN source <> 'src' || (i % 3) ELSE sev >= 3 END
+  UNION ALL SELECT name, event_id FROM f JOIN b ON corr = 'req-' || (i % 100) AND i % 4 = 3 AND event <> 'user.click')
+SELECT f.name, count(h.event_id) AS hits, min(h.event_id) AS first_event_id, max(h.event_id) AS last_event_id, NULL::VARCHAR AS errors
+FROM f LEFT JOIN h ON f.name = h.name GROUP BY f.name
+UNION ALL SELECT 'broken', 0, NULL, NULL, 'duration_ms expects a numeric value'
+""")
+def q_saved_filter_table(spark, sf_dir):
+    """F13 + F5: a table of 2001 saved filters evaluated together by predicate counting."""
+    return FT.evaluate(T.load_events(spark, sf_dir), _many_filters(spark))
+
+
+# ---------------------------------------------------------------- P12 P13 over every phrase
+_TONE_N = len(TN.PHRASES)
+_TONE_BASE = f"""
+WITH ph AS (SELECT [{", ".join(f"'{p}'" for p, _ in TN.PHRASES)}] AS l),
+pk AS (SELECT event_id, 'src' || CAST(user_id % 3 AS VARCHAR) AS source, l[event_id % {_TONE_N} + 1] AS a, l[(event_id * 7 + 3) % {_TONE_N} + 1] AS b FROM events, ph),
+ev AS (SELECT event_id, source, 'step ' || event_id || ' ' || CASE event_id % 5 WHEN 0 THEN upper(a) WHEN 1 THEN replace(a, ' ', '_') WHEN 2 THEN 'x' || a ELSE a END
+         || ': ' || replace(b, ' ', ' - ') || '!' AS message FROM pk)"""
+
+
+@register("message_tones_all_phrases", _tone_hits_sql(_TONE_BASE, "event_id") + """
+SELECT event_id, position, phrase, tone FROM hp JOIN tones USING (phrase)
+""")
+def q_message_tones_all_phrases(spark, sf_dir):
+    """Every outcome phrase, negated ones among them, in several spellings."""
+    return TN.message_tones(T.tone_frame(T.table(spark, sf_dir, "events"))).select("event_id", "position", "phrase", "tone")
+
+
+@register("tone_counts_all_phrases", _tone_hits_sql(_TONE_BASE, "source") + """
+SELECT source, tone, count(*) AS hits FROM hp JOIN tones USING (phrase) GROUP BY source, tone
+""")
+def q_tone_counts_all_phrases(spark, sf_dir):
+    """Totals of all four tones per source."""
+    return TN.tone_counts(T.tone_frame(T.table(spark, sf_dir, "events")), ["source"])

@@ -5,7 +5,8 @@ partition pruning and Parquet filter pushdown.
 Layout: ``event_date=<day>/source=<name>/part-*.parquet``. Rows are range-partitioned on
 (day, source, event_id) before the write, so a source holding a third of all rows is
 written by many tasks into many files instead of one task, and each file is sorted by
-(level, event_id) so level filters can skip row groups.
+(level, event_id) so level filters can skip row groups. Correlations and fingerprints lie all
+over a row group's range of values, so Bloom filters let a look-up skip the groups without it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from logspark.functions import columns as C
 from logspark.schema import EVENT_COLUMNS
 from logspark.sources.export import event_fingerprint
 
+#: Columns looked up by one value (F3, J3, J4): their row groups carry Bloom filters.
+POINT_LOOKUPS = ["correlation", "fingerprint"]
 DERIVED = ["correlation", "tag", "severity", "search_document", "fingerprint"]
 
 
@@ -29,9 +32,12 @@ def enrich(events: DataFrame) -> DataFrame:
 
 def write_event_store(events: DataFrame, path: str, mode: str = "append") -> None:
     enriched = enrich(events.select(*EVENT_COLUMNS))
-    (enriched.repartitionByRange("event_date", "source", "event_id")
-             .sortWithinPartitions("event_date", "source", "level", "event_id")
-             .write.mode(mode).partitionBy("event_date", "source").parquet(path))
+    writer = (enriched.repartitionByRange("event_date", "source", "event_id")
+                      .sortWithinPartitions("event_date", "source", "level", "event_id")
+                      .write.mode(mode).partitionBy("event_date", "source"))
+    for column in POINT_LOOKUPS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
 
 
 def read_event_store(spark: SparkSession, path: str) -> DataFrame:

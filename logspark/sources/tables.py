@@ -214,17 +214,19 @@ def numbered_event_lines(events: DataFrame) -> DataFrame:
 
 
 def console_frame(events: DataFrame) -> DataFrame:
-    """Stand-in console events: each click becomes a ``console.message`` whose arguments
-    hold two Error-like objects (one repeated) and the message itself."""
+    """Stand-in console events, one for each event: a click becomes a ``console.message`` whose
+    arguments hold two Error-like objects (one repeated) and the message itself; a purchase has the
+    same arguments under its own name, and every other event stays as it is."""
     fr = events_frame(events)
+    click = F.col("event") == "user.click"
     msg = F.concat(F.lit("click by user "), F.split(F.col("app_session_id"), "-").getItem(0))
     err = F.concat(F.lit('{"name": "TypeError", "message": " value '), F.format_string("%.2f", F.col("duration_ms")),
                    F.lit(' "}'))
     fields = F.concat(F.lit('{"arguments": ['), err, F.lit(', {"message": "'), msg, F.lit('"}, '), err,
                       F.lit(', "plain text"]}'))
-    return (fr.where(F.col("event") == "user.click")
-              .withColumns({"event": F.lit("console.message"), "message": msg, "fields": fields})
-              .select(*EVENT_COLUMNS))
+    return fr.withColumns({"event": F.when(click, "console.message").otherwise(F.col("event")),
+                           "message": F.when(click, msg).otherwise(F.col("message")),
+                           "fields": F.when(F.col("event").isin("user.click", "user.purchase"), fields).otherwise(F.col("fields"))}).select(*EVENT_COLUMNS)
 
 
 def client_records(events: DataFrame) -> DataFrame:
@@ -323,3 +325,16 @@ def number_lines(events: DataFrame) -> DataFrame:
                     F.lit(', "request_id": "'), number, F.lit('", "status": '), number, F.lit(', "fields": {"z": '), number,
                     F.lit(', "n": [1, 2], "a": "'), number, F.lit('"}, "extra": 2'), again, F.lit("}"))
     return events.select(F.lit("numbers.jsonl").alias("file_name"), F.col("event_id").alias("line_number"), line.alias("value"))
+
+
+def tone_frame(events: DataFrame) -> DataFrame:
+    """Stand-in messages that hold two outcome phrases each, in turn all of them: plain, in capitals, with
+    other separators, and inside longer words (which are no hits)."""
+    from logspark.functions.tones import PHRASES
+
+    phrases, n, i = F.array(*(F.lit(p) for p, _ in PHRASES)), len(PHRASES), F.col("event_id")
+    first, second = F.element_at(phrases, (i % n + 1).cast("int")), F.element_at(phrases, ((i * 7 + 3) % n + 1).cast("int"))
+    shown = F.when(i % 5 == 0, F.upper(first)).when(i % 5 == 1, F.translate(first, " ", "_")).when(
+        i % 5 == 2, F.concat(F.lit("x"), first)).otherwise(first)
+    message = F.concat(F.lit("step "), i.cast("string"), F.lit(" "), shown, F.lit(": "), F.regexp_replace(second, " ", " - "), F.lit("!"))
+    return events_frame(events).withColumn("message", message).select(*EVENT_COLUMNS)

@@ -61,3 +61,22 @@ def test_stored_fingerprint_locates_pins(spark):
     rows = [sorted(tuple(r) for r in PN.locate_pins(pins, e).select("pin_key", "matched_event_id", "retained").collect())
             for e in (ev, SS.read_event_store(spark, path))]
     assert rows[0] == rows[1] and all(r[2] for r in rows[0])
+
+
+def _rows_scanned(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_point_look_ups_skip_row_groups(spark):
+    from pyspark.sql import functions as F
+
+    path = tempfile.mkdtemp(prefix="logspark-store-") + "/store"
+    SS.write_event_store(T.load_events(spark, SMOKE), path)
+    st = SS.read_event_store(spark, path)
+    assert st.agg(F.min("correlation"), F.max("correlation")).first()[0] < "req-0000" < st.agg(F.max("correlation")).first()[0]
+    assert _rows_scanned(FI.where_correlation(st, "req-0000").select("event_id")) == 0  # in the range of values, but nowhere
+    assert _rows_scanned(st.where(F.col("fingerprint") == "7" * 16).select("event_id")) == 0
+    found = FI.where_correlation(st, "req-1").select("event_id")
+    assert 0 < len(found.collect()) <= _rows_scanned(found) < st.count()
