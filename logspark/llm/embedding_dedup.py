@@ -23,6 +23,8 @@ from logspark.llm.common import checkpointed
 from logspark.llm.components import components
 
 THRESHOLD, TILE, SAMPLE, CHUNK = 0.98, 1024, 4096, 1 << 15
+#: Longer vectors than this are turned into LEADING axes only; the norm that those leave bounds the rest.
+WHOLE_BASIS, LEADING = 1024, 256
 _SLACK = 1e-9  # far above rounding errors, far below anything that matters
 
 
@@ -32,8 +34,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def principal_axes(vectors: np.ndarray) -> np.ndarray:
-    """Orthonormal columns, by falling second moment of the unit vectors."""
+    """Orthonormal columns, by falling second moment of the unit vectors; of very long vectors the leading ones only."""
     u = unit(vectors)
+    if u.shape[1] > WHOLE_BASIS:
+        return np.linalg.svd(u[:LEADING], full_matrices=False)[2].T.copy()
     return np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
 
 
@@ -43,7 +47,12 @@ def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold
     ra, rb = (ua, ub) if axes is None else (ua @ axes, ub @ axes)
     steps = sorted({min(ra.shape[1], k) for k in (8, 24, ra.shape[1])})
     lead = steps[0]
-    rest = [(np.sqrt((ra[:, k:] ** 2).sum(axis=1)), np.sqrt((rb[:, k:] ** 2).sum(axis=1))) for k in steps]
+    beyond = 0.0 if ra.shape[1] == ua.shape[1] else 1.0  # of a leading basis, what the unit length has besides
+
+    def left(r: np.ndarray, k: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0, beyond - (r[:, :k] ** 2).sum(axis=1))) if beyond else np.sqrt((r[:, k:] ** 2).sum(axis=1))
+
+    rest = [(left(ra, k), left(rb, k)) for k in steps]
     stripe = max(1, (1 << 20) // max(1, len(b)))
     for top in range(0, len(a), stripe):
         dots = ra[top:top + stripe, :lead] @ rb[:, :lead].T
@@ -76,15 +85,16 @@ def _forest(i: np.ndarray, j: np.ndarray, root: list[int]) -> list[tuple[int, in
 
 
 def _compared(axes: dict[int, np.ndarray], threshold: float):
-    """Arrow function over one pair of tiles: link counts (a, null, n) and joining links (a, b, 0)."""
+    """Arrow function over one pair of tiles: link counts (a, null, n) and joining links (a, b, 0); a vector is
+    named by the two halves of its content key."""
 
     def compare(group: pa.Table) -> pa.Table:
-        node, copies, side = (np.array(group.column(c).to_numpy()) for c in ("node", "copies", "side"))
-        vectors = np.array(group.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(node), -1)
+        k1, k2, copies, side = (np.array(group.column(c).to_numpy()) for c in ("k1", "k2", "copies", "side"))
+        vectors = np.array(group.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(k1), -1)
         base = axes.get(vectors.shape[1])
-        split, links, joins = side != side.min(), np.zeros(len(node), np.int64), []
+        split, links, joins = side != side.min(), np.zeros(len(k1), np.int64), []
         left, right = np.flatnonzero(~split), np.flatnonzero(split)
-        root = list(range(len(node)))
+        root = list(range(len(k1)))
         own = group.column("own")[0].as_py()  # a tile against itself
         right = left if own else right
         if len(left) and len(right):
@@ -96,9 +106,10 @@ def _compared(axes: dict[int, np.ndarray], threshold: float):
                 np.add.at(links, j, copies[i])
                 joins += _forest(i, j, root)
         hit = np.flatnonzero(links)
-        a = np.r_[node[hit], [node[x] for x, _ in joins]].astype(np.int64)
-        b = pa.array([None] * len(hit) + [int(node[y]) for _, y in joins], pa.int64())
-        return pa.table({"a": pa.array(a), "b": b, "n": pa.array(np.r_[links[hit], np.zeros(len(joins), np.int64)].astype(np.int64))})
+        a, b = np.r_[hit, [x for x, _ in joins]].astype(np.int64), np.array([y for _, y in joins], np.int64)
+        none = [None] * len(hit)
+        return pa.table({"a1": pa.array(k1[a]), "a2": pa.array(k2[a]), "b1": pa.array(none + k1[b].tolist(), pa.int64()),
+                         "b2": pa.array(none + k2[b].tolist(), pa.int64()), "n": pa.array(np.r_[links[hit], np.zeros(len(joins), np.int64)].astype(np.int64))})
 
     return compare
 
@@ -109,8 +120,7 @@ def _cells(axes: dict[int, np.ndarray], reach: float):
         out = []
         for v in vectors:
             x = unit(np.array(v.as_py(), float)[None])[0]
-            first = axes[len(x)][:, 0] if len(x) in axes else np.eye(len(x))[:, 0]
-            out.append(math.floor(float(x @ first) / reach))
+            out.append(math.floor(float(x @ axes[len(x)][:, 0] if len(x) in axes else x[0]) / reach))
         return pa.array(out, pa.int64())
 
     return cell
@@ -123,8 +133,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Rows link when their labels are equal and not null, their lengths are equal and the cosine
     reaches the threshold. Vectors that are null, empty, zero or hold nulls or non-finite
     numbers link with nothing and are their own component. Copies of a vector under a label
-    are compared once and counted as often as they occur. Ids name vectors: where one id has
-    several vectors, the links of those that it names are added up.
+    are compared once and counted as often as they occur. A row stands for its vector, whatever
+    its id: rows without an id link like others, are never kept and never name a component
+    (one of such rows alone has a null component); rows that repeat an id are told apart by
+    their vectors. Other columns don't matter.
     """
     vec = F.col(vec_col).cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -133,19 +145,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     base = base.withColumn("k1", F.xxhash64("label", "vec")).withColumn("k2", F.xxhash64(F.lit(1), "label", "vec"))
     good = base.where("sound")
     reps = checkpointed(good.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"),
-                                                     F.coalesce(F.min("id"), F.lit(-1 << 63)).alias("node"), F.count(F.lit(1)).alias("copies")))
+                                                     F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")))
     axes: dict[int, list] = {}
-    for r in reps.select("vec").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect():
+    for r in reps.select("vec", "k1", "k2").orderBy("k1", "k2").limit(SAMPLE).collect():
         axes.setdefault(len(r["vec"]), []).append(r["vec"])
     axes = {d: principal_axes(np.array(v, float)) for d, v in axes.items()}
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    placed = checkpointed(reps.select("node", "copies", "label", F.size("vec").alias("dim"), _cells(axes, reach)("vec").alias("cell"), "vec"))
+    placed = checkpointed(reps.select("k1", "k2", "copies", "label", F.size("vec").alias("dim"), _cells(axes, reach)("vec").alias("cell"), "vec"))
     tiles = checkpointed(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles")))
     keys = ["label", "dim", "cell"]
     below = tiles.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("under"))
     above = tiles.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("over"))
     around = tiles.join(below, keys, "left").join(above, keys, "left")
-    dealt = placed.join(around, keys).withColumn("t", F.pmod(F.xxhash64("node"), "tiles"))
+    dealt = placed.join(around, keys).withColumn("t", F.pmod(F.xxhash64("k1", "k2"), "tiles"))
 
     def to(count: Column, place) -> Column:
         numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -158,12 +170,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         to(F.col("tiles"), lambda u: place(cell, F.least(t, u), cell, F.greatest(t, u), t > u, t == u)),
         to(F.col("over"), lambda u: place(cell, t, cell + 1, u, F.lit(0), never)),
         to(F.col("under"), lambda u: place(cell - 1, u, cell, t, F.lit(1), never)))
-    groups = dealt.select("label", "dim", "node", "copies", "vec", F.explode(places).alias("p")).select("label", "dim", "node", "copies", "vec", "p.*")
-    found = checkpointed(groups.groupBy("label", "dim", "c0", "t0", "c1", "t1").applyInArrow(_compared(axes, threshold), "a long, b long, n long"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("b is not null"))
-    known = (reps.select("k1", "k2", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")
-             .select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")))
-    linked = good.select("id", "k1", "k2").join(known, ["k1", "k2"]).select("id", "n_links", "component")
+    own = ["label", "dim", "k1", "k2", "copies", "vec"]
+    groups = dealt.select(*own, F.explode(places).alias("p")).select(*own, "p.*")
+    found = checkpointed(groups.groupBy("label", "dim", "c0", "t0", "c1", "t1").applyInArrow(
+        _compared(axes, threshold), "a1 long, a2 long, b1 long, b2 long, n long"))
+    counts = found.where("b1 is null").groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.sum("n").alias("others"))
+    key = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
+    joined = components(found.where("b1 is not null").select(key("a").alias("a"), key("b").alias("b")))
+    joined = joined.select("node.k1", "node.k2", F.col("component").alias("group"))
+    known = checkpointed(reps.select("k1", "k2", "low", "copies").join(counts, ["k1", "k2"], "left").join(joined, ["k1", "k2"], "left").select(
+        "k1", "k2", "low", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("group", F.struct("k1", "k2")).alias("group")))
+    named = known.join(known.groupBy("group").agg(F.min("low").alias("component")), "group").select("k1", "k2", "n_links", "component")
+    linked = good.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n_links", "component")
     alone = base.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

@@ -51,13 +51,28 @@ def test_odd_vectors(spark):
     assert D.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_without_an_id_join_nothing_by_it(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1, 0), (None, [1.0, 0.01, 0.0], 1, 0), (2, [0.0, 1.0, 0.0], 1, 0), (None, [0.0, 1.0, 0.01], 1, 0),
+            (None, [0.0, 0.0, 1.0], 1, 0), (None, None, 1, 0), (7, [0.0, 0.0, 1.0], 2, 0), (7, [0.0, 1.0, 0.0], 2, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node int")
+    got = sorted(map(tuple, D.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (None, 1, 1, False), (2, 1, 2, True), (None, 1, 2, False), (None, 0, None, False), (None, 0, None, False),
+                          (7, 0, 7, True), (7, 0, 7, True)], key=str)
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 3000))
+    check(spark, [(i, [float(x) for x in base[i % 6] + rng.normal(size=3000) * 0.05], 1) for i in range(18)])
+
+
 def test_pairs_equal_plain_products():
     rng = np.random.default_rng(8)
     a = rng.normal(size=(300, 40)) @ np.diag(np.linspace(3, 0.05, 40))
     b = a[rng.permutation(300)] + rng.normal(size=(300, 40)) * 0.1
     for t in (0.9, 0.98):
         want = set(zip(*np.nonzero(D.unit(a) @ D.unit(b).T >= t)))
-        for axes in (None, D.principal_axes(a)):
+        for axes in (None, D.principal_axes(a), D.principal_axes(a)[:, :10]):
             got = [p for i, j in D.close_pairs(a, b, axes, t) for p in zip(i.tolist(), j.tolist())]
             assert set(got) == want and len(got) == len(want)
 
