@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,56 @@ def word_blocks(data: bytes, size: int = BLOCK_BYTES):
         end = cut.end() if cut else len(data)
         yield data[start:end].split()
         start = end
+
+
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """``df``'s rows as one struct column, ``row``, beside columns of an operator's own, so that no names clash."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
+#: Bits of a ``KeyFilter``: its size is the same whatever it is made of (16 MiB at 64-bit words).
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)  # usual odd multipliers
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """Places of each key's bits, a row a key."""
+    mixed = keys.view(np.uint64)[:, None] * _SPREAD
+    return (mixed ^ (mixed >> np.uint64(32))) % np.uint64(FILTER_BITS)
+
+
+class KeyFilter:
+    """Bloom filter of 64-bit keys, of a fixed size, broadcast to let rows that can't join stay where they are.
+
+    It only saves shuffling: an exact join follows. Made of more keys than about a tenth of its bits it
+    lets more rows through, up to all of them. Its words are put together in tasks.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        def words(batches):
+            for batch in batches:
+                at = _bits(np.asarray(batch.column(0)).astype(np.int64)).ravel()
+                word, mask = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+                order = np.argsort(word, kind="stable")
+                first = np.flatnonzero(np.diff(word[order], prepend=-1))
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(word[order][first]), pa.array(np.bitwise_or.reduceat(mask[order], first).view(np.int64))], ["word", "mask"])
+
+        found = keys.select(column).where(F.col(column).isNotNull()).mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        table = np.zeros(FILTER_BITS // 64, np.int64)
+        table[found["word"].to_numpy()] = found["mask"].to_numpy()
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, keys: Column) -> Column:
+        """For an array of keys, an array: false for keys that the filter wasn't made of, but for few; true for
+        all that it was made of. Keys come as arrays so that the rows that wait for Python are few."""
+        table = self.table
+
+        @F.arrow_udf("array<boolean>")
+        def test(rows: pa.Array) -> pa.Array:
+            at, words = _bits(np.asarray(rows.flatten()).astype(np.int64)), table.value.view(np.uint64)
+            hit = ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+            ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(hit))
+
+        return test(keys)

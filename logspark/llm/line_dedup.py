@@ -9,7 +9,7 @@ line of each (smallest document id, then line) stays.
 Within a bucket a pair already connected is not compared again, so a dense bucket costs about
 one comparison a line. Buckets are dealt out in tiles of ``TILE`` lines, each pair of tiles a
 group of its own: no group grows with the data and no pair of tiles is left out. Buckets with
-the same members are checked once.
+the same members are checked once. A text leaves its document only if its line shares a bucket.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpointed, text_of
+from logspark.llm.common import KeyFilter, packed, text_of
 from logspark.llm.components import components
+from logspark.session import stored
 
 SHINGLE, BANDS, ROWS, SIMILARITY, TILE = 7, 10, 4, 0.8, 512  # a pair at 0.8 is found with probability 0.995
 _BATCH_CHARS = 1 << 20
@@ -115,6 +116,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(F.lit(1), "line").alias("k2"), "line")
 
 
+def _lines_among(docs: DataFrame, id_col: str, text_col: str, keys: KeyFilter) -> DataFrame:
+    """(pos, k1, k2, line) of the lines whose k1 the filter may hold; each document's lines are tested together."""
+    text = text_of(text_col)
+    trimmed = F.transform(F.split(text, "\n", -1), lambda s, n: F.struct(n.alias("n"), F.btrim(s, F.lit(" \t\r")).alias("line")))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.filter(trimmed, lambda x: x["line"] != "").alias("lines"))
+    rows = rows.withColumn("held", keys.may_hold(F.transform("lines", lambda x: F.xxhash64(x["line"]))))
+    kept = F.filter(F.arrays_zip("lines", "held"), lambda z: z["held"])
+    rows = rows.select("id", "h", F.explode(F.transform(kept, lambda z: z["lines"])).alias("x")).select("id", "h", "x.n", "x.line")
+    return rows.select(F.struct("id", "h", "n").alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+
+
 _EDGE = "a struct<id:bigint,h:bigint,n:int>, b struct<id:bigint,h:bigint,n:int>"
 
 
@@ -163,15 +175,18 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their lines and lose the same ones. A null id counts as the smallest, a null text as empty.
     """
     lines = _lines(docs, id_col, text_col)
-    classes = checkpointed(
+    classes = stored(
         lines.select("pos", "k1", "k2", _bands_column(F.col("line"), width, bands, rows).alias("keys"))
-        .groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.first("keys").alias("keys")))
-    keyed = classes.select(F.explode("keys").alias("key"), "k1").repartition("key")
-    buckets = keyed.groupBy("key").agg(F.count("k1").alias("size"), F.bit_xor("k1").alias("x"), F.min("k1").alias("m"))
-    once = buckets.where("size > 1").groupBy("size", "x", "m").agg(F.min("key").alias("key")).select("key", "size")
-    members = checkpointed(keyed.join(once, "key"))
+        .groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "line-classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "k1")
+    buckets = keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(keyed.join(buckets, "key"), "line-buckets")
+    # buckets with the same members: those of a size and of the same sums of their members' hashes
+    alike = members.groupBy("key", "size").agg(F.bit_xor("k1").alias("x"), F.min("k1").alias("m"))
+    once = alike.groupBy("size", "x", "m").agg(F.min("key").alias("key")).select("key")
+    members = stored(members.join(once, "key"), "line-members")
     wanted = members.select("k1").distinct().join(classes.select("k1", "pos"), "k1")
-    texts = lines.select("pos", "line").join(wanted, "pos")
+    texts = _lines_among(docs, id_col, text_col, KeyFilter(members, "k1")).select("pos", "line").join(wanted, "pos")
     tiles = F.ceil(F.col("size") / tile)
     dealt = (members.join(texts, "k1").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("pos"), "tiles"))
              .select("key", "pos", "line", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
@@ -179,10 +194,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = (dealt.repartition("key", "tiles").sortWithinPartitions("key", "tiles", "pos")
              .mapInArrow(_verified(similarity, width), _EDGE))
     kept = components(edges).withColumnsRenamed({"node": "pos", "component": "keep"})
-    repeated = (classes.select("k1", "k2", "pos", "last").join(kept, "pos", "left")
-                .withColumn("keep", F.coalesce("keep", "pos")).where("pos <> last or pos <> keep").select("k1", "k2", "keep"))
+    repeated = stored(classes.select("k1", "k2", "pos", "n").join(kept, "pos", "left")
+                      .withColumn("keep", F.coalesce("keep", "pos")).where("n > 1 or pos <> keep").select("k1", "k2", "keep"), "line-copies")
     # without the class keys the rows are dealt anew, so that a join skewed by a common line may be split
-    return (lines.select("pos", "k1", "k2").join(repeated, ["k1", "k2"]).where("pos <> keep")
+    copies = _lines_among(docs, id_col, text_col, KeyFilter(repeated, "k1")).select("pos", "k1", "k2")
+    return (copies.join(repeated, ["k1", "k2"]).where("pos <> keep")
             .select("pos", F.col("keep.id").alias("kept_id")).distinct().select("pos.id", "pos.h", "pos.n", "kept_id"))
 
 
@@ -220,9 +236,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns and untouched texts stay as they are (a null text stays null).
     """
-    found = _by_document(duplicate_lines(docs, id_col, text_col, **options)).select(
-        F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__h")), "left")
-    hit = F.col("__dropped").isNotNull()
-    cleaned = joined.where(hit).withColumn(text_col, without_lines(F.col(text_col), F.col("__dropped"))).where(F.col(text_col).rlike(r"[^ \t\r\n]"))
-    return joined.where(~hit).select(*docs.columns).unionByName(cleaned.select(*docs.columns))
+    found = _by_document(duplicate_lines(docs, id_col, text_col, **options)).select("id", "h", "dropped").alias("f")
+    rows = packed(docs, id=F.col(id_col), h=F.xxhash64(text_of(text_col))).alias("d")
+    joined = rows.join(found, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.h") == F.col("f.h")), "left").select("row", "dropped")
+    hit, own = F.col("dropped").isNotNull(), [F.col("row")[c].alias(c) for c in docs.columns]
+    left = without_lines(F.col("row")[text_col], F.col("dropped"))
+    cleaned = joined.where(hit).withColumn("left", left).where(F.col("left").rlike(r"[^ \t\r\n]"))
+    return joined.where(~hit).select(*own).unionByName(cleaned.select(*(F.col("left").alias(c) if c == text_col else x for c, x in zip(docs.columns, own))))
