@@ -28,6 +28,7 @@ class Layout:
     rows: tuple[str, str, str] = ()  # order, role, text of a table with a row a turn
     items: tuple[str, str, str] = ()  # list, role, text
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()  # role and the fields joined for it
+    renamed: bool = False  # whether roles have names of the layout's own (ROLE_NAMES)
 
     def paths(self) -> tuple[str, ...]:
         if self.items:
@@ -38,13 +39,13 @@ class Layout:
 LAYOUTS = (
     Layout("turn rows", rows=("turn", "role", "text")),
     Layout("messages", items=("messages", "role", "content")),
-    Layout("exchanges", items=("conversations", "from", "value")),
+    Layout("exchanges", items=("conversations", "from", "value"), renamed=True),
     Layout("prompt", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("preference", fields=(("user", ("prompt",)), ("assistant", ("chosen",)))),
     Layout("instruction", fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("instruction only", fields=(("user", ("instruction",)), ("assistant", ("output",)))),
 )
-#: Names that other layouts give to the canonical roles.
+#: Names that layouts with role names of their own give to the canonical roles; elsewhere a role stays as it is.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths()})
 _RECORD = ", ".join([f"{x.items[0]} array<struct<`{x.items[1]}`:string, `{x.items[2]}`:string>>" for x in LAYOUTS if x.items]
@@ -58,6 +59,23 @@ def path_hash(paths) -> str:
 BY_HASH = {path_hash(x.paths()): x for x in LAYOUTS}
 
 
+#: Paths that JSON records may have, in the order in which they are hashed.
+RECORD_PATHS = sorted({p for layout in LAYOUTS if not layout.rows for p in layout.paths()})
+
+
+def _signatures() -> dict[str, str]:
+    """Fingerprint of every set of known paths that holds a whole layout -> the first such layout of LAYOUTS."""
+    out = {}
+    for bits in range(1 << len(RECORD_PATHS)):
+        paths = [p for i, p in enumerate(RECORD_PATHS) if bits >> i & 1]
+        if layout := next((x for x in LAYOUTS if not x.rows and set(x.paths()) <= set(paths)), None):
+            out[path_hash(paths)] = layout.name
+    return out
+
+
+SIGNATURES = _signatures()
+
+
 def field_paths(kind: T.DataType, prefix: str = "") -> set[str]:
     """Nested field paths of a schema; [] stands for the items of a list."""
     if isinstance(kind, T.StructType):
@@ -75,9 +93,9 @@ def layout_of(schema: T.StructType) -> Layout:
     return BY_HASH[path_hash(known)]
 
 
-def _role(role: Column) -> Column:
+def _role(role: Column, layout: Layout) -> Column:
     role, out = F.coalesce(role, F.lit("")), F.coalesce(role, F.lit(""))
-    for name, canonical in ROLE_NAMES.items():
+    for name, canonical in ROLE_NAMES.items() if layout.renamed else ():
         out = F.when(role == name, F.lit(canonical)).otherwise(out)
     return out
 
@@ -90,7 +108,7 @@ def _row_turns(layout: Layout, source=F.col) -> Column:
     """Turns of a layout that keeps a whole conversation in a row."""
     if layout.items:
         name, role, text = layout.items
-        return F.coalesce(F.transform(source(name), lambda m: _turn(_role(m[role]), m[text])), F.array().cast("array<struct<role:string,text:string>>"))
+        return F.coalesce(F.transform(source(name), lambda m: _turn(_role(m[role], layout), m[text])), F.array().cast("array<struct<role:string,text:string>>"))
     return F.array(*(_turn(F.lit(role), F.concat_ws("\n", *(F.when(source(f) != "", source(f)) for f in fields))) for role, fields in layout.fields))
 
 
@@ -104,7 +122,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     if not layout.rows:
         return df.select(F.col(id_col).alias("id"), _row_turns(layout).alias("turns"))
     order, role, text = layout.rows
-    rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(order).alias("turn"), _role(F.col(role)).alias("role"),
+    rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(order).alias("turn"), _role(F.col(role), layout).alias("role"),
                                                          F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     turns = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy("id").agg(turns.alias("turns"))
@@ -113,9 +131,9 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, layout, turns, problem) of JSON records whose layouts differ from row to row.
 
-    A record's paths are those of its fields and of all its list items, null values included. Of
-    the layouts whose fingerprint is that of the record's paths among theirs, the first of LAYOUTS
-    holds. A record without one gets a null layout, no turns, and problem says why (else null).
+    A record's paths are those of its fields and of all its list items, null values included. The
+    hash of the known ones among them, in their order, is its fingerprint, looked up in the table
+    SIGNATURES. A record without a layout gets a null layout, no turns, and problem says why (else null).
     """
     line = F.when(F.try_parse_json(F.col(json_col)).isNotNull(), F.col(json_col))
 
@@ -125,12 +143,16 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
 
     paths = F.concat(F.json_object_keys(line), *(item_paths(x.items[0]) for x in LAYOUTS if x.items))
-    rows = df.select(F.col(id_col).alias("id"), F.from_json(line, _RECORD).alias("r"), paths.alias("paths"))
+    known = F.array(*map(F.lit, RECORD_PATHS))
+    digest = F.sha2(F.concat_ws("\n", F.array_intersect(known, "paths")), 256)
+    rows = df.select(F.col(id_col).alias("id"), F.from_json(line, _RECORD).alias("r"), paths.alias("paths")).withColumn("digest", digest)
+    # a row for each set of known paths: the table's size is fixed, so broadcasting it is bounded
+    mappings = df.sparkSession.createDataFrame(sorted(SIGNATURES.items()), "digest string, found string")
+    rows = rows.join(F.broadcast(mappings), "digest", "left")
     name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    for digest, layout in reversed(BY_HASH.items()):
+    for layout in LAYOUTS:
         if not layout.rows:
-            own = F.array(*map(F.lit, sorted(layout.paths())))
-            fits = F.sha2(F.concat_ws("\n", F.array_intersect(own, F.col("paths"))), 256) == digest
+            fits = F.col("paths").isNotNull() & (F.col("found") == layout.name)
             if layout.items:
                 fits = fits & F.col("r")[layout.items[0]].isNotNull()
             name = F.when(fits, F.lit(layout.name)).otherwise(name)
@@ -139,6 +161,27 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.select("id", name.alias("layout"), turns.alias("turns"), problem.alias("problem"))
 
 
+def in_layouts(df: DataFrame, id_col: str = "conv_id") -> list[DataFrame]:
+    """(id, turns) as tables of three layouts that give the same turns: messages, exchanges and prompt.
+
+    A conversation goes, by its id's hash, to one whose form it can take: prompts are one user
+    turn and the answer; exchanges have role names of their own, which no role may have already.
+    """
+    share, turns = F.pmod(F.xxhash64("id"), F.lit(3)), F.col("turns")
+    own_names = F.array(*(F.lit(n) for n in ROLE_NAMES))
+    pair = (F.size("turns") == 2) & (turns[0]["role"] == "user") & (turns[1]["role"] == "assistant")
+    renamed = ~F.exists("turns", lambda t: F.array_contains(own_names, t["role"]))
+    form = F.when(pair & (share == 0), "prompt").when(renamed & (share == 1), "exchanges").otherwise("messages")
+    rows = df.withColumn("form", form)
+    name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    own = F.col("id").alias(id_col)
+    return [
+        rows.where("form = 'messages'").select(own, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")),
+        rows.where("form = 'exchanges'").select(own, F.transform("turns", lambda t: F.struct(name(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")),
+        rows.where("form = 'prompt'").select(own, turns[0]["text"].alias("prompt"), turns[1]["text"].alias("completion")),
+    ]
+
+
 def escape(text: Column) -> Column:
     """One backslash more between < and | wherever only backslashes stand between them."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")

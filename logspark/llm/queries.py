@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from logspark.llm import (byte_bpe, chat, compression_rules, embedding_dedup, filter_audit, fingerprints, line_dedup, mixing, quality,
                            simhash_dedup, spelling, token_counts, warc)
 from logspark.llm.common import table, text_of
-from logspark.session import scratch_path
+from logspark.session import scratch_path, stored
 
 #: Folder of the vocabulary files; by default where the public package keeps them.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", os.path.dirname(public_tokenizers.path("x")))
@@ -57,11 +58,16 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``conversations``, and one whose texts hold control strings, formatted and read back."""
+    """All ``conversations``, and one whose texts hold control strings, formatted and read back.
+
+    On the way the conversations are turned into tables of three layouts, which their fingerprints
+    turn into turns again.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
-    done = chat.format_turns(chat.canonical_turns(rows.unionByName(extra)))
+    turns = stored(chat.canonical_turns(rows.unionByName(extra)), "chat-turns")
+    done = chat.format_turns(reduce(DataFrame.unionByName, map(chat.canonical_turns, chat.in_layouts(turns))))
     read = done.select(F.col("id").alias("conv_id"), chat.read_turns(F.col("formatted")).alias("turns"),
                        chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

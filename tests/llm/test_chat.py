@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -81,6 +82,38 @@ def test_nulls_ties_and_empty_table(spark):
     assert C.format_turns(C.canonical_turns(df.limit(0))).count() == 0
 
 
+def test_layouts_and_back(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        roles = ["user", "assistant"] if i % 2 else [rng.choice(["user", "assistant", "system", "human", ""]) for _ in range(rng.randrange(1, 5))]
+        rows += [(i, t, r, rng.choice(ODD)) for t, r in enumerate(roles)]
+    turns = C.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {r["id"]: [tuple(t) for t in r["turns"]] for r in turns.collect()}
+    tables, got = C.in_layouts(turns), {}
+    for table, name in zip(tables, ("messages", "exchanges", "prompt")):
+        assert C.layout_of(table.schema).name == name
+        own = {r["id"]: [tuple(t) for t in r["turns"]] for r in C.canonical_turns(table).collect()}
+        assert len(own) > 5 and not set(own) & set(got)
+        got |= own
+    assert got == want
+
+
+def test_every_set_of_paths_has_its_layout():
+    assert len(C.SIGNATURES) == len({h for h in C.SIGNATURES}) > 500
+    assert C.SIGNATURES[C.path_hash(["prompt", "completion", "chosen"])] == "prompt"
+    assert C.path_hash(["prompt"]) not in C.SIGNATURES
+
+
+def test_roles_of_turn_rows_stay_as_they_are(spark):
+    rows = [(1, i, r, "x") for i, r in enumerate(["human", "bot", "gpt", "model", "assistant"])]
+    done = C.format_turns(C.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = done.select(C.read_turns(F.col("formatted")).alias("t"), C.read_loss(F.col("formatted"), F.col("loss")).alias("l")).first()
+    assert [t["role"] for t in got["t"]] == [r[2] for r in rows] and got["l"] == "x"
+    line = json.dumps({"messages": [{"role": "bot", "content": "a"}]})
+    assert C.record_turns(spark.createDataFrame([(1, line)], "id long, line string"), "id", "line").first()["turns"][0]["role"] == "bot"
+
+
 def test_query_equals_its_oracle(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
