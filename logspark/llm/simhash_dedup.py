@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpointed, text_of, word_blocks
+from logspark.llm.common import checkpointed, packed, text_of, word_blocks
 from logspark.llm.components import components
 
 WIDTH, SEED, MAX_BITS = 3, 42, 2
@@ -114,15 +114,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` for each group of linked fingerprints, that with its smallest id; all columns stay.
 
-    Rows are told apart by id and text: where several of a group share the smallest id one of
-    them stays, and rows of one id in different groups stand for their own groups. A row
-    without an id stays, as it can't be named.
+    Rows are told apart by id, text and their other columns: where several of a group share the
+    smallest id, that of the smallest text hash, then the smallest hash of the other columns,
+    stays, whatever their order; rows of one id in different groups stand for their own
+    groups. A row without an id stays, as it can't be named.
     """
-    base = checkpointed(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"),
-                                    fingerprint_column(text_of(text_col), width, seed).alias("fp")))
-    firsts = _grouped(base, max_bits).where("id is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("row"))
-    firsts = firsts.select(F.col("row.id").alias("__first_id"), F.col("row.h").alias("__first_hash"))
-    rows = docs.withColumn("__near_dedup_hash", F.xxhash64(text_of(text_col)))
-    same = (F.col(id_col) == F.col("__first_id")) & (F.col("__near_dedup_hash") == F.col("__first_hash"))
-    named = rows.join(firsts, same, "left_semi").dropDuplicates([id_col, "__near_dedup_hash"]).drop("__near_dedup_hash")
+    others = [docs[f"`{c}`"] for c in docs.columns if c not in (id_col, text_col)]
+    own = {"id": F.col(id_col), "h": F.xxhash64(text_of(text_col)), "r": F.xxhash64(F.to_json(F.struct(F.lit(1).alias("one"), *others)))}
+    base = checkpointed(docs.select(*(c.alias(n) for n, c in own.items()), fingerprint_column(text_of(text_col), width, seed).alias("fp")))
+    firsts = _grouped(base, max_bits).where("id is not null").groupBy("label").agg(F.min(F.struct("id", "h", "r")).alias("first")).select("first.*")
+    named = packed(docs, **own).join(firsts, ["id", "h", "r"], "left_semi").dropDuplicates(["id", "h", "r"]).select("row.*")
     return named.unionByName(docs.where(F.col(id_col).isNull()))

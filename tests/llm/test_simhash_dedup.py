@@ -95,6 +95,13 @@ def test_one_row_of_each_group_stays(spark):
     assert S.keep_first(docs.limit(0)).count() == 0
 
 
+def test_ties_are_broken_by_the_other_columns(spark):
+    rows = [(1, "a b c", src, i) for i, src in enumerate(["web", "books", None, "news"])]
+    schema = "doc_id long, text string, __first_id string, __near_dedup_hash int"
+    kept = {tuple(S.keep_first(spark.createDataFrame(list(r), schema)).collect()[0]) for r in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1 and S.keep_first(spark.createDataFrame(rows, schema)).columns == [c.split()[0] for c in schema.split(", ")]
+
+
 def test_query_equals_brute_force(spark):
     from logspark.llm.queries import QUERIES
 
