@@ -63,10 +63,11 @@ def targets(sizes: DataFrame, curriculum=CURRICULUM, cap: int = CAP) -> DataFram
     return t.select("source", "source_size", "turn", "target")
 
 
-def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, curriculum, cap: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns with __size, __source_size, __target, __turn, __before and __copies."""
+def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, curriculum, cap: int, whole: bool) -> DataFrame:
+    """__size, __source_size, __target, __turn, __before and __copies, with the ``whole`` row as one struct if asked for."""
     text = text_of(text_col)
-    rows = docs.select(*keep, F.col(source_col).alias("__source"), F.col(id_col).alias("__id"), word_count(text).alias("__size"),
+    row = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if whole else []
+    rows = docs.select(*row, F.col(source_col).alias("__source"), F.col(id_col).alias("__id"), word_count(text).alias("__size"),
                        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("__hash"),
                        F.xxhash64(text).alias("__tie"))
     rows = rows.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
@@ -108,7 +109,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     repeat an id follow each other. Documents without words are never repeated beyond their
     source's rounds and take no words.
     """
-    laid = _laid_out(docs, id_col, text_col, source_col, curriculum, cap, [])
+    laid = _laid_out(docs, id_col, text_col, source_col, curriculum, cap, False)
     first = F.when(F.col("__copies") > 0, _time(F.col("__before"), curriculum))
     return laid.select(F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                        F.col("__target").alias("target"), F.col("__copies").alias("copies"),
@@ -118,7 +119,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         curriculum=CURRICULUM, cap: int = CAP) -> DataFrame:
     """``docs`` in training order: each row as often as the mix takes it, range-sorted by position."""
-    laid = _laid_out(docs, id_col, text_col, source_col, curriculum, cap, docs.columns)
+    laid = _laid_out(docs, id_col, text_col, source_col, curriculum, cap, True)
     laid = laid.where("__copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("__nth"))
     at = F.col("__before") + F.col("__nth") * F.col("__source_size")
-    return laid.withColumn("__time", _time(at, curriculum)).orderBy("__time", "__id").select(*docs.columns)
+    return laid.withColumn("__time", _time(at, curriculum)).orderBy("__time", "__id").select("row.*")

@@ -57,6 +57,13 @@ def test_mix_rows_follow_the_plan(spark):
     assert M.mix(docs.limit(0)).count() == M.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_very_long_text_and_clashing_names(spark):
+    rows = [(1, "w " * 500_000, "a", 1, "x"), (2, "w w", "a", 2, "y"), (3, "w", "b", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __id string")
+    plan = {r["id"]: r["copies"] for r in M.mix_plan(docs).collect()}
+    assert sorted(map(tuple, M.mix(docs).collect())) == sorted(r for r in rows for _ in range(plan[r[0]]))
+
+
 def test_query_equals_its_oracle(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
