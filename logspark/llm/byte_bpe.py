@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS, MEMO_TOKENS = 1 << 16, 250_000
+MEMO_BYTES, ENTRY_BYTES, OUT_BYTES = 24 << 20, 160, 4 << 20  # the memo's texts and ids, what an entry takes besides, a batch of ids
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,6 +100,7 @@ class ByteBpe:
         self.joined = {left << 16 | right: r for t, r in ranks.items() for i in range(1, len(t))
                        if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None}
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: the pair of lowest rank, leftmost first, is joined next.
@@ -137,6 +139,7 @@ class ByteBpe:
         for token, raw, at in zip(tokens, data, self.table.find(data).tolist()):
             ids = [int(self.ids[at])] if at >= 0 else self.merge(raw)
             self.memo[token] = struct.pack(f"<{len(ids)}I", *ids)
+            self.memo_bytes += len(raw) + 4 * len(ids) + ENTRY_BYTES
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids as little-endian unsigned 32-bit integers, in blocks of bounded length."""
@@ -146,8 +149,9 @@ class ByteBpe:
             matches = map(regex.Match.group, self.pattern.finditer(text))
             parts = iter(lambda: list(islice(matches, BLOCK_TOKENS)), [])
         for block in parts:
-            if len(self.memo) > MEMO_TOKENS:
+            if len(self.memo) > MEMO_TOKENS or self.memo_bytes > MEMO_BYTES:
                 self.memo.clear()
+                self.memo_bytes = 0
             if new := list(set(block).difference(self.memo)):
                 self._resolve(new)
             yield b"".join(map(self.memo.__getitem__, block))
@@ -203,24 +207,54 @@ def decode_column(ids: Column, tokenizer: Tokenizer) -> Column:
     return decode(ids)
 
 
-def encode_checked_column(text: Column, tokenizer: Tokenizer) -> Column:
-    """Ids of a whole text and, as decoded_sha256, the digest of the bytes decoded from them."""
+def encoded(rows: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
+    """``rows`` with their text's ids instead of the text, checked: ids, n_tokens, decoded_sha256, round_trip.
+
+    The ids are decoded block by block; round_trip says whether their bytes are the text's. A
+    null text counts as empty; rows that repeat give equal rows; an empty table gives none.
+    Ids leave in batches of bounded size, so a task holds those of a few texts, or of one very
+    long one. The other columns may not have the new columns' names.
+    """
     ranks, pattern = tokenizer.ranks, tokenizer.pattern
+    kept = [c for c in rows.columns if c != text_col]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"])
 
-    @F.arrow_udf("ids array<int>, decoded_sha256 string")
-    def encode(texts: pa.Array) -> pa.Array:
-        codec, ids, digests = _codec(ranks, pattern), [], []
-        for text in (t.as_py() for t in texts):
-            ids.append(codec.encode(text).view("<i4"))
-            digests.append(hashlib.sha256(codec.decode(ids[-1].tolist())).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())], ["ids", "decoded_sha256"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks, pattern)
 
-    return encode(text)
+        def batch_of(batch: pa.RecordBatch, start: int, done: list[tuple]) -> pa.RecordBatch:
+            own = batch.slice(start, len(done))
+            ends = np.cumsum([0, *(d[1] for d in done)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(d[0] for d in done), "<i4")))
+            columns = [own.column(c) for c in kept] + [ids, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done]), pa.array([d[3] for d in done])]
+            return pa.RecordBatch.from_arrays(columns, [*kept, "ids", "n_tokens", "decoded_sha256", "round_trip"])
+
+        for batch in batches:
+            start, done, room, texts = 0, [], OUT_BYTES, batch.column(text_col)
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                blocks, decoded = [], hashlib.sha256()
+                for block in codec.blocks(text):
+                    blocks.append(block)
+                    decoded.update(codec.decode(np.frombuffer(block, "<u4").tolist()))
+                ids = b"".join(blocks)
+                same = decoded.digest() == hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                done.append((ids, len(ids) // 4, decoded.hexdigest(), same))
+                room -= len(ids)
+                if room < 0:
+                    yield batch_of(batch, start, done)
+                    start, done, room = i + 1, [], OUT_BYTES
+            if done:
+                yield batch_of(batch, start, done)
+
+    return rows.mapInArrow(encode, schema)
 
 
 def round_trip_column(text: Column, tokenizer: Tokenizer) -> Column:
     """Encode a text and decode its ids in one pass: n_tokens, ids_sha256, decoded_sha256.
 
+    The text may not be null; rows that repeat give equal results, an empty table none.
     Digests are taken of the ids' little-endian bytes and of the decoded bytes, block by block.
     """
     ranks, pattern = tokenizer.ranks, tokenizer.pattern

@@ -61,6 +61,20 @@ def test_query_equals_the_public_library(spark):
         assert got[i] == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
+def test_encoded_rows_in_small_batches(spark, monkeypatch):
+    texts = [None, "", "Hello  world\n", "Hello  world\n", "é𐍈 <|x|>\r\n\x00", "word " * 50_000, "x"]
+    df = spark.createDataFrame([(i, t, {"a": i}) for i, t in enumerate(texts)], "doc_id long, text string, `odd name` map<string,int>").coalesce(1)
+    monkeypatch.setattr(B, "OUT_BYTES", 8)
+    monkeypatch.setattr(B, "MEMO_BYTES", 500)
+    got = B.encoded(df, byte_bpe_tokenizer(spark)).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [WANT.encode_ordinary(t or "") for t in texts]
+    assert all(r["n_tokens"] == len(r["ids"]) and r["round_trip"] and r["odd name"] == {"a": r["doc_id"]} for r in got)
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    t = byte_bpe_tokenizer(spark)
+    assert B.encoded(df.limit(0), t).count() == 0
+    assert df.limit(0).select(B.round_trip_column(F.col("text"), t).alias("r")).count() == 0
+
+
 def test_missing_vocabulary_is_an_error(spark):
     with pytest.raises(FileNotFoundError):
         byte_bpe_tokenizer(spark, "/nowhere")
