@@ -163,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (1, 0):
         part = ids.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    sample = checkpointed(docs.join(F.broadcast(picked), docs[id_col] == F.col("__id"))
-                          .select("__id", "__label", F.xxhash64("__id").alias("__h"), text_of(text_col).cast("binary").alias("__text"))
+    texts = docs.select(F.col(id_col).alias("__own"), text_of(text_col).cast("binary").alias("__text"))
+    sample = checkpointed(texts.join(F.broadcast(picked), F.col("__own") == F.col("__id"))
+                          .select("__id", "__label", F.xxhash64("__id").alias("__h"), "__text")
                           .dropDuplicates(["__id", "__label"]))
     keys = [[(r["__h"], r["__id"]) for r in rows] for rows in (
         sample.where(F.col("__label") == label).select("__h", "__id").orderBy("__h", "__id").collect() for label in (1, 0))]
