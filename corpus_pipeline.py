@@ -8,10 +8,9 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logspark.llm import byte_bpe, line_dedup, mixing, quality, simhash_dedup
-from logspark.llm.common import table, text_of
+from logspark.llm.common import table
 from logspark.llm.queries import byte_bpe_tokenizer
 from logspark.session import scratch_path
 
@@ -44,10 +43,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     decoded_sha256 is of the bytes decoded from the ids, round_trip whether they are the text's.
     """
-    encoded = byte_bpe.encode_checked_column(text_of(), byte_bpe_tokenizer(spark))
-    done = docs.select("doc_id", "source", F.sha2(text_of().cast("binary"), 256).alias("sha256"), encoded.alias("r"))
-    return done.select("doc_id", "source", "r.ids", F.size("r.ids").cast("long").alias("n_tokens"), "r.decoded_sha256",
-                       (F.col("r.decoded_sha256") == F.col("sha256")).alias("round_trip"))
+    done = byte_bpe.encoded(docs.select("doc_id", "source", "text"), byte_bpe_tokenizer(spark))
+    return done.select("doc_id", "source", "ids", "n_tokens", "decoded_sha256", "round_trip")
 
 
 STAGES = [
