@@ -355,7 +355,7 @@ def stream_follow(lines: DataFrame, events_dir: str, rejects_dir: str, reports_d
 
 
 # ------------------------------------------------------------------ source states
-RECOVERED, REPLACED = "reader recovered after a transient error", "file was replaced or truncated; reading starts over"
+RECOVERED, REPLACED = "readable again", "a new or shorter file, read from its start"
 _STATE = "state string, parse_errors long, rotations long, records long, detail string"
 STATE_COLUMNS = ["state", "parse_errors", "rotations", "records", "detail"]
 #: Kinds that move the state; ``read`` only keeps line numbers.
