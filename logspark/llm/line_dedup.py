@@ -6,8 +6,8 @@ common meet in a bucket, where the exact Jaccard similarity of their character s
 decides; the links' components are found by distributed star contractions and the first
 line of each (smallest document id, then line) stays.
 
-Within a bucket a pair already connected is not compared again, so a dense bucket costs about
-one comparison a line. Buckets are dealt out in tiles of ``TILE`` lines, each pair of tiles a
+A pair that shares several buckets is compared in the first of them only, and a pair already
+connected within its bucket not at all. Buckets are dealt out in tiles of ``TILE`` lines, each pair of tiles a
 group of its own: no group grows with the data and no pair of tiles is left out. Buckets with
 the same members are checked once. A text leaves its document only if its line shares a bucket.
 """
@@ -31,9 +31,15 @@ _BATCH_CHARS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden ratio, the usual odd multiplier
 
 
+_SLICES = [slice(i, i + SHINGLE) for i in range(4096)]
+
+
 def shingles(line: str, width: int = SHINGLE) -> set[str]:
     """Character shingles; a shorter line is its own only shingle."""
-    return {line[i:i + width] for i in range(max(1, len(line) - width + 1))}
+    n = max(1, len(line) - width + 1)
+    if width == SHINGLE and n <= len(_SLICES):
+        return set(map(line.__getitem__, _SLICES[:n]))
+    return {line[i:i + width] for i in range(n)}
 
 
 def jaccard(a: set, b: set) -> float:
@@ -131,9 +137,10 @@ _EDGE = "a struct<id:bigint,h:bigint,n:int>, b struct<id:bigint,h:bigint,n:int>"
 
 
 def linked(members: list[tuple], similarity: float, width: int) -> Iterator[tuple]:
-    """A spanning forest of the links among (side, pos, line): both of one side only where all sides are equal."""
+    """A spanning forest of the links among (side, pos, line, keys), for pairs that are to be compared here:
+    the key of this bucket, the last field of each, is the first that both have; of one side only where all are equal."""
     cross = len({m[0] for m in members}) > 1
-    sets = [shingles(m[2], width) for m in members]
+    sets, keys = [None] * len(members), [frozenset(m[3]) for m in members]
     root = list(range(len(members)))
 
     def find(x: int) -> int:
@@ -141,12 +148,17 @@ def linked(members: list[tuple], similarity: float, width: int) -> Iterator[tupl
             root[x] = x = root[root[x]]
         return x
 
-    for i, (side, pos, _) in enumerate(members):
+    def of(i: int) -> set[str]:
+        if sets[i] is None:
+            sets[i] = shingles(members[i][2], width)
+        return sets[i]
+
+    for i, (side, pos, _, _, here) in enumerate(members):
         for j in range(i):
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if (cross and members[j][0] == side) or small < similarity * large or find(i) == find(j):
+            if (cross and members[j][0] == side) or find(i) == find(j) or min(keys[i] & keys[j]) != here:
                 continue
-            if jaccard(sets[i], sets[j]) >= similarity:
+            small, large = sorted((len(of(i)), len(of(j))))
+            if small >= similarity * large and jaccard(of(i), of(j)) >= similarity:
                 root[find(i)] = find(j)
                 yield members[j][1], pos
 
@@ -156,11 +168,11 @@ def _verified(similarity: float, width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "tiles", "side", "pos", "line")))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "tiles", "side", "pos", "line", "keys")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(rows(batches), lambda r: r[:2]):
-            if found := list(linked([r[2:] for r in group], similarity, width)):
+            if found := list(linked([(*r[2:], r[0]) for r in group], similarity, width)):
                 pos = pa.struct([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pos) for i in (0, 1)], ["a", "b"])
 
@@ -185,12 +197,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = members.groupBy("key", "size").agg(F.bit_xor("k1").alias("x"), F.min("k1").alias("m"))
     once = alike.groupBy("size", "x", "m").agg(F.min("key").alias("key")).select("key")
     members = stored(members.join(once, "key"), "line-members")
-    wanted = members.select("k1").distinct().join(classes.select("k1", "pos"), "k1")
+    # two classes may meet in several buckets; the first that both are in compares them
+    wanted = members.groupBy("k1").agg(F.collect_list("key").alias("keys")).join(classes.select("k1", "pos"), "k1")
     texts = _lines_among(docs, id_col, text_col, KeyFilter(members, "k1")).select("pos", "line").join(wanted, "pos")
     tiles = F.ceil(F.col("size") / tile)
     dealt = (members.join(texts, "k1").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("pos"), "tiles"))
-             .select("key", "pos", "line", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
-             .select("key", F.concat_ws("-", F.least("t", "o"), F.greatest("t", "o")).alias("tiles"), F.col("t").alias("side"), "pos", "line"))
+             .select("key", "pos", "line", "keys", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
+             .select("key", F.concat_ws("-", F.least("t", "o"), F.greatest("t", "o")).alias("tiles"), F.col("t").alias("side"), "pos", "line", "keys"))
     edges = (dealt.repartition("key", "tiles").sortWithinPartitions("key", "tiles", "pos")
              .mapInArrow(_verified(similarity, width), _EDGE))
     kept = components(edges).withColumnsRenamed({"node": "pos", "component": "keep"})
