@@ -5,13 +5,16 @@ Conditions of one part are alternatives, a filter's parts must all hold, and it
 of its exclusions. Events become (facet, value) pairs, which meet the conditions in an equality
 join; an event passes a filter when the number of parts it hit is the filter's. Numeric ranges
 are cut into dyadic intervals, and an event's number names the interval of every width that it
-lies in, so ranges meet numbers by equality too. No event is paired with a filter that it has
-nothing in common with, and the number of filters never enters the plan.
+lies in, so ranges meet numbers by equality too. An event is paired only with the filters of which
+it hits the leading part, the one that the fewest events can hit; all other conditions are checked
+for those pairs alone, so that a broad condition (a level, an exclusion) costs nothing by itself.
+The number of filters never enters the plan.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,19 +102,76 @@ def _cover(low: Column, high: Column) -> Column:
     return out.otherwise(of(WIDTHS[-1]))
 
 
-def _pairs(events: DataFrame, facets: list[str]) -> DataFrame:
-    """(event_id, facet, value) of the facets that some filter names."""
+def _values(events: DataFrame, facets: list[str], fields: list[str]) -> DataFrame:
+    """(event_id, pairs, numbers): what an event holds of the facets and of the numbers that some filter names."""
     stored_columns = tuple(events.columns)
-    values = F.array(*(F.struct(F.lit(f).alias("facet"), FI.facet_value(f, stored_columns).cast("string").alias("value")) for f in facets))
-    return events.select("event_id", F.explode(values).alias("p")).select("event_id", "p.*").where("value is not null")
+    pairs = F.array(*(F.struct(F.lit(f).alias("facet"), FI.facet_value(f, stored_columns).cast("string").alias("value")) for f in facets))
+    numbers = F.array(*(F.struct(F.lit(f).alias("facet"), F.expr(RANGES[f]).cast("double").alias("number")) for f in fields))
+    return events.select("event_id", (pairs if facets else F.array().cast("array<struct<facet:string,value:string>>")).alias("pairs"),
+                         (numbers if fields else F.array().cast("array<struct<facet:string,number:double>>")).alias("numbers"))
 
 
-def _numbers(events: DataFrame, fields: list[str]) -> DataFrame:
-    """(event_id, facet, number, width, block): every interval that a number lies in."""
-    at = F.array(*(F.struct(F.lit(f).alias("facet"), F.expr(RANGES[f]).cast("double").alias("number")) for f in fields))
-    rows = events.select("event_id", F.explode(at).alias("p")).select("event_id", "p.*").where("number is not null and not isnan(number)")
+def _pairs(values: DataFrame, facets: list[str], *keep: str) -> DataFrame:
+    """(keep, facet, value) of some of the facets."""
+    some = F.filter("pairs", lambda p: p["value"].isNotNull() & p["facet"].isin(facets))
+    return values.select(*keep, F.explode(some).alias("p")).select(*keep, "p.*")
+
+
+def _numbers(values: DataFrame, fields: list[str], *keep: str) -> DataFrame:
+    """(keep, facet, number) of some of the numeric fields."""
+    some = F.filter("numbers", lambda p: p["number"].isNotNull() & ~F.isnan(p["number"]) & p["facet"].isin(fields))
+    return values.select(*keep, F.explode(some).alias("p")).select(*keep, "p.*")
+
+
+def _blocks(numbers: DataFrame) -> DataFrame:
+    """Numbers with (width, block) of every interval that they lie in."""
     blocks = F.array(*(F.struct(F.lit(w).alias("width"), _block(F.col("number"), w).alias("block")) for w in WIDTHS))
-    return rows.select("event_id", "facet", "number", F.explode(blocks).alias("b")).select("event_id", "facet", "number", "b.*")
+    return numbers.withColumn("b", F.explode(blocks)).select(*numbers.columns, "b.*")
+
+
+def _covers(ranges: DataFrame) -> DataFrame:
+    return ranges.select("*", F.explode(_cover(F.col("low"), F.col("high"))).alias("b")).select(*ranges.columns, "b.*")
+
+
+def _leads(values: DataFrame, wanted: DataFrame, ranges: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """(name, part): of each filter the part that the fewest events can hit, counted by its values and intervals."""
+    found = []
+    if "value" in named:
+        keys = wanted.select("facet", "value").distinct()
+        sizes = _pairs(values, named["value"]).join(keys, ["facet", "value"], "left_semi").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+        found.append(wanted.where("part >= 0").join(sizes, ["facet", "value"], "left").select("name", "part", "n"))
+    if "range" in named:
+        covers = _covers(ranges.where("part >= 0"))
+        keys = covers.select("facet", "width", "block").distinct()
+        sizes = _blocks(_numbers(values, named["range"])).join(keys, ["facet", "width", "block"], "left_semi").groupBy(
+            "facet", "width", "block").agg(F.count(F.lit(1)).alias("n"))
+        found.append(covers.join(sizes, ["facet", "width", "block"], "left").select("name", "part", "n"))
+        found.append(ranges.where("part >= 0").select("name", "part", F.lit(0).cast("long").alias("n")))  # an empty range has no interval
+    sizes = reduce(DataFrame.unionByName, found).groupBy("name", "part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return sizes.groupBy("name").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+
+
+def _hits(values: DataFrame, wanted: DataFrame, ranges: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """(event_id, name, part): the parts and exclusions that an event hits of the filters whose leading part it hits."""
+    leads = stored(_leads(values, wanted, ranges, named), "saved-filter-leads")
+    first, within = (rows.join(leads, ["name", "part"], "left_semi") for rows in (wanted, ranges))
+    leading = {kind: sorted(r[0] for r in rows.select("facet").distinct().collect()) for kind, rows in (("value", first), ("range", within))}
+    keep, found = ("event_id", "pairs", "numbers"), []
+    if leading["value"]:
+        found.append(_pairs(values, leading["value"], *keep).join(first.select("name", "facet", "value"), ["facet", "value"]).select(*keep, "name"))
+    if leading["range"]:
+        covers = _covers(within.select("name", "facet", "low", "high"))
+        inside = _blocks(_numbers(values, leading["range"], *keep)).join(covers, ["facet", "width", "block"])
+        found.append(inside.where("number between low and high").select(*keep, "name"))
+    if not found:  # only exclusions
+        return wanted.select(F.lit(None).cast("long").alias("event_id"), "name", "part").limit(0)
+    met, hits = reduce(DataFrame.unionByName, found), []
+    if "value" in named:
+        hits.append(_pairs(met, named["value"], "event_id", "name").join(wanted, ["name", "facet", "value"]).select("event_id", "name", "part"))
+    if "range" in named:
+        numbers = _numbers(met, named["range"], "event_id", "name").join(ranges, ["name", "facet"])
+        hits.append(numbers.where("number between low and high").select("event_id", "name", "part"))
+    return reduce(DataFrame.unionByName, hits)
 
 
 def evaluate(events: DataFrame, table: DataFrame) -> DataFrame:
@@ -119,16 +179,9 @@ def evaluate(events: DataFrame, table: DataFrame) -> DataFrame:
     table = stored(table, "saved-filters")
     named = {r["kind"]: sorted(r["facets"]) for r in table.where("facet is not null").groupBy(
         F.when(F.col("kind") == "range", "range").otherwise("value").alias("kind")).agg(F.collect_set("facet").alias("facets")).collect()}
-    hits = None
-    if "value" in named:
-        wanted = table.where("kind in ('include', 'exclude')").select("name", "part", "facet", "value").distinct()
-        hits = _pairs(events, named["value"]).join(wanted, ["facet", "value"]).select("event_id", "name", "part")
-    if "range" in named:
-        ranges = table.where("kind = 'range'").select("name", "part", "facet", "low", "high", F.explode(_cover(F.col("low"), F.col("high"))).alias("b"))
-        ranges = ranges.select("name", "part", "facet", "low", "high", "b.*")
-        inside = _numbers(events, named["range"]).join(ranges, ["facet", "width", "block"]).where("number between low and high")
-        inside = inside.select("event_id", "name", "part")
-        hits = inside if hits is None else hits.unionByName(inside)
+    wanted = table.where("kind in ('include', 'exclude')").select("name", "part", "facet", "value").distinct()
+    ranges = table.where("kind = 'range'").select("name", "part", "facet", "low", "high").distinct()
+    hits = _hits(_values(events, named.get("value", []), named.get("range", [])), wanted, ranges, named) if named else None
     filters = table.groupBy("name").agg(F.coalesce(F.max("part"), F.lit(0)).alias("last"), F.max("problem").alias("errors"),
                                         F.max(F.when(F.col("kind") == "invalid", 1).otherwise(0)).alias("invalid"))
     if hits is None:

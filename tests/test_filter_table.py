@@ -73,3 +73,19 @@ def test_many_filters_share_one_plan(spark):
     plans = [FT.evaluate(df, FT.filter_table(spark, {f"f{i}": FI.FilterState(facets={"fields.user": {"include": [f"u{i}"]}}) for i in range(n)}))
              ._jdf.queryExecution().executedPlan().toString() for n in (3, 300)]
     assert len(plans[0].splitlines()) == len(plans[1].splitlines()) and "CartesianProduct" not in plans[1] and "NestedLoop" not in plans[1]
+
+
+def test_broad_conditions_pair_no_events(spark):
+    """Only the leading part makes pairs: 300 filters on every event's level, each with one user, give a pair an event and user."""
+    rows = [event(i, level="error", source="a", fields=f'{{"user": "u{i}"}}') for i in range(300)]
+    df = frame(spark, rows + [event(7, level="info", source="a", fields='{"user": "u7"}')])
+    filters = {f"f{i:03d}": FI.FilterState(facets={"fields.user": {"include": [f"u{i}"]}, "source": {"exclude": ["b"]}}, minimum_level="warn",
+                                           predicates=[("timestamp", ">=", "2024-01-01T00:00:00Z")]) for i in range(300)}
+    table = FT.filter_table(spark, filters)
+    wanted = table.where("kind in ('include', 'exclude')").select("name", "part", "facet", "value").distinct()
+    ranges = table.where("kind = 'range'").select("name", "part", "facet", "low", "high")
+    named = {"value": ["fields.user", "level", "source"], "range": ["timestamp"]}
+    hits = FT._hits(FT._values(df, named["value"], named["range"]), wanted, ranges, named)
+    assert hits.count() <= 3 * 301  # user, level and time of one filter an event, not of all 300
+    got = {r.name: tuple(r)[1:4] for r in FT.evaluate(df, table).collect()}
+    assert got == {f"f{i:03d}": (1, i, i) for i in range(300)}
