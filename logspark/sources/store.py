@@ -31,10 +31,11 @@ def enrich(events: DataFrame) -> DataFrame:
 
 
 def write_event_store(events: DataFrame, path: str, mode: str = "append") -> None:
-    enriched = enrich(events.select(*EVENT_COLUMNS))
-    writer = (enriched.repartitionByRange("event_date", "source", "event_id")
-                      .sortWithinPartitions("event_date", "source", "level", "event_id")
-                      .write.mode(mode).partitionBy("event_date", "source"))
+    # rows are dealt out and sorted as they came, so that the sample of the ranges derives nothing
+    placed = (events.select(*EVENT_COLUMNS).withColumn("event_date", F.to_date("timestamp"))
+                    .repartitionByRange("event_date", "source", "event_id")
+                    .sortWithinPartitions("event_date", "source", "level", "event_id"))
+    writer = enrich(placed).write.mode(mode).partitionBy("event_date", "source")
     for column in POINT_LOOKUPS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
