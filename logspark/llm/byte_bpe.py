@@ -2,8 +2,10 @@
 
 Texts are split by the tokenizer's pattern. Pre-tokens that are whole vocabulary entries are
 resolved, many at a time, through a minimal perfect hash over the vocabulary (one slot per
-entry, each hit compared with its key). Misses are merged by rank with a heap of candidate
-pairs over linked bytes. Results of both tiers are kept for the pre-tokens seen last.
+entry, each hit compared with its key). Misses are merged by rank: short ones over a list of
+the ranks their pairs have, long ones with a heap of candidate pairs over linked bytes. Results
+of both tiers are kept for the pre-tokens seen last, in a younger and an older half: when the
+younger is full it becomes the older, so that frequent pre-tokens stay.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import hashlib
 import heapq
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 BLOCK_TOKENS, MEMO_TOKENS = 1 << 16, 250_000
 MEMO_BYTES, ENTRY_BYTES, OUT_BYTES = 24 << 20, 160, 4 << 20  # the memo's texts and ids, what an entry takes besides, a batch of ids
+SHORT, NO_RANK = 64, 1 << 16  # bytes of a pre-token merged over a list, whose steps take time by its length; what a pair without a rank has
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,19 +98,38 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: MinimalPerfectHash | None = None):
         self.pattern, self.vocabulary = regex.compile(pattern), {r: t for t, r in ranks.items()}
-        self.table, self.ids = table or MinimalPerfectHash(list(ranks)), np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.table, self.ids = table or MinimalPerfectHash(list(ranks)), list(ranks.values())
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.joined = {left << 16 | right: r for t, r in ranks.items() for i in range(1, len(t))
                        if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None}
+        self.packed = [struct.pack("<I", r) for r in range(1 + max(ranks.values()))]
+        self.first = {(t[0], t[1]): r for t, r in ranks.items() if len(t) == 2}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_bytes = 0
 
     def merge(self, token: bytes) -> list[int]:
-        """Ids of a pre-token that is no entry: the pair of lowest rank, leftmost first, is joined next.
-
-        The heap holds rank and place of a pair in one number; ``due`` has the rank that the
-        pair at a place has now, so that entries of pairs joined meanwhile are passed over.
-        """
+        """Ids of a pre-token that is no entry: the pair of lowest rank, leftmost first, is joined next."""
+        return self._merge_short(token) if len(token) <= SHORT else self._merge_long(token)
+
+    def _merge_short(self, token: bytes) -> list[int]:
+        """``due`` has the rank of each id and its next one. An id of -1 ends the list, on both sides: it has no rank with any."""
+        joined, ids = self.joined.get, [self.single[b] for b in token]
+        due = list(map(self.first.get, zip(token, token[1:]), repeat(NO_RANK)))
+        ids.append(-1)
+        due.append(NO_RANK)
+        while (rank := min(due)) != NO_RANK:
+            i = due.index(rank)
+            ids[i] = rank
+            del ids[i + 1], due[i]
+            due[i] = joined(rank << 16 | ids[i + 1], NO_RANK)
+            due[i - 1] = joined(ids[i - 1] << 16 | rank, NO_RANK)
+        ids.pop()
+        return ids
+
+    def _merge_long(self, token: bytes) -> list[int]:
+        """The heap holds rank and place of a pair in one number; ``due`` has the rank that the
+        pair at a place has now, so that entries of pairs joined meanwhile are passed over."""
         joined, ids, n = self.joined.get, [self.single[b] for b in token], len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         due = [joined(ids[i] << 16 | ids[i + 1], -1) for i in range(n - 1)]
@@ -134,12 +156,19 @@ class ByteBpe:
                     heapq.heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def _resolve(self, tokens: list[str]) -> None:
-        data = [t.encode("utf-8", "surrogatepass") for t in tokens]
-        for token, raw, at in zip(tokens, data, self.table.find(data).tolist()):
-            ids = [int(self.ids[at])] if at >= 0 else self.merge(raw)
-            self.memo[token] = struct.pack(f"<{len(ids)}I", *ids)
-            self.memo_bytes += len(raw) + 4 * len(ids) + ENTRY_BYTES
+    def _keep(self, token: str, ids: bytes) -> None:
+        self.memo[token] = ids
+        self.memo_bytes += 4 * len(token) + len(ids) + ENTRY_BYTES
+
+    def _recall(self, tokens: set[str]) -> None:
+        """Puts pre-tokens that the younger half lacks there, from the older half or resolved anew."""
+        lacking = tokens.difference(self.older)
+        for token in tokens - lacking:
+            self._keep(token, self.older[token])
+        new = list(lacking)
+        data = [t.encode("utf-8", "surrogatepass") for t in new]
+        for token, raw, at in zip(new, data, self.table.find(data).tolist()):
+            self._keep(token, self.packed[self.ids[at]] if at >= 0 else b"".join(map(self.packed.__getitem__, self.merge(raw))))
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids as little-endian unsigned 32-bit integers, in blocks of bounded length."""
@@ -149,11 +178,10 @@ class ByteBpe:
             matches = map(regex.Match.group, self.pattern.finditer(text))
             parts = iter(lambda: list(islice(matches, BLOCK_TOKENS)), [])
         for block in parts:
-            if len(self.memo) > MEMO_TOKENS or self.memo_bytes > MEMO_BYTES:
-                self.memo.clear()
-                self.memo_bytes = 0
-            if new := list(set(block).difference(self.memo)):
-                self._resolve(new)
+            if 2 * len(self.memo) > MEMO_TOKENS or 2 * self.memo_bytes > MEMO_BYTES:
+                self.older, self.memo, self.memo_bytes = self.memo, {}, 0
+            if new := set(block).difference(self.memo):
+                self._recall(new)
             yield b"".join(map(self.memo.__getitem__, block))
 
     def encode(self, text: str) -> np.ndarray:

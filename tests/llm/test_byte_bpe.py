@@ -1,5 +1,7 @@
 import hashlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -41,6 +43,25 @@ def test_long_runs_and_small_blocks(monkeypatch):
     assert B.ByteBpe(RANKS, P.PATTERN).encode(text).tolist() == want
 
 
+def test_short_and_long_merges_agree():
+    rng = np.random.default_rng(3)
+    tokens = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in range(1, 90)] + [rng.bytes(n) for n in range(1, 90)] + [b"\0", b"\0" * 40, b"aaaaaaa"]
+    for t in tokens:
+        assert CODEC._merge_short(t) == CODEC._merge_long(t)
+        assert CODEC.merge(t) == CODEC._merge_long(t) and CODEC.decode(CODEC.merge(t)) == t
+
+
+def test_frequent_pretokens_stay_in_the_memo(monkeypatch):
+    codec, asked, find = B.ByteBpe(RANKS, P.PATTERN, CODEC.table), Counter(), CODEC.table.find
+    monkeypatch.setattr(B, "MEMO_TOKENS", 40)
+    monkeypatch.setattr(codec.table, "find", lambda keys: asked.update(keys) or find(keys))
+    for i in range(60):
+        text = "often used " + " ".join(f"rare{'abcdefghij'[i % 10]}{'klmnopqrst'[j]}{'uvwxyz'[i // 10]}" for j in range(5))
+        assert codec.encode(text).tolist() == WANT.encode_ordinary(text)
+    assert asked[b" used"] == asked[b"often"] == 1
+    assert len(asked) > 300 and len(codec.memo) + len(codec.older) <= 40 + 2 * 7
+
+
 def test_columns_round_trip_with_nulls(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "Hello  world\n", 0), (3, "Hello  world\n", 0)], "doc_id long, text string, ids int")
     t = byte_bpe_tokenizer(spark)
