@@ -87,16 +87,18 @@ class KeyFilter:
         table[found["word"].to_numpy()] = found["mask"].to_numpy()
         self.table = keys.sparkSession.sparkContext.broadcast(table)
 
-    def may_hold(self, keys: Column) -> Column:
-        """For an array of keys, an array: false for keys that the filter wasn't made of, but for few; true for
-        all that it was made of. Keys come as arrays so that the rows that wait for Python are few."""
-        table = self.table
-
-        @F.arrow_udf("array<boolean>")
-        def test(rows: pa.Array) -> pa.Array:
-            at, words = _bits(np.asarray(rows.flatten()).astype(np.int64)), table.value.view(np.uint64)
-            hit = ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-            ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(hit))
-
-        return test(keys)
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """False for keys that the filter wasn't made of, but for few; true for all that it was made of."""
+        at, words = _bits(np.asarray(keys).astype(np.int64)), self.table.value.view(np.uint64)
+        return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+    def only_held(self, keys: Column) -> Column:
+        """The keys of an array that may be held; none of a null array. Keys come as arrays so that the
+        rows that wait for Python are few."""
+
+        @F.arrow_udf("array<long>")
+        def pick(rows: pa.Array) -> pa.Array:
+            hit, ends = self.held(rows.flatten()), np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))]
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hit)][ends].astype(np.int32)), rows.flatten().filter(pa.array(hit)))
+
+        return pick(keys)

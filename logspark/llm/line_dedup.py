@@ -15,10 +15,11 @@ the same members are checked once. A text leaves its document only if its line s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ from logspark.llm.components import components
 from logspark.session import stored
 
 SHINGLE, BANDS, ROWS, SIMILARITY, TILE = 7, 10, 4, 0.8, 512  # a pair at 0.8 is found with probability 0.995
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS, _EDGES = 1 << 18, 1 << 12
+_BLOCK_CHARS, _LINE_CHARS = 1 << 20, 64  # characters of lines handled at once, what a line counts besides
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden ratio, the usual odd multiplier
 
 
@@ -103,44 +105,117 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _bands_column(line: Column, width: int, bands: int, rows: int) -> Column:
-    @F.arrow_udf("array<long>")
-    def keys(lines: pa.Array) -> pa.Array:
-        found = band_keys(minhash(lines.to_pylist(), width, bands * rows), bands, rows)
-        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * bands, pa.array(found.ravel()))
+_POS = pa.struct([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
+_COLUMNS = {"pos": "struct<id:bigint,h:bigint,n:int>", "k1": "bigint", "k2": "bigint", "keys": "array<bigint>", "line": "string"}
+
+
+def _numbered(text: str) -> Iterator[tuple[int, str]]:
+    """The lines of a text that aren't blank, with their numbers."""
+    n = start = 0
+    while start <= len(text):
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        if line := text[start:end].strip(" \t\r"):
+            yield n, line
+        n, start = n + 1, end + 1
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...], banding: tuple[int, int, int] | None = None,
+           among: KeyFilter | None = None) -> DataFrame:
+    """These columns of every line that isn't blank, or of those whose k1 the filter may hold: pos, which orders by
+    document, then line; k1 and k2, the line's hash; line; keys, its band keys by ``banding`` (width, bands, rows)."""
+
+    def block(found: list[tuple]) -> pa.RecordBatch:
+        hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f[3].encode("utf-8", "surrogatepass")) for f in found), "<i8").reshape(-1, 2)
+        if among:
+            at = np.flatnonzero(among.held(hashes[:, 0]))
+            found, hashes = [found[i] for i in at], hashes[at]
+        own = {"k1": pa.array(hashes[:, 0]), "k2": pa.array(hashes[:, 1])}
+        ids, h, n, lines = zip(*found) if found else ((),) * 4
+        own["pos"] = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int32())], fields=list(_POS))
+        if "line" in columns:
+            own["line"] = pa.array(lines, pa.string())
+        if "keys" in columns:
+            width, bands, rows = banding
+            keys = band_keys(minhash(lines, width, bands * rows), bands, rows)
+            own["keys"] = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
+        return pa.RecordBatch.from_arrays([own[c] for c in columns], list(columns))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, room = [], _BLOCK_CHARS
+        for batch in batches:
+            for i, h, text in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
+                for n, line in _numbered(text.as_py()):
+                    found.append((i, h, n, line))
+                    room -= len(line) + _LINE_CHARS
+                    if room < 0:
+                        yield block(found)
+                        found, room = [], _BLOCK_CHARS
+        if found:
+            yield block(found)
 
-    return keys(line)
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(blocks, ", ".join(f"{c} {_COLUMNS[c]}" for c in columns))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(pos, k1, k2, line) of every line that isn't blank; pos orders by document, then line."""
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"),
-                       F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    rows = rows.withColumn("line", F.expr("trim(BOTH ' \\t\\r' FROM line)")).where("line <> ''")
-    return rows.select(F.struct("id", "h", "n").alias("pos"), F.xxhash64("line").alias("k1"),
-                       F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+_EDGE = f"a {_COLUMNS['pos']}, b {_COLUMNS['pos']}"
 
 
-def _lines_among(docs: DataFrame, id_col: str, text_col: str, keys: KeyFilter) -> DataFrame:
-    """(pos, k1, k2, line) of the lines whose k1 the filter may hold; each document's lines are tested together."""
-    text = text_of(text_col)
-    trimmed = F.transform(F.split(text, "\n", -1), lambda s, n: F.struct(n.alias("n"), F.btrim(s, F.lit(" \t\r")).alias("line")))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.filter(trimmed, lambda x: x["line"] != "").alias("lines"))
-    rows = rows.withColumn("held", keys.may_hold(F.transform("lines", lambda x: F.xxhash64(x["line"]))))
-    kept = F.filter(F.arrays_zip("lines", "held"), lambda z: z["held"])
-    rows = rows.select("id", "h", F.explode(F.transform(kept, lambda z: z["lines"])).alias("x")).select("id", "h", "x.n", "x.line")
-    return rows.select(F.struct("id", "h", "n").alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+class ShingleSets:
+    """The shingle sets of a group's lines, each made when first asked for.
 
+    A set is a sorted array of numbers that hold their shingle's characters side by side, numbered
+    within the group; if the group has too many characters for 64 bits, it is a set of texts.
+    """
 
-_EDGE = "a struct<id:bigint,h:bigint,n:int>, b struct<id:bigint,h:bigint,n:int>"
+    def __init__(self, lines: list[str], width: int):
+        self.lines, self.width, self.sets = lines, width, [None] * len(lines)
+        self.points = None if all(map(str.isascii, lines)) else np.array(sorted(map(ord, set().union(*lines))), np.uint32)
+        self.bits = 8 if self.points is None else len(self.points).bit_length()
+
+    def __getitem__(self, i: int):
+        if self.sets[i] is None:
+            packed = self.bits * self.width <= 64
+            self.sets[i] = self._numbers(self.lines[i]) if packed else shingles(self.lines[i], self.width)
+        return self.sets[i]
+
+    def _numbers(self, line: str) -> np.ndarray:
+        if self.points is None:
+            codes = np.frombuffer(line.encode(), np.uint8).astype(np.uint64)
+        else:
+            codes = np.searchsorted(self.points, np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.uint64)
+        codes += np.uint64(1)  # 0 fills up a line shorter than a shingle
+        if len(codes) < self.width:
+            codes = np.pad(codes, (0, self.width - len(codes)))
+        n, bits = len(codes) - self.width + 1, np.uint64(self.bits)
+        out = codes[:n].copy()
+        for j in range(1, self.width):
+            out <<= bits
+            out |= codes[j:j + n]
+        out.sort()
+        first = np.ones(n, bool)
+        np.not_equal(out[1:], out[:-1], out=first[1:])
+        return out[first]
+
+    def alike(self, i: int, j: int, similarity: float) -> bool:
+        a, b = self[i], self[j]
+        small, large = sorted((len(a), len(b)))
+        if small < similarity * large:
+            return False
+        if isinstance(a, set):
+            return jaccard(a, b) >= similarity
+        merged = np.concatenate((a, b))
+        merged.sort()
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+        return both / (len(a) + len(b) - both) >= similarity
 
 
 def linked(members: list[tuple], similarity: float, width: int) -> Iterator[tuple]:
     """A spanning forest of the links among (side, pos, line, keys), for pairs that are to be compared here:
     the key of this bucket, the last field of each, is the first that both have; of one side only where all are equal."""
     cross = len({m[0] for m in members}) > 1
-    sets, keys = [None] * len(members), [frozenset(m[3]) for m in members]
+    sets, keys = ShingleSets([m[2] for m in members], width), [frozenset(m[3]) for m in members]
     root = list(range(len(members)))
 
     def find(x: int) -> int:
@@ -148,17 +223,11 @@ def linked(members: list[tuple], similarity: float, width: int) -> Iterator[tupl
             root[x] = x = root[root[x]]
         return x
 
-    def of(i: int) -> set[str]:
-        if sets[i] is None:
-            sets[i] = shingles(members[i][2], width)
-        return sets[i]
-
     for i, (side, pos, _, _, here) in enumerate(members):
         for j in range(i):
             if (cross and members[j][0] == side) or find(i) == find(j) or min(keys[i] & keys[j]) != here:
                 continue
-            small, large = sorted((len(of(i)), len(of(j))))
-            if small >= similarity * large and jaccard(of(i), of(j)) >= similarity:
+            if sets.alike(i, j, similarity):
                 root[find(i)] = find(j)
                 yield members[j][1], pos
 
@@ -168,13 +237,18 @@ def _verified(similarity: float, width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "tiles", "side", "pos", "line", "keys")))
+            pos = zip(*(f.to_pylist() for f in batch.column("pos").flatten()))
+            key, tiles, side, line, keys = (batch.column(c).to_pylist() for c in ("key", "tiles", "side", "line", "keys"))
+            yield from zip(key, tiles, side, pos, line, keys)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, group in groupby(rows(batches), lambda r: r[:2]):
-            if found := list(linked([(*r[2:], r[0]) for r in group], similarity, width)):
-                pos = pa.struct([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pos) for i in (0, 1)], ["a", "b"])
+            yield from linked([(*r[2:], r[0]) for r in group], similarity, width)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = edges(batches)
+        while block := list(islice(found, _EDGES)):
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in block], _POS) for i in (0, 1)], ["a", "b"])
 
     return verify
 
@@ -186,12 +260,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is a row's id and text (h is the text's hash): rows that repeat both share
     their lines and lose the same ones. A null id counts as the smallest, a null text as empty.
     """
-    lines = _lines(docs, id_col, text_col)
     classes = stored(
-        lines.select("pos", "k1", "k2", _bands_column(F.col("line"), width, bands, rows).alias("keys"))
+        _lines(docs, id_col, text_col, ("pos", "k1", "k2", "keys"), (width, bands, rows))
         .groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "line-classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "k1")
-    buckets = keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = stored(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "line-keys")
+    keyed = classes.select(F.explode(KeyFilter(buckets, "key").only_held(F.col("keys"))).alias("key"), "k1")
     members = stored(keyed.join(buckets, "key"), "line-buckets")
     # buckets with the same members: those of a size and of the same sums of their members' hashes
     alike = members.groupBy("key", "size").agg(F.bit_xor("k1").alias("x"), F.min("k1").alias("m"))
@@ -199,7 +272,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(once, "key"), "line-members")
     # two classes may meet in several buckets; the first that both are in compares them
     wanted = members.groupBy("k1").agg(F.collect_list("key").alias("keys")).join(classes.select("k1", "pos"), "k1")
-    texts = _lines_among(docs, id_col, text_col, KeyFilter(members, "k1")).select("pos", "line").join(wanted, "pos")
+    texts = _lines(docs, id_col, text_col, ("pos", "line"), among=KeyFilter(members, "k1")).join(wanted, "pos")
     tiles = F.ceil(F.col("size") / tile)
     dealt = (members.join(texts, "k1").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("pos"), "tiles"))
              .select("key", "pos", "line", "keys", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
@@ -210,7 +283,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = stored(classes.select("k1", "k2", "pos", "n").join(kept, "pos", "left")
                       .withColumn("keep", F.coalesce("keep", "pos")).where("n > 1 or pos <> keep").select("k1", "k2", "keep"), "line-copies")
     # without the class keys the rows are dealt anew, so that a join skewed by a common line may be split
-    copies = _lines_among(docs, id_col, text_col, KeyFilter(repeated, "k1")).select("pos", "k1", "k2")
+    copies = _lines(docs, id_col, text_col, ("pos", "k1", "k2"), among=KeyFilter(repeated, "k1"))
     return (copies.join(repeated, ["k1", "k2"]).where("pos <> keep")
             .select("pos", F.col("keep.id").alias("kept_id")).distinct().select("pos.id", "pos.h", "pos.n", "kept_id"))
 
