@@ -59,9 +59,9 @@ FILTER_BITS, FILTER_HASHES = 1 << 27, 4
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)  # usual odd multipliers
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """Places of each key's bits, a row a key."""
-    mixed = keys.view(np.uint64)[:, None] * _SPREAD
+def _bits(keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Places of each key's bits, by one multiplier or several."""
+    mixed = keys.view(np.uint64) * spread
     return (mixed ^ (mixed >> np.uint64(32))) % np.uint64(FILTER_BITS)
 
 
@@ -75,7 +75,7 @@ class KeyFilter:
     def __init__(self, keys: DataFrame, column: str):
         def words(batches):
             for batch in batches:
-                at = _bits(np.asarray(batch.column(0)).astype(np.int64)).ravel()
+                at = _bits(np.asarray(batch.column(0)).astype(np.int64)[:, None], _SPREAD).ravel()
                 word, mask = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
                 order = np.argsort(word, kind="stable")
                 first = np.flatnonzero(np.diff(word[order], prepend=-1))
@@ -89,8 +89,14 @@ class KeyFilter:
 
     def held(self, keys: np.ndarray) -> np.ndarray:
         """False for keys that the filter wasn't made of, but for few; true for all that it was made of."""
-        at, words = _bits(np.asarray(keys).astype(np.int64)), self.table.value.view(np.uint64)
-        return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+        keys, words = np.asarray(keys).astype(np.int64), self.table.value.view(np.uint64)
+        left = np.arange(len(keys))
+        for spread in _SPREAD:  # most keys go at the first bit
+            at = _bits(keys[left], spread)
+            left = left[(words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        hit = np.zeros(len(keys), bool)
+        hit[left] = True
+        return hit
 
     def only_held(self, keys: Column) -> Column:
         """The keys of an array that may be held; none of a null array. Keys come as arrays so that the

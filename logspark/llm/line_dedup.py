@@ -30,6 +30,7 @@ from logspark.session import stored
 SHINGLE, BANDS, ROWS, SIMILARITY, TILE = 7, 10, 4, 0.8, 512  # a pair at 0.8 is found with probability 0.995
 _BATCH_CHARS, _EDGES = 1 << 18, 1 << 12
 _BLOCK_CHARS, _LINE_CHARS = 1 << 20, 64  # characters of lines handled at once, what a line counts besides
+_FEW = 3  # lines of a group that are compared with each other most likely
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # golden ratio, the usual odd multiplier
 
 
@@ -162,6 +163,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...]
 _EDGE = f"a {_COLUMNS['pos']}, b {_COLUMNS['pos']}"
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    first = np.empty(len(numbers), bool)
+    first[:1] = True
+    np.not_equal(numbers[1:], numbers[:-1], out=first[1:])
+    return numbers[first]
+
+
 class ShingleSets:
     """The shingle sets of a group's lines, each made when first asked for.
 
@@ -173,30 +182,39 @@ class ShingleSets:
         self.lines, self.width, self.sets = lines, width, [None] * len(lines)
         self.points = None if all(map(str.isascii, lines)) else np.array(sorted(map(ord, set().union(*lines))), np.uint32)
         self.bits = 8 if self.points is None else len(self.points).bit_length()
+        self.packed = self.bits * width <= 64
+        sizes = [len(s) for s in lines]
+        if self.packed and len(lines) <= _FEW and sum(sizes) <= _BATCH_CHARS and min(sizes) >= width:  # few lines are made at once
+            rolled, ends = self._rolled(self._codes("".join(lines))), np.cumsum(sizes).tolist()
+            self.sets = [_distinct(rolled[e - n:e - width + 1]) for e, n in zip(ends, sizes)]
 
     def __getitem__(self, i: int):
         if self.sets[i] is None:
-            packed = self.bits * self.width <= 64
-            self.sets[i] = self._numbers(self.lines[i]) if packed else shingles(self.lines[i], self.width)
+            self.sets[i] = self._numbers(self.lines[i]) if self.packed else shingles(self.lines[i], self.width)
         return self.sets[i]
 
-    def _numbers(self, line: str) -> np.ndarray:
+    def _codes(self, text: str) -> np.ndarray:
+        """Numbers of the characters from 1 on."""
         if self.points is None:
-            codes = np.frombuffer(line.encode(), np.uint8).astype(np.uint64)
+            codes = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
         else:
-            codes = np.searchsorted(self.points, np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.uint64)
-        codes += np.uint64(1)  # 0 fills up a line shorter than a shingle
-        if len(codes) < self.width:
+            codes = np.searchsorted(self.points, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.uint64)
+        codes += np.uint64(1)
+        return codes
+
+    def _numbers(self, line: str) -> np.ndarray:
+        codes = self._codes(line)
+        if len(codes) < self.width:  # 0 fills up a line shorter than a shingle
             codes = np.pad(codes, (0, self.width - len(codes)))
+        return _distinct(self._rolled(codes))
+
+    def _rolled(self, codes: np.ndarray) -> np.ndarray:
         n, bits = len(codes) - self.width + 1, np.uint64(self.bits)
         out = codes[:n].copy()
         for j in range(1, self.width):
             out <<= bits
             out |= codes[j:j + n]
-        out.sort()
-        first = np.ones(n, bool)
-        np.not_equal(out[1:], out[:-1], out=first[1:])
-        return out[first]
+        return out
 
     def alike(self, i: int, j: int, similarity: float) -> bool:
         a, b = self[i], self[j]
@@ -260,6 +278,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is a row's id and text (h is the text's hash): rows that repeat both share
     their lines and lose the same ones. A null id counts as the smallest, a null text as empty.
     """
+    return _dropped(docs, id_col, text_col, similarity, width, bands, rows, tile).distinct()
+
+
+def _dropped(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS,
+             rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """``duplicate_lines``, those of a row that repeats as often as the row."""
     classes = stored(
         _lines(docs, id_col, text_col, ("pos", "k1", "k2", "keys"), (width, bands, rows))
         .groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "line-classes")
@@ -285,19 +309,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # without the class keys the rows are dealt anew, so that a join skewed by a common line may be split
     copies = _lines(docs, id_col, text_col, ("pos", "k1", "k2"), among=KeyFilter(repeated, "k1"))
     return (copies.join(repeated, ["k1", "k2"]).where("pos <> keep")
-            .select("pos", F.col("keep.id").alias("kept_id")).distinct().select("pos.id", "pos.h", "pos.n", "kept_id"))
+            .select("pos.id", "pos.h", "pos.n", F.col("keep.id").alias("kept_id")))
 
 
 def _by_document(dropped: DataFrame) -> DataFrame:
-    return dropped.groupBy("id", "h").agg(F.sort_array(F.collect_list("n")).alias("dropped"),
+    return dropped.groupBy("id", "h").agg(F.sort_array(F.collect_set("n")).alias("dropped"),
                                           F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, n_lines, dropped (line numbers from 0) and kept_ids (documents that keep those lines)."""
-    found = _by_document(duplicate_lines(docs, id_col, text_col, **options))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"),
-                       F.size(F.split(text_of(text_col), "\n", -1)).alias("n_lines")).alias("d")
+    found = _by_document(_dropped(docs, id_col, text_col, **options))
+    text = text_of(text_col)
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), (breaks + 1).alias("n_lines")).alias("d")
     f = found.alias("f")
     return base.join(f, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.h") == F.col("f.h")), "left").select(
         "d.id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
@@ -322,7 +347,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns and untouched texts stay as they are (a null text stays null).
     """
-    found = _by_document(duplicate_lines(docs, id_col, text_col, **options)).select("id", "h", "dropped").alias("f")
+    found = _by_document(_dropped(docs, id_col, text_col, **options)).select("id", "h", "dropped").alias("f")
     rows = packed(docs, id=F.col(id_col), h=F.xxhash64(text_of(text_col))).alias("d")
     joined = rows.join(found, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.h") == F.col("f.h")), "left").select("row", "dropped")
     hit, own = F.col("dropped").isNotNull(), [F.col("row")[c].alias(c) for c in docs.columns]

@@ -53,6 +53,46 @@ def test_band_recall_at_the_threshold():
     assert total > 100 and hit / total > 0.95
 
 
+def test_shingle_sets_compare_like_sets_of_texts(monkeypatch):
+    rng = random.Random(7)
+    for letters in ("ab", "abcdefgh \x00\x7f", "aé𐍈\x00 ", [chr(c) for c in range(0x4E00, 0x4E00 + 700)]):
+        for few in (0, 3):
+            monkeypatch.setattr(L, "_FEW", few)
+            for _ in range(40):
+                lines = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 6, 7, 8, 60, 300]))) for _ in range(rng.choice([2, 3]))]
+                lines += [lines[0][:-1] + rng.choice(letters), lines[0] + lines[0][:3] + "\x00"]
+                texts, sets = [L.shingles(x) for x in lines], L.ShingleSets(lines, L.SHINGLE)
+                for i in range(len(lines)):
+                    assert len(sets[i]) == len(texts[i])
+                    for j in range(i):
+                        for s in (0.8, L.jaccard(texts[i], texts[j])):
+                            assert sets.alike(i, j, s) == (L.jaccard(texts[i], texts[j]) >= s)
+    assert L.ShingleSets(["a" * 300, "a" * 300 + "b"], 40).alike(0, 1, 0.5) and isinstance(L.ShingleSets(["é", "x"], 40)[0], set)
+
+
+def test_lines_are_numbered_like_split():
+    for text in ("", "\n", "a", " a\t\r\n\n \t\nb \n", "\na\u2028b\x0bc\x85\n"):
+        assert list(L._numbered(text)) == [(n, s.strip(" \t\r")) for n, s in enumerate(text.split("\n")) if s.strip(" \t\r")]
+
+
+def test_only_keys_with_a_partner_are_dealt_and_lines_stay_in_python(spark, monkeypatch):
+    """Neither the bucket join nor the line steps send what has no partner through a shuffle or an interpreted loop."""
+    picked = []
+    monkeypatch.setattr(L.KeyFilter, "only_held", lambda self, keys, f=L.KeyFilter.only_held: picked.append(1) or f(self, keys))
+    docs = spark.createDataFrame([(i, f"line number {i} is like no other {i * 7919}\nthe same line in every document") for i in range(20)], "doc_id long, text string")
+    found = L.duplicate_lines(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert picked and "transform(" not in plan and found.count() == 19
+
+
+def test_rows_that_repeat_lose_a_line_once(spark):
+    rows = [(1, "a line that both documents have\n1"), (2, "a line that both documents have\n2"), (2, "a line that both documents have\n2"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"] or 0, r["n_lines"], r["dropped"], r["kept_ids"]) for r in L.line_report(docs).collect())
+    assert got == [(0, 1, [], []), (1, 2, [], []), (2, 2, [0], [1]), (2, 2, [0], [1])]
+    assert [tuple(r)[0::2] for r in L.duplicate_lines(docs).collect()] == [(2, 0)]
+
+
 def _report(spark, docs, **kw):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = L.line_report(df, **kw).collect()
