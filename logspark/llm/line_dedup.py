@@ -9,7 +9,8 @@ line of each (smallest document id, then line) stays.
 A pair that shares several buckets is compared in the first of them only, and a pair already
 connected within its bucket not at all. Buckets are dealt out in tiles of ``TILE`` lines, each pair of tiles a
 group of its own: no group grows with the data and no pair of tiles is left out. Buckets with
-the same members are checked once. A text leaves its document only if its line shares a bucket.
+the same members are checked once. A text leaves its document only if its line shares a bucket,
+a band key is dealt out only if a Bloom filter says that another line may have it too.
 """
 
 from __future__ import annotations
