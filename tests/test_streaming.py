@@ -124,3 +124,27 @@ def test_update_table_keeps_the_newest_values_and_old_versions_go(spark):
     assert {r.app_session_id: r.event_count for r in now} == {"r0": 2, "r1": 4, "r2": 4, "r3": 4, "r4": 4, "r5": 2}
     assert sorted(r.event_id for r in ST.latest_table(spark, os.path.join(table, "t")).collect()) == list(range(14, 20))
     assert len(ST._versions(spark, os.path.join(table, "t"))) == ST.KEPT_VERSIONS
+
+
+def test_decoded_rows_of_a_batch_stay_out_of_the_executors_memory(spark, monkeypatch):
+    land, ckpt, plans, folders = _scratch(), _scratch(), [], []
+    line = {"schema_version": 1, "timestamp": 1, "level": "info", "source": "a", "subsystem": "b", "event": "c", "app_session_id": "r"}
+    for part in range(2):
+        with open(os.path.join(land, f"part{part}.jsonl"), "w") as f:
+            f.write("".join((json.dumps(line | {"message": f"{part}-{i}"}) if i % 3 else "{bad") + "\n" for i in range(6)))
+    number = ST.JL.with_row_numbers
+
+    def seen(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        folders.extend({os.path.dirname(f) for f in df.inputFiles()})
+        return number(df, *args, **kw)
+
+    monkeypatch.setattr(ST.JL, "with_row_numbers", seen)
+    ev, rej, health = (os.path.join(_scratch(), "t") for _ in range(3))
+    ST.stream_validate(ST.stream_event_logs(spark, land), ev, rej, health, ckpt).awaitTermination()
+    assert plans and not any("InMemoryTableScan" in p for p in plans) and not any("try_parse_json" in p for p in plans)
+    rows = spark.read.parquet(ev).orderBy("event_id").collect()
+    assert [(r.event_id, r.message, r.line_number) for r in rows] == [(k, f"{k // 4}-{i}", i + 1) for k, i in enumerate([1, 2, 4, 5] * 2)]
+    assert sorted((r.file_name, r.line_number) for r in spark.read.parquet(rej).collect()) == [(f"part{p}.jsonl", n) for p in range(2) for n in (1, 4)]
+    assert sorted((r.valid, r.invalid, r.last_error is not None) for r in spark.read.parquet(health).collect()) == [(4, 2, True)] * 2
+    assert folders and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
