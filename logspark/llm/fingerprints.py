@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpointed, text_of, word_blocks
+from logspark.llm.common import KeyFilter, checkpointed, text_of, word_blocks
 
 BITS, RADIUS, BLOCKS = 128, 6, 8
 #: Blocks of neighbouring ids: about this many rows each, never more than MAX_RANGES of them.
@@ -127,6 +127,9 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
 
     Both inputs hold (hi, lo), each fingerprint once. A pair is reported by the first table
     in which it meets, so no repeats need to be removed afterwards.
+
+    Rows are sized before they are multiplied by the tables, so neither side may be broadcast;
+    a filter of fixed size keeps keys that nobody asks for out of the shuffle.
     """
     agreeing = BLOCKS - radius
     if agreeing < 1:
@@ -138,18 +141,18 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
         return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << span) - 1))
 
     tables = list(combinations(range(BLOCKS), agreeing))
-
-    def keyed(df: DataFrame) -> DataFrame:
-        hi, lo = F.col("hi"), F.col("lo")
-        rows = [F.struct(F.lit(sum(1 << i for i in t)).alias("mask"), F.lit((2 << t[-1]) - 1).alias("upto"),
-                         F.xxhash64(*(block(hi, lo, i) for i in t)).alias("key")) for t in tables]
-        return df.select("hi", "lo", F.explode(F.array(*rows)).alias("t")).select("hi", "lo", "t.*")
-
-    asked = keyed(queries).withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"}).drop("upto")
+    masks = [sum(1 << i for i in t) for t in tables]
+    hi, lo = F.col("hi"), F.col("lo")
+    keys = [F.xxhash64(F.lit(m), *(block(hi, lo, i) for i in t)) for m, t in zip(masks, tables)]  # a key names its table, too
+
+    rows = [F.struct(F.lit(m).alias("mask"), F.lit((2 << t[-1]) - 1).alias("upto"), k.alias("key")) for m, t, k in zip(masks, tables, keys)]
+    asked = queries.select(hi.alias("q_hi"), lo.alias("q_lo"), F.explode(F.array(*rows)).alias("t")).select("q_hi", "q_lo", "t.*")
+    held = F.array_distinct(KeyFilter(asked, "key").only_held(F.array(*keys)))
+    keyed = prints.select("hi", "lo", F.explode(held).alias("key"))
     x_hi, x_lo = F.col("hi").bitwiseXOR(F.col("q_hi")), F.col("lo").bitwiseXOR(F.col("q_lo"))
     agree = sum(F.when(block(x_hi, x_lo, i) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(BLOCKS))
     near = (F.bit_count(x_hi) + F.bit_count(x_lo) <= radius) & (agree.bitwiseAND(F.col("upto")) == F.col("mask"))
-    return asked.join(keyed(prints), ["mask", "key"]).where(near).select("q_hi", "q_lo", "hi", "lo")
+    return keyed.hint("merge").join(asked.hint("merge"), "key").where(near).select("q_hi", "q_lo", "hi", "lo")
 
 
 def count_near(found: DataFrame, every: int = 50, radius: int = RADIUS) -> DataFrame:

@@ -79,3 +79,12 @@ def test_tables_find_all_within_the_radius(spark):
     got = [(whole(*r[:2]), whole(*r[2:])) for r in P.within_radius(df, df).collect()]
     want = {(a, b) for a in prints for b in prints if (a ^ b).bit_count() <= 6}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_neither_side_of_the_search_is_broadcast(spark):
+    nodes = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prints = spark.createDataFrame([(i, -i) for i in range(200)], "hi long, lo long")
+    for queries, among in ((prints.limit(3), prints), (prints, prints.limit(3))):
+        found = P.within_radius(queries, among)
+        rows = {tuple(r) for r in found.collect()}
+        assert {(i, -i, i, -i) for i in range(3)} <= rows and "Broadcast" not in nodes(found) and "SortMergeJoin" in nodes(found)
